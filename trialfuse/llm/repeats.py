@@ -1,0 +1,321 @@
+"""Exact search for windows of `length` units that occur earlier, without a row per window.
+
+1. Sampled starts. Of every `length`-unit window one `core` of fewer units is
+   chosen by its content alone (the leftmost smallest name), so equal windows
+   choose the same core. About one start in ten is kept.
+2. Buckets of equal cores. Cores that occur once are done. Each core also has
+   the name of all units that any window holding it can cover: where that
+   name occurs earlier, all those windows do, and none needs a look of its own.
+3. Only where a core occurs with different surroundings, its windows
+   are named in full and bucketed again.
+
+Names are 64-bit hashes built by doubling; entries travel as packed columns,
+one row for each bucket and map task. Each map task first settles what it can
+by itself and sends at most a few entries for a core or window, however often
+it occurs, so no bucket grows with the largest group.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import (
+    RID,
+    bucket_count,
+    by_group,
+    chunks_of_docs,
+    joined,
+    map_arrow,
+    mix,
+    mix2,
+    pack,
+    pack_sorted,
+    settle,
+    unpack,
+    unpack_sorted,
+    utf8,
+    word_names,
+)
+
+CHUNK_BYTES = 1 << 19
+FLUSH = 2_000_000
+_FLAG = np.uint32(1 << 31)
+_C_MASK = np.uint64((1 << 40) - 1)
+_K_BITS = 54
+MAPPED = "bucket int, k binary, c binary, d binary, p binary, done_d binary, done_p binary, open_d binary, open_p binary"
+FOUND = f"{RID} long, done binary, open binary"
+
+
+@dataclass(frozen=True)
+class Kind:
+    """unit: 'byte' or 'word'; within: an earlier place in the same document counts too."""
+
+    unit: str
+    length: int
+    core: int
+    within: bool
+
+    @property
+    def reach(self) -> int:
+        return self.length - self.core
+
+
+class Named:
+    """Names of runs of units over a chunk of documents, `reach` empty units apart."""
+
+    def __init__(self, kind: Kind, data: np.ndarray, offsets: np.ndarray):
+        self.kind, gap = kind, kind.reach
+        n = len(offsets) - 1
+        if kind.unit == "byte":
+            self.sizes = np.diff(offsets)
+            units = data[offsets[0] : offsets[-1]]
+        else:
+            base = offsets[0]
+            # a word never runs over the end of a document
+            units, starts, self.sizes = split_words(data[base : offsets[-1]], offsets - base)
+        self.first = np.cumsum(np.r_[0, self.sizes[:-1] + gap]) + gap if n else np.zeros(0, np.int64)
+        total = int(self.sizes.sum()) + gap * (n + 1) + kind.length + 8
+        buf = np.zeros(total, units.dtype)
+        at = np.arange(len(units)) + np.repeat(self.first - np.cumsum(np.r_[0, self.sizes[:-1]]), self.sizes)
+        buf[at] = units
+        if kind.unit == "byte":
+            self.base, self.names = 8, {8: np.lib.stride_tricks.as_strided(buf, (total - 7, 8), (1, 1)).copy().view("<u8").ravel()}
+        else:
+            self.base, self.names = 1, {1: buf}
+        p = self.base
+        while p * 2 <= kind.core:
+            h = self.names[p]
+            self.names[p * 2] = mix(h[:-p], h[p:])
+            p *= 2
+        self.top = p
+
+    def name(self, length: int, at: np.ndarray) -> np.ndarray:
+        """Refined from the bucket names at later offsets."""
+        h, p = self.names[self.top], self.top
+        out = h[at]
+        for off in (*range(p, length - p, p), length - p):
+            out = mix2(out, h[at + off])
+        return out
+
+    def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, unit) of buffer places."""
+        doc = np.searchsorted(self.first, at, side="right") - 1
+        return doc, at - self.first[doc]
+
+    def cores(self) -> np.ndarray:
+        """Buffer places of the chosen cores."""
+        k = self.kind
+        w = k.length - k.core + 1
+        h = self.names[self.top]
+        n = len(h)
+        m = (mix(h, 0x27D4EB2F) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+        width = 1
+        while width * 2 <= w:
+            m = np.minimum(m[:-width], m[width:])
+            width *= 2
+        if width < w:
+            m = np.minimum(m[: -(w - width)], m[w - width :])
+        many = np.maximum(self.sizes - k.length + 1, 0)  # windows of each document
+        starts = np.repeat(self.first - np.cumsum(np.r_[0, many[:-1]]), many) + np.arange(int(many.sum())) if len(many) else np.zeros(0, np.int64)
+        at = (m[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
+
+    def surroundings(self, at: np.ndarray) -> np.ndarray:
+        k = self.kind
+        doc, u = self.place(at)
+        left = np.minimum(u, k.reach)
+        right = np.minimum(self.sizes[doc] - u, k.length)
+        return mix2(self.name(2 * k.length - k.core, at - k.reach), (left * 65536 + right).astype(np.uint64))
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, starts, words of each document); documents are parted even where a word touches the next."""
+    n = len(offsets) - 1
+    spaced = np.full(len(data) + n, 0x20, np.uint8)
+    sizes = np.diff(offsets)
+    spaced[np.arange(len(data)) + np.repeat(np.arange(n), sizes)] = data
+    names, start, _ = word_names(spaced)
+    own = np.searchsorted(offsets[:-1] + np.arange(n), start, side="right") - 1
+    return names, start - own, np.bincount(own, minlength=n)[:n] if n else np.zeros(0, np.int64)
+
+
+def resolve(k, c, d, p, flag, within: bool):
+    """What the entries tell among themselves; each output is an array of indices.
+
+    done: an entry with the same k and c comes earlier. open: k occurs with
+    different c in different documents (or places), or has been said to.
+    keep: entries that others need; shared: of keep, those whose k is open.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(k):
+        return none, none, none, none
+    o = np.argsort(k, kind="stable")
+    ks = k[o]
+    new = np.r_[True, ks[1:] != ks[:-1]]
+    size = np.diff(np.r_[np.flatnonzero(new), len(ks)])
+    multi = np.repeat(size > 1, size)
+    alone, m = o[~multi], o[multi]
+    if not len(m):
+        return none, alone[flag[alone]], alone, alone[flag[alone]]
+    m = m[np.lexsort((p[m], d[m], c[m], k[m]))]
+    km, cm, dm = k[m], c[m], d[m]
+    newk = np.r_[True, km[1:] != km[:-1]]
+    newc = newk | np.r_[True, cm[1:] != cm[:-1]]
+    kstart = np.flatnonzero(newk)
+    g = np.cumsum(newk) - 1
+    head = np.maximum.accumulate(np.where(newc, np.arange(len(m)), 0))
+    done = ~newc if within else dm > dm[head]
+    differ = np.add.reduceat(newc.astype(np.int64), kstart) > 1
+    if not within:
+        differ &= np.minimum.reduceat(dm, kstart) != np.maximum.reduceat(dm, kstart)
+    shared = (differ | np.logical_or.reduceat(flag[m], kstart))[g]
+    opened = m[shared & ~done]
+    s = m[shared]
+    s = s[np.lexsort((p[s], d[s], k[s]))]
+    lead = s[np.r_[True, k[s][1:] != k[s][:-1]]] if len(s) else none
+    keep = np.concatenate([alone, m[~shared & ~done], lead])
+    return m[done], np.concatenate([opened, alone[flag[alone]]]), keep, np.concatenate([lead, alone[flag[alone]]])
+
+
+def _flush(parts: list[tuple], buckets: int, within: bool) -> Iterator[pa.RecordBatch]:
+    if not parts:
+        return
+    k, c, d, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+    k = k & np.uint64((1 << _K_BITS) - 1)
+    c = c & _C_MASK
+    flag = np.zeros(len(k), bool)
+    done, opened, keep, shared = resolve(k, c, d, p, flag, within)
+    flag[shared] = True
+    of = lambda names: ((names * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+    empty = np.zeros(0, np.int64)
+    rows: dict[int, list] = {}
+    b = of(k[keep])
+    keep = keep[np.lexsort((k[keep], b))]
+    for bucket, at in by_group(of(k[keep]), keep):
+        rows[int(bucket)] = [pack_sorted(k[at]), *(pack(np.ascontiguousarray(c[at]).view(np.uint8).reshape(-1, 8)[:, :5].T.ravel()),), pack(d[at]), pack(p[at].astype(np.uint32) | np.where(flag[at], _FLAG, np.uint32(0)))]
+    aside: dict[int, list] = {}
+    for i, at in enumerate((done, opened)):
+        for bucket, x in by_group(of(d[at].astype(np.uint64)), at):
+            aside.setdefault(int(bucket), [empty, empty])[i] = x
+    names = MAPPED.replace(" binary", "").replace(" int", "").split(", ")
+    out: list[list] = [[] for _ in names]
+    for bucket in sorted({*rows, *aside}):
+        a, o = aside.get(bucket, [empty, empty])
+        row = [bucket, *rows.get(bucket, [None] * 4), *([pack(d[a]), pack(p[a].astype(np.uint32))] if len(a) else [None] * 2), *([pack(d[o]), pack(p[o].astype(np.uint32))] if len(o) else [None] * 2)]
+        for col, v in zip(out, row, strict=True):
+            col.append(v)
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=names)
+
+
+def _unpack_c(b: bytes) -> np.ndarray:
+    x = unpack(b).reshape(5, -1)
+    c = np.zeros((x.shape[1], 8), np.uint8)
+    c[:, :5] = x.T
+    return c.view(np.uint64).ravel()
+
+
+def _reduce(within: bool) -> Callable[[pa.Table], pa.Table]:
+    def fn(t: pa.Table) -> pa.Table:
+        get = lambda name, f: [f(x) for x in t.column(name).to_pylist() if x is not None]
+        k, c, d, p = joined(get("k", unpack_sorted), np.uint64), joined(get("c", _unpack_c), np.uint64), joined(get("d", unpack), np.int64), joined(get("p", unpack), np.uint32)
+        flag = (p & _FLAG) != 0
+        p = (p & ~_FLAG).astype(np.int64)
+        done, opened, _, _ = resolve(k, c, d, p, flag, within)
+        rows: dict[int, list] = {}
+        for i, (at, name) in enumerate(((done, "done"), (opened, "open"))):
+            dd = np.concatenate([d[at], *get(f"{name}_d", unpack)])
+            pp = np.concatenate([p[at], *(x.astype(np.int64) for x in get(f"{name}_p", unpack))])
+            for doc, x in by_group(dd, pp):
+                rows.setdefault(int(doc), [None, None])[i] = np.unique(x).astype("<u4").tobytes()
+        ids = list(rows)
+        return pa.table([pa.array(ids, pa.int64()), pa.array([rows[i][0] for i in ids], pa.binary()), pa.array([rows[i][1] for i in ids], pa.binary())], names=[RID, "done", "open"])
+
+    return fn
+
+
+def _cores(kind: Kind, buckets: int):
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = utf8(batch.column(1))
+            for i, j in chunks_of_docs(offsets, CHUNK_BYTES):
+                named = Named(kind, data, offsets[i : j + 1])
+                at = named.cores()
+                if not len(at):
+                    continue
+                doc, u = named.place(at)
+                parts.append((named.name(kind.core, at), named.surroundings(at), ids[i:j][doc], u))
+                n += len(at)
+                if n >= FLUSH:
+                    yield from _flush(parts, buckets, kind.within)
+                    parts, n = [], 0
+        yield from _flush(parts, buckets, kind.within)
+
+    return fn
+
+
+def _blobs(values) -> np.ndarray:
+    return joined((np.frombuffer(x, "<u4") for x in values or ()), np.uint32).astype(np.int64)
+
+
+def _windows(kind: Kind, buckets: int):
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = utf8(batch.column(1))
+            opened = batch.column(2).to_pylist()
+            for i, j in chunks_of_docs(offsets, CHUNK_BYTES):
+                named = Named(kind, data, offsets[i : j + 1])
+                for x in range(j - i):
+                    at = _blobs(opened[i + x])
+                    lo, hi = np.maximum(at - kind.reach, 0), np.minimum(at, named.sizes[x] - kind.length)
+                    mark = np.zeros(named.sizes[x] + 1, np.int64)
+                    np.add.at(mark, lo, 1)
+                    np.add.at(mark, hi + 1, -1)
+                    s = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+                    w = named.name(kind.length, s + named.first[x])
+                    parts.append((w, np.zeros(len(w), np.uint64), np.full(len(w), ids[i + x], np.int64), s))
+                    n += len(w)
+                if n >= FLUSH:
+                    yield from _flush(parts, buckets, kind.within)
+                    parts, n = [], 0
+        yield from _flush(parts, buckets, kind.within)
+
+    return fn
+
+
+def removed_mask(kind: Kind, size: int, done, windows) -> np.ndarray:
+    """Units covered by a window that occurs earlier."""
+    mark = np.zeros(size + 1, np.int64)
+    at = _blobs(done)
+    np.add.at(mark, np.maximum(at - kind.reach, 0), 1)
+    np.add.at(mark, np.minimum(at + kind.length, size), -1)
+    at = _blobs(windows)
+    np.add.at(mark, at, 1)
+    np.add.at(mark, at + kind.length, -1)
+    return np.cumsum(mark)[:-1] > 0
+
+
+def repeats(docs: DataFrame, kind: Kind, per_byte: float) -> DataFrame:
+    """(_rid, done array<binary>, windows array<binary>) of the documents that lose units.
+
+    docs: (_rid, text). done holds cores, windows window starts, as packed <u4.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = bucket_count(spark, size * per_byte)
+    first = map_arrow(docs.select(RID, "text"), _cores(kind, buckets), MAPPED).groupBy("bucket").applyInArrow(_reduce(kind.within), FOUND)
+    first = settle(first, "cores")
+    opened = first.filter(F.col("open").isNotNull()).groupBy(RID).agg(F.collect_list("open").alias("open"))
+    second = map_arrow(docs.select(RID, "text").join(opened, RID).select(RID, "text", "open"), _windows(kind, buckets), MAPPED).groupBy("bucket").applyInArrow(_reduce(kind.within), FOUND)
+    parts = first.select(RID, "done", F.lit(None).cast("binary").alias("win")).unionByName(second.select(RID, F.lit(None).cast("binary").alias("done"), F.col("done").alias("win")))
+    return parts.filter("done is not null or win is not null").groupBy(RID).agg(F.collect_list("done").alias("done"), F.collect_list("win").alias("windows"))
