@@ -44,7 +44,8 @@ def item_signatures(items: DataFrame, k: int = SHINGLE, containment: float = CON
     document that holds the share `containment` of the n lacks fewer than
     the signature has, so it holds one of them. No item can be missed.
     """
-    own = items.select(F.col("item_id").cast("long").alias("item_id"), F.array_distinct(shingle_texts(words(F.col("text").cast("string")), k)).alias("shingles")).filter("size(shingles) > 0")
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("_w"))
+    own = own.select("item_id", F.array_distinct(shingle_texts(F.col("_w"), k)).alias("shingles")).filter("size(shingles) > 0")
     need = lambda n: F.ceil(F.round(n * containment, 6))
     own = own.withColumn("n", F.size("shingles")).withColumn("need", need(F.col("n")).cast("int"))
     own = own.withColumn("u", F.pow(F.lit(2.0), F.ceil(F.round(F.log2("n"), 9))))
@@ -68,18 +69,12 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, containment: floa
     share an id, or have none: see with_row_ids(). Other columns are ignored;
     an empty table gives an empty result.
     """
-    own = with_row_ids(docs)
-    tests, signatures = item_signatures(items.withColumn("item_id", F.col("item_id")), k, containment)
-    tests = tests.withColumn("_item", F.xxhash64("item_id", "shingles"))
-    signatures = signatures.join(tests.select("item_id"), "item_id", "left_semi")
-    seen = own.select(RID, F.explode(shingle_names(words(F.col("text")), k)).alias("h"))
+    own = with_row_ids(docs).select(RID, "doc_id", words(F.col("text")).alias("_w"))
+    tests, signatures = item_signatures(items, k, containment)
+    seen = own.select(RID, F.explode(shingle_names(F.col("_w"), k)).alias("h"))
     candidates = settle(seen.join(small(signatures, 48), "h").select(RID, "item_id").distinct(), "candidates")
-    with_tests = candidates.join(small(tests.drop("_item"), 4096), "item_id")
-    wanted = with_tests.groupBy(RID).agg(F.collect_list(F.struct("item_id", "n", "need", "shingles")).alias("items"))
-    met = own.join(wanted, RID).select(RID, "doc_id", "items", shingle_texts(words(F.col("text")), k).alias("_has"))
-    pairs = met.select(
-        RID,
-        "doc_id",
-        F.explode(F.transform("items", lambda t: F.struct(t["item_id"].alias("item_id"), t["n"].alias("n_shingles"), t["need"].alias("need"), F.size(F.array_intersect(t["shingles"], F.col("_has"))).alias("n_shared")))).alias("p"),
-    )
-    return pairs.filter("p.n_shared >= p.need").select(RID, "doc_id", "p.item_id", F.col("p.n_shingles").cast("long").alias("n_shingles"), F.col("p.n_shared").cast("long").alias("n_shared"))
+    wanted = candidates.groupBy(RID).agg(F.collect_list("item_id").alias("items"))
+    met = own.join(wanted, RID).select(RID, "doc_id", "items", shingle_texts(F.col("_w"), k).alias("_has"))
+    pairs = met.select(RID, "doc_id", "_has", F.explode("items").alias("item_id")).join(small(tests, 4096), "item_id")
+    pairs = pairs.withColumn("n_shared", F.size(F.array_intersect("shingles", "_has"))).filter("n_shared >= need")
+    return pairs.select(RID, "doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"), F.col("n_shared").cast("long").alias("n_shared"))
