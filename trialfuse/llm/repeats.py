@@ -36,6 +36,7 @@ from .common import (
     mix2,
     pack,
     pack_sorted,
+    release,
     settle,
     unpack,
     unpack_sorted,
@@ -49,7 +50,8 @@ _FLAG = np.uint32(1 << 31)
 _C_MASK = np.uint64((1 << 40) - 1)
 _K_BITS = 54
 MAPPED = "bucket int, k binary, c binary, d binary, p binary, done_d binary, done_p binary, open_d binary, open_p binary"
-FOUND = f"{RID} long, done binary, open binary"
+FOUND = "bucket int, done_d binary, done_p binary, open_d binary, open_p binary"
+PLACES = f"{RID} long, done binary, open binary"
 
 
 @dataclass(frozen=True)
@@ -192,7 +194,7 @@ def _flush(parts: list[tuple], buckets: int, within: bool) -> Iterator[pa.Record
     flag = np.zeros(len(k), bool)
     done, opened, keep, shared = resolve(k, c, d, p, flag, within)
     flag[shared] = True
-    of = lambda names: ((names * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+    of = lambda names: _bucket_of(names, buckets)
     empty = np.zeros(0, np.int64)
     rows: dict[int, list] = {}
     b = of(k[keep])
@@ -221,25 +223,41 @@ def _unpack_c(b: bytes) -> np.ndarray:
     return c.view(np.uint64).ravel()
 
 
-def _reduce(within: bool) -> Callable[[pa.Table], pa.Table]:
+def _bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
+    return ((names * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _reduce(within: bool, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def fn(t: pa.Table) -> pa.Table:
         get = lambda name, f: [f(x) for x in t.column(name).to_pylist() if x is not None]
         k, c, d, p = joined(get("k", unpack_sorted), np.uint64), joined(get("c", _unpack_c), np.uint64), joined(get("d", unpack), np.int64), joined(get("p", unpack), np.uint32)
         flag = (p & _FLAG) != 0
         p = (p & ~_FLAG).astype(np.int64)
         done, opened, _, _ = resolve(k, c, d, p, flag, within)
-        rows: dict[int, list] = {}
-        for i, (at, name) in enumerate(((done, "done"), (opened, "open"))):
-            dd = np.concatenate([d[at], *get(f"{name}_d", unpack)])
-            pp = np.concatenate([p[at], *(x.astype(np.int64) for x in get(f"{name}_p", unpack))])
-            for doc, x in by_group(dd, pp):
-                rows.setdefault(int(doc), [None, None])[i] = np.unique(x).astype("<u4").tobytes()
-        ids = list(rows)
-        return pa.table([pa.array(ids, pa.int64()), pa.array([rows[i][0] for i in ids], pa.binary()), pa.array([rows[i][1] for i in ids], pa.binary())], names=[RID, "done", "open"])
+        docs, places = [], []
+        for at, name in ((done, "done"), (opened, "open")):
+            docs.append(np.concatenate([d[at], *get(f"{name}_d", unpack)]))
+            places.append(np.concatenate([p[at], *(x.astype(np.int64) for x in get(f"{name}_p", unpack))]))
+        out: dict[int, list] = {}
+        for i in (0, 1):
+            for to, dd, pp in by_group(_bucket_of(docs[i].astype(np.uint64), buckets), docs[i], places[i]):
+                out.setdefault(int(to), [None] * 4)[2 * i : 2 * i + 2] = [pack(dd), pack(pp.astype(np.uint32))]
+        return pa.table([pa.array(list(out), pa.int32()), *(pa.array([v[i] for v in out.values()], pa.binary()) for i in range(4))], names=["bucket", "done_d", "done_p", "open_d", "open_p"])
 
     return fn
 
 
+def _by_document(t: pa.Table) -> pa.Table:
+    """What was found for each document, in one row."""
+    rows: dict[int, list] = {}
+    for i, name in enumerate(("done", "open")):
+        get = lambda c: [unpack(x) for x in t.column(c).to_pylist() if x is not None]
+        for doc, x in by_group(joined(get(f"{name}_d"), np.int64), joined(get(f"{name}_p"), np.uint32)):
+            rows.setdefault(int(doc), [None, None])[i] = np.unique(x).astype("<u4").tobytes()
+    ids = list(rows)
+    return pa.table([pa.array(ids, pa.int64()), pa.array([rows[i][0] for i in ids], pa.binary()), pa.array([rows[i][1] for i in ids], pa.binary())], names=[RID, "done", "open"])
+
+
 def _cores(kind: Kind, buckets: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
@@ -262,8 +280,8 @@ def _cores(kind: Kind, buckets: int):
     return fn
 
 
-def _blobs(values) -> np.ndarray:
-    return joined((np.frombuffer(x, "<u4") for x in values or ()), np.uint32).astype(np.int64)
+def _places(blob: bytes | None) -> np.ndarray:
+    return np.frombuffer(blob or b"", "<u4").astype(np.int64)
 
 
 def _windows(kind: Kind, buckets: int):
@@ -276,7 +294,7 @@ def _windows(kind: Kind, buckets: int):
             for i, j in chunks_of_docs(offsets, CHUNK_BYTES):
                 named = Named(kind, data, offsets[i : j + 1])
                 for x in range(j - i):
-                    at = _blobs(opened[i + x])
+                    at = _places(opened[i + x])
                     lo, hi = np.maximum(at - kind.reach, 0), np.minimum(at, named.sizes[x] - kind.length)
                     mark = np.zeros(named.sizes[x] + 1, np.int64)
                     np.add.at(mark, lo, 1)
@@ -296,26 +314,32 @@ def _windows(kind: Kind, buckets: int):
 def removed_mask(kind: Kind, size: int, done, windows) -> np.ndarray:
     """Units covered by a window that occurs earlier."""
     mark = np.zeros(size + 1, np.int64)
-    at = _blobs(done)
+    at = _places(done)
     np.add.at(mark, np.maximum(at - kind.reach, 0), 1)
     np.add.at(mark, np.minimum(at + kind.length, size), -1)
-    at = _blobs(windows)
+    at = _places(windows)
     np.add.at(mark, at, 1)
     np.add.at(mark, at + kind.length, -1)
     return np.cumsum(mark)[:-1] > 0
 
 
 def repeats(docs: DataFrame, kind: Kind, per_byte: float) -> DataFrame:
-    """(_rid, done array<binary>, windows array<binary>) of the documents that lose units.
+    """(_rid, done binary, windows binary) of the documents that lose units.
 
     docs: (_rid, text). done holds cores, windows window starts, as packed <u4.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = bucket_count(spark, size * per_byte)
-    first = map_arrow(docs.select(RID, "text"), _cores(kind, buckets), MAPPED).groupBy("bucket").applyInArrow(_reduce(kind.within), FOUND)
+    reduce = _reduce(kind.within, buckets)
+    first = map_arrow(docs.select(RID, "text"), _cores(kind, buckets), MAPPED).groupBy("bucket").applyInArrow(reduce, FOUND)
     first = settle(first, "cores")
-    opened = first.filter(F.col("open").isNotNull()).groupBy(RID).agg(F.collect_list("open").alias("open"))
-    second = map_arrow(docs.select(RID, "text").join(opened, RID).select(RID, "text", "open"), _windows(kind, buckets), MAPPED).groupBy("bucket").applyInArrow(_reduce(kind.within), FOUND)
-    parts = first.select(RID, "done", F.lit(None).cast("binary").alias("win")).unionByName(second.select(RID, F.lit(None).cast("binary").alias("done"), F.col("done").alias("win")))
-    return parts.filter("done is not null or win is not null").groupBy(RID).agg(F.collect_list("done").alias("done"), F.collect_list("win").alias("windows"))
+    release(spark)
+    opened = first.filter("open_d is not null").select("bucket", F.lit(None).cast("binary").alias("done_d"), F.lit(None).cast("binary").alias("done_p"), "open_d", "open_p")
+    opened = opened.groupBy("bucket").applyInArrow(_by_document, PLACES).select(RID, "open")
+    second = map_arrow(docs.select(RID, "text").join(opened, RID).select(RID, "text", "open"), _windows(kind, buckets), MAPPED).groupBy("bucket").applyInArrow(reduce, FOUND)
+    second = settle(second.filter("done_d is not null").select("bucket", "done_d", "done_p"), "found")
+    release(spark)
+    done = first.filter("done_d is not null").select("bucket", "done_d", "done_p", F.lit(None).cast("binary").alias("open_d"), F.lit(None).cast("binary").alias("open_p"))
+    both = done.unionByName(second.select("bucket", F.lit(None).cast("binary").alias("done_d"), F.lit(None).cast("binary").alias("done_p"), F.col("done_d").alias("open_d"), F.col("done_p").alias("open_p")))
+    return both.groupBy("bucket").applyInArrow(_by_document, PLACES).withColumnRenamed("open", "windows")
