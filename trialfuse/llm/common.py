@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 RID = "_rid"
 ARROW_ROWS = 1000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 
 
@@ -33,19 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The plan runs this once, so Spark drops its shuffle files when the write is done.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are settled and no longer held."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def arrow_batches(spark: SparkSession) -> None:
     """Small Arrow batches: a batch of very long texts still fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

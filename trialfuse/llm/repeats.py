@@ -36,7 +36,6 @@ from .common import (
     mix2,
     pack,
     pack_sorted,
-    release,
     settle,
     unpack,
     unpack_sorted,
@@ -334,12 +333,10 @@ def repeats(docs: DataFrame, kind: Kind, per_byte: float) -> DataFrame:
     reduce = _reduce(kind.within, buckets)
     first = map_arrow(docs.select(RID, "text"), _cores(kind, buckets), MAPPED).groupBy("bucket").applyInArrow(reduce, FOUND)
     first = settle(first, "cores")
-    release(spark)
     opened = first.filter("open_d is not null").select("bucket", F.lit(None).cast("binary").alias("done_d"), F.lit(None).cast("binary").alias("done_p"), "open_d", "open_p")
     opened = opened.groupBy("bucket").applyInArrow(_by_document, PLACES).select(RID, "open")
     second = map_arrow(docs.select(RID, "text").join(opened, RID).select(RID, "text", "open"), _windows(kind, buckets), MAPPED).groupBy("bucket").applyInArrow(reduce, FOUND)
     second = settle(second.filter("done_d is not null").select("bucket", "done_d", "done_p"), "found")
-    release(spark)
     done = first.filter("done_d is not null").select("bucket", "done_d", "done_p", F.lit(None).cast("binary").alias("open_d"), F.lit(None).cast("binary").alias("open_p"))
     both = done.unionByName(second.select("bucket", F.lit(None).cast("binary").alias("done_d"), F.lit(None).cast("binary").alias("done_p"), F.col("done_d").alias("open_d"), F.col("done_p").alias("open_p")))
     return both.groupBy("bucket").applyInArrow(_by_document, PLACES).withColumnRenamed("open", "windows")
