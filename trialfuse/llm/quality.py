@@ -14,8 +14,9 @@ from .common import BYTE_NAMES, RID, SPACES, chunks_of_docs, map_arrow, settle,
 #: Rows that the scorer is fitted on at most, and its hashed features.
 SAMPLE_ROWS = 6000
 FEATURE_BITS = 18
+FAMILIES = 3
 CHUNK = 1 << 20
-LABELLERS = ("capitals", "symbols", "ragged_ends", "word_length", "variety", "line_repeats", "bars", "digits")
+LABELLERS = ("capitals", "symbols", "ragged_ends", "word_length", "variety", "line_repeats", "bars", "digits", "stutter")
 
 _UPPER = np.zeros(256, np.int64)
 _UPPER[65:91] = 1
@@ -58,6 +59,10 @@ class Chunk:
         self.doc = np.searchsorted(self.first, self.start, side="right") - 1
         self.words = np.bincount(self.doc, minlength=n)[:n] if n else np.zeros(0, np.int64)
 
+    def again(self) -> np.ndarray:
+        """Whether a word is the one before it."""
+        return np.r_[False, (self.names[1:] == self.names[:-1]) & (self.doc[1:] == self.doc[:-1])][: len(self.doc)]
+
     def votes(self) -> np.ndarray:
         """(documents, labellers): 1 for good text, -1 for junk, 0 for no opinion."""
         n, words = self.n, np.maximum(self.words, 1)
@@ -79,31 +84,36 @@ class Chunk:
         distinct = np.bincount(kinds[:, 0].astype(np.int64), minlength=n)[:n] / np.maximum(lines, 1)
         share = upper / np.maximum(letters, 1)
 
+        no = np.zeros(n, bool)  # the labeller knows junk only
+
         def vote(value, good, bad, know=True):
             return np.where(bad, -1, np.where(good, 1, 0)) * know
 
         some = self.words >= 5
+        stutter = np.bincount(self.doc[self.again()], minlength=n)[:n] / words
         return np.stack(
             [
-                vote(share, share < 0.15, share > 0.5, letters >= 10),
-                vote(symbols, symbols / size < 0.02, symbols / size > 0.06, size >= 20),
-                vote(ends, ends < 0.05, ends > 0.3, some),
+                vote(share, no, share > 0.5, letters >= 10),
+                vote(symbols, no, symbols / size > 0.06, size >= 20),
+                vote(ends, no, ends > 0.3, some),
                 vote(length, (length >= 3) & (length <= 9), (length < 2) | (length > 14), some),
                 vote(variety, variety > 5, variety < 3, self.words >= 60),
                 vote(distinct, distinct > 0.9, distinct < 0.6, lines >= 4),
-                vote(bars, bars == 0, bars / words > 0.2, some),
-                vote(digits, digits / size < 0.05, digits / size > 0.3, size >= 20),
+                vote(bars, no, bars / words > 0.2, some),
+                vote(digits, no, digits / size > 0.4, size >= 20),
+                vote(stutter, no, stutter > 0.3, some),
             ],
             axis=1,
         ).astype(np.int8)
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """(document, feature): a word's shape, and the shape with its first bytes."""
+        """(document, feature): a word's shape, the shape with its first bytes, and whether the word is repeated at once."""
         shape, _, _ = word_names(self.data, _SHAPES)
         head = self.data[self.start].astype(np.uint64) | self.data[np.minimum(self.start + 1, len(self.data) - 1)].astype(np.uint64) << np.uint64(8)
         both = (shape ^ (head * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
         bits = np.uint64(64 - FEATURE_BITS)
-        return np.concatenate([self.doc, self.doc]), np.concatenate([shape >> bits, both >> bits]).astype(np.int64)
+        same = np.where(self.again(), BYTE_NAMES[1], BYTE_NAMES[2])
+        return np.concatenate([self.doc] * FAMILIES), np.concatenate([shape >> bits, both >> bits, same >> bits]).astype(np.int64)
 
 
 def label_votes(docs: DataFrame) -> DataFrame:
@@ -136,7 +146,7 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 200) -> tuple[np.ndarr
     m = v.shape[1]
     one = np.eye(3)[v]
     rates = np.empty((2, m, 3))
-    rates[0], rates[1] = (0.5, 0.3, 0.2), (0.05, 0.25, 0.7)
+    rates[0], rates[1] = (0.4, 0.4, 0.2), (0.02, 0.38, 0.6)
     prior = 0.8
     post = np.full(len(names), prior)
     for _ in range(rounds):
@@ -175,7 +185,7 @@ def _shares(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc, f = chunk.features()
     key, n = np.unique(doc.astype(np.int64) << FEATURE_BITS | f, return_counts=True)
     doc = key >> FEATURE_BITS
-    return doc, key & ((1 << FEATURE_BITS) - 1), n / np.maximum(2 * chunk.words[doc], 1)
+    return doc, key & ((1 << FEATURE_BITS) - 1), n / np.maximum(FAMILIES * chunk.words[doc], 1)
 
 
 def classify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
@@ -230,7 +240,7 @@ def classify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float =
             for i, j in chunks_of_docs(offsets, CHUNK):
                 c = Chunk(data, offsets[i : j + 1])
                 doc, f = c.features()
-                z = np.bincount(doc, weights[f], c.n)[: c.n] / np.maximum(2 * c.words, 1) + b0
+                z = np.bincount(doc, weights[f], c.n)[: c.n] / np.maximum(FAMILIES * c.words, 1) + b0
                 out[i:j] = np.where(c.words > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=[RID, "score"])
 

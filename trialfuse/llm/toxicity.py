@@ -16,7 +16,7 @@ from .common import map_arrow, settle, with_row_ids
 #: Labelled rows that are learned from at most: those of the smallest hashed ids.
 SAMPLE_ROWS = 40_000
 STEMS = range(4, 10)
-LEAST_SHARE, LEAST_DOCS, PRECISION = 0.004, 3, 0.9
+LEAST_SHARE, LEAST_DOCS, PRECISION = 0.02, 5, 0.95
 THRESHOLD = 0.3
 #: Spans of these are never counted, besides the exceptions that are learned.
 EXCEPTIONS = ("trash can", "trash bin", "white trash bag", "clown fish", "circus clown", "class clown")
@@ -93,8 +93,11 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     least = max(LEAST_DOCS, LEAST_SHARE * p)
     found = counts.filter((F.col("term") != "") & (F.col("pos") >= least) & (rate >= PRECISION)).collect()
     weight = {r.term: math.log((r.pos + 0.5) / (p + 1)) - math.log((r.neg + 0.5) / (n + 1)) for r in found}
-    # a stem covers the longer ones
-    return {t: w for t, w in weight.items() if not any(t[:k] in weight for k in STEMS if k < len(t))}
+    # a stem covers the longer ones; it is made longer where that costs hardly any document
+    seen = {r.term: r.pos for r in found}
+    short = [t for t in weight if not any(t[:k] in weight for k in STEMS if k < len(t))]
+    whole = {t: max((x for x in weight if x.startswith(t) and seen[x] >= 0.95 * seen[t]), key=lambda x: (len(x), seen[x], x)) for t in short}
+    return {x: weight[x] for x in whole.values()}
 
 
 class Matcher:
