@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RID = "_rid"
 ARROW_ROWS = 1000
@@ -53,21 +54,18 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def with_row_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_rid, id_col, text_col): _rid is the id where ids are unique and not null.
+def with_row_ids(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text, carry..., _rid): _rid is the id where ids are unique and not null.
 
     Otherwise rows that share an id, or have none, count as documents of their
-    own, ordered by (id, nulls first; text), and _rid is the place in that order.
+    own, ordered by (id, nulls first; text; what is carried), and _rid is the place in that order.
     """
-    own = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    seen = own.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col(id_col).isNull() | (F.col("n") > 1))
+    own = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    seen = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("doc_id").isNull() | (F.col("n") > 1))
     if seen.isEmpty():
-        return own.withColumn(RID, F.col(id_col))
-    placed = own.sort(F.asc_nulls_first(id_col), F.asc_nulls_first(text_col)).rdd.zipWithIndex()
-    spark = df.sparkSession
-    return spark.createDataFrame(
-        placed.map(lambda x: (x[0][0], x[0][1], x[1])), f"{id_col} long, {text_col} string, {RID} long"
-    )
+        return own.withColumn(RID, F.col("doc_id"))
+    placed = own.sort(*[F.asc_nulls_first(c) for c in own.columns]).rdd.zipWithIndex()
+    return df.sparkSession.createDataFrame(placed.map(lambda x: (*x[0], x[1])), T.StructType([*own.schema.fields, T.StructField(RID, T.LongType())]))
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:

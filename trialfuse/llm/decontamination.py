@@ -69,7 +69,12 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, containment: floa
     share an id, or have none: see with_row_ids(). Other columns are ignored;
     an empty table gives an empty result.
     """
-    own = with_row_ids(docs).select(RID, "doc_id", words(F.col("text")).alias("_w"))
+    return leaks_of(with_row_ids(docs), items, k, containment)
+
+
+def leaks_of(own: DataFrame, items: DataFrame, k: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
+    """The same of rows from with_row_ids()."""
+    own = own.select(RID, "doc_id", words(F.col("text")).alias("_w"))
     tests, signatures = item_signatures(items, k, containment)
     seen = own.select(RID, F.explode(shingle_names(F.col("_w"), k)).alias("h"))
     candidates = settle(seen.join(small(signatures, 48), "h").select(RID, "item_id").distinct(), "candidates")

@@ -24,7 +24,12 @@ def repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     than `lines` lines: kept whole. Rows that share an id, or have none: see
     with_row_ids(). Other columns are ignored; an empty table gives an empty result.
     """
-    own = with_row_ids(docs)
+    return lines_of(with_row_ids(docs), lines)
+
+
+def lines_of(own: DataFrame, lines: int = LINES) -> DataFrame:
+    """The same of rows from with_row_ids(); other columns are kept."""
+    rest = [c for c in own.columns if c not in ("doc_id", "text", RID)]
     split = own.select(RID, F.split("text", "\n", -1).alias("l")).filter(F.size("l") >= lines)
     hashed = split.select(RID, F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", lambda x: F.hash(x)).alias("g"))
     windows = hashed.select(
@@ -41,16 +46,15 @@ def repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     later = windows.join(first, ["a", "b"]).filter((F.col(RID) != F.col(f"first.{RID}")) | (F.col("at") != F.col("first.at")))
     cut = later.groupBy(RID).agg(F.collect_list("at").alias("at"))
     gone = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x, x + (lines - 1)))))
-    cut = cut.select(RID, F.sort_array(gone).alias("gone"))
-    joined = own.join(cut, RID, "left").withColumn("l", F.split("text", "\n", -1))
-    mark = F.map_from_arrays("gone", F.transform("gone", lambda x: F.lit(True)))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(F.transform("l", lambda x, i: F.struct(x.alias("x"), F.col("m")[i].alias("out"))), lambda y: y["out"].isNull()).x, "\n")
-    )
-    return joined.withColumn("m", F.when(F.col("gone").isNotNull(), mark)).select(
+    cut = cut.select(RID, gone.alias("_gone"))
+    joined = own.join(cut, RID, "left").withColumn("_l", F.split("text", "\n", -1))
+    places = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("_gone"))
+    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, lambda i: F.get("_l", i)), "\n"))
+    return joined.select(
         "doc_id",
-        F.when(F.col("l").isNull(), 0).otherwise(F.size("l")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("_l").isNull(), 0).otherwise(F.size("_l")).cast("long").alias("n_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
         kept.alias("kept_text"),
         RID,
+        *rest,
     )

@@ -202,12 +202,16 @@ def classify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float =
     score. Rows that share an id, or have none: each by itself.
     Other columns are ignored; an empty table gives an empty result.
     """
-    own = with_row_ids(docs)
+    return classify_rows(with_row_ids(docs), sample_rows, threshold)
+
+
+def classify_rows(own: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
+    """The same of rows from with_row_ids()."""
     votes = settle(label_votes(own), "votes")
     patterns = {r.pattern: r.n for r in votes.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     _, _, posterior = fit_labellers(patterns)
     total = sum(patterns.values())
-    spark = docs.sparkSession
+    spark = own.sparkSession
     table = spark.createDataFrame([(p, float(x)) for p, x in posterior.items()], "pattern string, posterior double")
     part = min(1.0, sample_rows / max(total, 1))
     chosen = (F.xxhash64(RID).bitwiseAND(F.lit((1 << 30) - 1)) < int(part * (1 << 30))) if part < 1 else F.lit(True)

@@ -194,7 +194,11 @@ def simhash_groups(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) ->
     id, or have none: see with_row_ids(). Other columns are ignored; an empty
     table gives an empty result.
     """
-    own = with_row_ids(docs)
+    return groups_of(with_row_ids(docs), bits, shingle)
+
+
+def groups_of(own: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
+    """The same of rows from with_row_ids()."""
     prints = settle(fingerprints(own, shingle), "prints")
     classes = settle(prints.groupBy("fp").agg(F.min(RID).alias("rep"), F.min("doc_id").alias("class_id")), "classes")
     found = components(near_links(classes, bits)).withColumnRenamed("node", "rep")
