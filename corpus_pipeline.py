@@ -6,40 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialfuse.llm import decontamination, lines, quality, sentencepiece_codec, simhash
-from trialfuse.llm.common import settle
+from trialfuse.llm.common import RID, settle, with_row_ids
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS)
+REST = COLUMNS[2:]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps. A row whose id is null or shared goes if any row of that id does."""
-    rejected = quality.classify(docs).filter("not keep").select("doc_id").distinct()
-    return _columns(docs).join(rejected.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Documents that the quality classifier keeps."""
+    own = with_row_ids(docs, REST)
+    kept = quality.classify_rows(own).filter("keep").select(RID)
+    return own.join(kept, RID, "left_semi").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeats of three lines; n_chars is counted anew."""
-    kept = lines.repeated_lines(docs).select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text"))
-    rest = docs.select("doc_id", "lang", "source")
-    out = rest.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.select("doc_id", F.col("_text").alias("text"), "lang", "source", F.length("_text").cast("long").alias("n_chars"))
+    out = lines.lines_of(with_row_ids(docs, REST[:2]))
+    return out.select("doc_id", F.col("kept_text").alias("text"), *REST[:2], F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
-    gone = simhash.simhash_groups(docs).filter("not is_first").select(F.col("doc_id").alias("_id"))
-    return _columns(docs).join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    own = with_row_ids(docs, REST)
+    kept = simhash.groups_of(own).filter("is_first").select(RID)
+    return own.join(kept, RID, "left_semi").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.select(F.col("doc_id").alias("_id")).distinct()
-    return _columns(docs).join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    own = with_row_ids(docs, REST)
+    gone = decontamination.leaks_of(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(RID).distinct()
+    return own.join(gone, RID, "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
