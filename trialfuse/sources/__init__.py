@@ -1 +1 @@
-
+"""Readers, writers and the discovery of raw files."""
