@@ -81,16 +81,14 @@ def aoi_table(aoi: DataFrame) -> DataFrame:
     return aoi.withColumns(geometry.bounding_box(F.col("points"))).withColumn("edge", geometry.edges(F.col("points")))
 
 
-def hits(gaze: DataFrame, aoi: DataFrame) -> DataFrame:
-    """Samples with the polygons that hold them: bounding boxes in the join, then the exact test."""
+def hits(gaze: DataFrame, aoi: DataFrame, how: str = "inner") -> DataFrame:
+    """Samples with the polygons that hold them: bounding boxes first, then the exact test. how='left' keeps samples outside all."""
     table = small(aoi_table(aoi), BROADCAST_POLYGONS)
-    near = geometry.in_box(F.col("x"), F.col("y"), F.col("min_x"), F.col("max_x"), F.col("min_y"), F.col("max_y"))
+    on = geometry.in_box(F.col("x"), F.col("y"), F.col("min_x"), F.col("max_x"), F.col("min_y"), F.col("max_y"))
+    on = on & geometry.in_polygon(F.col("x"), F.col("y"), F.col("edge"))
     if "aoi_set" in aoi.columns and "aoi_set" in gaze.columns:
-        joined = gaze.join(table.withColumnRenamed("aoi_set", "_set"), (F.col("aoi_set") == F.col("_set")) & near).drop("_set")
-    else:
-        joined = gaze.join(table, near)
-    exact = joined.filter(geometry.in_polygon(F.col("x"), F.col("y"), F.col("edge")))
-    return exact.drop("points", "edge", "min_x", "max_x", "min_y", "max_y")
+        table, on = table.withColumnRenamed("aoi_set", "_set"), (F.col("aoi_set") == F.col("_set")) & on
+    return gaze.join(table, on, how).drop("_set", "points", "edge", "min_x", "max_x", "min_y", "max_y")
 
 
 def pupil_mean(columns: Sequence[str]) -> Column:
@@ -114,32 +112,35 @@ def aoi_metrics(gaze: DataFrame, aoi: DataFrame, keys: Sequence[str] = KEYS, lev
     """One row for each trial and AOI (class or polygon), also without samples.
 
     gaze: valid samples with `baseline` (see segments()); a class is the union
-    of its polygons. Fixation metrics come from one aggregate over (trial, AOI, fixation).
+    of its polygons. All metrics come from one aggregate over (trial, AOI,
+    fixation), which is dealt out by trial once; what follows needs no other exchange.
     """
     unit = ["class_name"] if level == "class" else ["class_name", "polygon_id"]
     by = list(keys)
-    gaze = gaze.withColumn("_pupil", pupil_mean(gaze.columns))
+    samples_of = gaze.withColumn("_pupil", pupil_mean(gaze.columns))
     keep = [*by, "seq", "t_ms", clock, "baseline", "fix_id", "fix_dur", "_pupil"]
-    hit = hits(gaze, aoi).select(*dict.fromkeys(keep), *unit)
+    hit = hits(samples_of, aoi, "left").select(*dict.fromkeys(keep), *unit)
     if level == "class":
         hit = hit.dropDuplicates([*by, "seq", "class_name"])
 
     since = F.col(clock) - F.col("baseline")
     first = F.when(F.col("t_ms").isNotNull(), F.struct("t_ms", "seq"))
-    # (trial, AOI, fixation); rows without a fixation are one group that only counts samples
+    # rows without a fixation are one group that only counts samples; rows outside all AOIs have a null class
     fix = hit.groupBy(*by, *unit, "fix_id").agg(
         F.min("t_ms").alias("first_ts"),
+        F.max("t_ms").alias("last_ts"),
         F.max("fix_dur").alias("dur"),
         F.sum("fix_dur").alias("rows_dur"),
         F.count(F.lit(1)).alias("n"),
         F.min_by(F.struct(since.alias("s")), first).alias("head"),
         F.min(first).alias("at"),
+        F.max(first).alias("to"),
         F.sum("_pupil").alias("p_sum"),
         F.count("_pupil").alias("p_n"),
-    )
+    ).repartition(*by)
     real = F.col("fix_id").isNotNull()
     dwell = F.sum(F.when(real, F.col("dur"))) if dwell_mode == "fixation" else F.sum("rows_dur")
-    metric = fix.groupBy(*by, *unit).agg(
+    metric = fix.filter("class_name is not null").groupBy(*by, *unit).agg(
         F.sum("n").alias("samples"),
         F.count("fix_id").alias("FC"),
         dwell.alias("TFD"),
@@ -149,19 +150,21 @@ def aoi_metrics(gaze: DataFrame, aoi: DataFrame, keys: Sequence[str] = KEYS, lev
         ratio(F.sum("p_sum"), F.sum("p_n")).alias("MPD"),
     )
 
-    trial_fix = gaze.filter("fix_id is not null").groupBy(*by, "fix_id").agg(F.min("t_ms").alias("first_ts"), F.max("fix_dur").alias("dur"))
-    totals = gaze.groupBy(*by).agg(
-        F.when(F.count("t_ms") > 1, (F.max("t_ms") - F.min("t_ms")) / 1000.0).alias("duration_s"), F.sum("fix_dur").alias("rows_dur")
-    )
-    fix_totals = trial_fix.groupBy(*by).agg(F.sum("dur").alias("fix_dur"), F.count(F.lit(1)).alias("total_FC"))
-    totals = totals.alias("a").join(fix_totals.alias("b"), _on(by, "a", "b"), "left").select(
-        *[F.col(f"a.{k}") for k in by], "duration_s", F.col("b.fix_dur" if dwell_mode == "fixation" else "a.rows_dur").alias("total_TFD"), F.coalesce("total_FC", F.lit(0)).alias("total_FC")
+    trial_fix = fix.groupBy(*by, "fix_id").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.max("dur").alias("dur"), F.min("at").alias("at"), F.max("to").alias("to"))
+    totals = trial_fix.groupBy(*by).agg(
+        F.when(F.min("at") < F.max("to"), (F.max("last_ts") - F.min("first_ts")) / 1000.0).alias("duration_s"),
+        F.sum(F.when(real, F.col("dur"))).alias("total_TFD"),
+        F.count("fix_id").alias("total_FC"),
     )
+    if dwell_mode == "row":
+        rows = gaze.groupBy(*by).agg(F.sum("fix_dur").alias("rows_dur"))
+        totals = totals.drop("total_TFD").alias("a").join(rows.alias("b"), _on(by, "a", "b")).select(*[F.col(f"a.{k}") for k in by], "duration_s", "total_FC", F.col("rows_dur").alias("total_TFD"))
+    trial_fix = trial_fix.filter(real).select(*by, "fix_id", "first_ts")
 
     names = aoi.select(*(["aoi_set"] if "aoi_set" in aoi.columns and "aoi_set" in by else []), *unit).distinct()
     base = totals.join(small(names, BROADCAST_POLYGONS), "aoi_set") if "aoi_set" in names.columns else totals.join(small(names, BROADCAST_POLYGONS))
 
-    inside = fix.filter(real).select(*by, *unit, "fix_id", F.lit(True).alias("inside"))
+    inside = fix.filter(real & F.col("class_name").isNotNull()).select(*by, *unit, "fix_id", F.lit(True).alias("inside"))
     chain = trial_fix.join(small(names, BROADCAST_POLYGONS), "aoi_set") if "aoi_set" in names.columns else trial_fix.join(small(names, BROADCAST_POLYGONS))
     chain = chain.alias("a").join(inside.alias("b"), _on([*by, *unit, "fix_id"], "a", "b"), "left").select(*[F.col(f"a.{k}") for k in (*by, *unit)], "a.fix_id", "a.first_ts", F.coalesce("inside", F.lit(False)).alias("inside"))
     order = Window.partitionBy(*by, *unit).orderBy(F.asc_nulls_last("first_ts"), "fix_id")

@@ -1 +1 @@
-
+"""Stand-in views, registered queries and their SQL."""

@@ -154,4 +154,7 @@ ORACLE_SQL: dict[str, str] = {
     "marker_segments": _with(_SEGS, select="SELECT subject_id, ev_ix, condition, latency, end_latency, scene_id, ceil(scene_id / 6)::BIGINT AS block, CASE WHEN scene_id > 0 THEN (scene_id - 1) % 6 + 1 END AS position FROM k2"),
     "view_gray_pairs": _with(_SEGS, "k3 AS (SELECT *, first_value(CASE WHEN condition = 'gray' THEN {'i': ev_ix, 's': latency, 'e': end_latency} END IGNORE NULLS) OVER (PARTITION BY subject_id, scene_id ORDER BY ev_ix ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM k2)", select="SELECT subject_id, scene_id, ev_ix AS view_ix, latency AS view_start, end_latency AS view_end, nx.i AS gray_ix, nx.s AS gray_start, nx.e AS gray_end FROM k3 WHERE condition = 'view'"),
     "signal_qc": "WITH s AS (SELECT vec_id AS segment, (i - 1) % 4 AS channel, embedding[i]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)), c AS (SELECT segment, channel, count(*) AS n, sqrt(avg(v * v)) AS rms, max(v) - min(v) AS ptp, stddev_samp(v) AS sd FROM s GROUP BY ALL) SELECT segment, round(avg(rms), 6) AS rms_mean_uV, round(max(ptp), 6) AS peak_to_peak_uV, 0.0::DOUBLE AS nan_fraction, round(avg((coalesce(sd, 0) < 1e-6)::INT), 6) AS flat_fraction, sum(n)::BIGINT AS n_samples FROM c GROUP BY segment",
+    "stream_bins": "SELECT (epoch_us(ts) // 21600000000) * 21600000000 AS bin_start, (epoch_us(ts) // 21600000000 + 1) * 21600000000 AS bin_end, user_id AS participant_id, count(*) AS samples, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2, 3",
+    "stream_segments": "WITH s AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), q AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p >= 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS k FROM s) SELECT min(t) AS segment_start, max(t) + 21600000000 AS segment_end, user_id AS participant_id, count(*) AS samples FROM q GROUP BY user_id, k",
+    "root_summary": "WITH o AS (SELECT DISTINCT o_custkey AS id FROM orders), c AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_acctbal > 0), e AS (SELECT DISTINCT user_id AS id FROM events), u AS (SELECT id FROM o UNION SELECT id FROM c UNION SELECT id FROM e), f AS (SELECT id IN (FROM o) AS x, id IN (FROM c) AS y, id IN (FROM e) AS z FROM u), w AS (SELECT count_if(x) AS a, count_if(y) AS b, count_if(z) AS c, count_if(NOT x) AS na, count_if(NOT y) AS nb, count_if(NOT z) AS nc, count_if(x AND y AND z) AS al FROM f) SELECT unnest(['orders_ids', 'customer_ids', 'events_ids', 'missing_orders', 'missing_customer', 'missing_events', 'in_all']) AS metric, unnest([a, b, c, na, nb, nc, al])::BIGINT AS n FROM w",
 }

@@ -12,6 +12,8 @@ from ..functions import geometry
 from ..operators import clock, diagnostics, models, qc, scales, signal, trial
 from ..operators import gaze as G
 from ..operators import timebin as T
+from ..sources import discovery
+from ..streaming import gaze_stream
 from . import standins as S
 
 DAY = 86_400_000.0
@@ -434,6 +436,26 @@ def band_power(spark, sf_dir):
     return rounded(signal.band_power(S.signal(spark, sf_dir), 32.0, bands={"theta": (4, 8), "alpha": (8, 13), "beta": (13, 16)}))
 
 
+def _event_stream(spark, sf_dir):
+    return S.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("participant_id"), (F.col("event_id") % 8).alias("fix_id"), F.col("value").alias("fix_dur"))
+
+
+def stream_bins(spark, sf_dir):
+    """The streaming plan over the table as one batch."""
+    out = gaze_stream.stream_bins(_event_stream(spark, sf_dir), ["participant_id"], size="6 hours").drop("fixations")
+    return rounded(out.select(F.unix_micros("bin_start").alias("bin_start"), F.unix_micros("bin_end").alias("bin_end"), "participant_id", "samples", "mean_value"))
+
+
+def stream_segments(spark, sf_dir):
+    out = gaze_stream.stream_segments(_event_stream(spark, sf_dir), ["participant_id"], gap="6 hours")
+    return out.select(F.unix_micros("segment_start").alias("segment_start"), F.unix_micros("segment_end").alias("segment_end"), "participant_id", "samples")
+
+
+def root_summary(spark, sf_dir):
+    o, c, e = (S.table(spark, sf_dir, t) for t in ("orders", "customer", "events"))
+    return discovery.root_summary({"orders": o.withColumnRenamed("o_custkey", "participant_id"), "customer": c.filter("c_acctbal > 0").withColumnRenamed("c_custkey", "participant_id"), "events": e.withColumnRenamed("user_id", "participant_id")})
+
+
 _NOT_QUERIES = {"rounded"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in _NOT_QUERIES
