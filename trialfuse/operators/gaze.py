@@ -101,32 +101,26 @@ def pupil_mean(columns: Sequence[str]) -> Column:
     return ratio(total, sum((F.col(c).isNotNull().cast("int") for c in have), F.lit(0)))
 
 
-def _on(by: Sequence[str], left: str, right: str) -> Column:
-    cond: Column = F.lit(True)
-    for k in by:
-        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-    return cond
-
-
 def aoi_metrics(gaze: DataFrame, aoi: DataFrame, keys: Sequence[str] = KEYS, level: str = "class", dwell_mode: str = "fixation", clock: str = "t_ms") -> DataFrame:
     """One row for each trial and AOI (class or polygon), also without samples.
 
-    gaze: valid samples with `baseline` (see segments()); a class is the union
-    of its polygons. All metrics come from one aggregate over (trial, AOI,
-    fixation), which is dealt out by trial once; what follows needs no other exchange.
+    gaze: valid samples with `baseline` (see segments()); a class is the union of
+    its polygons. segments() has dealt the samples out by trial; every step here
+    groups by the trial and more, so the whole plan needs no other exchange.
     """
     unit = ["class_name"] if level == "class" else ["class_name", "polygon_id"]
     by = list(keys)
-    samples_of = gaze.withColumn("_pupil", pupil_mean(gaze.columns))
-    keep = [*by, "seq", "t_ms", clock, "baseline", "fix_id", "fix_dur", "_pupil"]
-    hit = hits(samples_of, aoi, "left").select(*dict.fromkeys(keep), *unit)
+    gaze = gaze.withColumn("_pupil", pupil_mean(gaze.columns))
+    total = F.sum("fix_dur").over(Window.partitionBy(*by)) if dwell_mode == "row" else F.lit(None).cast("double")
+    hit = hits(gaze.withColumn("_total", total), aoi, "left")
+    hit = hit.select(*dict.fromkeys([*by, "seq", "t_ms", clock, "baseline", "fix_id", "fix_dur", "_pupil", "_total"]), *unit)
     if level == "class":
         hit = hit.dropDuplicates([*by, "seq", "class_name"])
 
     since = F.col(clock) - F.col("baseline")
     first = F.when(F.col("t_ms").isNotNull(), F.struct("t_ms", "seq"))
-    # rows without a fixation are one group that only counts samples; rows outside all AOIs have a null class
-    fix = hit.groupBy(*by, *unit, "fix_id").agg(
+    # samples without a fixation are one group of the trial; samples outside all AOIs have a null class
+    cell = hit.groupBy(*by, "fix_id", *unit).agg(
         F.min("t_ms").alias("first_ts"),
         F.max("t_ms").alias("last_ts"),
         F.max("fix_dur").alias("dur"),
@@ -137,59 +131,54 @@ def aoi_metrics(gaze: DataFrame, aoi: DataFrame, keys: Sequence[str] = KEYS, lev
         F.max(first).alias("to"),
         F.sum("_pupil").alias("p_sum"),
         F.count("_pupil").alias("p_n"),
-    ).repartition(*by)
-    real = F.col("fix_id").isNotNull()
-    dwell = F.sum(F.when(real, F.col("dur"))) if dwell_mode == "fixation" else F.sum("rows_dur")
-    metric = fix.filter("class_name is not null").groupBy(*by, *unit).agg(
-        F.sum("n").alias("samples"),
-        F.count("fix_id").alias("FC"),
-        dwell.alias("TFD"),
-        F.min_by("head.s", "at").alias("TTFF"),
-        F.min_by("dur", F.when(real, F.struct(F.col("first_ts").isNull().alias("late"), F.col("first_ts").alias("ts"), F.col("fix_id").alias("id")))).alias("FFD"),
-        F.avg(F.when(real, F.col("dur"))).alias("MFD"),
-        ratio(F.sum("p_sum"), F.sum("p_n")).alias("MPD"),
+        F.max("_total").alias("_total"),
     )
-
-    trial_fix = fix.groupBy(*by, "fix_id").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.max("dur").alias("dur"), F.min("at").alias("at"), F.max("to").alias("to"))
-    totals = trial_fix.groupBy(*by).agg(
-        F.when(F.min("at") < F.max("to"), (F.max("last_ts") - F.min("first_ts")) / 1000.0).alias("duration_s"),
-        F.sum(F.when(real, F.col("dur"))).alias("total_TFD"),
-        F.count("fix_id").alias("total_FC"),
+    entry = F.struct(*unit, "first_ts", "dur", "rows_dur", "n", "head", "at", "p_sum", "p_n")
+    fixation = cell.groupBy(*by, "fix_id").agg(
+        F.min("first_ts").alias("f_first"), F.max("last_ts").alias("f_last"), F.max("dur").alias("f_dur"), F.min("at").alias("f_at"), F.max("to").alias("f_to"), F.max("_total").alias("_total"),
+        F.collect_list(F.when(F.col("class_name").isNotNull(), entry)).alias("own"),
+    )
+
+    named = aoi.select(*(["aoi_set"] if "aoi_set" in aoi.columns and "aoi_set" in by else []), *unit).distinct()
+    wide = fixation.join(small(named, BROADCAST_POLYGONS), "aoi_set") if "aoi_set" in named.columns else fixation.join(small(named, BROADCAST_POLYGONS))
+    same = lambda e: F.forall(F.array(*[e[u].eqNullSafe(F.col(u)) for u in unit]), lambda x: x)
+    wide = wide.withColumn("e", F.get(F.filter("own", same), F.lit(0))).drop("own")
+    real, inside = F.col("fix_id").isNotNull(), F.col("e").isNotNull()
+    order = Window.partitionBy(*by, *unit).orderBy(F.col("fix_id").isNull(), F.asc_nulls_last("f_first"), "fix_id")
+    wide = wide.withColumn("_inside", inside).withColumn("_entry", (real & F.col("_inside") & ~F.lag("_inside", 1, False).over(order)).cast("long"))
+
+    dwell = (F.sum(F.when(real, F.col("e.dur"))), F.sum(F.when(real, F.col("f_dur")))) if dwell_mode == "fixation" else (F.sum("e.rows_dur"), F.max("_total"))
+    earliest = F.when(real & inside, F.struct(F.col("e.first_ts").isNull().alias("late"), F.col("e.first_ts").alias("ts"), F.col("fix_id").alias("id")))
+    out = wide.groupBy(*by, *unit).agg(
+        F.coalesce(F.sum("e.n"), F.lit(0)).alias("samples"),
+        F.count_if(real & inside).alias("FC"),
+        dwell[0].alias("TFD"),
+        F.min_by("e.head.s", "e.at").alias("TTFF"),
+        F.min_by("e.dur", earliest).alias("FFD"),
+        F.avg(F.when(real, F.col("e.dur"))).alias("MFD"),
+        ratio(F.sum("e.p_sum"), F.sum("e.p_n")).alias("MPD"),
+        F.greatest(F.sum("_entry") - 1, F.lit(0)).alias("RFF"),
+        dwell[1].alias("_tfd"),
+        F.count("fix_id").alias("_fc"),
+        F.when(F.min("f_at") < F.max("f_to"), (F.max("f_last") - F.min("f_first")) / 1000.0).alias("_s"),
     )
-    if dwell_mode == "row":
-        rows = gaze.groupBy(*by).agg(F.sum("fix_dur").alias("rows_dur"))
-        totals = totals.drop("total_TFD").alias("a").join(rows.alias("b"), _on(by, "a", "b")).select(*[F.col(f"a.{k}") for k in by], "duration_s", "total_FC", F.col("rows_dur").alias("total_TFD"))
-    trial_fix = trial_fix.filter(real).select(*by, "fix_id", "first_ts")
-
-    names = aoi.select(*(["aoi_set"] if "aoi_set" in aoi.columns and "aoi_set" in by else []), *unit).distinct()
-    base = totals.join(small(names, BROADCAST_POLYGONS), "aoi_set") if "aoi_set" in names.columns else totals.join(small(names, BROADCAST_POLYGONS))
-
-    inside = fix.filter(real & F.col("class_name").isNotNull()).select(*by, *unit, "fix_id", F.lit(True).alias("inside"))
-    chain = trial_fix.join(small(names, BROADCAST_POLYGONS), "aoi_set") if "aoi_set" in names.columns else trial_fix.join(small(names, BROADCAST_POLYGONS))
-    chain = chain.alias("a").join(inside.alias("b"), _on([*by, *unit, "fix_id"], "a", "b"), "left").select(*[F.col(f"a.{k}") for k in (*by, *unit)], "a.fix_id", "a.first_ts", F.coalesce("inside", F.lit(False)).alias("inside"))
-    order = Window.partitionBy(*by, *unit).orderBy(F.asc_nulls_last("first_ts"), "fix_id")
-    entry = F.col("inside") & ~F.lag("inside", 1, False).over(order)
-    entries = chain.withColumn("entry", entry.cast("int")).groupBy(*by, *unit).agg(F.greatest(F.sum("entry") - 1, F.lit(0)).alias("RFF"))
-
-    out = base.alias("a").join(metric.alias("m"), _on([*by, *unit], "a", "m"), "left").join(entries.alias("e"), _on([*by, *unit], "a", "e"), "left")
-    fc, tfd = F.coalesce("m.FC", F.lit(0)), F.col("m.TFD")
-    samples = F.coalesce("m.samples", F.lit(0))
-    share = ratio(tfd, F.col("total_TFD"))
+    fc, share = F.col("FC"), ratio(F.col("TFD"), F.col("_tfd"))
     return out.select(
-        *[F.col(f"a.{k}") for k in (*by, *unit)],
-        samples.alias("samples"),
-        fc.alias("FC"),
-        tfd.alias("TFD"),
+        *by,
+        *unit,
+        "samples",
+        "FC",
+        "TFD",
         "TTFF",
         "FFD",
         "MFD",
         "MPD",
-        F.coalesce("RFF", F.lit(0)).alias("RFF"),
-        ((fc > 0) | (samples > 0)).alias("visited"),
+        "RFF",
+        ((fc > 0) | (F.col("samples") > 0)).alias("visited"),
         share.alias("attention_share"),
         (share * 100).alias("share_pct"),
-        ratio(fc, F.col("total_FC")).alias("FC_share"),
-        ratio(fc, F.col("duration_s")).alias("FC_rate"),
+        ratio(fc, F.col("_fc")).alias("FC_share"),
+        ratio(fc, F.col("_s")).alias("FC_rate"),
     )
 
 
