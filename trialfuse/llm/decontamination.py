@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, settle, with_row_ids
+from .common import RID, settle
 
 SHINGLE, CONTAINMENT = 5, 0.8
 BROADCAST_BYTES = 64 << 20
@@ -66,14 +66,15 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, containment: floa
 
     Null or wordless texts and items match nothing. Items that share an id are
     items of their own with equal ids in the result. Rows of documents that
-    share an id, or have none: see with_row_ids(). Other columns are ignored;
-    an empty table gives an empty result.
+    share an id, or have none, are searched each by itself. Other columns are
+    ignored; an empty table gives an empty result.
     """
-    return leaks_of(with_row_ids(docs), items, k, containment)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return leaks_of(own.withColumn(RID, F.xxhash64("doc_id", "text")), items, k, containment)
 
 
 def leaks_of(own: DataFrame, items: DataFrame, k: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
-    """The same of rows from with_row_ids()."""
+    """The same of rows (_rid, doc_id, text). Rows with one _rid share candidates; each is verified by itself."""
     own = own.select(RID, "doc_id", words(F.col("text")).alias("_w"))
     tests, signatures = item_signatures(items, k, containment)
     seen = own.select(RID, F.explode(shingle_names(F.col("_w"), k)).alias("h"))
