@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_NAMES, RID, SPACES, chunks_of_docs, map_arrow, settle, utf8, with_row_ids, word_names
+from .common import BYTE_NAMES, RID, SPACES, chunks_of_docs, map_arrow, mix, settle, utf8, with_row_ids, word_names
 
 #: Rows that the scorer is fitted on at most, and its hashed features.
 SAMPLE_ROWS = 6000
@@ -44,6 +44,12 @@ def _sums(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def _distinct(doc: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
+    """Distinct names of each document."""
+    _, at = np.unique(mix(names, doc.astype(np.uint64)), return_index=True)
+    return np.bincount(doc[at], minlength=n)[:n]
+
+
 class Chunk:
     """Words of some documents, parted where documents meet."""
 
@@ -70,8 +76,7 @@ class Chunk:
         size = np.maximum(self.sizes, 1)
         ends = np.bincount(self.doc, ~_PLAIN_END[self.data[self.end - 1]], n)[:n] / words
         length = letters / words
-        pair = np.unique(np.stack([self.doc.astype(np.uint64), self.names], axis=1), axis=0) if len(self.doc) else np.zeros((0, 2), np.uint64)
-        variety = np.bincount(pair[:, 0].astype(np.int64), minlength=n)[:n] / np.sqrt(words)
+        variety = _distinct(self.doc, self.names, n) / np.sqrt(words)
         line = self.data.copy()
         line[SPACES[line]] = ord("_")
         line[(self.data == 10)] = 0x20
@@ -80,8 +85,7 @@ class Chunk:
         names, start, _ = word_names(line)
         own = np.searchsorted(self.first, start, side="right") - 1
         lines = np.bincount(own, minlength=n)[:n]
-        kinds = np.unique(np.stack([own.astype(np.uint64), names], axis=1), axis=0) if len(own) else np.zeros((0, 2), np.uint64)
-        distinct = np.bincount(kinds[:, 0].astype(np.int64), minlength=n)[:n] / np.maximum(lines, 1)
+        distinct = _distinct(own, names, n) / np.maximum(lines, 1)
         share = upper / np.maximum(letters, 1)
 
         no = np.zeros(n, bool)  # the labeller knows junk only
