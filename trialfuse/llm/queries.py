@@ -98,4 +98,14 @@ u AS (SELECT doc_id, i, l[i] AS x FROM (SELECT doc_id, l, unnest(range(1, len(l)
 k AS (SELECT u.doc_id, count(*) AS n_kept, string_agg(u.x, chr(10) ORDER BY u.i) AS t FROM u ANTI JOIN g ON u.doc_id = g.doc_id AND u.i = g.i GROUP BY u.doc_id)
 SELECT l.doc_id, coalesce(len(l.l), 0) AS n_lines, coalesce(len(l.l), 0) - coalesce(k.n_kept, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM l LEFT JOIN k ON l.doc_id = k.doc_id""",
+    "op8_suffix_array_dedup": r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, c, substr(h, 2000 * c + 1, 2098) AS t FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2000 + 1)) AS c FROM b)),
+s AS (SELECT doc_id, 1000 * c + j AS i, substr(t, 2 * j - 1, 100) AS x FROM (SELECT doc_id, c, t, unnest(range(1, least(1000, len(t) // 2 - 49) + 1)) AS j FROM c)),
+f AS (SELECT x, min(doc_id) AS first FROM s GROUP BY x HAVING count(*) > 1),
+m AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM s JOIN f USING (x) WHERE first < doc_id),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT doc_id, i, count_if(step IS NULL OR step > 50) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM m) GROUP BY doc_id, k),
+p AS (SELECT doc_id, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS z FROM r UNION ALL SELECT doc_id, max(z), NULL FROM r GROUP BY doc_id),
+g AS (SELECT p.doc_id, string_agg(substr(h, 2 * a - 1, 2 * (coalesce(z, len(h) // 2 + 1) - a)), '' ORDER BY a) AS t, count(*) - 1 AS n_spans FROM p JOIN b USING (doc_id) GROUP BY p.doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, (len(h) - len(coalesce(t, h))) // 2 AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256 FROM b LEFT JOIN g USING (doc_id)""",
 }
