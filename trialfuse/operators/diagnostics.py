@@ -122,3 +122,25 @@ def source_index(df: DataFrame, column: str = "sources") -> DataFrame:
     """One row for each ';'-separated source that is not blank."""
     rest = [c for c in df.columns if c != column]
     return df.select(*rest, F.explode(F.split(column, ";")).alias("source")).withColumn("source", F.trim("source")).filter("source <> ''")
+
+
+def descriptive_panel(desc: DataFrame, panel: str, group: str, subgroup: str) -> DataFrame:
+    """From scales.descriptives(): means with standard errors."""
+    sem = F.col("sd") / F.sqrt(F.col("n_obs"))
+    return panel_rows(desc, panel, metric=F.col("item"), group_name=F.col(group).cast("string"), subgroup=F.col(subgroup).cast("string"), mean=F.col("mean"), sem=sem, n=F.col("n_obs"), source=F.lit("descriptives"))
+
+
+def contrast_panel(contrasts: DataFrame, panel: str) -> DataFrame:
+    return panel_rows(contrasts, panel, metric=F.col("outcome"), group_name=F.col("term"), value=F.col("t"), mean=F.col("mean"), sem=F.col("se"), n=F.col("n"), label=F.col("direction"), source=F.lit("contrasts"))
+
+
+def convergence_panel(convergence: DataFrame, panel: str) -> DataFrame:
+    return panel_rows(convergence, panel, metric=F.col("metric"), group_name=F.col("modality"), value=F.col("mean"), n=F.col("n"), source=F.lit("convergence"))
+
+
+def correlation_panel(corr: DataFrame, panel: str, k: int = 12) -> DataFrame:
+    return panel_rows(top_correlations(corr, k), panel, metric=F.col("outcome"), value=F.col("r"), n=F.col("n"), source=F.lit("order_correlation"))
+
+
+def claim_panel(claims: DataFrame, panel: str) -> DataFrame:
+    return panel_rows(claims, panel, metric=F.col("claim_id").cast("string"), value=support_score(F.col("level")), label=F.col("level"), source=F.lit("claims"))

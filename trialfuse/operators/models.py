@@ -280,3 +280,23 @@ def trial_index_models(df: DataFrame, outcomes: Sequence[str]) -> DataFrame:
     """TrialIndex is the position, else the scene."""
     at = F.coalesce(*[C.num(c) for c in ("position", "scene_id") if c in df.columns])
     return fit_models(df.withColumn("TrialIndex", at), outcomes, ["TrialIndex*C(ExperienceGroup)", "TrialIndex*C(Order)"])
+
+
+MODEL_TABLE = ("family", "outcome", "term", "estimate", "se", "p_value", "ci_low", "ci_high", "n")
+
+
+def model_table(results: DataFrame) -> DataFrame:
+    """The nine published columns that exist."""
+    return results.select(*[c for c in MODEL_TABLE if c in results.columns])
+
+
+def peak_index_models(df: DataFrame, outcomes: Sequence[str], level: str = "WWR", by: Sequence[str] = ("participant_id", "Complexity", "ExperienceGroup"), predictors: Sequence[str] = ("C(Complexity)*C(ExperienceGroup)",)) -> DataFrame:
+    """A mixed model of each outcome's peak index per participant and condition."""
+    from .diagnostics import subject_peak_index
+
+    out = None
+    for y in outcomes:
+        peaks = subject_peak_index(df, y, level, by)
+        part = fit_models(peaks, ["peak"], predictors).withColumn("outcome", F.lit(f"{y}_peak"))
+        out = part if out is None else out.unionByName(part)
+    return out

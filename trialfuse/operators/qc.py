@@ -152,3 +152,19 @@ def contract_findings(df: DataFrame, subject: str = "subject_id", scene: str = "
         out = out.unionByName(dup.filter("n > 0").select(F.lit("error").alias("severity"), F.lit("duplicate_keys").alias("finding"), F.col("n").cast("long")))
     none = out.groupBy().agg(F.count(F.lit(1)).alias("c")).filter("c = 0").select(F.lit("pass").alias("severity"), F.lit("pass").alias("finding"), F.lit(0).cast("long").alias("n"))
     return out.unionByName(none)
+
+
+SCENE_QC = ("participant_id", "scene_id", "view_dur_s", "hf_ratio_20_40Hz", "rms_mean_uV", "peak_to_peak_uV", "nan_fraction", "flat_fraction", "near_boundary", "segment_valid_duration", "qc_policy", "candidate_reasons", "reasons", "subject_excluded", "bad_eeg_quality")
+
+
+def eeg_scene_qc(df: DataFrame) -> DataFrame:
+    """The scene quality columns that exist."""
+    return df.select(*[c for c in SCENE_QC if c in df.columns])
+
+
+def eye_qc_table(trials: DataFrame, masked: DataFrame, point_source: str = "gaze", gap_ms: float = 5000.0, clock: str = "clock_ms", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Validity counts and ratios with time segments of each trial; one exchange of the samples serves both."""
+    from .gaze import mask_ratios, segment_counts, segments
+
+    cut = segments(masked, keys, gap_ms, clock)
+    return trials.select(*keys).join(mask_ratios(cut, keys), list(keys), "left").join(segment_counts(cut, keys), list(keys), "left").withColumns({"point_source": F.lit(point_source), "missing_file": F.col("n_samples").isNull()})

@@ -166,3 +166,25 @@ def resolve_aliases(rows: DataFrame, manual: DataFrame | None = None, record: st
     pid = F.coalesce("_manual", F.when(taken, F.col("_name")), "_base")
     source = F.when(F.col("_manual").isNotNull(), "manual").when(taken, "record").when(F.col("_base") != F.trim(F.col(subject)), "suffix_note").otherwise("none")
     return out.withColumns({"participant_id": pid, "alias_source": source}).drop("_base", "_generic", "_name", "_manual")
+
+
+def eeg_derived(df: DataFrame) -> DataFrame:
+    """view_dur_s where it is missing, and delta_O_alpha = gray - view by the first naming scheme whose columns exist."""
+    out = df if "view_dur_s" in df.columns else df.withColumn("view_dur_s", eeg_duration(df.columns))
+    for gray, view in (("gray_O_alpha", "view_O_alpha"), ("O_alpha_gray", "O_alpha_view"), ("O_alpha_gray", "O_alpha")):
+        if gray in df.columns and view in df.columns and "delta_O_alpha" not in df.columns:
+            return out.withColumn("delta_O_alpha", C.num(gray) - C.num(view))
+    return out
+
+
+def trial_base(df: DataFrame, keys: Sequence[str] = KEYS, design: Sequence[str] = DESIGN) -> DataFrame:
+    """Keys and the design columns that exist."""
+    return df.select(*keys, *[c for c in design if c in df.columns])
+
+
+def eye_timing(trials: DataFrame, gaze: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Start, end, duration (s) and samples of each trial; missing_eye where it has none, missing_time where no sample has a time."""
+    t = gaze.groupBy(*keys).agg(F.min("t_ms").alias("eye_start_ms"), F.max("t_ms").alias("eye_end_ms"), F.count(F.lit(1)).alias("n_samples"), F.count("t_ms").alias("_timed"))
+    out = trials.select(*keys).join(t, list(keys), "left")
+    span = F.when(F.col("_timed") > 1, (F.col("eye_end_ms") - F.col("eye_start_ms")) / 1000.0)
+    return out.withColumns({"eye_duration_s": span, "missing_eye": F.col("n_samples").isNull(), "missing_time": F.coalesce(F.col("_timed") == 0, F.lit(True)), "n_samples": F.coalesce("n_samples", F.lit(0))}).drop("_timed")

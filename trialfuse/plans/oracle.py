@@ -157,4 +157,15 @@ ORACLE_SQL: dict[str, str] = {
     "stream_bins": "SELECT (epoch_us(ts) // 21600000000) * 21600000000 AS bin_start, (epoch_us(ts) // 21600000000 + 1) * 21600000000 AS bin_end, user_id AS participant_id, count(*) AS samples, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2, 3",
     "stream_segments": "WITH s AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), q AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p >= 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS k FROM s) SELECT min(t) AS segment_start, max(t) + 21600000000 AS segment_end, user_id AS participant_id, count(*) AS samples FROM q GROUP BY user_id, k",
     "root_summary": "WITH o AS (SELECT DISTINCT o_custkey AS id FROM orders), c AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_acctbal > 0), e AS (SELECT DISTINCT user_id AS id FROM events), u AS (SELECT id FROM o UNION SELECT id FROM c UNION SELECT id FROM e), f AS (SELECT id IN (FROM o) AS x, id IN (FROM c) AS y, id IN (FROM e) AS z FROM u), w AS (SELECT count_if(x) AS a, count_if(y) AS b, count_if(z) AS c, count_if(NOT x) AS na, count_if(NOT y) AS nb, count_if(NOT z) AS nc, count_if(x AND y AND z) AS al FROM f) SELECT unnest(['orders_ids', 'customer_ids', 'events_ids', 'missing_orders', 'missing_customer', 'missing_events', 'in_all']) AS metric, unnest([a, b, c, na, nb, nc, al])::BIGINT AS n FROM w",
+    "eye_timing": _with(_GAZE, f"t AS (SELECT {_K}, min(t_ms) AS a, max(t_ms) AS z, count(*) AS n FROM g WHERE val_l <> 'error' AND fix_id < 6 GROUP BY ALL)", select=f"SELECT k.participant_id, k.scene_id, a AS eye_start_ms, z AS eye_end_ms, coalesce(n, 0) AS n_samples, CASE WHEN n > 1 THEN (z - a) / 1000.0::DOUBLE END AS eye_duration_s, n IS NULL AS missing_eye, n IS NULL AS missing_time FROM (SELECT DISTINCT {_K} FROM g) k LEFT JOIN t USING ({_K})"),
+    "eye_qc_table": _with(_GAZE, f"s AS (SELECT *, coalesce(x BETWEEN 0 AND {SCREEN[0]} AND y BETWEEN 0 AND {SCREEN[1]} AND val_l IN ({', '.join(repr(x) for x in ACCEPTED)}), false) AS ok, t_ms - lag(t_ms) OVER (PARTITION BY {_K} ORDER BY seq) AS step FROM g)", select=f"SELECT {_K}, count(*) AS n_samples, count_if(ok)::BIGINT AS n_valid, round(avg(ok::INT), 6) AS valid_ratio, count_if(step > {3 * _DAY})::BIGINT AS gap_count, count_if(step < 0)::BIGINT AS reset_count, (1 + count_if(step < 0 OR step > {3 * _DAY}))::BIGINT AS segments, 'gaze' AS point_source, false AS missing_file FROM s GROUP BY {_K}"),
+    "eeg_scene_qc": _with(_EEG, _FLAGS, _SUBJ, select=f"SELECT {_K}, dur AS view_dur_s, hf AS hf_ratio_20_40Hz, rms AS rms_mean_uV, 'robust' AS qc_policy, gone AS subject_excluded, reasons <> '' OR gone AS bad_eeg_quality FROM s"),
+    "eeg_derived": _with(_EEG, select=f"SELECT {_K}, dur AS dur_s, rms AS gray_O_alpha, hf AS view_O_alpha, dur AS view_dur_s, round(rms - hf, 6) AS delta_O_alpha FROM e"),
+    "scale_reliability": _with(_ANSWERS, "m AS (SELECT avg(S2) AS S2, avg(S3) AS S3 FROM a GROUP BY participant_id)", "d AS (SELECT 'four' AS scale, 4 AS n_items, count(*) AS n, (1 - (var_samp(S1) + var_samp(S2) + var_samp(S3) + var_samp(S4)) / var_samp(S1 + S2 + S3 + S4)) * 4 / 3 AS alpha FROM a UNION ALL SELECT 'two', 2, count(*), (1 - (var_samp(S1) + var_samp(S4)) / var_samp(S1 + S4)) * 2 FROM a WHERE Complexity = 'A' UNION ALL SELECT 'means', 2, count(*), (1 - (var_samp(S2) + var_samp(S3)) / var_samp(S2 + S3)) * 2 FROM m)", select="SELECT scale, n_items, n, round(alpha, 6) AS alpha, CASE WHEN alpha >= 0.7 THEN 'acceptable' WHEN alpha >= 0.6 THEN 'questionable' ELSE 'low' END AS status FROM d"),
+    "panel_sources": _with(_ANSWERS, _LONG, _CONTRAST, _EEG, "cr AS (SELECT unnest(['S1', 'S2', 'S3', 'S4']) AS o, unnest([n, n, n, n]) AS n, unnest([r1, r2, r3, r4]) AS r FROM (SELECT count(WWR) AS n, corr(WWR, S1) AS r1, corr(WWR, S2) AS r2, corr(WWR, S3) AS r3, corr(WWR, S4) AS r4 FROM a))", "cl AS (SELECT p_partkey, string_split(p_name, ' ') AS r, list_filter(string_split(p_name, ' '), lambda x: x NOT IN ('ring', 'red', 'small')) AS miss FROM part)", "lv AS (SELECT p_partkey, CASE WHEN len(miss) = 0 THEN 'supported' WHEN len(list_distinct(miss)) < len(list_distinct(r)) THEN 'partial' ELSE 'unsupported' END AS level FROM cl)",
+        select="""SELECT 'a' AS panel, 'S1' AS metric, WWR::VARCHAR AS group_name, Complexity AS subgroup, NULL::DOUBLE AS value, round(avg(S1), 5) AS mean, round(stddev_samp(S1) / sqrt(count(S1)), 5) AS sem, count(S1) AS n, NULL::VARCHAR AS label, 'descriptives' AS source FROM a GROUP BY WWR, Complexity
+UNION ALL SELECT 'b', outcome, term, NULL, round(mean / (sd / sqrt(n)), 5), round(mean, 5), round(sd / sqrt(n), 5), n, CASE WHEN mean > 0 THEN 'positive' WHEN mean < 0 THEN 'negative' ELSE 'flat' END, 'contrasts' FROM d WHERE outcome IN ('S1', 'S2')
+UNION ALL SELECT 'c', 'view_dur_s', 'timing', NULL, round(avg(dur), 5), NULL, NULL, count(dur), NULL, 'convergence' FROM e
+UNION ALL SELECT * FROM (SELECT 'd', o, NULL, NULL, round(r, 5), NULL, NULL, n, NULL, 'order_correlation' FROM cr ORDER BY abs(r) DESC LIMIT 3)
+UNION ALL SELECT 'e', p_partkey::VARCHAR, NULL, NULL, CASE level WHEN 'supported' THEN 2.0 WHEN 'partial' THEN 1.5 ELSE 0 END, NULL, NULL, NULL, level, 'claims' FROM lv"""),
 }

@@ -456,6 +456,60 @@ def root_summary(spark, sf_dir):
     return discovery.root_summary({"orders": o.withColumnRenamed("o_custkey", "participant_id"), "customer": c.filter("c_acctbal > 0").withColumnRenamed("c_custkey", "participant_id"), "events": e.withColumnRenamed("user_id", "participant_id")})
 
 
+def eye_timing(spark, sf_dir):
+    g = S.gaze(spark, sf_dir)
+    return trial.eye_timing(g.select(*G.KEYS).distinct(), g.filter("val_l <> 'error' and fix_id < 6"))
+
+
+def eye_qc_table(spark, sf_dir):
+    g = G.valid_mask(G.with_point(S.gaze(spark, sf_dir), "gaze"), *S.SCREEN, accepted=S.ACCEPTED, codes=("val_l",))
+    out = qc.eye_qc_table(g.select(*G.KEYS).distinct(), g, gap_ms=3 * DAY, clock="t_ms")
+    return rounded(out.select(*G.KEYS, "n_samples", "n_valid", "valid_ratio", "gap_count", "reset_count", "segments", "point_source", "missing_file"))
+
+
+def eeg_scene_qc(spark, sf_dir):
+    return qc.eeg_scene_qc(qc.exclude_subjects(_flags(spark, sf_dir), 0.2)).drop("candidate_reasons", "reasons")
+
+
+def eeg_derived(spark, sf_dir):
+    e = S.eeg_scenes(spark, sf_dir).select(*G.KEYS, F.col("view_dur_s").alias("dur_s"), F.col("rms_mean_uV").alias("gray_O_alpha"), F.col("hf_ratio_20_40Hz").alias("view_O_alpha"))
+    return rounded(trial.eeg_derived(e))
+
+
+def scale_reliability(spark, sf_dir):
+    a = S.answers(spark, sf_dir)
+    return rounded(scales.reliability(a, {"four": ITEMS, "two": ("S1", "S4"), "means": ("S2", "S3")}, F.col("Complexity") == "A", ("two",), ("means",)))
+
+
+def panel_sources(spark, sf_dir):
+    a = S.answers(spark, sf_dir)
+    d = diagnostics
+    parts = [
+        d.descriptive_panel(scales.descriptives(a, ("S1",), ("WWR", "Complexity"), ci=False), "a", "WWR", "Complexity"),
+        d.contrast_panel(scales.poly_contrasts(a, ("S1", "S2"), "WWR", p_values=False), "b"),
+        d.convergence_panel(d.modality_convergence(S.eeg_scenes(spark, sf_dir), {"timing": ("view_dur_s",)}), "c"),
+        d.correlation_panel(d.order_correlation(a, ITEMS, "WWR"), "d", 3),
+        d.claim_panel(claim_support(spark, sf_dir), "e"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rounded(out.select("panel", "metric", "group_name", "subgroup", "value", "mean", "sem", "n", "label", "source"), 5)
+
+
+def peak_index_models(spark, sf_dir):
+    return rounded(models.model_table(models.peak_index_models(S.answers(spark, sf_dir), ("S1",))), 4)
+
+
+def trial_index_models(spark, sf_dir):
+    a = S.answers(spark, sf_dir).withColumns({"position": F.col("S4"), "Order": F.col("Gender")})
+    return rounded(models.model_table(models.trial_index_models(a, ("S1",))), 4)
+
+
+def eeg_core_models(spark, sf_dir):
+    return rounded(models.model_table(models.eeg_core_models(S.answers(spark, sf_dir), ("S2",))), 4)
+
+
 _NOT_QUERIES = {"rounded"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in _NOT_QUERIES
