@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,31 +95,51 @@ def _independent(c: np.ndarray, k: int) -> list[int]:
     return kept
 
 
+def _grams(d: DataFrame, cols: Sequence[str], size: str | None = None) -> dict[int, tuple[int, np.ndarray]]:
+    """{size: (rows, X'X)} of the columns, by the value of `size` (0 without).
+
+    Each task multiplies its batches and sends one k x k sum per size; the sums meet by size before they reach the driver.
+    """
+    k = len(cols)
+    keep = [F.col(c).cast("double").alias(c) for c in cols]
+    d = d.select((F.col(size) if size else F.lit(0)).cast("long").alias("_m"), *keep)
+
+    def part(batches):
+        total: dict[int, list] = {}
+        for b in batches:
+            m = b.column(0).to_numpy(zero_copy_only=False)
+            x = np.column_stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(k)]) if b.num_rows else np.zeros((0, k))
+            for v in np.unique(m):
+                rows = x[m == v]
+                t = total.setdefault(int(v), [0, np.zeros((k, k))])
+                t[0] += len(rows)
+                t[1] += rows.T @ rows
+        yield _gram_batch(total)
+
+    def meet(t: pa.Table) -> pa.Table:
+        total = {t.column("m")[0].as_py(): [sum(t.column("n").to_pylist()), sum(np.frombuffer(x).reshape(k, k) for x in t.column("g").to_pylist())]}
+        return pa.Table.from_batches([_gram_batch(total)])
+
+    schema = "m long, n long, g binary"
+    rows = d.mapInArrow(part, schema).groupBy("m").applyInArrow(meet, schema).collect()  # one for each size
+    return {r.m: (r.n, np.frombuffer(bytes(r.g)).reshape(k, k)) for r in rows}
+
+
+def _gram_batch(total: dict[int, list]) -> pa.RecordBatch:
+    keys = list(total)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([total[v][0] for v in keys], pa.int64()), pa.array([total[v][1].tobytes() for v in keys], pa.binary())], names=["m", "n", "g"])
+
+
 def _moments(d: DataFrame, k: int) -> tuple[np.ndarray, int]:
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    r = d.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    m = np.zeros((k, k))
-    for i, j in pairs:
-        m[i, j] = m[j, i] = r[f"s{i}_{j}"] or 0.0
-    return m, r["n"]
+    n, m = _grams(d, [f"x{i}" for i in range(k)]).get(0, (0, np.zeros((k, k))))
+    return m, n
 
 
 def _group_moments(d: DataFrame, k: int) -> tuple[np.ndarray, int, dict[int, tuple[int, np.ndarray]]]:
-    """(sum of w w', rows, {group size: (groups, sum of s s')}), s being a group's column sums. One pass over the rows."""
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    per = d.groupBy("_g").agg(F.count(F.lit(1)).alias("m"), *[F.sum(f"x{i}").alias(f"t{i}") for i in range(k)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs])
-    by = per.groupBy("m").agg(F.count(F.lit(1)).alias("K"), *[F.sum(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"q{i}_{j}") for i, j in pairs], *[F.sum(f"s{i}_{j}").alias(f"s{i}_{j}") for i, j in pairs]).collect()
-    total, n, sizes = np.zeros((k, k)), 0, {}
-    for r in by:  # one row for each distinct group size
-        q = np.zeros((k, k))
-        for i, j in pairs:
-            q[i, j] = q[j, i] = r[f"q{i}_{j}"]
-            total[i, j] += r[f"s{i}_{j}"]
-            if i != j:
-                total[j, i] += r[f"s{i}_{j}"]
-        sizes[r["m"]] = (r["K"], q)
-        n += r["m"] * r["K"]
-    return total, n, sizes
+    """(sum of w w', rows, {group size: (groups, sum of s s')}), s being a group's column sums."""
+    total, n = _moments(d, k)
+    per = d.groupBy("_g").agg(F.count(F.lit(1)).alias("m"), *[F.sum(f"x{i}").alias(f"x{i}") for i in range(k)])
+    return total, n, _grams(per, [f"x{i}" for i in range(k)], "m")
 
 
 @dataclass
