@@ -161,6 +161,19 @@ def test_rare_words_share_an_entry(spark):
     assert set(vocab) == {"common", "words", "here"}
 
 
+def test_every_word_and_bigram_is_counted(spark):
+    """A word of 3 of 700,000 tokens, all in the target, makes a difference."""
+    rows = [(i, "common words here again " * 1750) for i in range(100)] + [(200 + i, "odd thing") for i in range(3)] + [(300, "odd thing"), (301, "new stuff")]
+    target = spark.createDataFrame([(200 + i,) for i in range(3)], "doc_id long")
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs_of(spark, rows), target).collect()}
+    want = []
+    for bi, docs, tokens in (((3, 3), 3, 6), ((4, 4), 105, 700_010)):
+        uni = 0.3 * (bi[0] + 1) / (tokens + 8 + 2)
+        want.append(-(math.log(uni + 0.7 * bi[0] / docs) + math.log(uni + 0.7 * bi[1] / bi[0])) / 2)
+    assert abs(got[300].loss_target - want[0]) < 1e-9 and abs(got[300].loss_background - want[1]) < 1e-9
+    assert got[300].score < got[301].score
+
+
 # toxicity
 
 

@@ -10,14 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, by_group, joined, map_arrow, mix, pack, pack_sorted, settle, unpack, unpack_sorted
+from .common import bucket_count, by_group, joined, map_arrow, mix2, pack, pack_sorted, settle, unpack, unpack_sorted, word_names
 
-#: Words and bigrams of a smaller share of the corpus have no entry of their own: at most 1/share have one.
-WORD_SHARE, BIGRAM_SHARE = 5e-6, 1e-6
 BIGRAM_WEIGHT = 0.7
-_ID_BITS = 24
-_FLUSH_TOKENS = 3_000_000
+_START = np.uint64(0x5DEECE66D1CE4E5B)
+_CHUNK_TOKENS = 3_000_000
+_CHUNK_DOCS = 200_000
+_NAME_BYTES = 1 << 22
 _FLUSH_WORDS = 700_000
+COUNTED = "chunk long, bucket int, n_words int, code binary, n binary, t binary, ids array<long>, sizes binary, words binary, at binary"
+ANSWERS = "chunk long, bucket int, n_words int, n binary, t binary, n_total long, t_total long"
+SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
 
 def _tokens(text: str | None) -> list[str]:
@@ -47,124 +50,178 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text"), fn, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, share: float = WORD_SHARE) -> dict[str, int]:
-    """Ids from 2; 0 is any other word, 1 the start of a text. At most 1/share words."""
+def vocabulary(docs: DataFrame, share: float) -> dict[str, int]:
+    """Ids from 2; 0 is any other word, 1 the start of a text. At most 1/share words.
+
+    For callers that want a bounded list of words; scores do not use it.
+    """
     counts = settle(word_counts(docs), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     kept = counts.filter(F.col("n") >= share * total).select("word").collect()
     return {w: i + 2 for i, w in enumerate(sorted(r[0] for r in kept))}
 
 
-def _ids(text: str | None, vocab: dict[str, int]) -> np.ndarray:
-    words = _tokens(text)
-    out = np.empty(len(words) + 1, np.uint64)
-    out[0] = 1
-    get = vocab.get
-    out[1:] = [get(w, 0) for w in words]
-    return out
+class Chunk:
+    """Words and bigrams of some documents by name, in the order of names, which is that of buckets."""
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, at: np.ndarray, buckets: int):
+        """words: ascending names, with that of the start of a text; at: the place in words of each token."""
+        self.sizes, self.words, self.buckets = sizes, words, buckets
+        self.second = at.astype(np.int64)
+        start = int(np.searchsorted(words, _START))
+        first = np.r_[start, self.second[:-1]] if len(at) else self.second
+        full = sizes[sizes > 0]
+        first[np.cumsum(full) - full] = start
+        self.first, self.start = first, start
+        pairs, self.pair = np.unique(first * len(words) + self.second, return_inverse=True)
+        self.pairs = mix2(words[pairs // len(words)], words[pairs % len(words)])
+        self.orders = [np.argsort(x) for x in (self.words, self.pairs)]
+
+    def bucket_of(self, names: np.ndarray) -> np.ndarray:
+        """A range of names each, so that sorted names differ by little."""
+        return ((names >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+
+    def counts(self, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(background, target) of the words and of the bigrams; target: of each document."""
+        mark = np.repeat(target, self.sizes)
+        out = [[np.bincount(x[m], minlength=n) for m in (slice(None), mark)] for x, n in ((self.second, len(self.words)), (self.pair, len(self.pairs)))]
+        for c, m in zip(out[0], (slice(None), target), strict=True):
+            c[self.start] = (self.sizes[m] > 0).sum()
+        return [(a, t) for a, t in out]
+
+    def losses(self, words: tuple, pairs: tuple, totals: tuple, weight: float) -> list[np.ndarray]:
+        """Mean loss of each document by the background and the target; words, pairs: the corpus's counts of each."""
+        out = []
+        own = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        for c, b, total in zip(words, pairs, totals[1:], strict=True):
+            p = (1 - weight) * (c[self.second] + 1) / (total + totals[0] + 2)
+            p += weight * b[self.pair] / np.maximum(c[self.first], 1)
+            out.append(np.bincount(own, -np.log(p), len(self.sizes)) / np.maximum(self.sizes, 1))
+        return out
 
 
-def bigram_counts(docs: DataFrame, vocab: dict[str, int], size: int) -> DataFrame:
-    """(bucket, codes, background, target) packed; a word's own count has code word, a bigram (first + 1) << 24 | second.
+def counted(docs: DataFrame, buckets: int) -> DataFrame:
+    """Chunks of documents: a row with their tokens, and one for each bucket with their own counts.
 
-    docs: (text, target boolean).
+    docs: (doc_id, text, target boolean).
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocab)
-    buckets = bucket_count(spark, size / 9)
-
-    def flush(parts: list[np.ndarray], marks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not parts:
-            return
-        code, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        all_n = np.bincount(inverse, minlength=len(code)).astype(np.uint32)
-        target_n = np.bincount(inverse[np.concatenate(marks)], minlength=len(code)).astype(np.uint32)
-        to = (mix(code) >> np.uint64(33)).astype(np.int64) % buckets
-        rows = [(int(k), pack_sorted(c), pack(a), pack(t)) for k, c, a, t in by_group(to, code, all_n, target_n)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["bucket", "code", "n", "t"])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, marks, n = [], [], 0
-        words = shared.value
-        for b in batches:
-            for x, t in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                ids = _ids(x.as_py(), words)
-                if len(ids) < 2:
-                    continue
-                parts += [ids, (ids[:-1] + np.uint64(1) << np.uint64(_ID_BITS)) | ids[1:]]
-                marks.append(np.full(2 * len(ids) - 1, bool(t)))
-                n += len(ids)
-                if n > _FLUSH_TOKENS:
-                    yield from flush(parts, marks)
-                    parts, marks, n = [], [], 0
-        yield from flush(parts, marks)
-
-    return map_arrow(docs.select("text", "target"), fn, "bucket int, code binary, n binary, t binary")
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        ids: list[int | None] = []
+        target: list[bool] = []
+        sizes: list[int] = []
+        names: list[np.ndarray] = []
+        texts: list[str] = []
+        waiting, tokens = 0, 0
+
+        def named():
+            nonlocal waiting
+            if texts:
+                names.append(word_names(np.frombuffer(" ".join(texts).encode(), np.uint8))[0])
+            texts.clear()
+            waiting = 0
 
+        def out():
+            nonlocal chunk, tokens
+            named()
+            words, at = np.unique(np.concatenate([np.array([_START], np.uint64), *names]), return_inverse=True)
+            at, n = at[1:], np.array(sizes, np.int64)
+            got = Chunk(n, words, at, buckets)
+            rows: dict[int, list] = {}
+            for kind, (codes, order, (a, t)) in enumerate(zip((got.words, got.pairs), got.orders, got.counts(np.array(target, bool)), strict=True)):
+                for to, c, x, y in by_group(got.bucket_of(codes[order]), codes[order], a[order].astype(np.uint32), t[order].astype(np.uint32)):
+                    rows.setdefault(int(to), [None, None])[kind] = (c, x, y)
+            none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+            made = []
+            for to, (w, b) in rows.items():
+                w, b = w or none, b or none
+                made.append((chunk, to, len(w[0]), pack_sorted(np.r_[w[0], b[0]]), pack(np.r_[w[1], b[1]]), pack(np.r_[w[2], b[2]]), None, None, None, None))
+            made.append((chunk, None, None, None, None, None, list(ids), pack(n.astype(np.uint32)), pack_sorted(words), pack(at.astype(np.uint32))))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.list_(pa.int64()), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in COUNTED.split(", ")])
+            for x in (ids, target, sizes, names):
+                x.clear()
+            chunk, tokens = chunk + 1, 0
 
-def models(docs: DataFrame, vocab: dict[str, int], size: int, share: float = BIGRAM_SHARE) -> dict[str, np.ndarray]:
-    """codes, n (background) and t (target), sorted by code: all words' counts, and bigrams of at least `share` of the tokens."""
-
+        for b in batches:
+            for i, x, t in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                w = _tokens(x.as_py())
+                ids.append(i)
+                target.append(bool(t))
+                sizes.append(len(w))
+                if w:
+                    texts.append(" ".join(w))
+                    waiting += len(texts[-1])
+                    tokens += len(w)
+                if waiting > _NAME_BYTES:
+                    named()
+                if tokens > _CHUNK_TOKENS or len(ids) >= _CHUNK_DOCS:
+                    yield from out()
+        if ids:
+            yield from out()
+
+    return map_arrow(docs.select("doc_id", "text", "target"), fn, COUNTED)
+
+
+def _answers(t: pa.Table) -> pa.Table:
+    """What the corpus counts of each chunk's entries, in the chunk's order, and the bucket's totals in a row without chunk."""
+    code, n, m = (list(map(f, t.column(c).to_pylist())) for c, f in (("code", unpack_sorted), ("n", unpack), ("t", unpack)))
+    words = t.column("n_words").to_pylist()
+    chunks, bucket = t.column("chunk").to_pylist(), t.column("bucket")[0].as_py()
+    parts: list[list[bytes]] = [[], []]
+    whole: list[list[list[np.ndarray]]] = [[], []]
+    totals = (0, 0, 0)
+    for kind in (0, 1):
+        cut = lambda x, w, kind=kind: x[:w] if kind == 0 else x[w:]
+        own = [[cut(x, w) for x, w in zip(xs, words, strict=True)] for xs in (code, n, m)]
+        keys, at = np.unique(joined(own[0], np.uint64), return_inverse=True)
+        sums = [np.bincount(at, joined(x, np.uint32), len(keys)).astype(np.int64) for x in own[1:]]
+        if kind == 0:
+            word = keys != _START
+            totals = (int(word.sum()), *(int(x[word].sum()) for x in sums))
+        ends = np.cumsum([len(x) for x in own[0]])[:-1]
+        whole[kind] = [np.split(x[at], ends) for x in sums]
+    for i in (0, 1):
+        parts[i] = [pack(np.r_[a, b]) for a, b in zip(whole[0][i], whole[1][i], strict=True)]
+    k = len(chunks)
+    return pa.table(
+        [pa.array([*chunks, None], pa.int64()), pa.array([bucket] * (k + 1), pa.int32()), pa.array([*words, totals[0]], pa.int32()), *(pa.array([*x, None], pa.binary()) for x in parts), *(pa.array([None] * k + [x], pa.int64()) for x in totals[1:])],
+        names=[x.split()[0] for x in ANSWERS.split(", ")],
+    )
+
+
+def _score(buckets: int, totals: tuple[int, int, int], weight: float):
     def fn(t: pa.Table) -> pa.Table:
-        code = joined(map(unpack_sorted, t.column("code").to_pylist()), np.uint64)
-        n = joined(map(unpack, t.column("n").to_pylist()), np.uint32)
-        m = joined(map(unpack, t.column("t").to_pylist()), np.uint32)
-        keys, inverse = np.unique(code, return_inverse=True)
-        n, m = (np.bincount(inverse, x, len(keys)).astype(np.int64) for x in (n, m))
-        return pa.table([pa.array(keys.astype(np.int64)), pa.array(n), pa.array(m)], names=["code", "n", "t"])
-
-    counts = settle(bigram_counts(docs, vocab, size).groupBy("bucket").applyInArrow(fn, "code long, n long, t long"), "bigrams")
-    word = F.col("code") < (1 << _ID_BITS)
-    total = counts.filter(word & (F.col("code") != 1)).agg(F.sum("n")).first()[0] or 0
-    kept = counts.filter(word | (F.col("n") >= share * total)).toPandas().sort_values("code")
-    return {k: kept[k].to_numpy(np.int64) for k in ("code", "n", "t")}
-
-
-class Scorer:
-    def __init__(self, vocab: dict[str, int], kept: dict[str, np.ndarray], weight: float = BIGRAM_WEIGHT):
-        size = len(vocab) + 2
-        words = kept["code"] < (1 << _ID_BITS)
-        self.vocab, self.codes = vocab, kept["code"][~words].astype(np.uint64)
-        first = (self.codes >> np.uint64(_ID_BITS)).astype(np.int64) - 1
-        self.uni, self.bi = [], []
+        rows = t.to_pylist()
+        own = next(r for r in rows if r["ids"] is not None)
+        got = Chunk(unpack(own["sizes"]).astype(np.int64), unpack_sorted(own["words"]), unpack(own["at"]), buckets)
+        told = sorted((r for r in rows if r["ids"] is None), key=lambda r: r["bucket"])
+        counts: list[list[np.ndarray]] = [[], []]
         for which in ("n", "t"):
-            c = np.zeros(size)
-            c[kept["code"][words]] = kept[which][words]
-            p = c.copy()
-            p[1] = 0  # the start is no word
-            p = (p + 1) / (p.sum() + size)
-            self.uni.append(p)
-            self.bi.append(weight * kept[which][~words] / np.maximum(c[first], 1))
-        self.weight = weight
-
-    def losses(self, text: str | None) -> tuple[int, float, float]:
-        """(tokens, target loss, background loss) per token in nats."""
-        ids = _ids(text, self.vocab)
-        if len(ids) < 2:
-            return 0, 0.0, 0.0
-        code = (ids[:-1] + np.uint64(1) << np.uint64(_ID_BITS)) | ids[1:]
-        second = ids[1:].astype(np.int64)
-        if len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            hit = self.codes[at] == code
-        out = []
-        for uni, bi in zip(self.uni, self.bi, strict=True):
-            p = (1 - self.weight) * uni[second]
-            if len(self.codes):
-                p += np.where(hit, bi[at], 0.0)
-            out.append(float(-np.log(p).mean()))
-        return len(second), out[1], out[0]
+            x = [unpack(r[which]) for r in told]
+            for kind, order in enumerate(got.orders):
+                c = np.zeros(len(order))
+                c[order] = np.concatenate([y[: r["n_words"]] if kind == 0 else y[r["n_words"] :] for y, r in zip(x, told, strict=True)])
+                counts[kind].append(c)
+        g, m = got.losses(*counts, totals, weight)
+        return pa.table([pa.array(own["ids"], pa.int64()), pa.array(got.sizes), pa.array(m), pa.array(g), pa.array(m - g)], names=[x.split()[0] for x in SCORES.split(", ")])
 
+    return fn
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, word_share: float = WORD_SHARE, bigram_share: float = BIGRAM_SHARE) -> DataFrame:
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, weight: float = BIGRAM_WEIGHT) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score = the mean over tokens of the loss difference; lower: more like the target.
 
     target: (doc_id), the documents of the target domain. Both models are
-    interpolated bigram models of one order, vocabulary, weight and cut-off;
-    the background's counts cover all documents, the target's all target
-    documents. Words are lower-cased and split at white space. Counts grow
-    with the corpus; the tables that scorers hold keep words and bigrams of a
-    stated share of all tokens, so 1/share bounds them at any size.
+    interpolated bigram models of one order, vocabulary and weight, and hold
+    every word and bigram; the background's counts cover all documents, the
+    target's all target documents. Words are lower-cased and split at white space.
+    No task holds a model: chunks of documents send their own counts to
+    buckets of 64-bit names, which sum them and answer each chunk for its
+    entries, and a chunk scores its documents from the answers.
 
     Null or wordless text: no tokens, losses and score 0. Rows that share an
     id, or have none: each row by itself, a target if its id is. Target ids
@@ -173,20 +230,15 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, word_share: flo
     """
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     spark = docs.sparkSession
-    vocab = vocabulary(own, word_share)
     ids = target.select(target["doc_id"].cast("long").alias("doc_id"), F.lit(True).alias("target")).filter("doc_id is not null").distinct()
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = bucket_count(spark, size / 9)
     # a merge join at every size: the target grows with the corpus and is never broadcast
-    kept = models(own.join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), vocab, size, bigram_share)
-    shared = spark.sparkContext.broadcast((vocab, kept))
-    made: list[Scorer] = []
-
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Scorer(*shared.value))
-        for b in batches:
-            n, t, g = zip(*(made[0].losses(x.as_py()) for x in b.column(1)), strict=True) if b.num_rows else ((), (), ())
-            score = [x - y for x, y in zip(t, g, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(v, pa.float64()) for v in (t, g, score))], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return map_arrow(own, fn, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    marked = own.join(ids.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    chunks = settle(counted(marked, buckets), "chunks")
+    entries = chunks.filter("bucket is not null").select("chunk", "bucket", "n_words", "code", "n", "t")
+    answers = settle(entries.groupBy("bucket").applyInArrow(_answers, ANSWERS), "answers")
+    totals = tuple(x or 0 for x in answers.filter("chunk is null").agg(F.sum("n_words"), F.sum("n_total"), F.sum("t_total")).first())
+    told = answers.filter("chunk is not null").select("chunk", "bucket", "n_words", "n", "t", *(F.lit(None).cast(k).alias(c) for c, k in (("ids", "array<long>"), ("sizes", "binary"), ("words", "binary"), ("at", "binary"))))
+    held = chunks.filter("bucket is null").select("chunk", *(F.lit(None).cast(k).alias(c) for c, k in (("bucket", "int"), ("n_words", "int"), ("n", "binary"), ("t", "binary"))), "ids", "sizes", "words", "at")
+    return held.unionByName(told).groupBy("chunk").applyInArrow(_score(buckets, totals, weight), SCORES)
