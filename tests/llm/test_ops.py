@@ -124,6 +124,22 @@ def test_media_query_matches_brute_force(spark):
             assert ((q, r, best[2]) in found) if best else not any(f[:2] == (q, r) for f in found)
 
 
+def test_noisy_copies_align(spark):
+    """Independent wrong bits, up to the threshold: few or no integers stay equal."""
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(0, 2**32, 114, dtype=np.uint32)
+    rows = [(100, base.view(np.int32).tolist())]
+    for i, share in enumerate((0.05, 0.1, 0.15, 0.17) * 10):
+        part = base[60:90] if i % 2 else base
+        bits = (rnd.random((len(part), 32)) < share).astype(np.uint32)
+        rows.append((i + 1, (part ^ (bits << np.arange(32, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)).view(np.int32).tolist()))
+    rows += [(i, rnd.integers(0, 2**32, 114, dtype=np.uint32).view(np.int32).tolist()) for i in range(101, 131)]
+    got = media.align(spark.createDataFrame(rows, "vec_id long, ints array<int>")).collect()
+    found = {r.vec_id: r.matches[0] for r in got if r.matches}
+    assert set(found) == set(range(1, 41))
+    assert all(m.offset == (-60 if (i - 1) % 2 else 0) and m.overlap == (30 if (i - 1) % 2 else 114) for i, m in found.items())
+
+
 # LM scoring
 
 

@@ -18,7 +18,9 @@ WIDTH = 12
 #: (kind, first pitch class, classes, frames) of the 16 filters: kinds 0 to 3 by turns, over wider and wider parts.
 FILTERS = tuple((i % 4, (i * 5) % 9, 3 + i % 2 + (i // 4) % 2 * 2 if (i * 5) % 9 <= 5 else 3, (4, 8, 12, 6)[i // 4]) for i in range(16))
 STEPS = (-0.25, 0.0, 0.25)
-LEAST_VOTES, MOST_WRONG, LEAST_OVERLAP = 3, 0.2, 16
+#: Equal integers that a match must have (none), its wrong bits at most, its overlap at least.
+LEAST_VOTES, MOST_WRONG, LEAST_OVERLAP = 0, 0.2, 16
+_QUERY_BLOCK, _CLASS_BLOCK, _CELLS = 256, 512, 1 << 22
 
 
 def render(rows: DataFrame, id_col: str = "vec_id", values_col: str = "embedding") -> DataFrame:
@@ -114,13 +116,92 @@ def fingerprints(media: DataFrame, id_col: str = "vec_id", audio_col: str = "aud
     return map_arrow(media.select(id_col, audio_col), fn, f"{id_col} long, ints array<int>")
 
 
+def _waves(prints: list[np.ndarray], length: int, kind) -> np.ndarray:
+    """(frequencies, recordings, 32) of the bits as +1 and -1."""
+    x = np.zeros((len(prints), length, 32), kind)
+    for row, ints in zip(x, prints, strict=True):
+        row[: len(ints)] = (ints[:, None] >> np.arange(32, dtype=np.uint32) & np.uint32(1)).astype(kind) * 2 - 1
+    return np.ascontiguousarray(np.fft.rfft(x, axis=1).transpose(1, 0, 2))
+
+
+def closest(asked: list[np.ndarray], found: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, float]]:
+    """(query, recording, offset, votes, overlap, bit error rate) of the best alignment of each pair that has one.
+
+    All offsets of all pairs: the equal bits less the wrong ones, at every offset, are a
+    correlation, a product of transforms. Those within rounding of MOST_WRONG are counted bit by bit.
+    """
+    sizes = [np.array([len(x) for x in xs]) for xs in (asked, found)]
+    length = 1 << int(sizes[0].max() + sizes[1].max() - 1).bit_length()
+    kind = np.float32 if length <= 4096 else np.float64
+    offsets = np.fft.ifftshift(np.arange(length) - length // 2)
+    step = max(1, _CELLS // (length * 64))
+    for qa in range(0, len(asked), 64):
+        a = _waves(asked[qa : qa + 64], length, kind).conj()
+        for ra in range(0, len(found), step):
+            b = _waves(found[ra : ra + step], length, kind)
+            sums = np.fft.irfft(np.matmul(a, b.transpose(0, 2, 1)).transpose(1, 2, 0), length, axis=2)
+            lq, lr = (x.astype(kind)[:, None] for x in (sizes[0][qa : qa + 64], sizes[1][ra : ra + step]))
+            off = offsets.astype(kind)
+            # the query's place p meets the recording's place p + offset
+            overlap = np.minimum(lq[:, None, :], (lr - off)[None, :, :]) - np.maximum(-off, 0)
+            hit = (sums >= overlap * kind(32 * (1 - 2 * MOST_WRONG)) - kind(2)) & (overlap >= LEAST_OVERLAP)
+            best: dict[tuple[int, int], tuple] = {}
+            for i, j, k in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+                q, r, o = asked[qa + i], found[ra + j], int(offsets[k])
+                start = max(0, -o)
+                n = min(len(q), len(r) - o) - start
+                wrong = q[start : start + n] ^ r[start + o : start + o + n]
+                rate = int(np.bitwise_count(wrong).sum()) / (32.0 * n)
+                votes = int((wrong == 0).sum())
+                if rate <= MOST_WRONG and votes >= LEAST_VOTES:
+                    now = (rate, -votes, o, n)
+                    best[i, j] = min(best.get((i, j), now), now)
+            for (i, j), (rate, votes, o, n) in best.items():
+                yield qa + i, ra + j, o, -votes, n, rate
+
+
+def _blocks(classes: DataFrame, name: str, size: int) -> DataFrame:
+    """(name, name_ids, name_ints): a row for about `size` classes; name is the number of the block."""
+    n = classes.count()
+    many = max(1, -(-n // size))
+    block = F.pmod(F.xxhash64("class_id"), F.lit(many)).cast("int")
+    return classes.groupBy(block.alias(name)).agg(F.collect_list(F.struct("class_id", "ints")).alias("x")).select(name, F.col("x.class_id").alias(f"{name}_ids"), F.col("x.ints").alias(f"{name}_ints"))
+
+
+def alignments(classes: DataFrame) -> DataFrame:
+    """(q, r, offset, votes, overlap, bit_error_rate): the best alignment of each asked class and other class that match.
+
+    classes: (class_id, asked, ints). No key of equal bits is selective at these
+    thresholds (one that finds nine in ten matches of 16 integers also joins most other pairs), so
+    blocks of asked classes meet blocks of all classes and nothing is left out.
+    """
+    usable = classes.filter(F.size("ints") >= LEAST_OVERLAP).select("class_id", "asked", "ints")
+    asked = settle(_blocks(usable.filter("asked"), "q", _QUERY_BLOCK), "asked")
+    found = settle(_blocks(usable, "r", _CLASS_BLOCK), "blocks")
+    pairs = asked.select("q").crossJoin(found.select("r"))
+    pairs = pairs.join(asked.hint("merge"), "q").join(found.hint("merge"), "r").select("q_ids", "q_ints", "r_ids", "r_ints")
+
+    def prints(col: pa.Array) -> list[np.ndarray]:
+        return [x.values.to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32) for x in col]
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                q, r = (b.column(c)[i].as_py() for c in (0, 2))
+                rows = [(q[x], r[y], *more) for x, y, *more in closest(prints(b.column(1)[i].values), prints(b.column(3)[i].values)) if q[x] != r[y]]
+                kinds = (*[pa.int64()] * 5, pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], k) for c, k in enumerate(kinds)], names=["q", "r", "offset", "votes", "overlap", "bit_error_rate"])
+
+    return map_arrow(pairs, fn, "q long, r long, offset long, votes long, overlap long, bit_error_rate double")
+
+
 def align(prints: DataFrame, id_col: str = "vec_id", every: int = 100) -> DataFrame:
     """id_col, class_id, n_ints, fingerprint, is_query, matches: one row for each recording.
 
     class_id is the smallest id with the same fingerprint. Queries are the classes that
-    hold an id divisible by `every`, against all classes. Equal integers vote
-    for an offset; an offset with `LEAST_VOTES` votes is verified by the
-    wrong bits over the overlap. matches lists, for the row's class as the one found, the
+    hold an id divisible by `every`, against all classes, at every offset of
+    `LEAST_OVERLAP` integers or more: the one with the fewest wrong bits over the
+    overlap matches, if they are at most `MOST_WRONG`; votes counts its equal integers. matches lists, for the row's class as the one found, the
     query classes that it matches: (query_class, offset, votes, overlap, bit_error_rate).
 
     Recordings that are null or too short have no integers; they are one class, which
@@ -129,16 +210,7 @@ def align(prints: DataFrame, id_col: str = "vec_id", every: int = 100) -> DataFr
     own = settle(prints.withColumn("fp", F.sha2(F.coalesce(F.array_join(F.col("ints").cast("array<string>"), ","), F.lit("")), 256)), "ints")
     classes = own.groupBy("fp").agg(F.min(id_col).alias("class_id"), F.max(F.coalesce(F.col(id_col) % every == 0, F.lit(False))).alias("asked"), F.first("ints").alias("ints"))
     classes = settle(classes.filter(F.col("class_id").isNotNull()), "classes")
-    spots = lambda df, a: df.select(F.col("class_id").alias(a), F.posexplode("ints").alias(f"{a}_at", "x"))
-    asked = spots(classes.filter("asked"), "q")
-    votes = asked.join(spots(classes, "r"), "x").filter("q <> r").groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= LEAST_VOTES)
-    votes = settle(votes, "offsets")
-    pairs = votes.join(classes.select(F.col("class_id").alias("q"), F.col("ints").alias("a")), "q").join(classes.select(F.col("class_id").alias("r"), F.col("ints").alias("b")), "r")
-    start, stop = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("a"), F.size("b") - F.col("offset"))
-    pairs = pairs.withColumn("start", start).withColumn("overlap", stop - start).filter(F.col("overlap") >= LEAST_OVERLAP)
-    wrong = F.aggregate(F.zip_with(F.slice("a", F.col("start") + 1, F.col("overlap")), F.slice("b", F.col("start") + F.col("offset") + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.withColumn("bit_error_rate", wrong / (F.col("overlap") * 32.0)).filter(F.col("bit_error_rate") <= MOST_WRONG)
-    best = pairs.groupBy("q", "r").agg(F.min(F.struct("bit_error_rate", (-F.col("votes")).alias("v"), "offset", "overlap")).alias("m"))
-    matches = best.groupBy(F.col("r").alias("class_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("q").alias("query_class"), "m.offset", (-F.col("m.v")).alias("votes"), "m.overlap", "m.bit_error_rate"))).alias("matches"))
+    best = alignments(classes).select("r", F.struct("q", F.col("offset").cast("int").alias("offset"), "votes", F.col("overlap").cast("int").alias("overlap"), "bit_error_rate").alias("m"))
+    matches = best.groupBy(F.col("r").alias("class_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("m.q").alias("query_class"), "m.offset", "m.votes", "m.overlap", "m.bit_error_rate"))).alias("matches"))
     label = classes.select("fp", "class_id", "asked").join(matches, "class_id", "left")
     return own.join(label, "fp", "left").select(id_col, "class_id", F.coalesce(F.size("ints"), F.lit(0)).cast("long").alias("n_ints"), F.col("fp").alias("fingerprint"), F.coalesce(F.col(id_col) % every == 0, F.lit(False)).alias("is_query"), "matches")
