@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from trialfuse.llm import lines, simhash, substring, suffix_array
+from trialfuse.llm import lines, repeats, simhash, substring, suffix_array
 from trialfuse.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, done string, l string, _rid string"
@@ -85,6 +86,24 @@ def test_bytes(spark, seed):
     assert any(r.n_spans > 1 for r in got)
 
 
+@pytest.mark.parametrize("unit, length, within", [("byte", 50, False), ("word", 20, True)])
+def test_windows_of_one_name_are_told_apart(monkeypatch, unit, length, within):
+    """All names clash: only a window that does occur earlier is found."""
+    monkeypatch.setattr(repeats.Named, "name", lambda self, n, at: np.full(len(at), 1 << 60, np.uint64))
+    rnd = random.Random(4)
+    some = lambda letters, n: [rnd.choice(letters) for _ in range(n)]
+    passage = some("def", length + 7)
+    docs = [some("abc", 90) + passage + some("abc", 40), some("ghi", 110) + passage + some("ghi", 60)]
+    kind = repeats.Kind(unit, length, length // 2, within)
+    opened = [np.arange(len(d) - kind.core + 1).astype("<u4").tobytes() for d in docs]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([("" if unit == "byte" else " ").join(d) for d in docs]), pa.array(opened)], names=["_rid", "text", "open"])
+    got = set()
+    for out in repeats._windows(kind, 1)(iter([batch])):
+        for d, p in zip(out.column("done_d").to_pylist(), out.column("done_p").to_pylist()):
+            got |= set(zip(repeats.unpack(d).tolist(), repeats.unpack(p).tolist())) if d else set()
+    assert got == {(2, 110 + i) for i in range(8)}
+
+
 def test_hot_passage_in_many_partitions(spark):
     rnd = random.Random(9)
     hot = " ".join(f"h{rnd.randrange(1000)}" for _ in range(45))

@@ -9,7 +9,9 @@
 3. Only where a core occurs with different surroundings, its windows
    are named in full and bucketed again.
 
-Names are 64-bit hashes built by doubling; entries travel as packed columns,
+Names are 64-bit hashes built by doubling. A core is told by 54 bits of its name
+and 40 of its surroundings', a window by 64 bits of its name and 40 of a second
+one that is made from its units in another way; units themselves are not compared. Entries travel as packed columns,
 one row for each bucket and map task. Each map task first settles what it can
 by itself and sends at most a few entries for a core or window, however often
 it occurs, so no bucket grows with the largest group.
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
+    BYTE_NAMES,
     RID,
     bucket_count,
     by_group,
@@ -48,6 +51,8 @@ FLUSH = 2_000_000
 _FLAG = np.uint32(1 << 31)
 _C_MASK = np.uint64((1 << 40) - 1)
 _K_BITS = 54
+_SECOND = np.uint64(0xB5297A4D3F84D5B5)
+_SECOND_BYTES = np.random.default_rng(20240608).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MAPPED = "bucket int, k binary, c binary, d binary, p binary, done_d binary, done_p binary, open_d binary, open_p binary"
 FOUND = "bucket int, done_d binary, done_p binary, open_d binary, open_p binary"
 PLACES = f"{RID} long, done binary, open binary"
@@ -70,7 +75,7 @@ class Kind:
 class Named:
     """Names of runs of units over a chunk of documents, `reach` empty units apart."""
 
-    def __init__(self, kind: Kind, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, kind: Kind, data: np.ndarray, offsets: np.ndarray, table: np.ndarray = BYTE_NAMES):
         self.kind, gap = kind, kind.reach
         n = len(offsets) - 1
         if kind.unit == "byte":
@@ -79,7 +84,7 @@ class Named:
         else:
             base = offsets[0]
             # a word never runs over the end of a document
-            units, starts, self.sizes = split_words(data[base : offsets[-1]], offsets - base)
+            units, starts, self.sizes = split_words(data[base : offsets[-1]], offsets - base, table)
         self.first = np.cumsum(np.r_[0, self.sizes[:-1] + gap]) + gap if n else np.zeros(0, np.int64)
         total = int(self.sizes.sum()) + gap * (n + 1) + kind.length + 8
         buf = np.zeros(total, units.dtype)
@@ -104,6 +109,14 @@ class Named:
             out = mix2(out, h[at + off])
         return out
 
+    def second(self, length: int, at: np.ndarray) -> np.ndarray:
+        """Another name, from the first units themselves and not from names of names."""
+        h, p = self.names[self.base], self.base
+        out = np.full(len(at), length, np.uint64)
+        for off in (*range(0, length - p, p), length - p):
+            out = mix(h[at + off] ^ _SECOND, out)
+        return out
+
     def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document, unit) of buffer places."""
         doc = np.searchsorted(self.first, at, side="right") - 1
@@ -135,23 +148,24 @@ class Named:
         return mix2(self.name(2 * k.length - k.core, at - k.reach), (left * 65536 + right).astype(np.uint64))
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = BYTE_NAMES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(names, starts, words of each document); documents are parted even where a word touches the next."""
     n = len(offsets) - 1
     spaced = np.full(len(data) + n, 0x20, np.uint8)
     sizes = np.diff(offsets)
     spaced[np.arange(len(data)) + np.repeat(np.arange(n), sizes)] = data
-    names, start, _ = word_names(spaced)
+    names, start, _ = word_names(spaced, table)
     own = np.searchsorted(offsets[:-1] + np.arange(n), start, side="right") - 1
     return names, start - own, np.bincount(own, minlength=n)[:n] if n else np.zeros(0, np.int64)
 
 
-def resolve(k, c, d, p, flag, within: bool):
+def resolve(k, c, d, p, flag, within: bool, opens: bool = True):
     """What the entries tell among themselves; each output is an array of indices.
 
     done: an entry with the same k and c comes earlier. open: k occurs with
     different c in different documents (or places), or has been said to.
     keep: entries that others need; shared: of keep, those whose k is open.
+    Without opens, none is: k and c are one name.
     """
     none = np.zeros(0, np.int64)
     if not len(k):
@@ -175,7 +189,7 @@ def resolve(k, c, d, p, flag, within: bool):
     differ = np.add.reduceat(newc.astype(np.int64), kstart) > 1
     if not within:
         differ &= np.minimum.reduceat(dm, kstart) != np.maximum.reduceat(dm, kstart)
-    shared = (differ | np.logical_or.reduceat(flag[m], kstart))[g]
+    shared = (differ | np.logical_or.reduceat(flag[m], kstart))[g] & opens
     opened = m[shared & ~done]
     s = m[shared]
     s = s[np.lexsort((p[s], d[s], k[s]))]
@@ -184,14 +198,15 @@ def resolve(k, c, d, p, flag, within: bool):
     return m[done], np.concatenate([opened, alone[flag[alone]]]), keep, np.concatenate([lead, alone[flag[alone]]])
 
 
-def _flush(parts: list[tuple], buckets: int, within: bool) -> Iterator[pa.RecordBatch]:
+def _flush(parts: list[tuple], buckets: int, within: bool, opens: bool = True) -> Iterator[pa.RecordBatch]:
     if not parts:
         return
     k, c, d, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-    k = k & np.uint64((1 << _K_BITS) - 1)
+    if opens:
+        k = k & np.uint64((1 << _K_BITS) - 1)
     c = c & _C_MASK
     flag = np.zeros(len(k), bool)
-    done, opened, keep, shared = resolve(k, c, d, p, flag, within)
+    done, opened, keep, shared = resolve(k, c, d, p, flag, within, opens)
     flag[shared] = True
     of = lambda names: _bucket_of(names, buckets)
     empty = np.zeros(0, np.int64)
@@ -226,13 +241,13 @@ def _bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
     return ((names * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
 
 
-def _reduce(within: bool, buckets: int) -> Callable[[pa.Table], pa.Table]:
+def _reduce(within: bool, buckets: int, opens: bool = True) -> Callable[[pa.Table], pa.Table]:
     def fn(t: pa.Table) -> pa.Table:
         get = lambda name, f: [f(x) for x in t.column(name).to_pylist() if x is not None]
         k, c, d, p = joined(get("k", unpack_sorted), np.uint64), joined(get("c", _unpack_c), np.uint64), joined(get("d", unpack), np.int64), joined(get("p", unpack), np.uint32)
         flag = (p & _FLAG) != 0
         p = (p & ~_FLAG).astype(np.int64)
-        done, opened, _, _ = resolve(k, c, d, p, flag, within)
+        done, opened, _, _ = resolve(k, c, d, p, flag, within, opens)
         docs, places = [], []
         for at, name in ((done, "done"), (opened, "open")):
             docs.append(np.concatenate([d[at], *get(f"{name}_d", unpack)]))
@@ -292,6 +307,7 @@ def _windows(kind: Kind, buckets: int):
             opened = batch.column(2).to_pylist()
             for i, j in chunks_of_docs(offsets, CHUNK_BYTES):
                 named = Named(kind, data, offsets[i : j + 1])
+                other = named if kind.unit == "byte" else Named(kind, data, offsets[i : j + 1], _SECOND_BYTES)
                 for x in range(j - i):
                     at = _places(opened[i + x])
                     lo, hi = np.maximum(at - kind.reach, 0), np.minimum(at, named.sizes[x] - kind.length)
@@ -299,13 +315,13 @@ def _windows(kind: Kind, buckets: int):
                     np.add.at(mark, lo, 1)
                     np.add.at(mark, hi + 1, -1)
                     s = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-                    w = named.name(kind.length, s + named.first[x])
-                    parts.append((w, np.zeros(len(w), np.uint64), np.full(len(w), ids[i + x], np.int64), s))
+                    w, v = named.name(kind.length, s + named.first[x]), other.second(kind.length, s + named.first[x])
+                    parts.append((w, v, np.full(len(w), ids[i + x], np.int64), s))
                     n += len(w)
                 if n >= FLUSH:
-                    yield from _flush(parts, buckets, kind.within)
+                    yield from _flush(parts, buckets, kind.within, opens=False)
                     parts, n = [], 0
-        yield from _flush(parts, buckets, kind.within)
+        yield from _flush(parts, buckets, kind.within, opens=False)
 
     return fn
 
@@ -335,7 +351,7 @@ def repeats(docs: DataFrame, kind: Kind, per_byte: float) -> DataFrame:
     first = settle(first, "cores")
     opened = first.filter("open_d is not null").select("bucket", F.lit(None).cast("binary").alias("done_d"), F.lit(None).cast("binary").alias("done_p"), "open_d", "open_p")
     opened = opened.groupBy("bucket").applyInArrow(_by_document, PLACES).select(RID, "open")
-    second = map_arrow(docs.select(RID, "text").join(opened, RID).select(RID, "text", "open"), _windows(kind, buckets), MAPPED).groupBy("bucket").applyInArrow(reduce, FOUND)
+    second = map_arrow(docs.select(RID, "text").join(opened, RID).select(RID, "text", "open"), _windows(kind, buckets), MAPPED).groupBy("bucket").applyInArrow(_reduce(kind.within, buckets, opens=False), FOUND)
     second = settle(second.filter("done_d is not null").select("bucket", "done_d", "done_p"), "found")
     done = first.filter("done_d is not null").select("bucket", "done_d", "done_p", F.lit(None).cast("binary").alias("open_d"), F.lit(None).cast("binary").alias("open_p"))
     both = done.unionByName(second.select("bucket", F.lit(None).cast("binary").alias("done_d"), F.lit(None).cast("binary").alias("done_p"), F.col("done_d").alias("open_d"), F.col("done_p").alias("open_p")))
