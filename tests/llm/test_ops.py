@@ -24,13 +24,13 @@ def docs_of(spark, rows):
 
 def brute_leaks(docs, items, k=5, share=0.8):
     words = lambda t: [w for w in re.split(r"[^\w]|_", (t or "").lower()) if w]
-    cut = lambda w: {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    cut = lambda w, k: {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
     out = set()
     for d, t in docs:
-        has = cut(words(t))
         for i, x in items:
-            want = cut(words(x))
-            if want and len(want & has) >= math.ceil(round(len(want) * share, 6)):
+            n = min(k, len(words(x)))  # an item of fewer words is one shingle
+            want, has = cut(words(x), n), cut(words(t), n)
+            if n and len(want & has) >= math.ceil(round(len(want) * share, 6)):
                 out.add((d, i, len(want), len(want & has)))
     return out
 

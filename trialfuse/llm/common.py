@@ -12,7 +12,6 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 RID = "_rid"
 ARROW_ROWS = 1000
@@ -58,14 +57,16 @@ def with_row_ids(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, text, carry..., _rid): _rid is the id where ids are unique and not null.
 
     Otherwise rows that share an id, or have none, count as documents of their
-    own, ordered by (id, nulls first; text; what is carried), and _rid is the place in that order.
+    own, ordered by (id, nulls first; hash of text and what is carried; place in the input), and _rid ascends
+    in that order: one range-partitioned sort, whose keys are short and which parts rows of one id too.
     """
     own = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     seen = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("doc_id").isNull() | (F.col("n") > 1))
     if seen.isEmpty():
         return own.withColumn(RID, F.col("doc_id"))
-    placed = own.sort(*[F.asc_nulls_first(c) for c in own.columns]).rdd.zipWithIndex()
-    return df.sparkSession.createDataFrame(placed.map(lambda x: (*x[0], x[1])), T.StructType([*own.schema.fields, T.StructField(RID, T.LongType())]))
+    placed = own.withColumn("_h", F.xxhash64("text", *carry)).withColumn("_in", F.monotonically_increasing_id())
+    placed = placed.sort(F.asc_nulls_first("doc_id"), "_h", "_in").drop("_h", "_in")
+    return settle(placed.withColumn(RID, F.monotonically_increasing_id()), "rows")
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
