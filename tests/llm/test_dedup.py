@@ -5,11 +5,10 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 
-from trialfuse.llm import lines, repeats, simhash, substring, suffix_array
+from trialfuse.llm import lines, simhash, substring, suffix_array
 from trialfuse.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, done string, l string, _rid string"
@@ -86,22 +85,60 @@ def test_bytes(spark, seed):
     assert any(r.n_spans > 1 for r in got)
 
 
-@pytest.mark.parametrize("unit, length, within", [("byte", 50, False), ("word", 20, True)])
-def test_windows_of_one_name_are_told_apart(monkeypatch, unit, length, within):
-    """All names clash: only a window that does occur earlier is found."""
-    monkeypatch.setattr(repeats.Named, "name", lambda self, n, at: np.full(len(at), 1 << 60, np.uint64))
-    rnd = random.Random(4)
-    some = lambda letters, n: [rnd.choice(letters) for _ in range(n)]
-    passage = some("def", length + 7)
-    docs = [some("abc", 90) + passage + some("abc", 40), some("ghi", 110) + passage + some("ghi", 60)]
-    kind = repeats.Kind(unit, length, length // 2, within)
-    opened = [np.arange(len(d) - kind.core + 1).astype("<u4").tobytes() for d in docs]
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([("" if unit == "byte" else " ").join(d) for d in docs]), pa.array(opened)], names=["_rid", "text", "open"])
-    got = set()
-    for out in repeats._windows(kind, 1)(iter([batch])):
-        for d, p in zip(out.column("done_d").to_pylist(), out.column("done_p").to_pylist()):
-            got |= set(zip(repeats.unpack(d).tolist(), repeats.unpack(p).tolist())) if d else set()
-    assert got == {(2, 110 + i) for i in range(8)}
+def test_names_that_clash_lose_and_add_nothing(spark, monkeypatch):
+    """Rows of surroundings of one name are told apart by their bytes."""
+    rnd = np.random.default_rng(4)
+    rows = rnd.integers(97, 99, (200, 8), dtype=np.uint8).repeat(2, axis=0)
+    rows[::3, :7] = 97
+    want = len({r.tobytes() for r in rows})
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(suffix_array, "_names_of_rows", lambda r: np.zeros(len(r), np.uint64))
+        first, which = suffix_array.distinct_rows(rows)
+        assert len(first) == want and (rows[first[which]] == rows).all()
+
+
+def test_refinement_by_bucket_pointers():
+    """Windows around one q-gram against brute force, for lengths that are and are not twice another."""
+    rnd = np.random.default_rng(5)
+    for length, q in ((50, 26), (32, 16), (64, 33), (20, 12)):
+        reach, n = length - q, 300
+        rows = np.zeros((n, suffix_array._width(length, q)), np.uint8)
+        rows[:, : 2 * length - q] = rnd.integers(97, 99, (n, 2 * length - q), dtype=np.uint8)
+        base = rows[:4].copy()
+        for i in range(n):
+            if i % 3:
+                rows[i] = base[i % 4]
+                k = rnd.integers(0, 2 * length - q)
+                rows[i, k if i % 2 else 0] ^= 3
+        rows[:, reach : reach + q] = np.where(np.arange(n)[:, None] % 5 == 4, 100, 101)
+        rows[:, 2 * length - q], rows[:, 2 * length - q + 1] = 0, reach
+        rows[::7, 2 * length - q] = 3
+        docs = rnd.integers(0, 60, n)
+        seen = {}
+        for r, d in zip(rows, docs):
+            for a in range(r[2 * length - q], reach + 1):
+                key = (a, r[reach - a : reach - a + length].tobytes())
+                seen[key] = min(seen.get(key, 99), int(d))
+        want = [sum(1 << (reach - a) for a in range(r[2 * length - q], reach + 1) if seen[a, r[reach - a : reach - a + length].tobytes()] < d) for r, d in zip(rows, docs)]
+        assert suffix_array.refine(rows, docs, length, q).tolist() == want and any(want)
+
+
+@pytest.mark.parametrize("hot", [0, 10**9])
+def test_hot_qgrams_and_very_long_texts(spark, monkeypatch, hot):
+    """All windows dealt out one by one, or none; texts of many parts."""
+    monkeypatch.setattr(suffix_array, "HOT", hot)
+    rnd = random.Random(7)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    passage = " ".join(word() for _ in range(3000))
+    # the edges of a part lie in a repeated passage
+    long = [" ".join(word() for _ in range(40_000 + 70_000 * i)) + passage * 45 + " ".join(word() for _ in range(99_000)) for i in range(2)]
+    assert min(len(x) for x in long) > 3 * suffix_array.CHUNK_BYTES
+    rows = [(1, long[0]), (2, long[1]), (3, "-" * 3000), (4, "-" * 900), (5, "a " + "-" * 60), (6, passage)]
+    df = spark.createDataFrame([(i, t, "", "", "", "") for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array.repeated_bytes(df).collect()}
+    assert got == brute_bytes(rows, 50)
+    assert got[2][1] > len(passage) and got[4][1] == 900
 
 
 def test_hot_passage_in_many_partitions(spark):
