@@ -97,13 +97,14 @@ def leaks_of(own: DataFrame, items: DataFrame, k: int = SHINGLE, containment: fl
     """
     own = own.select(RID, "doc_id", "text")
     tests, signatures, lengths = item_signatures(items, k, containment)
-    seen = own.select(RID, F.explode(_of_lengths(words(F.col("text")), lengths, shingle_names)).alias("h"))
+    # word arrays are columns of their own: inside a shingle's lambda they would be cut again for each shingle
+    seen = own.select(RID, words(F.col("text")).alias("_w")).select(RID, F.explode(_of_lengths(F.col("_w"), lengths, shingle_names)).alias("h"))
     candidates = settle(seen.join(small(signatures, 48), "h").select(RID, _ITEM).distinct(), "candidates")
     n = candidates.count()
     few = n * 96 <= BROADCAST_BYTES
     wanted = candidates.groupBy(RID).agg(F.collect_list(_ITEM).alias("items"))
     met = own.join(F.broadcast(wanted) if few else wanted, RID)
-    met = met.select(RID, "doc_id", "items", _of_lengths(words(F.col("text")), lengths, shingle_texts).alias("_has"))
+    met = met.select(RID, "doc_id", "items", words(F.col("text")).alias("_w")).select(RID, "doc_id", "items", _of_lengths(F.col("_w"), lengths, shingle_texts).alias("_has"))
     size = tests.agg(F.sum(F.aggregate("shingles", F.lit(64).cast("long"), lambda a, s: a + F.octet_length(s) + 16))).first()[0] or 0
     pairs = met.select(RID, "doc_id", "_has", F.explode("items").alias(_ITEM)).join(F.broadcast(tests) if size <= BROADCAST_BYTES else tests, _ITEM)
     pairs = pairs.withColumn("n_shared", F.size(F.array_intersect("shingles", "_has"))).filter("n_shared >= need")
