@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -141,6 +142,67 @@ def test_hot_qgrams_and_very_long_texts(spark, monkeypatch, hot):
     assert got[2][1] > len(passage) and got[4][1] == 900
 
 
+def clashing_words(n=1024):
+    """Two words that a polynomial modulo 2**64 cannot tell apart, whatever its base."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_one_polynomial_hash(spark):
+    a, b = clashing_words()
+    rest = " ".join(f"r{i}" for i in range(19))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}")]
+    got = {r.doc_id: r.n_removed for r in substring.repeated_words(spark.createDataFrame([(*r, "", "", "", "") for r in rows], SCHEMA)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_levels_double_what_repeats(spark):
+    """Survivors of each level: five words, then ten around them, then twenty; none after the level that loses all."""
+    w = lambda x, n: [f"{x}_{i}" for i in range(n)]
+    both = lambda n: [sum((w(f"{x}{j}", 30) + w(f"s{j}", n) for j in range(20)), []) for x in "ab"]
+    cases = {"once": both(0), "five": both(7), "fifteen": both(15), "thirty": both(30)}
+    found = {}
+    for name, docs in cases.items():
+        data = [" ".join(d).encode() for d in docs]
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([d.decode() for d in data])], names=["_rid", "text"])
+        alive, seen = batch, []
+        for level in (1, 2, 3):
+            sent = [pa.Table.from_batches([x]) for x in substring._looked_at(20, level, 1)(iter([alive]))]
+            told = substring._met(level, 1)(pa.concat_tables(sent))
+            get = lambda c: np.concatenate([np.zeros(0, np.int64), *(substring.unpack(x).astype(np.int64) for x in told.column(c).to_pylist() if x is not None)])  # noqa: B023, E731
+            o = list(zip(get("o_d").tolist(), get("o_s").tolist(), get("o_m").tolist()))
+            seen.append((len(o), len(get("z_d"))))
+            if not o:
+                break
+            starts = [np.unique([s + i for d, s, m in o if d == x for i in range(32 if level > 1 else 1) if m >> i & 1]).astype("<u4").tobytes() for x in (1, 2)]
+            alive = pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts)], names=["_rid", "text", "starts"])
+        found[name] = seen
+    assert found["once"] == [(0, 0)]
+    assert [len(found[x]) for x in ("five", "fifteen", "thirty")] == [2, 3, 3]
+    assert found["five"][0][0] > 0 == found["five"][1][0]
+    assert found["fifteen"][1][0] > 0 == found["fifteen"][2][1]
+    assert sum(z for _, z in found["thirty"]) > 0 and found["thirty"][0][0] < 400
+
+
+@pytest.mark.parametrize("length", [2, 3, 7, 20, 33])
+def test_word_windows_of_other_lengths(spark, length):
+    rows = corpus(8, 40)
+    got = substring.repeated_words(spark.createDataFrame(rows, SCHEMA), length).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(rows, length)
+
+
+def test_very_long_texts_of_words(spark, monkeypatch):
+    rnd = random.Random(17)
+    word = lambda: f"w{rnd.randrange(3000)}"
+    passage = [word() for _ in range(500)]
+    long = [[word() for _ in range(150_000)] + passage + [word() for _ in range(99_900 + i)] + passage for i in range(2)]
+    rows = [(1, " ".join(long[0])), (2, "\n".join(long[1])), (3, "x" * 300_000 + " y"), (4, " ".join(passage)), (5, "z " * 60_000)]
+    assert min(len(x) for x in long) > 2 * substring.PART_WORDS
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.repeated_words(spark.createDataFrame([(*r, "", "", "", "") for r in rows], SCHEMA)).collect()}
+    assert got == brute_words(rows, 20)
+    assert got[4][1] == 500
+
+
 def test_hot_passage_in_many_partitions(spark):
     rnd = random.Random(9)
     hot = " ".join(f"h{rnd.randrange(1000)}" for _ in range(45))
