@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,18 @@ class Codec:
 
     Marked words: runs of marks with what follows up to the next mark; no
     piece has a mark after another character, so words are encoded alone.
-    The forward pass keeps for each prefix of a word the last piece of its encoding. A piece
-    that ends a longer prefix is right if, joined to the last piece before it, the
-    merges part them there again; exactly one piece is. A prefix that words share is
-    scored once: the words are sorted, and the pass goes down and up their trie.
+    A Viterbi pass keeps, for each prefix of a word, the score of its best path, the last piece
+    of that path and where it starts. The score of a path is the sum of its pieces' scores in the
+    model. A step is allowed if, joined to the last piece before it, the merges part the two
+    there again: the model is BPE, whose encoding is not the best sum of scores over all
+    paths, but the only path whose steps are all allowed. The words are sorted into a trie, which the pass
+    goes through depth-first: forward scores of a prefix that words share are made once.
     """
 
-    def __init__(self, model: str = MODEL):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.size = sp.vocab_size()
         self.pieces = [sp.id_to_piece(i) for i in range(self.size)]
         self.score = [sp.get_score(i) for i in range(self.size)]
@@ -52,6 +55,8 @@ class Codec:
         self.number: dict[str, int] = {}  # of whole pieces, and of single characters as they turn up
         self.text: list[str] = []
         self.packed: list[bytes] = []
+        self.gain: list[float] = []  # score of each
+        self.worst = min(self.score) - 10
         for p in sorted(self.whole):
             self.add(p)
         ends: dict[str, set[int]] = {}
@@ -81,6 +86,7 @@ class Codec:
         n = self.number[piece] = len(self.text)
         self.text.append(piece)
         self.packed.append(np.array(self.tokens(piece), "<i4").tobytes())
+        self.gain.append(self.score[self.ids[piece]] if piece in self.ids else self.worst)
         return n
 
     def parted(self, a: int, b: int) -> bool:
@@ -102,44 +108,47 @@ class Codec:
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Token ids, as packed <i4, of distinct words."""
         out: dict[str, bytes] = {}
-        last: list[int] = []  # last piece of the encoding of each prefix
-        back: list[int] = []  # and where it starts
-        before, number, lengths, fits, parted, packed = "", self.number, self.lengths, self.fits, self.parted, self.packed
+        # of each prefix of the word: the best path's score, its last piece, and where that starts
+        forward: list[float] = [0.0]
+        last: list[int] = [-1]
+        back: list[int] = [-1]
+        before, number, lengths, fits, parted, packed, gain = "", self.number, self.lengths, self.fits, self.parted, self.packed, self.gain
         nothing = ()
         for word in sorted(words):
             n, m = 0, min(len(before), len(word))
             while n < m and before[n] == word[n]:
                 n += 1
-            del last[n:], back[n:]
+            del forward[n + 1 :], last[n + 1 :], back[n + 1 :]
             for end in range(n + 1, len(word) + 1):
-                start = end - 1
-                if start:
-                    for size in lengths.get(word[end - 2 : end], nothing):
-                        at = end - size
-                        if at > 0:
-                            piece = number.get(word[at:end])
-                            if piece is not None:
-                                fit = fits.get(last[at - 1] << 21 | piece)
-                                if fit or fit is None and parted(last[at - 1], piece):
-                                    start = at
-                                    break
-                        elif not at:
-                            piece = number.get(word[:end])
-                            if piece is not None:
-                                start = 0
-                                break
-                if start == end - 1:  # one character where no longer piece is right
-                    char = word[start]
-                    piece = number.get(char)
+                best = start = piece = None
+                for size in lengths.get(word[end - 2 : end], nothing) if end > 1 else nothing:
+                    at = end - size
+                    if at < 0:
+                        continue
+                    p = number.get(word[at:end])
+                    if p is None:
+                        continue
+                    if at:
+                        fit = fits.get(last[at] << 21 | p)
+                        if not (parted(last[at], p) if fit is None else fit):
+                            continue
+                    score = forward[at] + gain[p]
+                    if best is None or score > best:
+                        best, start, piece = score, at, p
+                if best is None:  # one character where no longer piece is allowed
+                    start = end - 1
+                    piece = number.get(word[start])
                     if piece is None:
-                        piece = self.add(char)
+                        piece = self.add(word[start])
+                    best = forward[start] + gain[piece]
+                forward.append(best)
                 last.append(piece)
                 back.append(start)
             before = word
             code, end = [], len(word)
             while end:
-                code.append(packed[last[end - 1]])
-                end = back[end - 1]
+                code.append(packed[last[end]])
+                end = back[end]
             code.reverse()
             out[word] = b"".join(code)
         return out
@@ -171,10 +180,15 @@ class Codec:
 
 
 @cache
-def codec(model: str = MODEL) -> Codec:
+def codec(model: bytes) -> Codec:
     return Codec(model)
 
 
+def read_model(model: str) -> bytes:
+    """Read once, by the driver; the bytes go along with the plan, so executors need no such file."""
+    return Path(model).read_bytes()
+
+
 def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a bounded size; a longer text stands alone."""
     _, offsets = utf8(batch.column(1))
@@ -186,11 +200,13 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     """(id_col, ids array<int>): the ids that the library gives for each whole text.
 
     Null or empty text: no ids. Repeated rows, null or repeated ids: each row
-    by itself. Other columns are ignored; an empty table gives an empty result.
+    by itself. Very long texts are encoded whole, one at a time; words of more than 64 characters are
+    not kept for later texts. Other columns are ignored; an empty table gives an empty result.
     """
+    proto = read_model(model)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
+        c = codec(proto)
         for b in batches:
             for part in groups(b):
                 packed = c.encode_batch(part.column(1).to_pylist())
@@ -203,10 +219,11 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
 
 
 def decode(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, text) of the ids; null ids give empty text."""
+    """(id_col, text) of the ids, each row by itself; null or no ids give empty text, an empty table an empty one."""
+    proto = read_model(model)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
+        c = codec(proto)
         for b in batches:
             text = [c.decode(np.asarray(x.values if x.is_valid else [], np.int64)) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=[id_col, "text"])
@@ -218,11 +235,13 @@ def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip: encoded and decoded in one pass.
 
     round_trip: the decoded text is the text, whose marks (U+2581) count as
-    the spaces that they decode to.
+    the spaces that they decode to. Nulls, empty, very long and repeated rows
+    and other columns: as encode(); no ids have the digest of nothing.
     """
+    proto = read_model(model)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
+        c = codec(proto)
         for b in batches:
             n, digest, back, same = [], [], [], []
             for part in groups(b):
