@@ -150,12 +150,20 @@ def near_links(classes: DataFrame, bits: int = BITS) -> DataFrame:
     n = classes.count()
     buckets = bucket_count(spark, n * 85)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Fingerprints and their documents, a bounded number at once."""
+        parts, n = [], 0
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            rep = b.column(1).to_numpy(zero_copy_only=False)
-            if not len(fp):
-                continue
+            parts.append((b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)))
+            n += b.num_rows
+            if n >= 20000:
+                yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+                parts, n = [], 0
+        if n:
+            yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fp, rep in gathered(batches):
             key, row = keys(fp)
             to = (mix(key.astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % buckets
             order = np.lexsort((key, to))
@@ -175,9 +183,8 @@ def near_links(classes: DataFrame, bits: int = BITS) -> DataFrame:
         pairs = np.unique(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])], axis=1), axis=0)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     even = classes.select("fp", "rep").repartition(int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20000 + 1)), "fp")
-    return even.mapInArrow(spread, "bucket int, k binary, fp binary, rep binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return map_arrow(even, spread, "bucket int, k binary, fp binary, rep binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
@@ -190,7 +197,9 @@ def simhash_groups(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) ->
     before any key is made. Keys: two of three segments, each decoded to
     the nearby codewords of the Golay code; links are verified on all 64 bits.
 
-    Null and empty texts have fingerprint zero and link like any other. Rows that share an
+    Null and empty texts have fingerprint zero and link like any other. A bit set in exactly half
+    the hashes is 0. Very long texts are read whole, by one task each, and repeated rows
+    are one class. Rows that share an
     id, or have none: see with_row_ids(). Other columns are ignored; an empty
     table gives an empty result.
     """
