@@ -149,21 +149,25 @@ def test_cross_entropy_difference(spark):
     got = lm_scoring.cross_entropy_difference(docs_of(spark, rows), target).collect()
     toks = [(i, (t or "").lower().split()) for i, t in rows]
     vocab = sorted({w for _, t in toks for w in t})
-    size = len(vocab) + 2
 
-    def model(keep):
-        uni, bi = collections.Counter(), collections.Counter()
-        for i, t in toks:
-            if keep(i) and t:
+    def model(keep, without, base=None):
+        """Counts of the documents to keep, but for the one scored; base: the background's unigrams."""
+        uni, con, bi = collections.Counter(), collections.Counter(), collections.Counter()
+        for at, (i, t) in enumerate(toks):
+            if keep(i) and at != without:
                 uni.update(t)
-                uni["<s>"] += 1
+                con.update(["<s>", *t][:-1] if t else [])
                 bi.update(zip(["<s>", *t], t))
-        n = sum(uni.values()) - uni["<s>"]
-        return lambda v, w: 0.7 * bi[v, w] / max(uni[v], 1) + 0.3 * (uni[w] + 1) / (n + size)
+        n = lm_scoring.PRIOR if base else len(vocab)
+        one = lambda w: (uni[w] + (n * base(w) if base else 1)) / (sum(uni.values()) + n)
+        p = lambda v, w: 0.7 * bi[v, w] / con[v] + 0.3 * one(w) if con[v] else one(w)
+        assert all(abs(sum(p(v, w) for w in vocab) - 1) < 1e-12 for v in ("<s>", *vocab, "never seen"))
+        return p, one
 
-    mt, mb = model(lambda i: i in (1, 2)), model(lambda i: True)
     want = []
-    for i, t in toks:
+    for at, (i, t) in enumerate(toks):
+        mb, one = model(lambda i: True, at)
+        mt, _ = model(lambda i: i in (1, 2), at, one)
         loss = lambda m: -sum(math.log(m(v, w)) for v, w in zip(["<s>", *t], t)) / len(t) if t else 0.0  # noqa: B023, E731
         want.append((str(i), len(t), round(loss(mt), 9), round(loss(mt) - loss(mb), 9)))
     assert sorted((str(r.doc_id), r.n_tokens, round(r.loss_target, 9), round(r.score, 9)) for r in got) == sorted(want)
@@ -183,9 +187,9 @@ def test_every_word_and_bigram_is_counted(spark):
     target = spark.createDataFrame([(200 + i,) for i in range(3)], "doc_id long")
     got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs_of(spark, rows), target).collect()}
     want = []
-    for bi, docs, tokens in (((3, 3), 3, 6), ((4, 4), 105, 700_010)):
-        uni = 0.3 * (bi[0] + 1) / (tokens + 8 + 2)
-        want.append(-(math.log(uni + 0.7 * bi[0] / docs) + math.log(uni + 0.7 * bi[1] / bi[0])) / 2)
+    base = (3 + 1) / (700_008 + 8)  # of either word, without document 300 itself
+    for one, docs in (((3 + 1000 * base) / (6 + 1000), 3), (base, 104)):
+        want.append(-(math.log(0.3 * one + 0.7 * 3 / docs) + math.log(0.3 * one + 0.7)) / 2)
     assert abs(got[300].loss_target - want[0]) < 1e-9 and abs(got[300].loss_background - want[1]) < 1e-9
     assert got[300].score < got[301].score
 

@@ -10,16 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, by_group, joined, map_arrow, mix2, pack, pack_sorted, settle, unpack, unpack_sorted, word_names
+from .common import bucket_count, by_group, joined, map_arrow, mix2, pack, pack_sorted, settle, text_bytes, unpack, unpack_sorted, word_names
 
 BIGRAM_WEIGHT = 0.7
+#: Tokens that the background's unigrams add to the target's.
+PRIOR = 1000
 _START = np.uint64(0x5DEECE66D1CE4E5B)
-_CHUNK_TOKENS = 3_000_000
+_CHUNK_TOKENS = 2_000_000
 _CHUNK_DOCS = 200_000
 _NAME_BYTES = 1 << 22
 _FLUSH_WORDS = 700_000
-COUNTED = "chunk long, bucket int, n_words int, code binary, n binary, t binary, ids array<long>, sizes binary, words binary, at binary"
-ANSWERS = "chunk long, bucket int, n_words int, n binary, t binary, n_total long, t_total long"
+CHUNKS = "chunk long, ids array<long>, sizes binary, words binary, at binary"
+COUNTED = "chunk long, bucket int, n_words int, code binary, n binary, t binary, e binary, s binary"
+ANSWERS = "chunk long, bucket int, n_words int, n binary, t binary, e binary, s binary, n_total long, t_total long"
 SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
 
@@ -73,6 +76,8 @@ class Chunk:
         full = sizes[sizes > 0]
         first[np.cumsum(full) - full] = start
         self.first, self.start = first, start
+        self.last = np.cumsum(full) - 1
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
         pairs, self.pair = np.unique(first * len(words) + self.second, return_inverse=True)
         self.pairs = mix2(words[pairs // len(words)], words[pairs % len(words)])
         self.orders = [np.argsort(x) for x in (self.words, self.pairs)]
@@ -81,37 +86,57 @@ class Chunk:
         """A range of names each, so that sorted names differ by little."""
         return ((names >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
 
-    def counts(self, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(background, target) of the words and of the bigrams; target: of each document."""
-        mark = np.repeat(target, self.sizes)
-        out = [[np.bincount(x[m], minlength=n) for m in (slice(None), mark)] for x, n in ((self.second, len(self.words)), (self.pair, len(self.pairs)))]
-        for c, m in zip(out[0], (slice(None), target), strict=True):
-            c[self.start] = (self.sizes[m] > 0).sum()
-        return [(a, t) for a, t in out]
-
-    def losses(self, words: tuple, pairs: tuple, totals: tuple, weight: float) -> list[np.ndarray]:
-        """Mean loss of each document by the background and the target; words, pairs: the corpus's counts of each."""
-        out = []
-        own = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        for c, b, total in zip(words, pairs, totals[1:], strict=True):
-            p = (1 - weight) * (c[self.second] + 1) / (total + totals[0] + 2)
-            p += weight * b[self.pair] / np.maximum(c[self.first], 1)
-            out.append(np.bincount(own, -np.log(p), len(self.sizes)) / np.maximum(self.sizes, 1))
+    def counts(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words, of words that end a text, and of bigrams, in these documents (a boolean for each)."""
+        mark, ends = docs[self.doc], self.last[docs[self.sizes > 0]]
+        words = np.bincount(self.second[mark], minlength=len(self.words))
+        words[self.start] = len(ends)
+        return words, np.bincount(self.second[ends], minlength=len(self.words)), np.bincount(self.pair[mark], minlength=len(self.pairs))
+
+    def within(self, what: np.ndarray) -> np.ndarray:
+        """For each token, how often its document has the same."""
+        _, which, n = np.unique(self.doc * (int(what.max(initial=0)) + 1) + what, return_inverse=True, return_counts=True)
+        return n[which]
+
+    def losses(self, models: list[tuple], vocabulary: int, weight: float) -> list[np.ndarray]:
+        """Mean loss of each document by each model: (words, words that end a text, bigrams, tokens, its documents).
+
+        A document of a model is scored by what the model counts in its other
+        documents. The first model's unigrams lean on the uniform distribution, each later
+        one's on the first's.
+        """
+        own = [self.within(x) for x in (self.second, self.first, self.pair)]
+        out, base = [], None
+        for words, ends, pairs, tokens, docs in models:
+            mine = docs[self.doc]
+            c = words[self.second] - own[0] * mine
+            x = words[self.first] - ends[self.first] - own[1] * mine
+            b = pairs[self.pair] - own[2] * mine
+            one = unigram(c, tokens - (self.sizes * docs)[self.doc], *((1 / max(vocabulary, 1), vocabulary) if base is None else (base, PRIOR)))
+            base = one if base is None else base
+            p = interpolated(one, x, b, weight)
+            out.append(np.bincount(self.doc, -np.log(p), len(self.sizes)) / np.maximum(self.sizes, 1))
         return out
 
 
-def counted(docs: DataFrame, buckets: int) -> DataFrame:
-    """Chunks of documents: a row with their tokens, and one for each bucket with their own counts.
+def unigram(word: np.ndarray, tokens, prior: np.ndarray | float, strength: float) -> np.ndarray:
+    """Probability of a word; as if `strength` tokens more had been seen, dealt out by the prior."""
+    return (word + strength * prior) / (tokens + strength)
+
+
+def interpolated(one: np.ndarray, context: np.ndarray, bigram: np.ndarray, weight: float) -> np.ndarray:
+    """Probability of a word after another. A context that the model lacks leaves all to the unigram."""
+    return np.where(context > 0, (1 - weight) * one + weight * bigram / np.maximum(context, 1), one)
 
-    docs: (doc_id, text, target boolean).
-    """
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """Chunks of documents with their tokens. docs: (doc_id, text)."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
-        target: list[bool] = []
         sizes: list[int] = []
         names: list[np.ndarray] = []
         texts: list[str] = []
@@ -128,29 +153,17 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
             nonlocal chunk, tokens
             named()
             words, at = np.unique(np.concatenate([np.array([_START], np.uint64), *names]), return_inverse=True)
-            at, n = at[1:], np.array(sizes, np.int64)
-            got = Chunk(n, words, at, buckets)
-            rows: dict[int, list] = {}
-            for kind, (codes, order, (a, t)) in enumerate(zip((got.words, got.pairs), got.orders, got.counts(np.array(target, bool)), strict=True)):
-                for to, c, x, y in by_group(got.bucket_of(codes[order]), codes[order], a[order].astype(np.uint32), t[order].astype(np.uint32)):
-                    rows.setdefault(int(to), [None, None])[kind] = (c, x, y)
-            none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
-            made = []
-            for to, (w, b) in rows.items():
-                w, b = w or none, b or none
-                made.append((chunk, to, len(w[0]), pack_sorted(np.r_[w[0], b[0]]), pack(np.r_[w[1], b[1]]), pack(np.r_[w[2], b[2]]), None, None, None, None))
-            made.append((chunk, None, None, None, None, None, list(ids), pack(n.astype(np.uint32)), pack_sorted(words), pack(at.astype(np.uint32))))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.list_(pa.int64()), *[pa.binary()] * 3)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in COUNTED.split(", ")])
-            for x in (ids, target, sizes, names):
+            row = (chunk, list(ids), pack(np.array(sizes, np.uint32)), pack_sorted(words), pack(at[1:].astype(np.uint32)))
+            kinds = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in CHUNKS.split(", ")])
+            for x in (ids, sizes, names):
                 x.clear()
             chunk, tokens = chunk + 1, 0
 
         for b in batches:
-            for i, x, t in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 w = _tokens(x.as_py())
                 ids.append(i)
-                target.append(bool(t))
                 sizes.append(len(w))
                 if w:
                     texts.append(" ".join(w))
@@ -163,29 +176,57 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
         if ids:
             yield from out()
 
-    return map_arrow(docs.select("doc_id", "text", "target"), fn, COUNTED)
+    return map_arrow(docs.select("doc_id", "text"), fn, CHUNKS)
+
+
+def _chunk_of(row: dict, buckets: int) -> tuple[Chunk, np.ndarray]:
+    """The chunk of a row, and which of its documents are of the target."""
+    got = Chunk(unpack(row["sizes"]).astype(np.int64), unpack_sorted(row["words"]), unpack(row["at"]), buckets)
+    target = np.zeros(len(got.sizes), bool)
+    target[row["marks"] or []] = True
+    return got, target
+
+
+def counted(chunks: DataFrame, buckets: int) -> DataFrame:
+    """A row for each chunk and bucket: the chunk's counts of the bucket's words and bigrams."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                got, target = _chunk_of(row, buckets)
+                both = [got.counts(x) for x in (np.ones(len(target), bool), target)]
+                none = (np.zeros(0, np.uint64), *[np.zeros(0, np.uint32)] * 4)
+                rows: dict[int, list] = {}
+                for kind, (codes, order) in enumerate(zip((got.words, got.pairs), got.orders, strict=True)):
+                    values = [x[2 * kind] for x in both] + ([x[1] for x in both] if kind == 0 else [])
+                    for to, *x in by_group(got.bucket_of(codes[order]), codes[order], *(v[order].astype(np.uint32) for v in values)):
+                        rows.setdefault(int(to), [none, none])[kind] = x
+                made = [(row["chunk"], to, len(w[0]), pack_sorted(np.r_[w[0], b[0]]), pack(np.r_[w[1], b[1]]), pack(np.r_[w[2], b[2]]), pack(w[3]), pack(w[4])) for to, (w, b) in rows.items()]
+                kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5)
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in made], k) for c, k in enumerate(kinds)], names=[x.split()[0] for x in COUNTED.split(", ")])
+
+    return map_arrow(chunks, fn, COUNTED)
 
 
 def _answers(t: pa.Table) -> pa.Table:
     """What the corpus counts of each chunk's entries, in the chunk's order, and the bucket's totals in a row without chunk."""
-    code, n, m = (list(map(f, t.column(c).to_pylist())) for c, f in (("code", unpack_sorted), ("n", unpack), ("t", unpack)))
+    code, n, m, e, s = (list(map(f, t.column(c).to_pylist())) for c, f in (("code", unpack_sorted), ("n", unpack), ("t", unpack), ("e", unpack), ("s", unpack)))
     words = t.column("n_words").to_pylist()
     chunks, bucket = t.column("chunk").to_pylist(), t.column("bucket")[0].as_py()
-    parts: list[list[bytes]] = [[], []]
     whole: list[list[list[np.ndarray]]] = [[], []]
     totals = (0, 0, 0)
     for kind in (0, 1):
         cut = lambda x, w, kind=kind: x[:w] if kind == 0 else x[w:]
-        own = [[cut(x, w) for x, w in zip(xs, words, strict=True)] for xs in (code, n, m)]
+        own = [[cut(x, w) for x, w in zip(xs, words, strict=True)] for xs in ((code, n, m, e, s) if kind == 0 else (code, n, m))]
         keys, at = np.unique(joined(own[0], np.uint64), return_inverse=True)
         sums = [np.bincount(at, joined(x, np.uint32), len(keys)).astype(np.int64) for x in own[1:]]
         if kind == 0:
             word = keys != _START
-            totals = (int(word.sum()), *(int(x[word].sum()) for x in sums))
+            totals = (int(word.sum()), *(int(x[word].sum()) for x in sums[:2]))
         ends = np.cumsum([len(x) for x in own[0]])[:-1]
         whole[kind] = [np.split(x[at], ends) for x in sums]
-    for i in (0, 1):
-        parts[i] = [pack(np.r_[a, b]) for a, b in zip(whole[0][i], whole[1][i], strict=True)]
+    parts = [[pack(np.r_[a, b]) for a, b in zip(whole[0][i], whole[1][i], strict=True)] for i in (0, 1)] + [list(map(pack, whole[0][i])) for i in (2, 3)]
     k = len(chunks)
     return pa.table(
         [pa.array([*chunks, None], pa.int64()), pa.array([bucket] * (k + 1), pa.int32()), pa.array([*words, totals[0]], pa.int32()), *(pa.array([*x, None], pa.binary()) for x in parts), *(pa.array([None] * k + [x], pa.int64()) for x in totals[1:])],
@@ -197,16 +238,18 @@ def _score(buckets: int, totals: tuple[int, int, int], weight: float):
     def fn(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         own = next(r for r in rows if r["ids"] is not None)
-        got = Chunk(unpack(own["sizes"]).astype(np.int64), unpack_sorted(own["words"]), unpack(own["at"]), buckets)
+        got, target = _chunk_of(own, buckets)
         told = sorted((r for r in rows if r["ids"] is None), key=lambda r: r["bucket"])
-        counts: list[list[np.ndarray]] = [[], []]
-        for which in ("n", "t"):
-            x = [unpack(r[which]) for r in told]
-            for kind, order in enumerate(got.orders):
-                c = np.zeros(len(order))
-                c[order] = np.concatenate([y[: r["n_words"]] if kind == 0 else y[r["n_words"] :] for y, r in zip(x, told, strict=True)])
-                counts[kind].append(c)
-        g, m = got.losses(*counts, totals, weight)
+
+        def placed(which: str, kind: int) -> np.ndarray:
+            order = got.orders[kind]
+            x = [(unpack(r[which]), r["n_words"]) for r in told]
+            c = np.zeros(len(order))
+            c[order] = joined((y[:w] if kind == 0 else y[w:] for y, w in x), np.int64)
+            return c
+
+        models = [(placed(c, 0), placed(e, 0), placed(c, 1), n, docs) for c, e, n, docs in (("n", "e", totals[1], np.ones(len(target), bool)), ("t", "s", totals[2], target))]
+        g, m = got.losses(models, totals[0], weight)
         return pa.table([pa.array(own["ids"], pa.int64()), pa.array(got.sizes), pa.array(m), pa.array(g), pa.array(m - g)], names=[x.split()[0] for x in SCORES.split(", ")])
 
     return fn
@@ -216,29 +259,33 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, weight: float =
     """doc_id, n_tokens, loss_target, loss_background, score = the mean over tokens of the loss difference; lower: more like the target.
 
     target: (doc_id), the documents of the target domain. Both models are
-    interpolated bigram models of one order, vocabulary and weight, and hold
+    interpolated bigram models of one order, vocabulary (all words) and weight, and hold
     every word and bigram; the background's counts cover all documents, the
-    target's all target documents. Words are lower-cased and split at white space.
+    target's all target documents. Unigrams of the background have one added to each word's count, those of the target
+    PRIOR tokens dealt out by the background's, so that words which the target lacks count against it.
+    Probabilities sum to one over the vocabulary, after every context. A document of a model is scored by the model without it. Words are lower-cased and split at white space.
     No task holds a model: chunks of documents send their own counts to
     buckets of 64-bit names, which sum them and answer each chunk for its
-    entries, and a chunk scores its documents from the answers.
+    entries, and a chunk scores its documents from the answers. Target ids meet the
+    ids of the chunks, not the texts.
 
     Null or wordless text: no tokens, losses and score 0. Rows that share an
-    id, or have none: each row by itself, a target if its id is. Target ids
-    that are null, repeated or without a document do nothing. Other columns are ignored; an
+    id, or have none, and repeated rows: each row by itself, a target if its id is. Target ids
+    that are null, repeated or without a document do nothing. Very long texts are
+    read whole; one is a chunk of its own. Other columns are ignored; an
     empty table gives an empty result.
     """
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    spark = docs.sparkSession
-    ids = target.select(target["doc_id"].cast("long").alias("doc_id"), F.lit(True).alias("target")).filter("doc_id is not null").distinct()
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = bucket_count(spark, size / 9)
-    # a merge join at every size: the target grows with the corpus and is never broadcast
-    marked = own.join(ids.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    chunks = settle(counted(marked, buckets), "chunks")
-    entries = chunks.filter("bucket is not null").select("chunk", "bucket", "n_words", "code", "n", "t")
-    answers = settle(entries.groupBy("bucket").applyInArrow(_answers, ANSWERS), "answers")
+    ids = target.select(target["doc_id"].cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    buckets = bucket_count(docs.sparkSession, text_bytes(own) / 9)
+    chunks = settle(tokenised(own), "chunks")
+    places = chunks.select("chunk", F.posexplode("ids").alias("place", "doc_id")).join(ids, "doc_id")
+    marks = settle(places.groupBy("chunk").agg(F.collect_list("place").alias("marks")), "marks")
+    held = chunks.join(marks, "chunk", "left")
+    entries = counted(held.select("chunk", "ids", "sizes", "words", "at", "marks"), buckets)
+    answers = settle(entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answers, ANSWERS), "answers")
     totals = tuple(x or 0 for x in answers.filter("chunk is null").agg(F.sum("n_words"), F.sum("n_total"), F.sum("t_total")).first())
-    told = answers.filter("chunk is not null").select("chunk", "bucket", "n_words", "n", "t", *(F.lit(None).cast(k).alias(c) for c, k in (("ids", "array<long>"), ("sizes", "binary"), ("words", "binary"), ("at", "binary"))))
-    held = chunks.filter("bucket is null").select("chunk", *(F.lit(None).cast(k).alias(c) for c, k in (("bucket", "int"), ("n_words", "int"), ("n", "binary"), ("t", "binary"))), "ids", "sizes", "words", "at")
+    none = lambda fields: (F.lit(None).cast(k).alias(c) for c, k in fields)
+    told = answers.filter("chunk is not null").select("chunk", "bucket", "n_words", "n", "t", "e", "s", *none((("ids", "array<long>"), ("sizes", "binary"), ("words", "binary"), ("at", "binary"), ("marks", "array<int>"))))
+    held = held.select("chunk", *none((("bucket", "int"), ("n_words", "int"), ("n", "binary"), ("t", "binary"), ("e", "binary"), ("s", "binary"))), "ids", "sizes", "words", "at", "marks")
     return held.unionByName(told).groupBy("chunk").applyInArrow(_score(buckets, totals, weight), SCORES)
