@@ -66,6 +66,27 @@ def test_union_of_polygons_counts_a_sample_once(spark, valid):
     assert [x.samples for x in G.aoi_metrics(valid, two, level="polygon").collect()] == [3, 3]
 
 
+def test_two_clocks(spark, aoi):
+    """TTFF and the trial's seconds go by the clock of the segments, which need not be that of t_ms."""
+    rows = [("P", 1, i, 1000.0 + 10 * i, 5.0 + i, 50.0, 50.0, None, None, i, 10.0, "1", "1", None, None) for i in range(3)]
+    df = spark.createDataFrame(rows, GAZE).withColumns({"x": F.col("gx"), "y": F.col("gy")})
+    r = G.aoi_metrics(G.segments(df), aoi.filter("class_name = 'left'")).first()
+    assert (r.TTFF, r.FC_rate) == (0, pytest.approx(3 / 0.002))
+    late = df.withColumn("clock_ms", F.when(F.col("seq") == 0, F.col("clock_ms")))
+    assert G.aoi_metrics(G.segments(late), aoi.filter("class_name = 'left'")).first().FC_rate == pytest.approx(3 / 0.02)
+
+
+def test_without_fixation_ids(valid, aoi):
+    got = {r.class_name: r for r in G.aoi_metrics(valid.drop("fix_id"), aoi).collect()}
+    assert (got["left"].FC, got["left"].TFD, got["far"].FC) == (3, 400, 0)
+    assert G.whole_scene(valid.drop("fix_id")).first().FC == 4
+
+
+def test_empty_bins(valid):
+    got = T.empty_bins(T.assign_bins(valid, 2000)).orderBy("bin_index").collect()
+    assert [(r.bin_index, r.bin_start_ms, r.bin_end_ms, r.class_name, r.samples, r.TFD) for r in got] == [(0, 0, 2000, "", 0, None), (3, 6000, 8000, "", 0, None)]
+
+
 def test_row_mode_and_whole_scene(valid, aoi):
     got = {r.class_name: r.TFD for r in G.aoi_metrics(valid, aoi, dwell_mode="row").collect()}
     assert got["left"] == 400

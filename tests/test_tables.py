@@ -16,7 +16,7 @@ def one(spark, value, expr, kind="string"):
     [
         ("5.0", C.int_key, 5), ("nan", C.num, None), ("x", C.num, None), ("Y", C.truthy, True), ("y", lambda c: C.truthy(c, "flow"), False), ("maybe", lambda c: C.truthy(c, "legacy"), True),
         ("男", C.gender, "Male"), (" ", C.gender, "Unknown"), ("Other", C.gender, "Other"), ("W45.5%", C.first_number, 45.5), ("-3", lambda c: C.first_number(c, True), -3.0),
-        ("01:02:03.5", C.clock_ms, 3723500.0), ("12", C.clock_ms, 12.0), ("Ann·x", C.base_name, "Ann"), ("X-325-400", C.base_name, "X"), ("order 2!", C.order_code, "2"), (None, C.order_code, "1"),
+        ("01:02:03.5", C.clock_ms, 3723500.0), ("12", C.clock_ms, 12.0), ("Ann·x", C.canonical_name, "Ann"), ("A•B", C.canonical_name, "A"), ("·x", C.canonical_name, "·x"), ("X-325-400", C.without_note, "X"), ("男生", C.gender, "Male"), ("unknown", C.gender, "Unknown"), ("nan", C.coded_by_patterns, "Unknown"), ("order 2!", C.order_code, "2"), (None, C.order_code, "1"),
         ("low or high", lambda c: C.coded_by_patterns(c, ("low",), ("high",)), "Low"), ("1.0", lambda c: C.is_c1(c, F.lit(None)), True), (None, lambda c: C.is_c1(c, F.lit("C1")), True), (None, lambda c: C.is_c1(c, F.lit(None)), None),
         ("0", lambda c: C.condition_id(c, F.lit("C9"), F.lit("15.0")), "C0_W15"), (None, lambda c: C.condition_id(c, F.lit(None).cast("string"), c), "CNA_WNA"),
     ],
@@ -25,25 +25,101 @@ def test_coding(spark, value, expr, want):
     assert one(spark, value, expr) == want
 
 
-def test_orders_by_record_date(spark):
-    table = spark.createDataFrame([("old", 2, 1, "C0W15", "2-1-4", 4), ("new", 2, 1, "C0W15", "1", 1)], "scheme string, order int, block long, condition_key string, label string, position long")
-    rows = spark.createDataFrame([("26050199", "2", 1, "C0W15"), ("26043099", "order 2", 1, "C0W15"), ("bad", None, 1, "C0W15")], "record_id string, Order string, block long, condition_key string")
-    got = {r.record_id: (r.order_label, r.scene_id, r.order_missing) for r in discovery.resolve_orders(rows, table).collect()}
-    assert got == {"26050199": ("1", 1, False), "26043099": ("2-1-4", 4, False), "bad": (None, None, True)}
+def folder_rows(spark, rows):
+    """(folder, record_id, Order) with what the folder tells."""
+    df = spark.createDataFrame(rows, "folder string, record_id string, Order string")
+    return df.withColumns(discovery.parse_scene_folder(F.col("folder")))
 
 
 def test_scene_folders(spark):
-    df = spark.createDataFrame([("C1W45-2",), ("Block1_C0_WWR15",), ("junk",)], "f string")
-    cols = discovery.parse_scene_folder(F.col("f"))
-    got = [tuple(r) for r in df.select(*[c.alias(n) for n, c in cols.items()]).collect()]
-    assert got[0] == (1, 45, "C1", 2, 5, 11) and got[1][-1] == 1 and got[2][-1] is None
+    coded = "(1-1-1、2-1-4) 组0-C0W15"
+    got = {r.folder: r for r in folder_rows(spark, [(f, "", "") for f in ("2-C1W45", coded, "junk", "C1W45-2")]).collect()}
+    r = got["2-C1W45"]
+    assert (r.folder_block, r.folder_position, r.folder_scene_id, r.condition_code, r.Cond, r.WWR, r.Complexity, r.folder_order_scheme) == (2, 5, 11, "C1W45", "C1", 45, 1, "simple_condition_folder")
+    r = got[coded]
+    assert (r.order_code_1, r.order_code_2, r.scene_group, r.condition_code, r.Complexity, r.folder_scene_id) == ("1-1-1", "2-1-4", "组0", "C0W15", 0, None)
+    assert got["junk"].condition_code is None and got["C1W45-2"].folder_block is None
+
+
+def test_orders_by_record_date(spark):
+    coded = "(1-1-2、2-1-4) 组0-C0W75"
+    rows = folder_rows(spark, [(coded, "260501120000", "2"), (coded, "260430120000", "order 2"), (coded, "bad", None), ("2-C1W45", "260501120000", "2")])
+    got = [(r.order_scheme, r.order_code, r.block, r.position, r.scene_id, r.order_missing) for r in discovery.resolve_orders(rows).collect()]
+    assert got == [("neworder2", "1", 1, 1, 1, False), ("order2", "2-1-4", 1, 4, 4, False), ("order1", "1-1-2", 1, 2, 2, True), ("simple_condition_folder", "C1W45", 2, 5, 11, False)]
+    with pytest.raises(ValueError, match="no place"):
+        discovery.resolve_orders(folder_rows(spark, [("(1-1-2、2-1-4) 组0-C0W99", "260501120000", "2")]))
+    with pytest.raises(ValueError, match="no place"):
+        discovery.resolve_orders(folder_rows(spark, [("junk", "1", "1")]))
+
+
+def test_scan_and_manifest(spark, tmp_path):
+    for folder, names in (("1-C0W15", ["raw_Ann_260101_1.csv", "notes.csv"]), ("2-C1W45", ["raw_user1_260101_2.csv", "raw_Bob-325-400_260102_1.csv"]), ("适应", ["raw_Ann_260101_0.csv"]), ("practice", ["raw_Ann_260101_9.csv"])):
+        (tmp_path / folder).mkdir()
+        for n in names:
+            (tmp_path / folder / n).write_text("x\n")
+    (tmp_path / "1-C0W15" / "1-C0W15.json").write_text("{}")
+    files = discovery.list_files(spark, str(tmp_path))
+    scanned = discovery.match_aoi(discovery.scan_gaze(files), files)
+    assert {(r.subject, r.record_id, r.split_id, r.folder_scene_id) for r in scanned.collect()} == {("Ann", "260101", "1", 1), ("user1", "260101", "2", 11), ("Bob-325-400", "260102", "1", 11)}
+    assert discovery.scan_gaze(files, include_adaptation=True).count() == 5
+    who = spark.createDataFrame([("Ann", "1", "no"), ("Bob", None, ""), ("Eve", "2", "yes")], "participant_id string, Order string, exclude string")
+    got = {(r.participant_id, r.scene_id): r for r in discovery.scene_manifest(scanned, who).collect()}
+    assert set(got) == {("Ann", 1), ("Ann", 11), ("Bob", 11)}
+    assert got["Ann", 11].alias_source == "record_id" and got["Bob", 11].alias_source == "suffix_note" and got["Bob", 11].order_missing
+    assert got["Ann", 1].aoi_json_path.endswith("1-C0W15.json") and got["Ann", 11].aoi_json_path is None
+    with pytest.raises(ValueError, match="duplicate"):
+        discovery.scene_manifest(scanned.union(scanned), who)
+    signals = spark.createDataFrame([("Ann", True), ("Zoe", False)], "stem string, has_data boolean")
+    n = {r.metric: r.n for r in discovery.recording_summary(scanned, trial.resolve_aliases(scanned), signals).collect()}
+    assert (n["eye_csv_count"], n["eye_subject_count_raw"], n["eye_subject_count_after_alias"], n["matched_subject_count"], n["eye_suffix_note_alias_rows"], n["eye_missing_aoi_json_rows"], n["eeg_fdt_count"]) == (3, 3, 2, 1, 1, 2, 1)
 
 
 def test_aliases(spark):
-    rows = spark.createDataFrame([("r1", "Ann-325-400"), ("r1", "subject 3"), ("r2", "subject 4"), ("r3", "Bob")], "record_id string, subject string")
-    manual = spark.createDataFrame([("Bob", "P9")], "alias string, participant_id string")
-    got = {r.subject: (r.participant_id, r.alias_source) for r in trial.resolve_aliases(rows, manual).collect()}
-    assert got == {"Ann-325-400": ("Ann", "suffix_note"), "subject 3": ("Ann", "record"), "subject 4": ("subject 4", "none"), "Bob": ("P9", "manual")}
+    rows = spark.createDataFrame([("r1", "Ann-325-400"), ("r1", "user"), ("r1", "test"), ("r2", "user12"), ("r3", "Bob")], "record_id string, subject string")
+    manual = spark.createDataFrame([("Bob", "P8", 1), ("Bob", "P7", 2), ("Ann", "P1", 0)], "alias string, participant_id string, row int")
+    run = lambda m: {r.subject: (r.participant_id, r.alias_source) for r in trial.resolve_aliases(rows, m).collect()}
+    assert run(None) == {"Ann-325-400": ("Ann", "suffix_note"), "user": ("Ann", "record_id"), "test": ("Ann", "record_id"), "user12": ("user12", ""), "Bob": ("Bob", "")}
+    assert run(manual) == {"Ann-325-400": ("P1", "manual"), "user": ("P1", "manual"), "test": ("P1", "manual"), "user12": ("user12", ""), "Bob": ("P7", "manual")}
+
+
+def test_participants(spark):
+    df = spark.createDataFrame([("A ", "每月1-2次", "男生", "x"), ("B", "每周", "", "20"), ("C", "", "other", None)], "participant_id string, Experience string, Gender string, Age string")
+    got = [(r.participant_id, r.ExperienceGroup, r.Gender, r.Age, r.RecruitmentBatch, r.SupplementFlag, r.exclude) for r in trial.standardize_participants(df).collect()]
+    assert got == [("A", "Low", "Male", None, "Original", False, False), ("B", "High", "Unknown", 20.0, "Original", False, False), ("C", "Unknown", "other", None, "Original", False, False)]
+    batch = trial.standardize_participants(df.withColumn("RecruitmentBatch", F.lit("Supplement")))
+    assert all(r.SupplementFlag for r in batch.collect())
+    four = ["从不", "每月1-2次", "每月3-4次", "≥5次"]
+    assert [one(spark, x, C.coded_by_patterns) for x in four] == ["Low", "Low", "High", "High"]
+
+
+def test_scene_tables(spark):
+    scenes = spark.createDataFrame([("P1 ", "1", "45%", "1", "eye/a.csv"), ("P1", "2", None, "0", "/abs/b.csv")], "participant_id string, scene_id string, WWR string, Complexity string, eye_csv_path string")
+    got = {r.scene_id: r for r in trial.standardize_scenes(scenes, "/data").collect()}
+    assert (got[1].WWR_numeric, got[1].eye_csv_path, got[1].block, got[2].eye_csv_path) == (45.0, "/data/eye/a.csv", None, "/abs/b.csv")
+    with pytest.raises(ValueError, match="duplicate"):
+        trial.standardize_scenes(scenes.union(scenes))
+    answers = spark.createDataFrame([("P1", 1, "5"), ("P9", 1, "x")], "participant_id string, scene_id long, S1 string")
+    who = trial.standardize_participants(spark.createDataFrame([("P1", "often")], "participant_id string, Experience string"))
+    long = trial.attach_design(trial.standardize_answers(answers, ["S1", "S2"]), trial.standardize_scenes(scenes), who)
+    assert {(r.participant_id, r.S1, r.WWR_numeric, r.ExperienceGroup) for r in long.collect()} == {("P1", 5.0, 45.0, "High"), ("P9", None, None, None)}
+    assert trial.manifest_scenes(scenes.withColumn("eye_offset_ms", F.lit("x"))).first().eye_offset_ms == 0
+    with pytest.raises(ValueError, match="missing"):
+        trial.manifest_participants(answers)
+    assert trial.eeg_duration_table(answers.withColumns({"duration_s": F.lit("3"), "dur_s": F.lit("2")})).first().eeg_view_dur_s == 2
+
+
+def test_coalesced_design(spark):
+    df = spark.createDataFrame([(None, 45, 1), (15, 75, 2)], "WWR int, q_WWR int, block_qdup int").withColumn("x_block", F.lit(7))
+    got = trial.coalesce_design(df).collect()
+    assert [(r.WWR, r.block) for r in got] == [(45, 7), (15, 7)] and "q_WWR" in got[0]
+
+
+def test_survey_metadata(spark):
+    df = spark.createDataFrame([("古丽·A", "2", "女生"), ("nan", "1", ""), ("李", "", "男")], "`Q1.0_姓名：` string, `Q1.8` string, `Q1.2_性别：` string")
+    got = {r.participant_id: (r.questionnaire_subject_id, r.Order, r.Gender, r.Age) for r in discovery.survey_metadata(df.toDF("Q1.0_姓名：", "Q1.8", "Q1.2_性别：")).collect()}
+    assert got == {"古丽": ("古丽·A", 2, "Female", ""), "李": ("李", None, "Male", "")}
+    with pytest.raises(ValueError, match="duplicate"):
+        discovery.survey_metadata(df.union(df))
 
 
 def test_keys_and_columns(spark):
@@ -57,6 +133,7 @@ def test_keys_and_columns(spark):
 
 def test_duration_choice_is_by_column():
     assert "view_dur_s" in str(trial.eeg_duration(["start_s", "end_s", "view_dur_s"]))
+    assert "dur_s" in str(trial.eeg_duration(["duration_s", "dur_s"])) and "duration_s" not in str(trial.eeg_duration(["duration_s", "dur_s"]))
 
 
 def test_wide_and_survey(spark):
@@ -152,6 +229,25 @@ def test_ols_logit_and_diagnostics(spark):
     assert {q.outcome: q.r for q in r} == {"y": pytest.approx(np.corrcoef(x, y)[0, 1]), "flat": None}
 
 
+def test_terms_of_the_model_families(spark):
+    have = {"WWR", "Complexity", "ExperienceGroup", "Gender", "Age", "position"}
+    assert models.core_terms(have) == ["C(WWR)*C(Complexity)*C(ExperienceGroup)", "C(Gender)", "Age", "position"]
+    assert models.core_terms({"WWR", "block"}) == ["C(WWR)", "block"] and models.peak_terms({"Complexity", "Age"}) == ["C(Complexity)", "Age"]
+    df = spark.createDataFrame([(1, "a", None, 1.0), (2, "a", None, 2.0)], "WWR int, Gender string, Age double, block double")
+    assert models.varying(df, ("WWR", "Gender", "Absent"), ("Age", "block")) == {"WWR", "block"}
+
+
+def test_distribution_values(spark):
+    from trialfuse.functions import dist
+
+    assert dist.t_sf2([2.0, 5.0, 0.0], [10, 3, 7]).tolist() == pytest.approx([0.07338803, 0.01539244, 1.0], abs=1e-8)
+    assert dist.f_sf([3.0, 1.0], [2, 4], [20, 10]).tolist() == pytest.approx([0.07253815, 0.45155505], abs=1e-8)
+    assert dist.t_ppf(0.975, [1, 29]).tolist() == pytest.approx([12.7062047, 2.0452296], abs=1e-6)
+    df = spark.createDataFrame([(2.0, 10.0, 11), (None, 3.0, 1), (1.0, 0.0, 2)], "t double, df double, n long")
+    got = dist.with_t_quantile(dist.with_p_values(df, "t", "t", "df"), "n").collect()
+    assert [r.p_value for r in got] == [pytest.approx(0.07338803), None, None] and got[0].t_crit == pytest.approx(2.2281389) and got[1].t_crit is None
+
+
 def test_interaction_terms():
     assert [t.name for t in models.parse_terms(["C(a)*b"])] == ["C(a)", "b", "C(a):b"]
 
@@ -162,7 +258,13 @@ def test_clock(spark):
     marks = clock.landmarks(t)
     f = clock.fit(marks).first()
     assert (f.slope, f.intercept, f.n_landmarks) == (pytest.approx(1), pytest.approx(10000), 4)
-    assert clock.quality(clock.residuals(marks, clock.fit(marks))).first().max_abs_ms == pytest.approx(0, abs=1e-6)
+    res = clock.residuals(marks, clock.fit(marks))
+    assert clock.quality(res).first().max_abs_ms == pytest.approx(0, abs=1e-6)
+    # a trial of outlying duration has residuals too: predicted less measured
+    assert {(r.edge, round(r.residual_ms)) for r in res.filter("scene_id = 3").collect()} == {("start", 10000), ("end", 99000)}
+    eye = spark.createDataFrame([("P", 1, 0.0, 5.0), ("P", 2, 0.0, None)], "participant_id string, scene_id long, eye_start double, eye_end double")
+    eeg = spark.createDataFrame([("P", 1, 0.0, 1.0)], "participant_id string, scene_id long, eeg_start double, eeg_end double")
+    assert {r.scene_id: r.outlier for r in clock.scene_alignment(eye, eeg).collect()} == {1: True, 2: False}
 
 
 def test_eeg_policies(spark):
@@ -174,10 +276,25 @@ def test_eeg_policies(spark):
     assert robust[3].reasons == "robust_hf_ratio_20_40Hz" and "legacy_hf_ratio" in robust[3].candidate_reasons
     assert run(policy="legacy_0_4")[3].reasons == "legacy_hf_ratio" and not run(policy="off")[3].bad_eeg_quality
     out = qc.exclude_subjects(qc.eeg_flags(df, qc.EegPolicy(min_n=4)), 0.2).collect()
-    assert all(r.bad_eeg_quality and "subject_bad_fraction" in r.reasons for r in out)
+    assert all(r.bad_eeg_quality and "eeg_subject_quality_exclusion" in r.reasons for r in out)
+    assert not any(r.subject_excluded for r in qc.exclude_subjects(qc.eeg_flags(df)).collect())  # a quarter is not over 0.3
+    with pytest.raises(ValueError, match="unknown EEG policy"):
+        qc.eeg_flags(df, qc.EegPolicy(policy="strict"))
+    marked = spark.createDataFrame([("P1", 1, "true"), ("P1", 2, "false"), ("P1", 3, "invalid"), (None, 4, "n")], "participant_id string, scene_id long, valid_duration string")
+    got = {r.scene_id: r for r in qc.exclude_subjects(qc.eeg_flags(marked)).collect()}
+    assert [got[i].reasons for i in (1, 2, 4)] == ["eeg_subject_quality_exclusion", "segment_valid_duration;eeg_subject_quality_exclusion", "segment_valid_duration"]
+    assert not any(r.bad_eeg_quality for r in qc.exclude_subjects(qc.eeg_flags(marked, qc.EegPolicy(policy="audit_only"))).collect())
     bare = spark.createDataFrame([("P", 1, 3.0)], "participant_id string, scene_id long, view_dur_s double")
     r = qc.eeg_flags(bare).first()
-    assert r.qc_policy == "unavailable" and not r.bad_eeg_quality
+    assert (r.qc_policy, r.bad_eeg_quality, r.candidate_reasons) == ("unavailable", False, "")
+
+
+def test_exact_medians(spark):
+    rng = np.random.default_rng(7)
+    cols = {"a": rng.normal(size=5001), "b": np.round(rng.normal(size=40000), 1), "c": np.array([3.0]), "d": np.array([1.0, 2.0]), "e": np.full(999, 5.0)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in cols.items() for x in v], "metric string, v double")
+    got = {r.metric: (r.n, r.median) for r in qc.exact_medians(df).collect()}
+    assert got == {k: (len(v), pytest.approx(np.median(v))) for k, v in cols.items()}
 
 
 def test_fusion_qc(spark):
@@ -194,7 +311,9 @@ def test_fusion_qc(spark):
 
 
 def test_contract(spark):
-    full = spark.createDataFrame([("s", 1, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)], "subject_id string, scene_id long, O_alpha double, view_start_s double, view_end_s double, view_dur_s double, hf_ratio_20_40Hz double, nan_fraction double, flat_fraction double")
+    full = spark.createDataFrame([("s", 1, *[1.0] * 10)], "subject_id string, scene_id long, O_alpha double, view_start_s double, view_end_s double, dur_s double, hf_ratio_20_40Hz double, rms_mean_uV double, peak_to_peak_uV double, nan_fraction double, flat_fraction double, segment_valid_duration double")
+    assert "error" not in {r.severity for r in qc.contract_findings(full.withColumnRenamed("subject_id", "participant_id")).collect()}
+    assert qc.contract_status(qc.contract_findings(full.select("subject_id", "scene_id", "O_alpha"))).first().status == "warning"
     assert [r.severity for r in qc.contract_findings(full).collect()] == ["pass"]
     assert "error" in {r.severity for r in qc.contract_findings(full.drop("scene_id")).collect()}
     assert {r.severity for r in qc.contract_findings(full.select("subject_id", "scene_id", "O_alpha")).collect()} == {"warning"}
@@ -204,14 +323,17 @@ def test_contract(spark):
 def test_claims_and_panels(spark):
     claims = spark.createDataFrame([("c1", ["a", "b"]), ("c2", ["z"]), ("c3", ["a", "z"])], "claim_id string, required array<string>")
     got = {r.claim_id: r.level for r in diagnostics.claim_support(claims, ["a", "b"]).collect()}
-    assert got == {"c1": "supported", "c2": "unsupported", "c3": "partial"}
+    assert got == {"c1": "moderate_pending_effect_tests", "c2": "exploratory_incomplete_modalities", "c3": "exploratory_incomplete_modalities"}
+    assert {r.level for r in diagnostics.claim_support(claims, []).collect()} == {"unsupported_no_data"}
     issues = spark.createDataFrame([("i1", "c1", "x"), ("i2", "c2", "x"), ("i3", "c1", None)], "issue string, claim_id string, evidence string")
     got = {r.issue: r.readiness for r in diagnostics.issue_matrix(issues, diagnostics.claim_support(claims, ["a", "b"])).collect()}
     assert got == {"i1": "ready", "i2": "weak_support", "i3": "missing_evidence"}
     assert len(diagnostics.empty_panel(spark, "p").columns) == 13
-    assert one(spark, "Partial support", diagnostics.support_score) == 1.5
+    assert [one(spark, x, diagnostics.support_score) for x in ("see_diagnostics", "now moderate_pending", "exploratory_only_three_levels", "else")] == [1.5, 2.0, 1.0, None]
     coef = spark.createDataFrame([("C(WWR)[T.45]", 0.01), ("x", 0.5), (None, None)], "term string, p_value double")
-    assert {r.fragment: r.supported for r in diagnostics.term_support(coef, ["wwr", "x", "zz"]).collect()} == {"wwr": True, "x": False, "zz": False}
+    level = lambda df: {r.fragment: r.level for r in diagnostics.term_support(df, ["wwr", "x", "zz"]).collect()}
+    assert level(coef) == {"wwr": "moderate", "x": "exploratory", "zz": "unsupported_no_term"}
+    assert set(level(coef.limit(0)).values()) == {"unsupported_no_model"}
 
 
 def test_band_power_of_a_tone(spark):
@@ -222,6 +344,12 @@ def test_band_power_of_a_tone(spark):
     assert got["s"].alpha == pytest.approx(0.5, rel=0.02) and got["s"].theta < 0.01 and got["t"].alpha is None
     q = {r.segment: r for r in signal.signal_qc(df).collect()}
     assert q["s"].rms_mean_uV == pytest.approx(np.sqrt(0.5), rel=0.01) and q["t"].flat_fraction == 1
+    two = spark.createDataFrame([("s", c, i, float(v)) for c, vs in (("a", (0, 2)), ("b", (0, 10))) for i, v in enumerate(vs)], "segment string, channel string, sample_ix int, uV double")
+    assert signal.signal_qc(two).first().peak_to_peak_uV == 6
+    hf = {r.segment: r for r in signal.hf_ratio(df, fs).collect()}
+    assert hf["s"].hf_ratio_20_40Hz < 0.01 and not hf["s"].eeg_legacy_hf_flag and hf["t"].hf_ratio_20_40Hz is None
+    seg = spark.createDataFrame([("V", "G", 0.0, 640.0), ("V", "Boundary", 0.0, 32.0)], "type string, next_type string, latency double, end_latency double")
+    assert [(r.view_dur_s, r.near_boundary, r.segment_valid_duration) for r in signal.segment_marks(seg, fs).collect()] == [(10.0, False, True), (0.5, True, False)]
 
 
 def test_markers(spark):

@@ -12,9 +12,18 @@ TRUE_ACTIVE = ("true", "1", "yes", "y")
 TRUE_FLOW = ("true", "1", "yes")
 FALSE_TEXTS = ("false", "0", "no", "n", "")
 
-# Gender synonyms.
-MALE = ("male", "m", "man", "男", "男性")
-FEMALE = ("female", "f", "woman", "女", "女性")
+# Gender texts, and those that count as none.
+MALE = ("m", "male", "man", "男", "男性", "男生")
+FEMALE = ("f", "female", "woman", "女", "女性", "女生")
+NO_GENDER = ("nan", "none", "unknown")
+
+# Texts in answers on experience.
+LOW_EXPERIENCE = (
+    "never", "rare", "rarely", "low", "none", "从不", "极少", "较少", "少于", "每月<1", "每月＜1", "每月少于", "偶尔", "1-2次", "1–2次", "每月1-2", "每月1–2",
+)
+HIGH_EXPERIENCE = (
+    "sometimes", "often", "frequent", "weekly", "high", "有时", "经常", "3-4次", "3–4次", "每月3-4", "每月3–4", "≥5次", ">=5次", "每周",
+)
 
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
 SIGNED_NUMBER = r"(-?[0-9]+(?:\.[0-9]+)?)"
@@ -56,15 +65,15 @@ def binary_outcome(c: Column | str) -> Column:
 def gender(c: Column | str) -> Column:
     raw = F.trim(_c(c).cast("string"))
     t = F.lower(raw)
-    return F.when(t.isNull() | (t == ""), "Unknown").when(t.isin(*MALE), "Male").when(t.isin(*FEMALE), "Female").otherwise(raw)
+    return F.when(t.isNull() | (t == "") | t.isin(*NO_GENDER), "Unknown").when(t.isin(*MALE), "Male").when(t.isin(*FEMALE), "Female").otherwise(raw)
 
 
-def coded_by_patterns(c: Column | str, low: tuple[str, ...], high: tuple[str, ...]) -> Column:
-    """Low where a low pattern is in the text, else High, else the raw text; blank is Unknown."""
+def coded_by_patterns(c: Column | str, low: tuple[str, ...] = LOW_EXPERIENCE, high: tuple[str, ...] = HIGH_EXPERIENCE) -> Column:
+    """Low where a low pattern is in the text, else High, else the raw text; blank and nan are Unknown."""
     raw = F.trim(_c(c).cast("string"))
     t = F.lower(raw)
     has = lambda ps: reduce(lambda a, b: a | b, [t.contains(p.lower()) for p in ps])
-    return F.when(t.isNull() | (t == ""), "Unknown").when(has(low), "Low").when(has(high), "High").otherwise(raw)
+    return F.when(t.isNull() | t.isin("", "nan"), "Unknown").when(has(low), "Low").when(has(high), "High").otherwise(raw)
 
 
 def first_number(c: Column | str, signed: bool = False) -> Column:
@@ -85,10 +94,16 @@ def is_c1(complexity: Column | str, cond: Column | str, missing: bool | None = N
     return F.when(k.isNotNull() & (k != ""), k.isin("1", "1.0", "c1", "high", "true")).when(d.isNotNull() & (d != ""), d == "C1").otherwise(F.lit(missing).cast("boolean"))
 
 
-def base_name(c: Column | str) -> Column:
-    """Without what follows a middle dot, and without a -n-n suffix."""
-    head = F.trim(F.split(_c(c).cast("string"), "[·・]")[0])
-    return F.trim(F.regexp_replace(head, r"-\d+-\d+$", ""))
+def without_note(c: Column | str) -> Column:
+    """Without a -n-n suffix."""
+    return F.regexp_replace(F.trim(_c(c).cast("string")), r"^(.+?)-\d+-\d+$", "$1")
+
+
+def canonical_name(c: Column | str) -> Column:
+    """The first part of a name that a middle dot or a bullet parts."""
+    t = F.trim(_c(c).cast("string"))
+    parts = F.filter(F.transform(F.split(t, "[·•]"), F.trim), lambda p: p != "")
+    return F.when(F.size(parts) > 1, parts[0]).otherwise(t)
 
 
 def clock_ms(c: Column | str) -> Column:

@@ -10,8 +10,18 @@ from pyspark.sql import functions as F
 from ..functions import coding as C
 from .scales import LEVELS
 
-# Ordinal scores of claim support.
-SUPPORT = {"unsupported": 0.0, "exploratory": 1.0, "partial": 1.5, "supported": 2.0}
+# Levels of support and their ordinal scores.
+SUPPORT = {
+    "unsupported_no_data": 0.0,
+    "unsupported_no_model": 0.0,
+    "unsupported_no_term": 0.0,
+    "exploratory_incomplete_modalities": 1.0,
+    "exploratory": 1.0,
+    "exploratory_only_three_levels": 1.0,
+    "see_diagnostics": 1.5,
+    "moderate_pending_effect_tests": 2.0,
+    "moderate": 2.0,
+}
 PANEL = "panel string, metric string, group_name string, subgroup string, value double, mean double, sem double, n long, label string, unit string, source string, order_index long, note string"
 
 
@@ -39,10 +49,10 @@ def _peak() -> Column:
 
 
 def peak_index(df: DataFrame, outcomes: Sequence[str], level: str, levels: Sequence = LEVELS) -> DataFrame:
-    """Level means and peak = middle - mean of the outer two, with a label."""
+    """Level means and peak = middle - mean of the outer two, and the strength of a claim from them."""
     long = df.select(F.col(level).alias("_l"), *[C.num(o).alias(o) for o in outcomes]).unpivot(["_l"], list(outcomes), "outcome", "v")
     d = long.groupBy("outcome").agg(*[F.avg(F.when(F.col("_l") == x, F.col("v"))).alias(f"m{i}") for i, x in enumerate(levels)])
-    return d.withColumn("peak", _peak()).withColumn("claim", F.when(F.col("peak").isNull(), "unavailable").when(F.col("peak") > 0, "inverted_u").when(F.col("peak") < 0, "u_shape").otherwise("flat"))
+    return d.withColumn("peak", _peak()).withColumn("claim", F.when(F.col("peak").isNull(), "insufficient_wwr_granularity").otherwise("exploratory_only_three_levels"))
 
 
 def subject_peak_index(df: DataFrame, outcome: str, level: str, by: Sequence[str], levels: Sequence = LEVELS) -> DataFrame:
@@ -71,17 +81,19 @@ def modality_convergence(df: DataFrame, metrics: dict[str, Sequence[str]]) -> Da
 
 
 def claim_support(claims: DataFrame, available: Sequence[str]) -> DataFrame:
-    """claims: claim_id, required array<string>. level: supported, partial or unsupported."""
+    """claims: claim_id, required array<string>. level: moderate if all required modalities are available, exploratory if any at all is."""
     have = F.array(*[F.lit(a) for a in available]) if available else F.array().cast("array<string>")
     missing = F.array_except("required", have)
-    level = F.when(F.size(missing) == 0, "supported").when(F.size(missing) < F.size(F.array_distinct("required")), "partial").otherwise("unsupported")
+    level = F.when(F.size(missing) == 0, "moderate_pending_effect_tests").otherwise(F.lit("exploratory_incomplete_modalities" if available else "unsupported_no_data"))
     return claims.withColumns({"missing": F.array_join(F.array_sort(missing), ";"), "level": level})
 
 
 def term_support(coefficients: DataFrame, fragments: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """Whether any term with the fragment has p < alpha."""
+    """fragment, level: moderate if a term with the fragment has p < alpha, exploratory if a term has the fragment; else unsupported, for want of a model or of a term."""
     t = F.lower(F.coalesce("term", F.lit("")))
-    return coefficients.agg(*[F.coalesce(F.bool_or(F.when(t.contains(f.lower()), F.col("p_value") < alpha)), F.lit(False)).alias(f) for f in fragments]).unpivot([], list(fragments), "fragment", "supported")
+    none = F.when(F.count(F.lit(1)) == 0, "unsupported_no_model").otherwise("unsupported_no_term")
+    level = lambda f: F.when(F.coalesce(F.bool_or(t.contains(f.lower()) & (F.col("p_value") < alpha)), F.lit(False)), "moderate").when(F.count_if(t.contains(f.lower())) > 0, "exploratory").otherwise(none)
+    return coefficients.agg(*[level(f).alias(f) for f in fragments]).unpivot([], list(fragments), "fragment", "level")
 
 
 def issue_matrix(issues: DataFrame, claims: DataFrame) -> DataFrame:
@@ -93,10 +105,10 @@ def issue_matrix(issues: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def support_score(c: Column) -> Column:
-    t = F.lower(F.trim(c))
+    """The score of a level, else of the first level that the text contains."""
+    t = F.trim(c.cast("string"))
     exact = F.create_map(*[F.lit(x) for kv in SUPPORT.items() for x in kv])[t]
-    near = F.when(t.contains("unsupported"), 0.0).when(t.contains("exploratory"), 1.0).when(t.contains("partial"), 1.5).when(t.contains("support"), 2.0)
-    return F.coalesce(exact, near)
+    return F.coalesce(exact, *[F.when(t.contains(k), v) for k, v in SUPPORT.items()])
 
 
 def weighted_rollup(df: DataFrame, by: Sequence[str], value: str = "mean", weight: str = "n") -> DataFrame:

@@ -61,13 +61,13 @@ def mask_ratios(masked: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def segments(gaze: DataFrame, keys: Sequence[str] = KEYS, gap_ms: float = 5000.0, clock: str = "clock_ms") -> DataFrame:
-    """Adds is_reset, is_gap, segment and baseline. A null clock breaks nothing on either side."""
+    """Adds is_reset, is_gap, segment, baseline and, for what is measured later, seg_clock, the clock itself. A null clock breaks nothing on either side."""
     order = Window.partitionBy(*keys).orderBy("seq")
     step = F.col(clock) - F.lag(clock).over(order)
     out = gaze.withColumns({"is_reset": F.coalesce(step < 0, F.lit(False)), "is_gap": F.coalesce(step > gap_ms, F.lit(False))})
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = out.withColumn("segment", F.sum((F.col("is_reset") | F.col("is_gap")).cast("long")).over(running))
-    return out.withColumn("baseline", F.min(clock).over(Window.partitionBy(*keys, "segment")))
+    return out.withColumns({"baseline": F.min(clock).over(Window.partitionBy(*keys, "segment")), "seg_clock": F.col(clock)})
 
 
 def segment_counts(segmented: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -101,23 +101,27 @@ def pupil_mean(columns: Sequence[str]) -> Column:
     return ratio(total, sum((F.col(c).isNotNull().cast("int") for c in have), F.lit(0)))
 
 
-def aoi_metrics(gaze: DataFrame, aoi: DataFrame, keys: Sequence[str] = KEYS, level: str = "class", dwell_mode: str = "fixation", clock: str = "t_ms") -> DataFrame:
+def aoi_metrics(gaze: DataFrame, aoi: DataFrame, keys: Sequence[str] = KEYS, level: str = "class", dwell_mode: str = "fixation") -> DataFrame:
     """One row for each trial and AOI (class or polygon), also without samples.
 
-    gaze: valid samples with `baseline` (see segments()); a class is the union of
-    its polygons. segments() has dealt the samples out by trial; every step here
+    gaze: valid samples with what segments() adds; TTFF and the trial's seconds go by its clock (seconds by t_ms
+    where fewer than two samples have a clock). Without a fix_id column every sample
+    is a fixation of its own. A class is the union of its polygons. segments() has dealt the samples out by trial; every step here
     groups by the trial and more, so the whole plan needs no other exchange.
     """
     unit = ["class_name"] if level == "class" else ["class_name", "polygon_id"]
     by = list(keys)
     gaze = gaze.withColumn("_pupil", pupil_mean(gaze.columns))
+    if "fix_id" not in gaze.columns:
+        gaze = gaze.withColumn("fix_id", F.col("seq"))
     total = F.sum("fix_dur").over(Window.partitionBy(*by)) if dwell_mode == "row" else F.lit(None).cast("double")
     hit = hits(gaze.withColumn("_total", total), aoi, "left")
-    hit = hit.select(*dict.fromkeys([*by, "seq", "t_ms", clock, "baseline", "fix_id", "fix_dur", "_pupil", "_total"]), *unit)
+    hit = hit.select(*dict.fromkeys([*by, "seq", "t_ms", "seg_clock", "baseline", "fix_id", "fix_dur", "_pupil", "_total"]), *unit)
     if level == "class":
         hit = hit.dropDuplicates([*by, "seq", "class_name"])
 
-    since = F.col(clock) - F.col("baseline")
+    since = F.col("seg_clock") - F.col("baseline")
+    timed = F.when(F.col("seg_clock").isNotNull(), F.struct("seg_clock", "seq"))
     first = F.when(F.col("t_ms").isNotNull(), F.struct("t_ms", "seq"))
     # samples without a fixation are one group of the trial; samples outside all AOIs have a null class
     cell = hit.groupBy(*by, "fix_id", *unit).agg(
@@ -129,13 +133,15 @@ def aoi_metrics(gaze: DataFrame, aoi: DataFrame, keys: Sequence[str] = KEYS, lev
         F.min_by(F.struct(since.alias("s")), first).alias("head"),
         F.min(first).alias("at"),
         F.max(first).alias("to"),
+        F.min(timed).alias("c_at"),
+        F.max(timed).alias("c_to"),
         F.sum("_pupil").alias("p_sum"),
         F.count("_pupil").alias("p_n"),
         F.max("_total").alias("_total"),
     )
     entry = F.struct(*unit, "first_ts", "dur", "rows_dur", "n", "head", "at", "p_sum", "p_n")
     fixation = cell.groupBy(*by, "fix_id").agg(
-        F.min("first_ts").alias("f_first"), F.max("last_ts").alias("f_last"), F.max("dur").alias("f_dur"), F.min("at").alias("f_at"), F.max("to").alias("f_to"), F.max("_total").alias("_total"),
+        F.min("first_ts").alias("f_first"), F.max("last_ts").alias("f_last"), F.max("dur").alias("f_dur"), F.min("at").alias("f_at"), F.max("to").alias("f_to"), F.min("c_at").alias("c_at"), F.max("c_to").alias("c_to"), F.max("_total").alias("_total"),
         F.collect_list(F.when(F.col("class_name").isNotNull(), entry)).alias("own"),
     )
 
@@ -160,7 +166,10 @@ def aoi_metrics(gaze: DataFrame, aoi: DataFrame, keys: Sequence[str] = KEYS, lev
         F.greatest(F.sum("_entry") - 1, F.lit(0)).alias("RFF"),
         dwell[1].alias("_tfd"),
         F.count("fix_id").alias("_fc"),
-        F.when(F.min("f_at") < F.max("f_to"), (F.max("f_last") - F.min("f_first")) / 1000.0).alias("_s"),
+        F.coalesce(
+            F.when(F.min("c_at") < F.max("c_to"), (F.max("c_to")["seg_clock"] - F.min("c_at")["seg_clock"]) / 1000.0),
+            F.when(F.min("f_at") < F.max("f_to"), (F.max("f_last") - F.min("f_first")) / 1000.0),
+        ).alias("_s"),
     )
     fc, share = F.col("FC"), ratio(F.col("TFD"), F.col("_tfd"))
     return out.select(
@@ -185,13 +194,15 @@ def aoi_metrics(gaze: DataFrame, aoi: DataFrame, keys: Sequence[str] = KEYS, lev
 def whole_scene(gaze: DataFrame, keys: Sequence[str] = KEYS, dwell_mode: str = "fixation", legacy_ttff: bool = False) -> DataFrame:
     """One row for each trial without AOIs, class whole_scene."""
     real = F.col("fix_id").isNotNull()
-    fix = gaze.groupBy(*keys, "fix_id").agg(F.max("fix_dur").alias("dur"), F.sum("fix_dur").alias("rows_dur"), F.count(F.lit(1)).alias("n"), F.min("t_ms").alias("lo"), F.max("t_ms").alias("hi"), F.count("t_ms").alias("nt"))
+    gaze = gaze if "fix_id" in gaze.columns else gaze.withColumn("fix_id", F.col("seq"))
+    t = "seg_clock" if "seg_clock" in gaze.columns else "t_ms"
+    fix = gaze.groupBy(*keys, "fix_id").agg(F.min(t).alias("c_lo"), F.max(t).alias("c_hi"), F.count(t).alias("c_n"), F.max("fix_dur").alias("dur"), F.sum("fix_dur").alias("rows_dur"), F.count(F.lit(1)).alias("n"), F.min("t_ms").alias("lo"), F.max("t_ms").alias("hi"), F.count("t_ms").alias("nt"))
     out = fix.groupBy(*keys).agg(
         F.sum("n").alias("samples"),
         F.count("fix_id").alias("FC"),
         (F.sum(F.when(real, F.col("dur"))) if dwell_mode == "fixation" else F.sum("rows_dur")).alias("TFD"),
         F.avg(F.when(real, F.col("dur"))).alias("MFD"),
-        F.when(F.sum("nt") > 1, (F.max("hi") - F.min("lo")) / 1000.0).alias("_s"),
+        F.coalesce(F.when(F.sum("c_n") > 1, (F.max("c_hi") - F.min("c_lo")) / 1000.0), F.when(F.sum("nt") > 1, (F.max("hi") - F.min("lo")) / 1000.0)).alias("_s"),
     )
     out = out.withColumns({"class_name": F.lit("whole_scene"), "visited": F.col("samples") > 0, "FC_rate": ratio(F.col("FC"), F.col("_s")), "TTFF": F.lit(0.0 if legacy_ttff else None).cast("double")})
     return out.drop("_s")

@@ -258,10 +258,10 @@ def result_rows(spark, outcome: str, fit: Fit | None, note: str = "") -> list[tu
     if fit is None:
         return [(outcome, None, None, None, None, None, None, None, "none", 0, 0, None, note or "not estimable")]
     rows = []
-    crit = dist.t_ppf(spark, 0.975, fit.df) if fit.df else 1.959963984540054
+    crit = float(dist.t_ppf(0.975, fit.df)) if fit.df else 1.959963984540054
     for name, b, s in zip(fit.names, fit.beta.tolist(), fit.se.tolist(), strict=True):
         z = b / s if s > 0 else math.nan
-        p = None if math.isnan(z) else dist.t_sf2(spark, z, fit.df) if fit.df else dist.norm_sf2(z)
+        p = None if math.isnan(z) else float(dist.t_sf2(z, fit.df)) if fit.df else dist.norm_sf2(z)
         rows.append((outcome, name, b, s, None if math.isnan(z) else z, p, b - crit * s, b + crit * s, fit.model, fit.n, fit.n_groups, fit.group_variance, note))
     return rows
 
@@ -293,14 +293,49 @@ def family_models(df: DataFrame, families: dict[str, dict]) -> DataFrame:
     return out
 
 
-def eeg_core_models(df: DataFrame, outcomes: Sequence[str], covariates: Sequence[str] = ("C(Gender)", "Age")) -> DataFrame:
-    return fit_models(df, outcomes, ["C(WWR)*C(Complexity)*C(ExperienceGroup)", *covariates])
+def varying(df: DataFrame, categories: Sequence[str], numbers: Sequence[str]) -> set[str]:
+    """The columns that exist and have more than one value; those of numbers count as numeric. One pass."""
+    cats, nums = ([c for c in cs if c in df.columns] for cs in (categories, numbers))
+    value = {**{c: F.col(c).cast("string") for c in cats}, **{c: C.num(c) for c in nums}}
+    if not value:
+        return set()
+    got = df.agg(*[(F.min(v) < F.max(v)).alias(c) for c, v in value.items()]).first()
+    return {c for c in value if got[c]}
+
+
+def core_terms(have: set[str]) -> list[str]:
+    """Design factors crossed where all three vary, else one by one; then gender, batch, age, block and position where they vary."""
+    factors = ("WWR", "Complexity", "ExperienceGroup")
+    crossed = ["*".join(f"C({c})" for c in factors)] if have >= set(factors) else [f"C({c})" for c in factors if c in have]
+    return crossed + [f"C({c})" for c in ("Gender", "RecruitmentBatch") if c in have] + [c for c in ("Age", "block", "position") if c in have]
+
+
+def peak_terms(have: set[str]) -> list[str]:
+    factors = ("Complexity", "ExperienceGroup")
+    crossed = ["*".join(f"C({c})" for c in factors)] if have >= set(factors) else [f"C({c})" for c in factors if c in have]
+    return crossed + (["C(Gender)"] if "Gender" in have else []) + (["Age"] if "Age" in have else [])
+
+
+_CATEGORIES, _NUMBERS = ("WWR", "Complexity", "ExperienceGroup", "Gender", "RecruitmentBatch", "order_scheme"), ("Age", "block", "position", "TrialIndex")
+
+
+def eeg_core_models(df: DataFrame, outcomes: Sequence[str]) -> DataFrame:
+    return fit_models(df, outcomes, core_terms(varying(df, _CATEGORIES, _NUMBERS)))
 
 
 def trial_index_models(df: DataFrame, outcomes: Sequence[str]) -> DataFrame:
-    """TrialIndex is the position, else the scene."""
-    at = F.coalesce(*[C.num(c) for c in ("position", "scene_id") if c in df.columns])
-    return fit_models(df.withColumn("TrialIndex", at), outcomes, ["TrialIndex*C(ExperienceGroup)", "TrialIndex*C(Order)"])
+    """The core terms without the position, and TrialIndex (position, else scene, by columns) alone and with group and order scheme."""
+    at = next((c for c in ("position", "scene_id") if c in df.columns), None)
+    df = df.withColumn("TrialIndex", C.num(at)) if at else df
+    have = varying(df, _CATEGORIES, _NUMBERS)
+    terms = [t for t in core_terms(have) if t != "position"]
+    if "TrialIndex" in have:
+        terms.append("TrialIndex")
+        if "ExperienceGroup" in have:
+            terms.append("C(ExperienceGroup):TrialIndex")
+        if "order_scheme" in have:
+            terms += ["C(order_scheme)", "C(order_scheme):TrialIndex"]
+    return fit_models(df, outcomes, terms)
 
 
 MODEL_TABLE = ("family", "outcome", "term", "estimate", "se", "p_value", "ci_low", "ci_high", "n")
@@ -311,13 +346,13 @@ def model_table(results: DataFrame) -> DataFrame:
     return results.select(*[c for c in MODEL_TABLE if c in results.columns])
 
 
-def peak_index_models(df: DataFrame, outcomes: Sequence[str], level: str = "WWR", by: Sequence[str] = ("participant_id", "Complexity", "ExperienceGroup"), predictors: Sequence[str] = ("C(Complexity)*C(ExperienceGroup)",)) -> DataFrame:
-    """A mixed model of each outcome's peak index per participant and condition."""
+def peak_index_models(df: DataFrame, outcomes: Sequence[str], level: str = "WWR", by: Sequence[str] = ("participant_id", "Complexity", "ExperienceGroup", "Gender", "Age")) -> DataFrame:
+    """A mixed model of each outcome's peak index per participant and condition, by the factors, gender and age that vary."""
     from .diagnostics import subject_peak_index
 
     out = None
     for y in outcomes:
-        peaks = subject_peak_index(df, y, level, by)
-        part = fit_models(peaks, ["peak"], predictors).withColumn("outcome", F.lit(f"{y}_peak"))
+        peaks = subject_peak_index(df, y, level, [c for c in by if c in df.columns])
+        part = fit_models(peaks, ["peak"], peak_terms(varying(peaks, _CATEGORIES, _NUMBERS))).withColumn("outcome", F.lit(f"{y}_peak"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -11,7 +11,20 @@ from pyspark.sql import functions as F
 from ..functions import coding as C
 from .gaze import KEYS, small
 
-QC_ALIASES = {"hf_ratio": "hf_ratio_20_40Hz", "rms_uV": "rms_mean_uV", "ptp_uV": "peak_to_peak_uV", "peak_to_peak": "peak_to_peak_uV", "nan_frac": "nan_fraction", "flat_frac": "flat_fraction", "boundary": "near_boundary", "valid_duration": "segment_valid_duration"}
+# Names of quality columns, texts of a duration that is not valid, and the defaults of EegPolicy.
+QC_ALIASES = {
+    "view_hf_ratio": "hf_ratio_20_40Hz",
+    "hf_ratio": "hf_ratio_20_40Hz",
+    "view_rms_mean": "rms_mean_uV",
+    "rms_mean": "rms_mean_uV",
+    "rms_uV": "rms_mean_uV",
+    "ptp_uV": "peak_to_peak_uV",
+    "peak_to_peak": "peak_to_peak_uV",
+    "valid_duration": "segment_valid_duration",
+}
+QC_COLUMNS = ("hf_ratio_20_40Hz", "rms_mean_uV", "peak_to_peak_uV", "nan_fraction", "flat_fraction", "near_boundary", "segment_valid_duration")
+NOT_VALID = ("false", "0", "no", "n", "invalid")
+POLICIES = ("off", "audit_only", "legacy_0_4", "robust")
 
 
 @dataclass(frozen=True)
@@ -20,32 +33,54 @@ class EegPolicy:
 
     policy: str = "robust"
     min_duration_s: float = 1.0
-    max_nan_fraction: float = 0.1
-    max_flat_fraction: float = 0.1
+    max_nan_fraction: float = 0.2
+    max_flat_fraction: float = 0.2
     legacy_hf_ratio: float = 0.4
-    k: float = 5.0
-    min_n: int = 20
+    k: float = 3.5
+    min_n: int = 4
     metrics: tuple[str, ...] = ("hf_ratio_20_40Hz", "rms_mean_uV", "peak_to_peak_uV")
-    subject_threshold: float = 0.5
+    subject_threshold: float = 0.3
 
 
 def alias_qc_columns(df: DataFrame) -> DataFrame:
-    return df.withColumns({to: F.col(a) for a, to in QC_ALIASES.items() if a in df.columns and to not in df.columns})
-
-
-def robust_thresholds(df: DataFrame, metrics: Sequence[str], k: float = 5.0, min_n: int = 20) -> DataFrame:
-    """metric, n, median, mad, threshold over the whole table; null threshold under min_n values. Two passes for all metrics together."""
+    """Each standard name that is missing, from the first of its aliases that exists."""
+    first: dict[str, str] = {}
+    for a, to in QC_ALIASES.items():
+        if a in df.columns and to not in df.columns:
+            first.setdefault(to, a)
+    return df.withColumns({to: F.col(a) for to, a in first.items()})
+
+
+def exact_medians(long: DataFrame, by: str = "metric", v: str = "v") -> DataFrame:
+    """(by, n, median) without a group that holds all values: a sketch bounds the middle, whose few values alone are ranked."""
+    near = long.groupBy(by).agg(F.count(v).alias("n"), F.percentile_approx(v, F.array(F.lit(0.4995), F.lit(0.5005)), F.lit(10_000)).alias("_q"))
+    met = long.join(F.broadcast(near), by)  # a row for each metric
+    below = met.groupBy(by).agg(F.min("n").alias("n"), F.count_if(F.col(v) < F.col("_q")[0]).alias("_b"))
+    middle = met.filter(F.col(v).between(F.col("_q")[0], F.col("_q")[1])).groupBy(by, v).agg(F.count(F.lit(1)).alias("_c"))
+    rank = F.sum("_c").over(Window.partitionBy(by).orderBy(v)) + F.col("_b")
+    ranked = middle.join(F.broadcast(below), by).withColumn("_r", rank)
+    at = lambda k: F.min(F.when(F.col("_r") > k, F.col(v)))
+    out = ranked.groupBy(by).agg(F.min("n").alias("n"), at(F.floor((F.col("n") - 1) / 2)).alias("_lo"), at(F.floor(F.col("n") / 2)).alias("_hi"))
+    return out.select(by, "n", ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
+
+
+def robust_thresholds(df: DataFrame, metrics: Sequence[str], k: float = 3.5, min_n: int = 4) -> DataFrame:
+    """metric, n, median, mad, threshold over the whole table; the latter three are null under min_n values. All metrics together."""
     long = df.select(*[C.num(m).alias(m) for m in metrics]).unpivot([], list(metrics), "metric", "v").filter("v is not null")
-    mid = long.groupBy("metric").agg(F.count("v").alias("n"), F.percentile("v", 0.5).alias("median"))
-    off = long.join(F.broadcast(mid.select("metric", "median")), "metric").groupBy("metric").agg(F.percentile(F.abs(F.col("v") - F.col("median")), 0.5).alias("mad"))
-    return mid.join(off, "metric").withColumn("threshold", F.when(F.col("n") >= min_n, F.col("median") + k * F.col("mad")))
+    mid = exact_medians(long)
+    off = exact_medians(long.join(F.broadcast(mid.select("metric", "median")), "metric").select("metric", F.abs(F.col("v") - F.col("median")).alias("v")))
+    out = mid.join(off.select("metric", F.col("median").alias("mad")), "metric")
+    enough = lambda c: F.when(F.col("n") >= min_n, c)
+    return out.select("metric", "n", enough(F.col("median")).alias("median"), enough(F.col("mad")).alias("mad"), enough(F.col("median") + k * F.col("mad")).alias("threshold"))
 
 
 def eeg_flags(df: DataFrame, p: EegPolicy = EegPolicy()) -> DataFrame:  # noqa: B008
     """Adds hard, robust and legacy reasons, candidate_reasons, reasons and bad_eeg_quality.
 
-    Without any QC column the policy is unavailable and nothing is bad.
+    Without any QC column the policy is unavailable, nothing is bad and there are no reasons. An unknown policy raises.
     """
+    if p.policy not in POLICIES:
+        raise ValueError(f"unknown EEG policy: {p.policy}")
     df = alias_qc_columns(df)
     have = set(df.columns)
     null = F.lit(None).cast("string")
@@ -53,12 +88,12 @@ def eeg_flags(df: DataFrame, p: EegPolicy = EegPolicy()) -> DataFrame:  # noqa:
     hard = []
     if "view_dur_s" in have:
         d = C.num("view_dur_s")
-        hard.append(F.when(d.isNull() | (d < p.min_duration_s), "duration_too_short"))
+        hard.append(F.when(d.isNull() | (d < p.min_duration_s), "segment_duration"))
     if "segment_valid_duration" in have:
-        hard.append(F.when(F.lower(F.trim(F.col("segment_valid_duration").cast("string"))).isin("false", "0", "0.0", "no", "n"), "invalid_duration"))
+        hard.append(F.when(F.lower(F.trim(F.col("segment_valid_duration").cast("string"))).isin(*NOT_VALID), "segment_valid_duration"))
     for c, most in (("nan_fraction", p.max_nan_fraction), ("flat_fraction", p.max_flat_fraction)):
         if c in have:
-            hard.append(F.when(F.coalesce(C.num(c) > most, F.lit(False)), f"high_{c}"))
+            hard.append(F.when(F.coalesce(C.num(c) > most, F.lit(False)), c))
     robust = []
     if metrics:
         table = robust_thresholds(df, metrics, p.k, p.min_n)
@@ -68,19 +103,20 @@ def eeg_flags(df: DataFrame, p: EegPolicy = EegPolicy()) -> DataFrame:  # noqa:
     legacy = [F.when(F.coalesce(C.num("hf_ratio_20_40Hz") > p.legacy_hf_ratio, F.lit(False)), "legacy_hf_ratio")] if "hf_ratio_20_40Hz" in have else []
     listed = lambda xs: F.array_compact(F.array(*(xs or [null])))
     df = df.withColumns({"hard_reasons": listed(hard), "robust_reasons": listed(robust), "legacy_reasons": listed(legacy)})
-    qc_columns = have & {"segment_valid_duration", "nan_fraction", "flat_fraction", "near_boundary", *p.metrics}
-    policy = p.policy if qc_columns else "unavailable"
+    policy = p.policy if have & set(QC_COLUMNS) else "unavailable"
     formal = {"legacy_0_4": ("hard_reasons", "legacy_reasons"), "robust": ("hard_reasons", "robust_reasons")}.get(policy, ())
     reasons = C.ordered_join(F.concat(*[F.col(c) for c in formal])) if formal else F.lit("")
-    df = df.withColumns({"qc_policy": F.lit(policy), "candidate_reasons": C.ordered_join(F.concat("hard_reasons", "robust_reasons", "legacy_reasons")), "reasons": reasons})
+    df = df.withColumns({"qc_policy": F.lit(policy), "candidate_reasons": C.ordered_join(F.concat("hard_reasons", "robust_reasons", "legacy_reasons")) if policy != "unavailable" else F.lit(""), "reasons": reasons})
     return df.withColumn("bad_eeg_quality", F.col("reasons") != "").drop(*[f"_t_{m}" for m in metrics], "hard_reasons", "robust_reasons", "legacy_reasons")
 
 
-def exclude_subjects(df: DataFrame, threshold: float = 0.5, who: str = "participant_id") -> DataFrame:
-    """Every row of a participant with more than `threshold` bad rows is bad. Candidate reasons stay."""
-    share = F.avg(F.col("bad_eeg_quality").cast("double")).over(Window.partitionBy(who))
-    out = df.withColumn("subject_excluded", F.col(who).isNotNull() & F.coalesce(share > threshold, F.lit(False)))
-    why = F.concat_ws(";", F.nullif("reasons", F.lit("")), F.when(F.col("subject_excluded"), "subject_bad_fraction"))
+def exclude_subjects(df: DataFrame, threshold: float = 0.3, who: str = "participant_id") -> DataFrame:
+    """Every row of a participant with more than `threshold` bad rows is bad, unless the policy is off or audit_only. Candidate reasons stay."""
+    share = df.groupBy(who).agg(F.avg(F.col("bad_eeg_quality").cast("double")).alias("_share")).filter(F.col(who).isNotNull() & (F.col("_share") > threshold))
+    out = df.join(small(share.select(who, F.lit(True).alias("_out")), 200_000), who, "left")
+    formal = ~F.col("qc_policy").isin("off", "audit_only") if "qc_policy" in df.columns else F.lit(True)
+    out = out.withColumn("subject_excluded", F.col("_out").isNotNull() & formal).select(*df.columns, "subject_excluded")
+    why = F.concat_ws(";", F.nullif("reasons", F.lit("")), F.when(F.col("subject_excluded"), "eeg_subject_quality_exclusion"))
     return out.withColumns({"reasons": why, "bad_eeg_quality": F.col("bad_eeg_quality") | F.col("subject_excluded")})
 
 
@@ -140,20 +176,40 @@ def participant_flow(df: DataFrame, flag: str = "exclude", batch: str = "Recruit
     return steps.unionByName(per)
 
 
-def contract_findings(df: DataFrame, subject: str = "subject_id", scene: str = "scene_id", core: Sequence[str] = ("O_alpha", "O_theta", "F_theta"), timing: Sequence[str] = ("view_start_s", "view_end_s", "view_dur_s"), qc: Sequence[str] = ("hf_ratio_20_40Hz", "nan_fraction", "flat_fraction")) -> DataFrame:
-    """severity, finding, n: errors (ids, no core metric, duplicate keys) before warnings; a table without findings gives one pass row."""
+# Columns of an EEG scene summary.
+SUMMARY_IDS = ("participant_id", "subject_id")
+SUMMARY_DURATIONS = ("view_dur_s", "duration_s", "dur_s", "view_duration_s", "eeg_view_dur_s")
+SUMMARY_TIMING = ("view_start_s", "view_end_s")
+SUMMARY_CORE = ("O_theta", "F_theta", "O_alpha")
+SUMMARY_QC = ("hf_ratio_20_40Hz", "rms_mean_uV", "peak_to_peak_uV", "nan_fraction", "flat_fraction", "segment_valid_duration")
+
+
+def contract_findings(df: DataFrame) -> DataFrame:
+    """severity, finding, n: what an EEG scene summary lacks; a table without findings gives one pass row.
+
+    Errors: no participant identifier, no scene, no core metric, duplicate keys (n: rows beyond the first of their
+    key). Warnings: no duration column, and timing and quality columns that are missing.
+    """
     spark, have = df.sparkSession, set(df.columns)
-    fixed = [("error", f"missing_{c}", 1) for c in (subject, scene) if c not in have]
-    fixed += [] if have & set(core) else [("error", "no_core_metric", 1)]
-    fixed += [("warning", f"missing_{c}", 1) for c in (*timing, *qc) if c not in have]
+    who = next((c for c in SUMMARY_IDS if c in have), None)
+    fixed = [] if who else [("error", "missing_identifier", 1)]
+    fixed += [] if "scene_id" in have else [("error", "missing_scene_id", 1)]
+    fixed += [] if have & set(SUMMARY_CORE) else [("error", "no_core_metric", 1)]
+    fixed += [] if have & set(SUMMARY_DURATIONS) else [("warning", "missing_duration", 1)]
+    fixed += [("warning", f"missing_{c}", 1) for c in (*SUMMARY_TIMING, *SUMMARY_QC) if c not in have]
     out = spark.createDataFrame(fixed, "severity string, finding string, n long")
-    if {subject, scene} <= have:
-        dup = df.groupBy(subject, scene).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n"))
+    if who and "scene_id" in have:
+        dup = df.groupBy(who, "scene_id").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n"))
         out = out.unionByName(dup.filter("n > 0").select(F.lit("error").alias("severity"), F.lit("duplicate_keys").alias("finding"), F.col("n").cast("long")))
     none = out.groupBy().agg(F.count(F.lit(1)).alias("c")).filter("c = 0").select(F.lit("pass").alias("severity"), F.lit("pass").alias("finding"), F.lit(0).cast("long").alias("n"))
     return out.unionByName(none)
 
 
+def contract_status(findings: DataFrame) -> DataFrame:
+    """status: error before warning before pass."""
+    return findings.agg(F.when(F.count_if(F.col("severity") == "error") > 0, "error").when(F.count_if(F.col("severity") == "warning") > 0, "warning").otherwise("pass").alias("status"))
+
+
 SCENE_QC = ("participant_id", "scene_id", "view_dur_s", "hf_ratio_20_40Hz", "rms_mean_uV", "peak_to_peak_uV", "nan_fraction", "flat_fraction", "near_boundary", "segment_valid_duration", "qc_policy", "candidate_reasons", "reasons", "subject_excluded", "bad_eeg_quality")
 
 

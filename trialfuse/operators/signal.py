@@ -29,16 +29,31 @@ def marker_segments(markers: DataFrame, states: dict[tuple[str, str], str], who:
 
 def next_in_scene(segments: DataFrame, first: str = "view", then: str = "gray", who: str = "subject_id", order: str = "ev_ix") -> DataFrame:
     """Each `first` segment with the first later `then` segment of the same scene."""
-    w = Window.partitionBy(who, "scene_id").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    later = F.first(F.when(F.col("condition") == then, F.struct(order, "latency", "end_latency")), ignorenulls=True).over(w)
+    # from the last row to the first, so that the frame only grows
+    w = Window.partitionBy(who, "scene_id").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.last(F.when(F.col("condition") == then, F.struct(order, "latency", "end_latency")), ignorenulls=True).over(w)
     return segments.withColumn("_next", later).filter(F.col("condition") == first).select(who, "scene_id", F.col(order).alias(f"{first}_ix"), F.col("latency").alias(f"{first}_start"), F.col("end_latency").alias(f"{first}_end"), F.col(f"_next.{order}").alias(f"{then}_ix"), F.col("_next.latency").alias(f"{then}_start"), F.col("_next.end_latency").alias(f"{then}_end"))
 
 
 def signal_qc(samples: DataFrame, by: Sequence[str] = ("segment",), channel: str = "channel", value: str = "uV", flat_sd: float = 1e-6) -> DataFrame:
-    """Mean channel RMS, peak to peak, non-finite and flat shares of each segment; channels first, segments from those."""
+    """Mean of the channels' RMS and peak to peak, non-finite and flat shares of each segment; channels first, segments from those."""
     v = F.when(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")), F.col(value))
     per = samples.withColumn("_v", v).groupBy(*by, channel).agg(F.count(F.lit(1)).alias("n"), F.count("_v").alias("ok"), F.sqrt(F.avg(F.col("_v") * F.col("_v"))).alias("rms"), (F.max("_v") - F.min("_v")).alias("ptp"), F.stddev_samp("_v").alias("sd"))
-    return per.groupBy(*by).agg(F.avg("rms").alias("rms_mean_uV"), F.max("ptp").alias("peak_to_peak_uV"), (1 - ratio(F.sum("ok"), F.sum("n"))).alias("nan_fraction"), F.avg((F.coalesce("sd", F.lit(0.0)) < flat_sd).cast("double")).alias("flat_fraction"), F.sum("n").alias("n_samples"))
+    return per.groupBy(*by).agg(F.avg("rms").alias("rms_mean_uV"), F.avg("ptp").alias("peak_to_peak_uV"), (1 - ratio(F.sum("ok"), F.sum("n"))).alias("nan_fraction"), F.avg((F.coalesce("sd", F.lit(0.0)) < flat_sd).cast("double")).alias("flat_fraction"), F.sum("n").alias("n_samples"))
+
+
+def hf_ratio(samples: DataFrame, fs: float, by: Sequence[str] = ("segment",), order: str = "sample_ix", value: str = "uV", legacy: float = 0.4) -> DataFrame:
+    """by, hf_ratio_20_40Hz, eeg_legacy_hf_flag: power of 20-40 Hz over that of 1-45 Hz, of the mean signal over the channels."""
+    p = band_power(samples.withColumn("_roi", F.lit("all")), fs, by, "_roi", order, value, {"hf": (20, 40), "total": (1, 45)})
+    share = ratio(F.col("hf"), F.col("total"))
+    return p.select(*by, share.alias("hf_ratio_20_40Hz"), F.coalesce(share > legacy, F.lit(False)).alias("eeg_legacy_hf_flag"))
+
+
+def segment_marks(segments: DataFrame, fs: float, min_s: float = 1.0) -> DataFrame:
+    """Adds view_dur_s, near_boundary (either marker's type names one) and segment_valid_duration to segments of marker_segments()."""
+    seconds = (F.col("end_latency") - F.col("latency")) / fs
+    near = F.lower(F.concat_ws(" ", "type", "next_type")).contains("boundary")
+    return segments.withColumns({"view_dur_s": seconds, "near_boundary": near, "segment_valid_duration": F.coalesce(seconds >= min_s, F.lit(False))})
 
 
 def welch_psd(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:

@@ -11,36 +11,100 @@ from ..functions import coding as C
 from .gaze import KEYS, small
 
 DIMENSION_ROWS = 200_000
-DESIGN = ("block", "position", "round", "condition_id", "WWR", "WWR_numeric", "Cond", "Complexity")
-# Names under which sources give durations, start and end times and the missing mark.
-DURATIONS = ("view_dur_s", "duration_s", "segment_duration_s", "eeg_duration_s", "dur_s")
+# Column names of the design, of participants and of paths, in their order.
+DESIGN = ("condition_id", "WWR", "WWR_numeric", "Cond", "Complexity", "block", "position", "round", "participant_order", "order_scheme", "order_code")
+PARTICIPANT = ("participant_id", "eeg_subject_id", "eye_subject_id", "ExperienceRaw", "Experience", "ExperienceGroup", "SportFreq", "GenderRaw", "Gender", "Age", "RecruitmentBatch", "SupplementFlag", "exclude", "ExcludeReason")
+PATHS = ("eye_csv_path", "aoi_json_path")
+CORE = tuple(dict.fromkeys((*KEYS, *DESIGN, *PARTICIPANT, *PATHS)))
+# Names under which sources give durations, start and end times and the missing mark, in the order in which they are tried.
+DURATIONS = ("eeg_view_dur_s", "view_dur_s", "view_duration_s", "dur_s", "duration_s")
 INTERVALS = (("view_start_s", "view_end_s"), ("start_s", "end_s"))
-MISSING_MARKS = ("view_dur_s", "O_alpha", "O_theta", "F_theta", "eeg_subject_id")
+DERIVED_DURATIONS = ("duration_s", "dur_s", "view_duration_s", "eeg_view_dur_s")
+DELTAS = (("O_alpha_gray", "O_alpha_view"), ("gray_O_alpha", "view_O_alpha"), ("gray_O_alpha", "O_alpha"))
+MISSING_MARKS = ("subject_id", "view_dur_s", "dur_s", "duration_s", "O_theta", "F_theta")
 
 
 def active_rows(df: DataFrame, flag: str = "exclude") -> DataFrame:
     return df.filter(~C.truthy(flag)) if flag in df.columns else df
 
 
-def standardize_participants(df: DataFrame, low: tuple[str, ...] = ("low", "never", "rarely"), high: tuple[str, ...] = ("high", "often", "weekly", "daily")) -> DataFrame:
-    """Defaults for missing columns; coded experience and gender; numeric age."""
-    have = lambda c, d=None: F.col(c) if c in df.columns else F.lit(d)
-    raw = F.coalesce(have("ExperienceRaw").cast("string"), have("Experience").cast("string"), have("SportFreq").cast("string"))
-    given = F.nullif(F.trim(have("ExperienceGroup").cast("string")), F.lit(""))
+def standardize_participants(df: DataFrame, low: tuple[str, ...] = C.LOW_EXPERIENCE, high: tuple[str, ...] = C.HIGH_EXPERIENCE) -> DataFrame:
+    """Columns that are missing, by columns and not by rows: experience coded, batch Original, the supplement flag from the batch. Gender coded, age numeric."""
+    have = lambda *cs: next((F.col(c) for c in cs if c in df.columns), None)
+    text = lambda c: F.lit("") if c is None else c.cast("string")
+    raw = text(have("ExperienceRaw", "Experience"))
+    batch = F.lit("Original") if have("RecruitmentBatch") is None else F.col("RecruitmentBatch")
+    gender = text(have("Gender"))
+    given = have("GenderRaw")
+    gender_raw = gender if given is None else F.when(F.coalesce(F.lower(F.trim(given.cast("string"))), F.lit("")).isin("", "nan", "none"), gender).otherwise(given)
     return df.withColumns(
         {
             "participant_id": C.text_key("participant_id"),
-            "exclude": C.truthy(have("exclude", False)),
+            "exclude": C.truthy(F.lit(False) if have("exclude") is None else F.col("exclude")),
             "ExperienceRaw": raw,
-            "ExperienceGroup": F.coalesce(given, C.coded_by_patterns(raw, low, high)),
-            "Gender": C.gender(F.coalesce(have("Gender").cast("string"), have("GenderRaw").cast("string"))),
-            "Age": C.num(have("Age")),
-            "RecruitmentBatch": F.coalesce(F.nullif(F.trim(have("RecruitmentBatch").cast("string")), F.lit("")), F.lit("Original")),
-            "SupplementFlag": C.truthy(have("SupplementFlag", False)),
+            "ExperienceGroup": C.coded_by_patterns(raw, low, high) if have("ExperienceGroup") is None else F.col("ExperienceGroup"),
+            "RecruitmentBatch": batch,
+            "SupplementFlag": F.coalesce(F.lower(batch.cast("string")) == "supplement", F.lit(False)) if have("SupplementFlag") is None else C.truthy("SupplementFlag"),
+            "GenderRaw": gender_raw,
+            "Gender": C.gender(gender_raw),
+            "Age": C.num(F.lit(None) if have("Age") is None else F.col("Age")),
         }
     )
 
 
+def standardize_scenes(df: DataFrame, base: str = "") -> DataFrame:
+    """A scene table: keys normalised and unique, WWR_numeric and condition_id where they are missing, null block, position and round, paths joined to base."""
+    require_columns(df, KEYS, "scene manifest")
+    out = df.withColumns({"participant_id": C.text_key("participant_id"), "scene_id": C.int_key("scene_id")})
+    if "WWR" in df.columns and "WWR_numeric" not in df.columns:
+        out = out.withColumn("WWR_numeric", C.first_number("WWR"))
+    if "condition_id" not in df.columns and {"WWR", "Complexity"} <= set(df.columns):
+        out = out.withColumn("condition_id", C.condition_id("Complexity", F.col("Cond") if "Cond" in df.columns else F.lit(None), "WWR"))
+    out = out.withColumns({c: F.lit(None).cast("long") for c in ("block", "position", "round") if c not in df.columns})
+    for c in PATHS:
+        if c in df.columns:
+            p = F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
+            whole = (p == "") | p.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:)")
+            out = out.withColumn(c, F.when(whole | F.lit(not base), p).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), p)))
+    return require_unique(out, what="scene manifest")
+
+
+def manifest_scenes(df: DataFrame) -> DataFrame:
+    """An older manifest: keys normalised and unique, and a numeric eye_offset_ms, 0 by default."""
+    offset = C.num("eye_offset_ms") if "eye_offset_ms" in df.columns else F.lit(None).cast("double")
+    out = require_columns(df, KEYS, "scene manifest").withColumns({"participant_id": C.text_key("participant_id"), "scene_id": C.int_key("scene_id"), "eye_offset_ms": F.coalesce(offset, F.lit(0.0))})
+    return require_unique(out, what="scene manifest")
+
+
+def manifest_participants(df: DataFrame) -> DataFrame:
+    """Older participants: three id columns, trimmed, and exclude as a boolean."""
+    ids = ("participant_id", "eeg_subject_id", "eye_subject_id")
+    out = require_columns(df, ids, "participants").withColumns({c: C.text_key(c) for c in ids})
+    return out.withColumn("exclude", C.truthy("exclude") if "exclude" in df.columns else F.lit(False))
+
+
+def eye_classes(df: DataFrame) -> DataFrame:
+    """Older class metrics, unique by participant, scene and class."""
+    keys = (*KEYS, "class_name")
+    out = require_columns(df, keys, "eye classes").withColumns({"participant_id": C.text_key("participant_id"), "scene_id": C.int_key("scene_id")})
+    return require_unique(out, keys, "eye classes")
+
+
+def standardize_answers(df: DataFrame, items: Sequence[str]) -> DataFrame:
+    """A long questionnaire: keys normalised and unique, items numeric where they exist."""
+    out = require_columns(df, KEYS, "questionnaire").withColumns({"participant_id": C.text_key("participant_id"), "scene_id": C.int_key("scene_id"), **{c: C.num(c) for c in items if c in df.columns}})
+    return require_unique(out, what="questionnaire")
+
+
+def attach_design(answers: DataFrame, scenes: DataFrame, participants: DataFrame) -> DataFrame:
+    """Answers with design columns by both keys and participant columns by the participant; answers without either stay."""
+    design = [c for c in ("WWR", "WWR_numeric", "Complexity", "Cond", "block", "position", "round", "condition_id") if c in scenes.columns and c not in answers.columns]
+    person = [c for c in ("ExperienceGroup", "ExperienceRaw", "Experience", "SportFreqGroup", "Gender", "Age", "RecruitmentBatch", "SupplementFlag") if c in participants.columns and c not in answers.columns]
+    out = answers.join(scenes.select(*KEYS, *design), list(KEYS), "left")
+    who = keep_first(participants.select("participant_id", *person), ["participant_id"], [F.xxhash64(*person)] if person else ["participant_id"])
+    return out.join(small(who, DIMENSION_ROWS), "participant_id", "left")
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key, in a stated order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
@@ -83,17 +147,16 @@ def prefixed(df: DataFrame, prefix: str, core: Sequence[str] = (*KEYS, *DESIGN))
     return df.withColumnsRenamed({c: f"{prefix}{c}" for c in df.columns if c not in core and not c.startswith(prefix)})
 
 
-def coalesce_design(df: DataFrame, design: Sequence[str] = DESIGN, marks: Sequence[str] = ("_x", "_y", "_q", "_eeg", "_eye")) -> DataFrame:
-    """Each design column filled from its suffixed and prefixed candidates, in column order."""
+def coalesce_design(df: DataFrame, design: Sequence[str] = DESIGN) -> DataFrame:
+    """Each design column filled from the columns that end with its name or start with q_, eeg_ or eye_ and its name, in column order; these stay."""
     for d in design:
-        found = [c for c in df.columns if c != d and (c in {f"{d}{m}" for m in marks} or c in (f"q_{d}", f"eeg_{d}", f"eye_{d}"))]
-        own = [d] if d in df.columns else []
+        found = [c for c in df.columns if c != d and (c.endswith(f"_{d}") or c.startswith((f"q_{d}", f"eeg_{d}", f"eye_{d}")))]
         if found:
-            df = df.withColumn(d, F.coalesce(*own, *found)).drop(*found)
+            df = df.withColumn(d, F.coalesce(*([d] if d in df.columns else []), *found))
     return df
 
 
-def ordered_columns(df: DataFrame, core: Sequence[str] = (*KEYS, *DESIGN)) -> DataFrame:
+def ordered_columns(df: DataFrame, core: Sequence[str] = CORE) -> DataFrame:
     return df.select(*[c for c in core if c in df.columns], *[c for c in df.columns if c not in core])
 
 
@@ -109,9 +172,9 @@ def eeg_duration(columns: Sequence[str]) -> Column:
 
 
 def aligned_scenes(trials: DataFrame, eye: DataFrame, eeg: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """All trials with eye and EEG columns; missing_eeg_scene by the first marker column that EEG has."""
+    """All trials with eye and EEG columns; missing_eeg_scene by the first marker column that there is."""
     out = trials.join(eye, list(keys), "left").join(eeg, list(keys), "left")
-    mark = next((c for c in MISSING_MARKS if c in eeg.columns), None)
+    mark = next((c for c in MISSING_MARKS if c in out.columns), None)
     return out.withColumn("missing_eeg_scene", F.col(mark).isNull() if mark else F.lit(True))
 
 
@@ -148,33 +211,48 @@ def scene_fallback(tables: Sequence[DataFrame], keys: Sequence[str] = KEYS, desi
     return keep_first(out, keys, ["_rank", *[F.asc_nulls_last(c) for c in rest]]).drop("_rank")
 
 
-def resolve_aliases(rows: DataFrame, manual: DataFrame | None = None, record: str = "record_id", subject: str = "subject", generic: str = r"^(?i)(subject|user|test|p)?\s*\d+$") -> DataFrame:
+# Names that devices give to subjects.
+GENERIC_SUBJECTS = ("user", "user1", "user2", "test", "pilot", "practice")
+
+
+def resolve_aliases(rows: DataFrame, manual: DataFrame | None = None, record: str = "record_id", subject: str = "subject") -> DataFrame:
     """subject -> participant_id. A suffix note is cut; a generic name takes the one proper name of its record; a manual alias wins over both.
 
-    alias_source: none, suffix_note, record or manual. manual: (alias, participant_id), the last by participant_id if several fit.
+    alias_source: empty, suffix_note, record_id or manual. manual: (alias, participant_id) and,
+    where it has one, a number `row`: of the aliases that are the subject or
+    what it has become, the last by row wins (else the last in the order of the files).
     """
-    bare = C.base_name(subject)
-    rows = rows.withColumns({"_base": bare, "_generic": bare.rlike(generic)})
+    bare = C.without_note(subject)
+    name = F.lower(F.trim(F.col("_base")))
+    rows = rows.withColumn("_base", bare).withColumn("_generic", name.isin(*GENERIC_SUBJECTS) | name.rlike(r"^user\d+$"))
     one = rows.filter(F.col(record).isNotNull()).groupBy(record).agg(F.count_distinct(F.when(~F.col("_generic"), F.col("_base"))).alias("_named"), F.min(F.when(~F.col("_generic"), F.col("_base"))).alias("_name"), F.count_if("_generic").alias("_any"))
     out = rows.join(one.filter("_named = 1 and _any > 0").select(record, "_name"), record, "left")
+    taken = F.col("_generic") & F.col("_name").isNotNull()
+    out = out.withColumns({"_now": F.when(taken, F.col("_name")).otherwise(F.col("_base")), "_raw": F.trim(F.col(subject).cast("string"))})
     if manual is not None:
-        last = manual.groupBy(F.trim("alias").alias("_alias")).agg(F.max("participant_id").alias("_manual"))
-        out = out.join(small(last, DIMENSION_ROWS), (F.trim(F.col(subject)) == F.col("_alias")), "left").drop("_alias")
+        at = F.col("row") if "row" in manual.columns else F.monotonically_increasing_id()
+        named = manual.select(F.trim("alias").alias("_alias"), F.trim("participant_id").alias("_to"), at.cast("long").alias("_at")).filter("_alias <> '' and _to <> ''")
+        last = small(named.groupBy("_alias").agg(F.max(F.struct("_at", "_to")).alias("_m")), DIMENSION_ROWS)
+        for mine, to in (("_raw", "_m1"), ("_now", "_m2")):
+            out = out.join(last.select(F.col("_alias").alias(mine), F.col("_m").alias(to)), mine, "left")
+        out = out.withColumn("_manual", F.greatest("_m1", "_m2")["_to"]).drop("_m1", "_m2")
     else:
         out = out.withColumn("_manual", F.lit(None).cast("string"))
-    taken = F.col("_generic") & F.col("_name").isNotNull()
-    pid = F.coalesce("_manual", F.when(taken, F.col("_name")), "_base")
-    source = F.when(F.col("_manual").isNotNull(), "manual").when(taken, "record").when(F.col("_base") != F.trim(F.col(subject)), "suffix_note").otherwise("none")
-    return out.withColumns({"participant_id": pid, "alias_source": source}).drop("_base", "_generic", "_name", "_manual")
+    pid = F.coalesce("_manual", "_now")
+    source = F.when(F.col("_manual").isNotNull(), "manual").when(taken, "record_id").when(F.col("_base") != F.col("_raw"), "suffix_note").otherwise("")
+    return out.withColumns({"participant_id": pid, "alias_source": source}).drop("_base", "_generic", "_name", "_manual", "_now", "_raw")
+
+
+def eeg_duration_table(eeg: DataFrame) -> DataFrame:
+    return eeg.select(*KEYS, eeg_duration(eeg.columns).alias("eeg_view_dur_s"))
 
 
 def eeg_derived(df: DataFrame) -> DataFrame:
-    """view_dur_s where it is missing, and delta_O_alpha = gray - view by the first naming scheme whose columns exist."""
-    out = df if "view_dur_s" in df.columns else df.withColumn("view_dur_s", eeg_duration(df.columns))
-    for gray, view in (("gray_O_alpha", "view_O_alpha"), ("O_alpha_gray", "O_alpha_view"), ("O_alpha_gray", "O_alpha")):
-        if gray in df.columns and view in df.columns and "delta_O_alpha" not in df.columns:
-            return out.withColumn("delta_O_alpha", C.num(gray) - C.num(view))
-    return out
+    """view_dur_s where the column is missing, and delta_O_alpha = gray - view by the first naming scheme whose columns exist."""
+    own = next((c for c in DERIVED_DURATIONS if c in df.columns), None)
+    out = df.withColumn("view_dur_s", C.num(own)) if own and "view_dur_s" not in df.columns else df
+    pair = next(((g, v) for g, v in DELTAS if g in df.columns and v in df.columns), None)
+    return out.withColumn("delta_O_alpha", C.num(pair[0]) - C.num(pair[1])) if pair else out
 
 
 def trial_base(df: DataFrame, keys: Sequence[str] = KEYS, design: Sequence[str] = DESIGN) -> DataFrame:

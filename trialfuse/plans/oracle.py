@@ -52,18 +52,19 @@ _EEG = """e AS (SELECT o_custkey::VARCHAR AS participant_id, o_orderkey AS scene
 _SYNC = """y AS (SELECT e.participant_id, e.scene_id, eye_s, dur AS eeg_s, eye_s - dur AS delta, coalesce(abs(eye_s - dur) > 2.0, true) AS mismatch,
  count(e.scene_id) OVER (PARTITION BY e.participant_id) AS scenes FROM e LEFT JOIN (SELECT o_orderkey, floor(o_totalprice / 1000) / 100 AS eye_s FROM orders WHERE floor(o_totalprice / 1000) / 100 > 0.5) ON o_orderkey = e.scene_id)"""
 _FLAGS = """th AS (SELECT max(mh + 3 * dh) AS th_h, max(mr + 3 * dr) AS th_r FROM (SELECT median(abs(hf - mh)) AS dh, median(abs(rms - mr)) AS dr, any_value(mh) AS mh, any_value(mr) AS mr FROM e, (SELECT median(hf) AS mh, median(rms) AS mr FROM e))),
-f AS (SELECT participant_id, scene_id, hf, rms, dur, concat_ws(';', CASE WHEN dur IS NULL OR dur < 2 THEN 'duration_too_short' END, CASE WHEN hf > th_h THEN 'robust_hf_ratio_20_40Hz' END, CASE WHEN rms > th_r THEN 'robust_rms_mean_uV' END) AS reasons,
- concat_ws(';', CASE WHEN dur IS NULL OR dur < 2 THEN 'duration_too_short' END, CASE WHEN hf > th_h THEN 'robust_hf_ratio_20_40Hz' END, CASE WHEN rms > th_r THEN 'robust_rms_mean_uV' END, CASE WHEN hf > 0.4 THEN 'legacy_hf_ratio' END) AS candidates FROM e, th)"""
+f AS (SELECT participant_id, scene_id, hf, rms, dur, concat_ws(';', CASE WHEN dur IS NULL OR dur < 2 THEN 'segment_duration' END, CASE WHEN hf > th_h THEN 'robust_hf_ratio_20_40Hz' END, CASE WHEN rms > th_r THEN 'robust_rms_mean_uV' END) AS reasons,
+ concat_ws(';', CASE WHEN dur IS NULL OR dur < 2 THEN 'segment_duration' END, CASE WHEN hf > th_h THEN 'robust_hf_ratio_20_40Hz' END, CASE WHEN rms > th_r THEN 'robust_rms_mean_uV' END, CASE WHEN hf > 0.4 THEN 'legacy_hf_ratio' END) AS candidates FROM e, th)"""
 _SUBJ = "s AS (SELECT *, participant_id IS NOT NULL AND avg((reasons <> '')::INT) OVER (PARTITION BY participant_id) > 0.2 AS gone FROM f)"
 _TIMES = """x AS (SELECT o_custkey::VARCHAR AS participant_id, ascii(o_orderstatus)::BIGINT AS scene_id, epoch_ms(min(o_orderdate)) / 1000 AS x_start, epoch_ms(max(o_orderdate)) / 1000 AS x_end FROM orders GROUP BY ALL),
 z AS (SELECT o_custkey::VARCHAR AS participant_id, ascii(o_orderstatus)::BIGINT AS scene_id, epoch_ms(min(l_shipdate)) / 1000 AS y_start, epoch_ms(max(l_shipdate)) / 1000 AS y_end FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""
 _MARKS = f"""{_TIMES}, t AS (SELECT *, abs((x_end - x_start) - (y_end - y_start)) > {100 * _DAY / 1000} AS outlier FROM x JOIN z USING (participant_id, scene_id)),
-u AS (SELECT * FROM (SELECT *, sum((NOT outlier)::INT) OVER (PARTITION BY participant_id) AS n_ok FROM t) WHERE n_ok < 2 OR NOT outlier),
-m AS (SELECT participant_id, scene_id, outlier, unnest(['start', 'end']) AS edge, unnest([x_start, x_end]) AS x, unnest([y_start, y_end]) AS y FROM u),
+u AS (SELECT *, n_ok < 2 OR NOT outlier AS used FROM (SELECT *, sum((NOT outlier)::INT) OVER (PARTITION BY participant_id) AS n_ok FROM t)),
+ma AS (SELECT participant_id, scene_id, outlier, used, unnest(['start', 'end']) AS edge, unnest([x_start, x_end]) AS x, unnest([y_start, y_end]) AS y FROM u),
+m AS (SELECT * FROM ma WHERE used),
 f1 AS (SELECT participant_id, count(*) AS n, coalesce(covar_pop(x, y) / nullif(var_pop(x), 0), 1.0) AS s, avg(y) - coalesce(covar_pop(x, y) / nullif(var_pop(x), 0), 1.0) * avg(x) AS i FROM m GROUP BY ALL),
 f2 AS (SELECT m.participant_id, count(*) AS n, coalesce(covar_pop(x, y) / nullif(var_pop(x), 0), 1.0) AS s, avg(y) - coalesce(covar_pop(x, y) / nullif(var_pop(x), 0), 1.0) * avg(x) AS i FROM m JOIN f1 USING (participant_id) WHERE abs(y - s * x - i) <= {60 * _DAY / 1000} GROUP BY ALL HAVING count(*) >= 4),
 f AS (SELECT participant_id, coalesce(f2.s, f1.s) AS slope, coalesce(f2.i, f1.i) AS intercept, f1.n AS n_landmarks, coalesce(f2.n, f1.n) AS n_used FROM f1 LEFT JOIN f2 USING (participant_id))"""
-_RES = f"{_MARKS}, r AS (SELECT m.*, slope * x + intercept AS predicted, y - (slope * x + intercept) AS res FROM m JOIN f USING (participant_id))"
+_RES = f"{_MARKS}, r AS (SELECT ma.*, slope * x + intercept AS predicted, slope * x + intercept - y AS res FROM ma JOIN f USING (participant_id))"
 _STATE = "CASE WHEN type = 'click' AND nt = 'view' THEN 'view' WHEN type = 'view' AND nt IN ('click', 'purchase') THEN 'gray' WHEN type = 'signup' AND nt = 'view' THEN 'view' END"
 _SEGS = f"""{_GAZE}, k0 AS (SELECT participant_id AS subject_id, seq AS ev_ix, type, t_ms AS latency, lead(type) OVER w AS nt, lead(t_ms) OVER w AS end_latency FROM g WINDOW w AS (PARTITION BY participant_id ORDER BY seq)),
 k1 AS (SELECT *, {_STATE} AS condition FROM k0), k2 AS (SELECT *, (sum((condition = 'view')::INT) OVER (PARTITION BY subject_id ORDER BY ev_ix ROWS UNBOUNDED PRECEDING))::BIGINT AS scene_id FROM k1 WHERE condition IS NOT NULL)"""
@@ -100,7 +101,7 @@ ORACLE_SQL: dict[str, str] = {
     "clock_fit": _with(_MARKS, select="SELECT participant_id, round(slope, 2) AS slope, round(intercept, 2) AS intercept, n_landmarks, n_used FROM f"),
     "clock_residuals": _with(_RES, select="SELECT participant_id, scene_id, edge, outlier, x, y, round(predicted, 2) AS predicted, round(res, 2) AS residual_ms FROM r"),
     "clock_quality": _with(_RES, "k AS (SELECT *, sum((NOT outlier)::INT) OVER (PARTITION BY participant_id) AS ok FROM r)", select="SELECT participant_id, round(quantile_cont(abs(res), 0.5), 2) AS median_abs_ms, round(quantile_cont(abs(res), 0.95), 2) AS p95_abs_ms, round(max(abs(res)), 2) AS max_abs_ms, count(*) AS n FROM k WHERE ok = 0 OR NOT outlier GROUP BY participant_id"),
-    "scene_alignment": _with(_TIMES, select=f"SELECT {_K}, x_start AS eye_start, x_end AS eye_end, y_start AS eeg_start, y_end AS eeg_end, round((x_end - x_start) - (y_end - y_start), 6) AS duration_delta_s, coalesce(abs((x_end - x_start) - (y_end - y_start)) > {_DAY / 10}, true) AS outlier FROM x LEFT JOIN z USING ({_K})"),
+    "scene_alignment": _with(_TIMES, select=f"SELECT {_K}, x_start AS eye_start, x_end AS eye_end, y_start AS eeg_start, y_end AS eeg_end, round((x_end - x_start) - (y_end - y_start), 6) AS duration_delta_s, coalesce(abs((x_end - x_start) - (y_end - y_start)) > {_DAY / 10}, false) AS outlier FROM x LEFT JOIN z USING ({_K})"),
     "sync_qc": _with(_EEG, _SYNC, select=f"SELECT {_K}, eye_s AS eye_duration_s, eeg_s AS eeg_duration_s, scenes AS scene_count, round(delta, 6) AS duration_delta_s, mismatch AS duration_mismatch, scenes <> 10 AS scene_count_mismatch FROM y"),
     "qc_exclusions": _with(_EEG, _SYNC, _FLAGS, _ANSWERS, "r AS (SELECT y.participant_id, y.scene_id, concat_ws(';', CASE WHEN NOT EXISTS (SELECT 1 FROM a WHERE a.scene_id = y.scene_id AND S1 > 5) THEN 'missing_questionnaire' END, CASE WHEN eye_s IS NULL THEN 'missing_eye' END, CASE WHEN eeg_s IS NULL THEN 'missing_eeg' END, CASE WHEN f.reasons <> '' THEN 'bad_eeg_quality' END, CASE WHEN mismatch THEN 'duration_mismatch' END, CASE WHEN scenes <> 10 THEN 'scene_count_mismatch' END) AS reasons FROM y JOIN f USING (scene_id))",
         select=f"SELECT {_K}, reasons, reasons = '' AS keep FROM r"),
@@ -108,10 +109,10 @@ ORACLE_SQL: dict[str, str] = {
     "robust_mad_thresholds": _with(_EEG, "l AS (SELECT unnest(['hf_ratio_20_40Hz', 'rms_mean_uV']) AS metric, unnest([hf, rms]) AS v FROM e)", "m AS (SELECT metric, count(v) AS n, median(v) AS median FROM l WHERE v IS NOT NULL GROUP BY ALL)", "d AS (SELECT metric, median(abs(v - median)) AS mad FROM l JOIN m USING (metric) WHERE v IS NOT NULL GROUP BY ALL)",
         select="SELECT metric, n, round(median, 6) AS median, round(mad, 6) AS mad, round(CASE WHEN n >= 20 THEN median + 3 * mad END, 6) AS threshold FROM m JOIN d USING (metric)"),
     "robust_mad_flags": _with(_EEG, _FLAGS, select=f"SELECT {_K}, 'robust' AS qc_policy, candidates AS candidate_reasons, reasons, reasons <> '' AS bad_eeg_quality FROM f"),
-    "subject_exclusion": _with(_EEG, _FLAGS, _SUBJ, select=f"SELECT {_K}, gone AS subject_excluded, concat_ws(';', nullif(reasons, ''), CASE WHEN gone THEN 'subject_bad_fraction' END) AS reasons, reasons <> '' OR gone AS bad_eeg_quality FROM s"),
+    "subject_exclusion": _with(_EEG, _FLAGS, _SUBJ, select=f"SELECT {_K}, gone AS subject_excluded, concat_ws(';', nullif(reasons, ''), CASE WHEN gone THEN 'eeg_subject_quality_exclusion' END) AS reasons, reasons <> '' OR gone AS bad_eeg_quality FROM s"),
     "subject_qc": _with(_EEG, _FLAGS, _SUBJ, select="SELECT participant_id, count(*) AS n_scenes, count_if(reasons <> '' OR gone)::BIGINT AS n_bad, round(avg((reasons <> '' OR gone)::INT), 6) AS bad_fraction, bool_or(gone) AS any_exclusion FROM s GROUP BY ALL"),
     "eeg_metric_summary": _with(_EEG, _FLAGS, "l AS (SELECT (reasons <> '')::INT AS bad, unnest(['hf_ratio_20_40Hz', 'rms_mean_uV', 'view_dur_s']) AS metric, unnest([hf, rms, dur]) AS v FROM f)", select="SELECT metric, count(v) AS n, count_if(v IS NULL)::BIGINT AS missing, round(avg(v), 6) AS mean, sum(bad)::BIGINT AS n_bad FROM l GROUP BY ALL"),
-    "contract": "SELECT 'warning' AS severity, unnest(['missing_view_start_s', 'missing_view_end_s', 'missing_nan_fraction', 'missing_flat_fraction']) AS finding, 1::BIGINT AS n UNION ALL SELECT 'error', 'duplicate_keys', sum(c - 1)::BIGINT FROM (SELECT count(*) AS c FROM orders GROUP BY o_custkey, o_orderkey % 50)",
+    "contract": "SELECT 'warning' AS severity, unnest(['missing_view_start_s', 'missing_view_end_s', 'missing_rms_mean_uV', 'missing_peak_to_peak_uV', 'missing_nan_fraction', 'missing_flat_fraction', 'missing_segment_valid_duration']) AS finding, 1::BIGINT AS n UNION ALL SELECT 'error', 'duplicate_keys', sum(c - 1)::BIGINT FROM (SELECT count(*) AS c FROM orders GROUP BY o_custkey, o_orderkey % 50)",
     "group_balance": "WITH l AS (SELECT unnest(['c_mktsegment', 'c_nationkey']) AS factor, unnest([c_mktsegment, c_nationkey::VARCHAR]) AS level FROM customer) SELECT factor, coalesce(level, 'Unknown') AS level, count(*) AS n, round(count(*) / (SELECT count(*) FROM customer) * 100, 6) AS percent FROM l GROUP BY ALL",
     "design_balance": _with(_ANSWERS, "l AS (SELECT unnest(['WWR', 'Complexity']) AS factor, unnest([WWR::VARCHAR, Complexity]) AS level FROM a)", select="SELECT factor, coalesce(level, 'NA') AS level, count(*) AS n FROM l GROUP BY ALL"),
     "participant_flow": f"WITH c AS (SELECT *, coalesce(lower({_FLAG}) IN ('true', '1', 'yes'), false) AS x FROM customer) SELECT 'total' AS step, count(*) AS n FROM c UNION ALL SELECT 'excluded', count_if(x)::BIGINT FROM c UNION ALL SELECT 'active', count_if(NOT x)::BIGINT FROM c UNION ALL SELECT 'batch_' || coalesce(c_mktsegment, 'Unknown'), count(*) FROM c GROUP BY 1",
@@ -120,7 +121,13 @@ ORACLE_SQL: dict[str, str] = {
     "dup_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "keep_first_rows": "SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1",
     "presence_reasons": "WITH a AS (SELECT DISTINCT o_custkey::VARCHAR AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_discount > 0.09), b AS (SELECT DISTINCT o_custkey::VARCHAR AS id FROM orders), c AS (SELECT DISTINCT c_custkey::VARCHAR AS id FROM customer WHERE c_acctbal > 0), u AS (SELECT id FROM a UNION SELECT id FROM b UNION SELECT id FROM c), f AS (SELECT id, id IN (FROM a) AS x, id IN (FROM b) AS y, id IN (FROM c) AS z FROM u) SELECT id AS participant_id, x AS has_eeg, y AS has_eye, z AS has_questionnaire, x AND y AND z AS complete, concat_ws(';', CASE WHEN NOT x THEN 'missing_eeg' END, CASE WHEN NOT y THEN 'missing_eye' END, CASE WHEN NOT z THEN 'missing_questionnaire' END) AS reasons FROM f",
-    "alias_resolution": "WITH r AS (SELECT o_orderkey, o_orderkey % 4000 AS rec, CASE WHEN o_orderkey % 3 = 0 THEN 'subject ' || o_orderkey ELSE 'name' || o_custkey || CASE WHEN o_orderkey % 5 = 0 THEN '-32-40' ELSE '' END END AS subject, o_orderkey % 3 = 0 AS generic, CASE WHEN o_orderkey % 3 = 0 THEN 'subject ' || o_orderkey ELSE 'name' || o_custkey END AS base FROM orders), o AS (SELECT rec, min(base) FILTER (NOT generic) AS name FROM r GROUP BY rec HAVING count(DISTINCT base) FILTER (NOT generic) = 1 AND count_if(generic) > 0), m AS (SELECT 'name' || c_custkey AS alias, c_name FROM customer WHERE c_custkey % 50 = 0) SELECT o_orderkey, subject, coalesce(c_name, CASE WHEN generic THEN name END, base) AS participant_id, CASE WHEN c_name IS NOT NULL THEN 'manual' WHEN generic AND name IS NOT NULL THEN 'record' WHEN base <> subject THEN 'suffix_note' ELSE 'none' END AS alias_source FROM r LEFT JOIN o USING (rec) LEFT JOIN m ON alias = subject",
+    "alias_resolution": """WITH r AS (SELECT o_orderkey, o_orderkey % 4000 AS rec, o_orderkey % 3 = 0 AS generic, CASE WHEN o_orderkey % 3 = 0 THEN 'User' || o_orderkey ELSE 'name' || o_custkey || CASE WHEN o_orderkey % 5 = 0 THEN '-32-40' ELSE '' END END AS subject,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'User' || o_orderkey ELSE 'name' || o_custkey END AS base FROM orders),
+o AS (SELECT rec, min(base) FILTER (NOT generic) AS name FROM r GROUP BY rec HAVING count(DISTINCT base) FILTER (NOT generic) = 1 AND count_if(generic) > 0),
+n AS (SELECT r.*, CASE WHEN generic AND name IS NOT NULL THEN name ELSE base END AS now, generic AND name IS NOT NULL AS taken FROM r LEFT JOIN o USING (rec)),
+m AS (SELECT 'name' || c_custkey AS alias, c_name FROM customer WHERE c_custkey % 50 = 0)
+SELECT o_orderkey, subject, coalesce(c_name, now) AS participant_id, CASE WHEN c_name IS NOT NULL THEN 'manual' WHEN taken THEN 'record_id' WHEN base <> subject THEN 'suffix_note' ELSE '' END AS alias_source
+FROM n LEFT JOIN m ON alias = now""",
     "analysis_master": _with(_EEG, _ANSWERS, f"q AS (SELECT {_K}, avg(S1) AS q1, avg(S2) AS q2 FROM a GROUP BY ALL)", f"y AS (SELECT {_K}, Complexity AS class_name, count(*) AS FC, sum(S1) AS TFD FROM a GROUP BY ALL)", select=f"SELECT e.participant_id, e.scene_id, round(q1, 6) AS q_S1, round(q2, 6) AS q_S2, hf AS eeg_hf_ratio_20_40Hz, dur AS eeg_view_dur_s, class_name, FC, round(TFD, 6) AS TFD FROM e LEFT JOIN q USING ({_K}) LEFT JOIN y USING ({_K})"),
     "aligned_scenes": _with(_EEG, _ANSWERS, f"y AS (SELECT {_K}, max(S1) AS eye_max FROM a GROUP BY ALL)", select=f"SELECT e.participant_id, e.scene_id, eye_max, CASE WHEN hf < 0.06 THEN dur END AS view_dur_s, coalesce(hf >= 0.06, true) OR dur IS NULL AS missing_eeg_scene FROM e LEFT JOIN y USING ({_K})"),
     "scene_fallback": _with(_EEG, _ANSWERS, f"u AS (SELECT DISTINCT {_K}, 'answers' AS Cond, 0 AS r FROM a WHERE S4 > 3 UNION ALL SELECT {_K}, 'eeg', 1 FROM e WHERE dur > 2)", select=f"SELECT {_K}, first(Cond ORDER BY r) AS Cond FROM u GROUP BY {_K}"),
@@ -139,13 +146,13 @@ ORACLE_SQL: dict[str, str] = {
     "marginal_means": _with(_ANSWERS, "l AS (SELECT S1 AS v, unnest(['WWR', 'Complexity', 'ExperienceGroup']) AS factor, unnest([WWR::VARCHAR, Complexity, ExperienceGroup]) AS level FROM a)", select="SELECT factor, level, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM l WHERE level IS NOT NULL GROUP BY ALL"),
     "order_corr": _with(_ANSWERS, select="SELECT unnest(['S1', 'S2', 'S3', 'flat']) AS outcome, unnest([n, n, n, n]) AS n, unnest([r1, r2, r3, NULL]) AS r FROM (SELECT count(*) AS n, round(corr(S4, S1), 6) AS r1, round(corr(S4, S2), 6) AS r2, round(corr(S4, S3), 6) AS r3 FROM a)"),
     "factor_sensitivity": _with(_ANSWERS, "l AS (SELECT unnest(['S1', 'S1', 'S2', 'S2']) AS outcome, unnest(['WWR', 'Complexity', 'WWR', 'Complexity']) AS factor, unnest([WWR::VARCHAR, Complexity, WWR::VARCHAR, Complexity]) AS level, unnest([S1, S1, S2, S2]) AS v FROM a)", select="SELECT outcome, factor, level, count(v) AS n, round(avg(v), 6) AS mean FROM l GROUP BY ALL"),
-    "peak_index": _with(_ANSWERS, _LONG, "m AS (SELECT item AS outcome, avg(v) FILTER (WWR = 15) AS m0, avg(v) FILTER (WWR = 45) AS m1, avg(v) FILTER (WWR = 75) AS m2 FROM l GROUP BY item)", select="SELECT outcome, round(m0, 6) AS m0, round(m1, 6) AS m1, round(m2, 6) AS m2, round(m1 - (m0 + m2) / 2, 6) AS peak, CASE WHEN m1 - (m0 + m2) / 2 > 0 THEN 'inverted_u' WHEN m1 - (m0 + m2) / 2 < 0 THEN 'u_shape' WHEN m1 - (m0 + m2) / 2 = 0 THEN 'flat' ELSE 'unavailable' END AS claim FROM m"),
+    "peak_index": _with(_ANSWERS, _LONG, "m AS (SELECT item AS outcome, avg(v) FILTER (WWR = 15) AS m0, avg(v) FILTER (WWR = 45) AS m1, avg(v) FILTER (WWR = 75) AS m2 FROM l GROUP BY item)", select="SELECT outcome, round(m0, 6) AS m0, round(m1, 6) AS m1, round(m2, 6) AS m2, round(m1 - (m0 + m2) / 2, 6) AS peak, CASE WHEN m1 - (m0 + m2) / 2 IS NULL THEN 'insufficient_wwr_granularity' ELSE 'exploratory_only_three_levels' END AS claim FROM m"),
     "subject_peak_index": _with(_ANSWERS, "m AS (SELECT participant_id, ExperienceGroup, avg(S1) FILTER (WWR = 15) AS m0, avg(S1) FILTER (WWR = 45) AS m1, avg(S1) FILTER (WWR = 75) AS m2 FROM a GROUP BY ALL)", select="SELECT participant_id, ExperienceGroup, round(m0, 6) AS m0, round(m1, 6) AS m1, round(m2, 6) AS m2, round(m1 - (m0 + m2) / 2, 6) AS peak FROM m WHERE m0 IS NOT NULL AND m1 IS NOT NULL AND m2 IS NOT NULL"),
     "power_sensitivity": _with(_ANSWERS, "g AS (SELECT ExperienceGroup AS group_name, count(DISTINCT participant_id) AS n FROM a GROUP BY ALL)", select="SELECT * FROM g UNION ALL SELECT 'min_group_n', min(n) FROM g"),
     "level_contrasts": _with(_ANSWERS, "m AS (SELECT avg(S1) FILTER (WWR = 15) AS m0, avg(S1) FILTER (WWR = 45) AS m1, avg(S1) FILTER (WWR = 75) AS m2 FROM a)", select="SELECT 'S1' AS outcome, unnest(['mean_15', 'mean_45', 'mean_75', 'peak']) AS term, unnest([round(m0, 6), round(m1, 6), round(m2, 6), round(m1 - (m0 + m2) / 2, 6)]) AS estimate FROM m"),
     "modality_convergence": _with(_EEG, "l AS (SELECT unnest(['hf_ratio_20_40Hz', 'rms_mean_uV', 'view_dur_s']) AS metric, unnest([hf, rms, dur]) AS v FROM e)", select="SELECT metric, count(v) AS n, round(avg(v), 4) AS mean, CASE metric WHEN 'view_dur_s' THEN 'timing' ELSE 'eeg' END AS modality FROM l GROUP BY metric"),
     "weighted_rollup": _with(_ANSWERS, "d AS (SELECT ExperienceGroup, Complexity, WWR, avg(S1) AS mean, count(S1) AS n FROM a GROUP BY ALL)", select="SELECT ExperienceGroup, round(sum(mean * n) / sum(n), 6) AS weighted_mean, round(stddev_samp(mean) / sqrt(count(mean)), 6) AS sem, sum(n)::BIGINT AS n FROM d GROUP BY ExperienceGroup"),
-    "claim_support": "WITH p AS (SELECT p_partkey AS claim_id, string_split(p_name, ' ') AS r FROM part), q AS (SELECT claim_id, r, list_sort(list_distinct(list_filter(r, lambda x: x NOT IN ('ring', 'red', 'small')))) AS miss FROM p) SELECT claim_id, array_to_string(miss, ';') AS missing, CASE WHEN len(miss) = 0 THEN 'supported' WHEN len(miss) < len(list_distinct(r)) THEN 'partial' ELSE 'unsupported' END AS level FROM q",
+    "claim_support": "WITH p AS (SELECT p_partkey AS claim_id, string_split(p_name, ' ') AS r FROM part), q AS (SELECT claim_id, r, list_sort(list_distinct(list_filter(r, lambda x: x NOT IN ('ring', 'red', 'small')))) AS miss FROM p) SELECT claim_id, array_to_string(miss, ';') AS missing, CASE WHEN len(miss) = 0 THEN 'moderate_pending_effect_tests' ELSE 'exploratory_incomplete_modalities' END AS level FROM q",
     "top_correlations": _with(_ANSWERS, "c AS (SELECT unnest(['S1', 'S2', 'S3', 'S4']) AS outcome, unnest([n, n, n, n]) AS n, unnest([r1, r2, r3, r4]) AS r FROM (SELECT count(WWR) AS n, corr(WWR, S1) AS r1, corr(WWR, S2) AS r2, corr(WWR, S3) AS r3, corr(WWR, S4) AS r4 FROM a))", select="SELECT outcome, n, round(r, 6) AS r FROM c ORDER BY abs(r) DESC LIMIT 3"),
     "source_index": "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS source FROM part",
     "coding_columns": "SELECT p_partkey, regexp_extract(p_brand, '([0-9]+(\\.[0-9]+)?)', 1)::DOUBLE AS brand_number, 'C' || CASE WHEN p_size % 2 = 0 THEN (p_size % 3)::VARCHAR ELSE 'X' END || '_W' || CASE WHEN p_size > 5 THEN p_size::VARCHAR ELSE 'NA' END AS condition_id, CASE WHEN contains(p_name, 'small') OR contains(p_name, 'red') THEN 'Low' WHEN contains(p_name, 'large') OR contains(p_name, 'blue') THEN 'High' ELSE p_name END AS coded, lower(p_type) IN ('true', '1', 'yes', 'y') AS truthy FROM part",
@@ -153,7 +160,7 @@ ORACLE_SQL: dict[str, str] = {
     "ols_coefficients": _with(_ANSWERS, select="SELECT unnest(['S1', 'S1', 'S2', 'S2']) AS outcome, unnest(['Intercept', 'S4', 'Intercept', 'S4']) AS term, unnest([round(regr_intercept(S1, S4), 6), round(regr_slope(S1, S4), 6), round(regr_intercept(S2, S4), 6), round(regr_slope(S2, S4), 6)]) AS estimate, unnest([count(*), count(*), count(*), count(*)]) AS n FROM a"),
     "marker_segments": _with(_SEGS, select="SELECT subject_id, ev_ix, condition, latency, end_latency, scene_id, ceil(scene_id / 6)::BIGINT AS block, CASE WHEN scene_id > 0 THEN (scene_id - 1) % 6 + 1 END AS position FROM k2"),
     "view_gray_pairs": _with(_SEGS, "k3 AS (SELECT *, first_value(CASE WHEN condition = 'gray' THEN {'i': ev_ix, 's': latency, 'e': end_latency} END IGNORE NULLS) OVER (PARTITION BY subject_id, scene_id ORDER BY ev_ix ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM k2)", select="SELECT subject_id, scene_id, ev_ix AS view_ix, latency AS view_start, end_latency AS view_end, nx.i AS gray_ix, nx.s AS gray_start, nx.e AS gray_end FROM k3 WHERE condition = 'view'"),
-    "signal_qc": "WITH s AS (SELECT vec_id AS segment, (i - 1) % 4 AS channel, embedding[i]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)), c AS (SELECT segment, channel, count(*) AS n, sqrt(avg(v * v)) AS rms, max(v) - min(v) AS ptp, stddev_samp(v) AS sd FROM s GROUP BY ALL) SELECT segment, round(avg(rms), 6) AS rms_mean_uV, round(max(ptp), 6) AS peak_to_peak_uV, 0.0::DOUBLE AS nan_fraction, round(avg((coalesce(sd, 0) < 1e-6)::INT), 6) AS flat_fraction, sum(n)::BIGINT AS n_samples FROM c GROUP BY segment",
+    "signal_qc": "WITH s AS (SELECT vec_id AS segment, (i - 1) % 4 AS channel, embedding[i]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)), c AS (SELECT segment, channel, count(*) AS n, sqrt(avg(v * v)) AS rms, max(v) - min(v) AS ptp, stddev_samp(v) AS sd FROM s GROUP BY ALL) SELECT segment, round(avg(rms), 6) AS rms_mean_uV, round(avg(ptp), 6) AS peak_to_peak_uV, 0.0::DOUBLE AS nan_fraction, round(avg((coalesce(sd, 0) < 1e-6)::INT), 6) AS flat_fraction, sum(n)::BIGINT AS n_samples FROM c GROUP BY segment",
     "stream_bins": "SELECT (epoch_us(ts) // 21600000000) * 21600000000 AS bin_start, (epoch_us(ts) // 21600000000 + 1) * 21600000000 AS bin_end, user_id AS participant_id, count(*) AS samples, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2, 3",
     "stream_segments": "WITH s AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), q AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p >= 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS k FROM s) SELECT min(t) AS segment_start, max(t) + 21600000000 AS segment_end, user_id AS participant_id, count(*) AS samples FROM q GROUP BY user_id, k",
     "root_summary": "WITH o AS (SELECT DISTINCT o_custkey AS id FROM orders), c AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_acctbal > 0), e AS (SELECT DISTINCT user_id AS id FROM events), u AS (SELECT id FROM o UNION SELECT id FROM c UNION SELECT id FROM e), f AS (SELECT id IN (FROM o) AS x, id IN (FROM c) AS y, id IN (FROM e) AS z FROM u), w AS (SELECT count_if(x) AS a, count_if(y) AS b, count_if(z) AS c, count_if(NOT x) AS na, count_if(NOT y) AS nb, count_if(NOT z) AS nc, count_if(x AND y AND z) AS al FROM f) SELECT unnest(['orders_ids', 'customer_ids', 'events_ids', 'missing_orders', 'missing_customer', 'missing_events', 'in_all']) AS metric, unnest([a, b, c, na, nb, nc, al])::BIGINT AS n FROM w",
@@ -162,10 +169,10 @@ ORACLE_SQL: dict[str, str] = {
     "eeg_scene_qc": _with(_EEG, _FLAGS, _SUBJ, select=f"SELECT {_K}, dur AS view_dur_s, hf AS hf_ratio_20_40Hz, rms AS rms_mean_uV, 'robust' AS qc_policy, gone AS subject_excluded, reasons <> '' OR gone AS bad_eeg_quality FROM s"),
     "eeg_derived": _with(_EEG, select=f"SELECT {_K}, dur AS dur_s, rms AS gray_O_alpha, hf AS view_O_alpha, dur AS view_dur_s, round(rms - hf, 6) AS delta_O_alpha FROM e"),
     "scale_reliability": _with(_ANSWERS, "m AS (SELECT avg(S2) AS S2, avg(S3) AS S3 FROM a GROUP BY participant_id)", "d AS (SELECT 'four' AS scale, 4 AS n_items, count(*) AS n, (1 - (var_samp(S1) + var_samp(S2) + var_samp(S3) + var_samp(S4)) / var_samp(S1 + S2 + S3 + S4)) * 4 / 3 AS alpha FROM a UNION ALL SELECT 'two', 2, count(*), (1 - (var_samp(S1) + var_samp(S4)) / var_samp(S1 + S4)) * 2 FROM a WHERE Complexity = 'A' UNION ALL SELECT 'means', 2, count(*), (1 - (var_samp(S2) + var_samp(S3)) / var_samp(S2 + S3)) * 2 FROM m)", select="SELECT scale, n_items, n, round(alpha, 6) AS alpha, CASE WHEN alpha >= 0.7 THEN 'acceptable' WHEN alpha >= 0.6 THEN 'questionable' ELSE 'low' END AS status FROM d"),
-    "panel_sources": _with(_ANSWERS, _LONG, _CONTRAST, _EEG, "cr AS (SELECT unnest(['S1', 'S2', 'S3', 'S4']) AS o, unnest([n, n, n, n]) AS n, unnest([r1, r2, r3, r4]) AS r FROM (SELECT count(WWR) AS n, corr(WWR, S1) AS r1, corr(WWR, S2) AS r2, corr(WWR, S3) AS r3, corr(WWR, S4) AS r4 FROM a))", "cl AS (SELECT p_partkey, string_split(p_name, ' ') AS r, list_filter(string_split(p_name, ' '), lambda x: x NOT IN ('ring', 'red', 'small')) AS miss FROM part)", "lv AS (SELECT p_partkey, CASE WHEN len(miss) = 0 THEN 'supported' WHEN len(list_distinct(miss)) < len(list_distinct(r)) THEN 'partial' ELSE 'unsupported' END AS level FROM cl)",
+    "panel_sources": _with(_ANSWERS, _LONG, _CONTRAST, _EEG, "cr AS (SELECT unnest(['S1', 'S2', 'S3', 'S4']) AS o, unnest([n, n, n, n]) AS n, unnest([r1, r2, r3, r4]) AS r FROM (SELECT count(WWR) AS n, corr(WWR, S1) AS r1, corr(WWR, S2) AS r2, corr(WWR, S3) AS r3, corr(WWR, S4) AS r4 FROM a))", "cl AS (SELECT p_partkey, string_split(p_name, ' ') AS r, list_filter(string_split(p_name, ' '), lambda x: x NOT IN ('ring', 'red', 'small')) AS miss FROM part)", "lv AS (SELECT p_partkey, CASE WHEN len(miss) = 0 THEN 'moderate_pending_effect_tests' ELSE 'exploratory_incomplete_modalities' END AS level FROM cl)",
         select="""SELECT 'a' AS panel, 'S1' AS metric, WWR::VARCHAR AS group_name, Complexity AS subgroup, NULL::DOUBLE AS value, round(avg(S1), 5) AS mean, round(stddev_samp(S1) / sqrt(count(S1)), 5) AS sem, count(S1) AS n, NULL::VARCHAR AS label, 'descriptives' AS source FROM a GROUP BY WWR, Complexity
 UNION ALL SELECT 'b', outcome, term, NULL, round(mean / (sd / sqrt(n)), 5), round(mean, 5), round(sd / sqrt(n), 5), n, CASE WHEN mean > 0 THEN 'positive' WHEN mean < 0 THEN 'negative' ELSE 'flat' END, 'contrasts' FROM d WHERE outcome IN ('S1', 'S2')
 UNION ALL SELECT 'c', 'view_dur_s', 'timing', NULL, round(avg(dur), 5), NULL, NULL, count(dur), NULL, 'convergence' FROM e
 UNION ALL SELECT * FROM (SELECT 'd', o, NULL, NULL, round(r, 5), NULL, NULL, n, NULL, 'order_correlation' FROM cr ORDER BY abs(r) DESC LIMIT 3)
-UNION ALL SELECT 'e', p_partkey::VARCHAR, NULL, NULL, CASE level WHEN 'supported' THEN 2.0 WHEN 'partial' THEN 1.5 ELSE 0 END, NULL, NULL, NULL, level, 'claims' FROM lv"""),
+UNION ALL SELECT 'e', p_partkey::VARCHAR, NULL, NULL, CASE level WHEN 'moderate_pending_effect_tests' THEN 2.0 ELSE 1.0 END, NULL, NULL, NULL, level, 'claims' FROM lv"""),
 }

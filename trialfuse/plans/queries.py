@@ -235,7 +235,7 @@ def presence_reasons(spark, sf_dir):
 def alias_resolution(spark, sf_dir):
     o = S.table(spark, sf_dir, "orders")
     named = F.concat(F.lit("name"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, "-32-40").otherwise(""))
-    rows = o.select("o_orderkey", (F.col("o_orderkey") % 4000).cast("string").alias("record_id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("subject "), F.col("o_orderkey").cast("string"))).otherwise(named).alias("subject"))
+    rows = o.select("o_orderkey", (F.col("o_orderkey") % 4000).cast("string").alias("record_id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("User"), F.col("o_orderkey").cast("string"))).otherwise(named).alias("subject"))
     manual = S.table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(F.concat(F.lit("name"), F.col("c_custkey").cast("string")).alias("alias"), F.col("c_name").alias("participant_id"))
     return trial.resolve_aliases(rows, manual).select("o_orderkey", "subject", "participant_id", "alias_source")
 
