@@ -12,10 +12,9 @@ windows have the full length or none survives:
    windows all cover the same words as an earlier one's is settled, without a look at each of them.
 3. The full windows of what survives are compared one by one.
 
-A word is named by a keyed 128-bit BLAKE2b digest, and a window by two 64-bit
-names, made from one half of the digests each: equal names stand for equal words. Levels 1 and 2
-drop windows by one of these names, where a clash costs work and loses nothing;
-what is removed is told by both.
+A word and a window have two independent 64-bit names, keyed and made from all bytes: equal pairs
+stand for equal words, but for a chance of 2**-128. Levels 1 and 2 drop windows by one of the
+names, where a clash costs work and loses nothing; what is removed is told by both.
 
 Entries travel as packed columns, one row for each bucket and map task. A task first
 settles what it can by itself, and sends one entry for a window that it has seen repeat, however
@@ -25,7 +24,6 @@ often, so no bucket grows with the largest group.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,48 +31,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, bucket_count, by_group, chunks_of_docs, joined, map_arrow, mix, pack, pack_sorted, settle, text_bytes, unpack, unpack_sorted, utf8, with_row_ids
+from .common import RID, SPACES, bucket_count, by_group, chunks_of_docs, joined, map_arrow, mix, pack, pack_sorted, settle, text_bytes, unpack, unpack_sorted, utf8, with_row_ids
 
 WORDS = 20
 KEY = b"words of the corpus"
-CHUNK_BYTES, PART_WORDS, FLUSH, KNOWN = 1 << 20, 100_000, 1_000_000, 1 << 20
+_KEYS = np.frombuffer(hashlib.blake2b(KEY, digest_size=16).digest(), "<u8")
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG_WORD = 256
+CHUNK_BYTES, PART_WORDS, FLUSH = 1 << 20, 100_000, 1_000_000
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 #: k, c: names; d, s, m: document, first window and a bit for each further one; f: k repeats in the task; o: survivors; z: windows to cut.
 SENT = "bucket int, k binary, c binary, e binary, d binary, s binary, m binary, f binary, o_d binary, o_s binary, o_m binary, z_d binary, z_s binary, z_m binary"
 TOLD = "bucket int, o_d binary, o_s binary, o_m binary, z_d binary, z_s binary, z_m binary"
-_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-class Names(dict):
-    """Numbers of words; their digests stand in table, two halves each."""
-
-    def __init__(self):
-        self.table, self.fresh = np.zeros((1 << 16, 2), np.uint64), []
+def halves(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(two names of each word, where it starts). Each is made from the length and all bytes, eight at once, by a mix of its own that is one to one in each eight."""
+    gap = np.r_[True, SPACES[data], True]
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    eights = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(8, np.uint8)], 8)
+    out = np.stack([mix(size.astype(np.uint64) ^ key, 1) for key in _KEYS], axis=1)
+    at, left = np.flatnonzero(size <= LONG_WORD), size.copy()
+    where = start.copy()
+    while len(at):
+        block = np.ascontiguousarray(eights[where[at]]).view("<u8")[:, 0] & _FIRST_BYTES[np.minimum(left[at], 8)]
+        for i, key in enumerate(_KEYS):
+            out[at, i] = mix(out[at, i] ^ block, key)
+        where[at] += 8
+        left[at] -= 8
+        at = at[left[at] > 0]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=16, key=KEY).digest(), "<u8")
+    return out, start
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(two names of each word, words of each document); a long document is cut part by part, at a space."""
+    n = len(offsets) - 1
+    if n == 1 and offsets[1] - offsets[0] > 2 * CHUNK_BYTES:
+        text, parts, at = data[offsets[0] : offsets[1]], [], 0
+        while at < len(text):
+            ahead = np.flatnonzero(SPACES[text[at + CHUNK_BYTES : at + 2 * CHUNK_BYTES]])
+            end = at + CHUNK_BYTES + int(ahead[0]) if len(ahead) else _next_gap(text, at + 2 * CHUNK_BYTES)
+            parts.append(halves(text[at:end])[0])
+            at = end
+        out = np.concatenate(parts)
+        return out, np.array([len(out)])
+    sizes = np.diff(offsets)
+    spaced = np.full(int(sizes.sum()) + n, 0x20, np.uint8)
+    spaced[np.arange(int(sizes.sum())) + np.repeat(np.arange(n), sizes)] = data[offsets[0] : offsets[-1]]
+    out, start = halves(spaced)
+    own = np.searchsorted(offsets[:-1] - offsets[0] + np.arange(n), start, side="right") - 1
+    return out, np.bincount(own, minlength=n)[:n]
 
-    def __missing__(self, word: bytes) -> int:
-        self.fresh.append(hashlib.blake2b(word, digest_size=16, key=KEY).digest())
-        n = self[word] = len(self)
-        return n
 
-    def of(self, data: bytes) -> np.ndarray:
-        """(words, 2) of some text; a long one is split part by part."""
-        out, at = [], 0
-        while at < len(data):
-            gap = _GAP.search(data, at + CHUNK_BYTES)
-            end = gap.start() if gap else len(data)
-            words = data[at:end].split()
-            at = end
-            if len(self) > KNOWN:
-                self.clear()
-            known = len(self)
-            n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-            if self.fresh:
-                if len(self) > len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros((2 * len(self), 2), np.uint64)])
-                self.table[known : len(self)] = np.frombuffer(b"".join(self.fresh), "<u8").reshape(-1, 2)
-                self.fresh.clear()
-            out.append(self.table[n])
-        return np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
+def _next_gap(text: np.ndarray, at: int) -> int:
+    while at < len(text):
+        ahead = np.flatnonzero(SPACES[text[at : at + CHUNK_BYTES]])
+        if len(ahead):
+            return at + int(ahead[0])
+        at += CHUNK_BYTES
+    return len(text)
 
 
 def doubled(h: np.ndarray, length: int) -> np.ndarray:
@@ -224,15 +242,15 @@ def _starts_by_document(t: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=[RID, "starts"])
 
 
-def _levels(data: np.ndarray, offsets: np.ndarray, names: Names, length: int) -> Iterator[tuple[int, int, int, Level]]:
+def _levels(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, Level]]:
     """(i, j, base, level) of documents i to j; the windows of a longer document come in parts that start at word base."""
     for i, j in chunks_of_docs(offsets, CHUNK_BYTES):
-        words = [names.of(data[offsets[x] : offsets[x + 1]].tobytes()) for x in range(i, j)]
-        if j > i + 1 or len(words[0]) <= 2 * PART_WORDS:
-            yield i, j, 0, Level(np.concatenate(words), np.array([len(w) for w in words], np.int64), length)
+        words, sizes = words_of(data, offsets[i : j + 1])
+        if j > i + 1 or len(words) <= 2 * PART_WORDS:
+            yield i, j, 0, Level(words, sizes, length)
             continue
-        for base in range(0, len(words[0]), PART_WORDS):
-            part = words[0][base : base + PART_WORDS + length - 1]
+        for base in range(0, len(words), PART_WORDS):
+            part = words[base : base + PART_WORDS + length - 1]
             yield i, j, base, Level(part, np.array([len(part)], np.int64), length)
 
 
@@ -240,12 +258,12 @@ def _looked_at(length: int, level: int, buckets: int):
     """Map: the entries of one level. Above the first, of the full windows whose starts have survived."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, parts, n = Names(), [], 0
+        parts, n = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = utf8(batch.column(1))
             starts = batch.column(2).to_pylist() if level > 1 else []
-            for i, j, base, x in _levels(data, offsets, names, length):
+            for i, j, base, x in _levels(data, offsets, length):
                 if level > 1:
                     alive = np.concatenate([np.frombuffer(y, "<u4").astype(np.int64) + (x.first[c] - base) for c, y in enumerate(starts[i:j])])
                 if level == 1:
