@@ -237,6 +237,45 @@ def test_lines(spark):
     assert got == {1: (4, 0, "a\nb\nc\nd"), 2: (6, 4, "x\ny"), 3: (5, 4, "q"), 4: (0, 0, None), 5: (1, 0, ""), 6: (2, 0, "a\nb"), 7: (3, 3, "")}
 
 
+def test_lines_against_brute_force(spark):
+    rnd = random.Random(21)
+    some = [f"line {i}" for i in range(25)] + ["", " "]
+    rows = []
+    for i in range(80):
+        t = [rnd.choice(some) for _ in range(rnd.choice((0, 1, 2, 3, 8, 40)))]
+        rows.append((i * 2, "\n".join(t) if i % 9 else None))
+    rows += [(900, "\n".join(f"unique {i}" for i in range(100_000)) + "\n" + "\n".join(some[:5])), (901, "\n".join(some[:5])), (902, "y" * 500_000), (903, "y" * 500_000)]
+    first, want = set(), {}
+    for i, t in sorted(rows):
+        if t is None:
+            want[i] = (0, 0, None)
+            continue
+        own, gone = t.split("\n"), set()
+        for k in range(len(own) - 2):
+            w = tuple(own[k : k + 3])
+            gone |= {k, k + 1, k + 2} if w in first else set()
+            first.add(w)
+        want[i] = (len(own), len(gone), "\n".join(x for k, x in enumerate(own) if k not in gone))
+    df = spark.createDataFrame([(*r, "", "", "", "") for r in rows], SCHEMA)
+    for hot in (1000, 2):
+        lines.HOT = hot
+        try:
+            got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in lines.repeated_lines(df).collect()}
+        finally:
+            lines.HOT = 1000
+        assert got == want
+
+
+def test_simhash_ties_and_very_long_texts(spark):
+    """A bit set in exactly half the hashes is 0; two different shingles decide by what they share."""
+    long = "word " * 300_000 + "end"
+    rows = [(1, "a b c d e"), (2, long), (3, "x" * 400_000), (4, "A B c D\te"), (5, "a b c"), (6, None)]
+    got = {r.doc_id: r for r in simhash.simhash_groups(spark.createDataFrame([(*r, "", "", "", "") for r in rows], SCHEMA)).collect()}
+    assert {i: r.fingerprint for i, r in got.items()} == {i: f"{brute_print(t):016x}" for i, t in rows}
+    h = [xxhash.xxh64_intdigest(s, 42) for s in (b"a b c d", b"b c d e")]
+    assert int(got[1].fingerprint, 16) == h[0] & h[1] and got[4].component_id == 1 and got[6].fingerprint == "0" * 16
+
+
 def brute_print(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
