@@ -101,12 +101,19 @@ def descriptives(df: DataFrame, items: Sequence[str], by: Sequence[str], who: st
     """Per item and group (null groups kept): n_subjects, n_obs, mean, sd, median, min, max, bias-corrected skew and kurtosis, jarque_bera_p, and the t interval of the mean.
 
     jarque_bera_p takes the place of a rank-based normality test: its moments merge, so it has no upper limit of rows.
+    Moments are one aggregate. Persons and medians come from another, of equal answers of a person, which both reuse:
+    a median ranks distinct values with their counts.
     """
     long = df.select(who, *by, *[C.num(i).alias(i) for i in items]).unpivot([who, *by], list(items), "item", "v").filter("v is not null")
-    d = long.groupBy("item", *by).agg(
-        F.count_distinct(who).alias("n_subjects"), F.count("v").alias("n_obs"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"),
-        F.percentile("v", 0.5).alias("median"), F.min("v").alias("min"), F.max("v").alias("max"), F.var_pop("v").alias("_var"), F.skewness("v").alias("_g1"), F.kurtosis("v").alias("_g2"),
-    )
+    key = ["item", *by]
+    d = long.groupBy(*key).agg(F.count("v").alias("n_obs"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"), F.var_pop("v").alias("_var"), F.skewness("v").alias("_g1"), F.kurtosis("v").alias("_g2"))
+    cells = long.groupBy(*key, who, "v").agg(F.count(F.lit(1)).alias("_c"))
+    people = cells.select(*key, who).distinct().groupBy(*key).agg(F.count(who).alias("n_subjects"))
+    middle = cells.groupBy(*key, "v").agg(F.sum("_c").alias("_c")).groupBy(*key).agg(F.percentile("v", F.lit(0.5), F.col("_c")).alias("median"))
+    for part in (people, middle):
+        part = part.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(key)})
+        d = d.join(part, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]).drop(*[f"_k{i}" for i in range(len(key))])
+    d = d.select(*key, "n_subjects", "n_obs", "mean", "sd", "median", "min", "max", "_var", "_g1", "_g2")
     n = F.col("n_obs").cast("double")
     some = F.col("_var") > 0
     d = d.withColumns(
@@ -157,14 +164,14 @@ def level_means(df: DataFrame, value: str, level: str, who: str, levels: Sequenc
 
 def poly_contrasts(df: DataFrame, values: Sequence[str], level: str, who: str = "participant_id", levels: Sequence = LEVELS, p_values: bool = True) -> DataFrame:
     """Linear and quadratic contrasts of participants' level means: mean, sd, se, t, F, p and partial eta squared."""
-    out = None
-    for v in values:
-        m = level_means(df, v, level, who, levels)
-        score = lambda w: sum((F.col(f"m{i}") * x for i, x in enumerate(w) if x), F.lit(0.0))
-        rows = F.explode(F.array(F.struct(F.lit("Linear").alias("term"), score(LINEAR).alias("s")), F.struct(F.lit("Quadratic").alias("term"), score(QUADRATIC).alias("s")))).alias("c")
-        d = m.select(rows).groupBy(F.col("c.term").alias("term")).agg(F.count(F.lit(1)).alias("n"), F.avg("c.s").alias("mean"), F.stddev_samp("c.s").alias("sd"))
-        part = d.withColumn("outcome", F.lit(v))
-        out = part if out is None else out.unionByName(part)
+    # all outcomes in one aggregate of a participant's level means
+    at = range(len(levels))
+    wide = df.filter(F.col(who).isNotNull()).groupBy(who).agg(*[F.avg(F.when(F.col(level) == x, C.num(v))).alias(f"_{j}_{i}") for j, v in enumerate(values) for i, x in enumerate(levels)])
+    own = F.explode(F.array(*[F.struct(F.lit(v).alias("outcome"), *[F.col(f"_{j}_{i}").alias(f"m{i}") for i in at]) for j, v in enumerate(values)])).alias("o")
+    means = wide.select(own).select("o.*").dropna(subset=[f"m{i}" for i in at])
+    score = lambda w: sum((F.col(f"m{i}") * x for i, x in enumerate(w) if x), F.lit(0.0))
+    rows = F.explode(F.array(F.struct(F.lit("Linear").alias("term"), score(LINEAR).alias("s")), F.struct(F.lit("Quadratic").alias("term"), score(QUADRATIC).alias("s")))).alias("c")
+    out = means.select("outcome", rows).groupBy(F.col("c.term").alias("term"), "outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("c.s").alias("mean"), F.stddev_samp("c.s").alias("sd"))
     se = F.col("sd") / F.sqrt(F.col("n"))
     out = out.withColumn("se", se).withColumn("t", C.ratio(F.col("mean"), F.col("se"))).withColumn("F", F.col("t") * F.col("t"))
     out = out.withColumns({"df2": (F.col("n") - 1).cast("double"), "partial_eta_sq": C.ratio(F.col("F"), F.col("F") + F.col("n") - 1), "direction": F.when(F.col("mean") > 0, "positive").when(F.col("mean") < 0, "negative").otherwise("flat")})
