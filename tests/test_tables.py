@@ -16,7 +16,7 @@ def one(spark, value, expr, kind="string"):
     [
         ("5.0", C.int_key, 5), ("nan", C.num, None), ("x", C.num, None), ("Y", C.truthy, True), ("y", lambda c: C.truthy(c, "flow"), False), ("maybe", lambda c: C.truthy(c, "legacy"), True),
         ("男", C.gender, "Male"), (" ", C.gender, "Unknown"), ("Other", C.gender, "Other"), ("W45.5%", C.first_number, 45.5), ("-3", lambda c: C.first_number(c, True), -3.0),
-        ("01:02:03.5", C.clock_ms, 3723500.0), ("12", C.clock_ms, 12.0), ("Ann·x", C.canonical_name, "Ann"), ("A•B", C.canonical_name, "A"), ("·x", C.canonical_name, "·x"), ("X-325-400", C.without_note, "X"), ("男生", C.gender, "Male"), ("unknown", C.gender, "Unknown"), ("nan", C.coded_by_patterns, "Unknown"), ("order 2!", C.order_code, "2"), (None, C.order_code, "1"),
+        ("01:02:03.5", C.clock_ms, 3723500.0), ("12", C.clock_ms, 12.0), ("Ann·x", C.canonical_name, "Ann"), ("A•B", C.canonical_name, "A"), ("11 • 12", C.canonical_name, "11"), ("·x", C.canonical_name, "·x"), ("X-325-400", C.without_note, "X"), ("男生", C.gender, "Male"), ("unknown", C.gender, "Unknown"), ("nan", C.coded_by_patterns, "Unknown"), ("order 2!", C.order_code, "2"), (None, C.order_code, "1"),
         ("low or high", lambda c: C.coded_by_patterns(c, ("low",), ("high",)), "Low"), ("1.0", lambda c: C.is_c1(c, F.lit(None)), True), (None, lambda c: C.is_c1(c, F.lit("C1")), True), (None, lambda c: C.is_c1(c, F.lit(None)), None),
         ("0", lambda c: C.condition_id(c, F.lit("C9"), F.lit("15.0")), "C0_W15"), (None, lambda c: C.condition_id(c, F.lit(None).cast("string"), c), "CNA_WNA"),
     ],

@@ -102,7 +102,7 @@ def without_note(c: Column | str) -> Column:
 def canonical_name(c: Column | str) -> Column:
     """The first part of a name that a middle dot or a bullet parts."""
     t = F.trim(_c(c).cast("string"))
-    parts = F.filter(F.transform(F.split(t, "[·•]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(t, "[·•]"), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.size(parts) > 1, parts[0]).otherwise(t)
 
 

@@ -76,6 +76,26 @@ d AS (SELECT item AS outcome, term, count(*) AS n, avg(s) AS mean, stddev_samp(s
 _metric_columns = f"""SELECT {_K}, class_name, samples, fc AS FC, round(tfd, 8) AS TFD, ttff AS TTFF, round(ffd, 8) AS FFD, round(mfd, 8) AS MFD, round(mpd, 8) AS MPD, coalesce(rff, 0) AS RFF, fc > 0 OR samples > 0 AS visited,
  round(tfd / nullif(total_tfd, 0), 8) AS attention_share, round(tfd / nullif(total_tfd, 0) * 100, 8) AS share_pct, round(fc / nullif(total_fc, 0), 8) AS FC_share, round(fc / nullif(dur_s, 0), 8) AS FC_rate FROM a"""
 
+#: p of |t| by Simpson's rule over cos(x) ** (nu - 1).
+_TAIL = """tail AS (SELECT t, nu, 1 - 2 * exp(lgamma((nu + 1) / 2.0) - lgamma(nu / 2.0)) / sqrt(pi()) * sum(cos(atan(abs(t) / sqrt(nu)) * i / 2000.0) ** (nu - 1) * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * atan(abs(t) / sqrt(nu)) / 6000.0 AS p
+ FROM (SELECT DISTINCT t, nu FROM w), (SELECT unnest(range(0, 2001)) AS i) GROUP BY t, nu)"""
+_FOLDER = """CASE p_size % 5 WHEN 0 THEN concat(1 + p_partkey % 5 % 2, '-C', p_partkey % 2, 'W', 15 + 30 * (p_partkey % 3)) WHEN 1 THEN concat('(1-', 1 + p_partkey % 5 % 2, '-', 1 + p_partkey % 6, '、2-', 1 + p_partkey % 5 % 2, '-', 7 - (1 + p_partkey % 6), ') 组', p_partkey % 2, '-C', p_partkey % 2, 'W', 15 + 30 * (p_partkey % 3))
+ WHEN 2 THEN concat(1 + p_partkey % 5 % 2, '-c', p_partkey % 2, 'w', 15 + 30 * (p_partkey % 3)) WHEN 3 THEN '适应 1' ELSE concat('folder ', p_partkey) END"""
+#: What parse_scene_folder() finds, from the keys that the names are made of.
+_PARSED = """CASE WHEN p_size % 5 = 1 THEN concat('1-', 1 + p_partkey % 5 % 2, '-', 1 + p_partkey % 6) END AS order_code_1, CASE WHEN p_size % 5 = 1 THEN concat('2-', 1 + p_partkey % 5 % 2, '-', 6 - p_partkey % 6) END AS order_code_2,
+ CASE WHEN p_size % 5 IN (0, 2) THEN (1 + p_partkey % 5 % 2)::VARCHAR WHEN p_size % 5 = 1 THEN concat('组', p_partkey % 2) END AS scene_group, CASE WHEN p_size % 5 < 3 THEN concat('C', p_partkey % 2, 'W', 15 + 30 * (p_partkey % 3)) END AS condition_code,
+ CASE WHEN p_size % 5 < 3 THEN concat('C', p_partkey % 2) END AS Cond, CASE WHEN p_size % 5 < 3 THEN 15 + 30 * (p_partkey % 3) END AS WWR, CASE WHEN p_size % 5 < 3 THEN p_partkey % 2 END AS Complexity, CASE WHEN p_size % 5 IN (0, 2) THEN 1 + p_partkey % 5 % 2 END AS folder_block,
+ CASE WHEN p_size % 5 IN (0, 2) THEN 1 + p_partkey % 3 + 3 * (p_partkey % 2) END AS folder_position, CASE WHEN p_size % 5 IN (0, 2) THEN (p_partkey % 5 % 2) * 6 + 1 + p_partkey % 3 + 3 * (p_partkey % 2) END AS folder_scene_id,
+ CASE WHEN p_size % 5 IN (0, 2) THEN 'simple_condition_folder' WHEN p_size % 5 = 1 THEN 'coded_folder' END AS folder_order_scheme"""
+_LISTING = f"""SELECT *, concat('/root/', f, '/', CASE WHEN p_size % 11 = 0 THEN 'notes.csv' ELSE concat('raw_name', p_partkey % 40, CASE WHEN p_partkey % 7 = 0 THEN '-12-3' ELSE '' END, '_', strftime(day, '%y%m%d'), '1200_', p_partkey, '.csv') END) AS path
+ FROM (SELECT *, {_FOLDER} AS f, (DATE '2026-04-01' + (p_partkey % 60)::INT)::DATE AS day FROM part)"""
+_FILE = "regexp_extract(path, 'raw_(name[^_]*)_', 1) AS subject, regexp_extract(path, 'raw_name[^_]*_([0-9]+)_', 1) AS record_id, p_partkey::VARCHAR AS split_id"
+_NEW = "(1, 'C0W75', '1', 1), (1, 'C1W15', '2', 2), (1, 'C0W45', '3', 3), (1, 'C1W75', '4', 4), (1, 'C0W15', '5', 5), (1, 'C1W45', '6', 6), (2, 'C1W15', 'a', 1), (2, 'C0W15', 'b', 2), (2, 'C1W75', 'c', 3), (2, 'C0W75', 'd', 4), (2, 'C1W45', 'e', 5), (2, 'C0W45', 'f', 6)"
+_PEOPLE = """SELECT c_custkey::VARCHAR AS participant_id, ['从不', '每月1-2次', '每月3-4次', '≥5次', 'Often', 'rarely', '', 'nan', 'other'][1 + c_nationkey % 9] AS Experience, ['男', 'F', '女生', 'man', 'none', '', 'x'][1 + c_custkey % 7] AS Gender,
+ CASE WHEN c_nationkey > 3 THEN c_acctbal::VARCHAR ELSE '?' END AS Age, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Supplement' ELSE 'Original' END AS RecruitmentBatch, c_acctbal < 0 AS exclude FROM customer"""
+_GROUP = "CASE WHEN Experience IN ('', 'nan') THEN 'Unknown' WHEN Experience IN ('从不', '每月1-2次', 'rarely') THEN 'Low' WHEN Experience = 'other' THEN 'other' WHEN Experience IS NOT NULL THEN 'High' END"
+_GENDER = "CASE WHEN Gender IN ('男', 'man') THEN 'Male' WHEN Gender IN ('F', '女生') THEN 'Female' WHEN Gender IN ('none', '') THEN 'Unknown' ELSE Gender END"
+
 ORACLE_SQL: dict[str, str] = {
     "aoi_metrics": _with(_GAZE, _VALID, _EDGES, _NAMES, _HITS, "b AS (SELECT * FROM v)", *_metric(_K), select=_metric_columns),
     "aoi_metrics_rows_mode": _with(_GAZE, _VALID, _EDGES, _NAMES, _HITS, f"t AS (SELECT {_K}, sum(fix_dur) AS total FROM v GROUP BY ALL)", f"m AS (SELECT {_K}, class_name, count(*) AS n, sum(fix_dur) AS d FROM h GROUP BY ALL)",
@@ -175,4 +195,38 @@ UNION ALL SELECT 'b', outcome, term, NULL, round(mean / (sd / sqrt(n)), 5), roun
 UNION ALL SELECT 'c', 'view_dur_s', 'timing', NULL, round(avg(dur), 5), NULL, NULL, count(dur), NULL, 'convergence' FROM e
 UNION ALL SELECT * FROM (SELECT 'd', o, NULL, NULL, round(r, 5), NULL, NULL, n, NULL, 'order_correlation' FROM cr ORDER BY abs(r) DESC LIMIT 3)
 UNION ALL SELECT 'e', p_partkey::VARCHAR, NULL, NULL, CASE level WHEN 'moderate_pending_effect_tests' THEN 2.0 ELSE 1.0 END, NULL, NULL, NULL, level, 'claims' FROM lv"""),
+    "scene_folders": f"SELECT p_partkey, {_PARSED} FROM (SELECT *, {_FOLDER} AS f FROM part)",
+    "gaze_scan": f"SELECT path, {_FILE}, condition_code, folder_scene_id FROM (SELECT *, {_PARSED} FROM ({_LISTING})) WHERE NOT contains(f, '适应') AND path NOT LIKE '%notes%'",
+    "resolved_orders": f"""SELECT p_partkey::VARCHAR AS split_id, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS participant_order, p_partkey % 3 = 2 AS order_missing,
+ CASE WHEN folder_scene_id IS NOT NULL THEN 'simple_condition_folder' WHEN new THEN 'neworder2' WHEN p_partkey % 3 = 0 THEN 'order2' ELSE 'order1' END AS order_scheme,
+ CASE WHEN folder_scene_id IS NOT NULL THEN condition_code WHEN new THEN label WHEN p_partkey % 3 = 0 THEN order_code_2 ELSE order_code_1 END AS order_code, coalesce(folder_block, b) AS block,
+ CASE WHEN folder_scene_id IS NOT NULL THEN folder_position WHEN new THEN place WHEN p_partkey % 3 = 0 THEN 7 - spot ELSE spot END AS position, (coalesce(folder_block, b) - 1) * 6 + position AS scene_id
+ FROM (SELECT *, {_PARSED}, 1 + p_partkey % 5 % 2 AS b, 1 + p_partkey % 6 AS spot, p_partkey % 3 = 0 AND day >= DATE '2026-05-01' AS new FROM ({_LISTING})) LEFT JOIN (VALUES {_NEW}) AS o(ob, oc, label, place) ON ob = b AND oc = condition_code
+ WHERE condition_code IS NOT NULL AND path NOT LIKE '%notes%'""",
+    "recording_aliases": f"SELECT p_partkey::VARCHAR AS split_id, regexp_extract(path, 'raw_(name[^_]*)_', 1) AS subject, 'name' || p_partkey % 40 AS participant_id, CASE WHEN p_partkey % 7 = 0 THEN 'suffix_note' ELSE '' END AS alias_source FROM ({_LISTING}) WHERE NOT contains(f, '适应') AND path NOT LIKE '%notes%'",
+    "participants": f"SELECT participant_id, Experience AS ExperienceRaw, {_GROUP} AS ExperienceGroup, {_GENDER} AS Gender, Gender AS GenderRaw, TRY_CAST(Age AS DOUBLE) AS Age, RecruitmentBatch, RecruitmentBatch = 'Supplement' AS SupplementFlag, exclude FROM ({_PEOPLE})",
+    "scene_table": "SELECT p_brand AS participant_id, p_partkey AS scene_id, p_size::DOUBLE AS WWR_numeric, '/data/' || p_brand || '.csv' AS eye_csv_path, true AS no_block FROM part",
+    "answers_with_design": f"SELECT o_custkey::VARCHAR AS participant_id, o_orderkey AS scene_id, n::DOUBLE AS S1, o_orderstatus AS Cond, o_orderpriority AS block, {_GROUP} AS ExperienceGroup, {_GENDER} AS Gender FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey LEFT JOIN ({_PEOPLE}) ON participant_id = o_custkey::VARCHAR",
+    "survey_long": """WITH s AS (SELECT c_custkey::VARCHAR AS participant_id, c_nationkey AS k, c_acctbal FROM customer)
+SELECT participant_id, unnest([1, 6, 7, 12])::BIGINT AS scene_id, unnest([NULL, k % 6, NULL, NULL])::DOUBLE AS B1, unnest([NULL, NULL, NULL, CASE WHEN c_acctbal > 0 THEN k % 3 END])::DOUBLE AS B2, unnest([k % 7, NULL, k % 4, NULL])::DOUBLE AS S1, unnest([k % 5, NULL, NULL, NULL])::DOUBLE AS S5, (k % 2)::DOUBLE AS IPQ1 FROM s""",
+    "survey_metadata": f"SELECT participant_id || '·x' AS questionnaire_subject_id, participant_id, ((length(participant_id) + 1) % 3)::BIGINT AS \"Order\", Experience, {_GENDER} AS Gender, Gender AS GenderRaw, '' AS Age FROM ({_PEOPLE})",
+    "name_coding": "SELECT p_partkey, p_brand AS canonical, '·' || p_brand AS single, p_brand || CASE WHEN p_size % 2 = 0 THEN '' ELSE '-' || p_size || 'x' END AS bare FROM part",
+    "term_support": "WITH t AS (SELECT lower(p_type) AS t, CASE WHEN p_type LIKE '%STEEL%' THEN 0.5 ELSE (p_partkey % 97) / 100.0 END AS p FROM part) SELECT f AS fragment, CASE WHEN count(*) = 0 THEN 'unsupported_no_model' WHEN count_if(contains(t, f) AND p < 0.05) > 0 THEN 'moderate' WHEN count_if(contains(t, f)) > 0 THEN 'exploratory' ELSE 'unsupported_no_term' END AS level FROM t, (SELECT unnest(['promo', 'steel', 'absent']) AS f) GROUP BY f",
+    "support_scores": "SELECT p_partkey, [2.0, 1.5, 1.0, 0.0, NULL][1 + p_size % 5]::DOUBLE AS score FROM part",
+    "empty_bins": _with(_GAZE, _VALID, select=f"SELECT DISTINCT {_K}, floor((t_ms - f) / {_BIN})::BIGINT AS bin_index, floor((t_ms - f) / {_BIN}) * {_BIN} AS bin_start_ms, floor((t_ms - f) / {_BIN}) * {_BIN} + {_BIN} AS bin_end_ms, '' AS class_name, 0::BIGINT AS samples, false AS visited FROM (SELECT *, min(t_ms) OVER (PARTITION BY {_K}) AS f FROM v)"),
+    "eeg_durations": _with(_EEG, select=f"SELECT {_K}, dur AS eeg_view_dur_s FROM e"),
+    "recording_summary": f"""WITH s AS (SELECT *, 'name' || p_partkey % 40 AS who, 'name' || p_partkey % 40 || CASE WHEN p_partkey % 7 = 0 THEN '-12-3' ELSE '' END AS raw FROM ({_LISTING}) WHERE NOT contains(f, '适应') AND path NOT LIKE '%notes%'),
+ g AS (SELECT 'name' || c_custkey AS who, c_acctbal > 0 AS ok FROM customer)
+SELECT unnest(['eye_csv_count', 'eye_subject_count_raw', 'eye_scene_folder_count', 'eye_aoi_json_count', 'eye_missing_aoi_json_rows', 'eye_subject_count_after_alias', 'eye_suffix_note_alias_rows', 'aliased_eye_rows', 'eeg_set_count', 'eeg_fdt_count', 'matched_subject_count']) AS metric,
+ unnest([n, raws, folders, 0, n, whos, notes, notes, (SELECT count(*) FROM g), (SELECT count_if(ok) FROM g), (SELECT count(DISTINCT s.who) FROM s JOIN g USING (who))])::BIGINT AS n
+FROM (SELECT count(*) AS n, count(DISTINCT raw) AS raws, count(DISTINCT f) AS folders, count(DISTINCT who) AS whos, count_if(p_partkey % 7 = 0) AS notes FROM s)""",
+    "segment_marks": _with(_SEGS, select="SELECT subject_id, ev_ix, round((end_latency / 1000 - latency / 1000) / 3600.0, 6) AS view_dur_s, false AS near_boundary, coalesce((end_latency / 1000 - latency / 1000) / 3600.0 >= 0.5, false) AS segment_valid_duration FROM k2"),
+    "band_power": """WITH s AS (SELECT vec_id AS segment, 'roi' || label AS roi, i - 1 AS t, embedding[i]::DOUBLE * (0.54 - 0.46 * cos(2 * pi() * (i - 1) / 63)) AS y FROM (SELECT vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+p AS (SELECT segment, roi, k / 2.0 AS f, (sum(y * cos(2 * pi() * k * t / 64)) ** 2 + sum(y * sin(2 * pi() * k * t / 64)) ** 2) * 2 / (32.0 * (SELECT sum((0.54 - 0.46 * cos(2 * pi() * j / 63)) ** 2) FROM range(64) r(j))) AS v FROM s, (SELECT unnest(range(1, 32)) AS k) GROUP BY segment, roi, k),
+b AS (SELECT segment, roi, sum(v * CASE WHEN f IN (4, 8) THEN 0.25 ELSE 0.5 END) FILTER (f BETWEEN 4 AND 8) AS theta, sum(v * CASE WHEN f IN (8, 13) THEN 0.25 ELSE 0.5 END) FILTER (f BETWEEN 8 AND 13) AS alpha, sum(v * CASE WHEN f IN (13, 15.5) THEN 0.25 ELSE 0.5 END) FILTER (f BETWEEN 13 AND 15.5) AS beta0, max(v) FILTER (f = 15.5) AS v31 FROM p GROUP BY ALL),
+z AS (SELECT segment, roi, sum(y * (CASE WHEN t % 2 = 0 THEN 1 ELSE -1 END)) ** 2 / (32.0 * (SELECT sum((0.54 - 0.46 * cos(2 * pi() * j / 63)) ** 2) FROM range(64) r(j))) AS v32 FROM s GROUP BY ALL),
+c AS (SELECT segment, roi, theta, alpha, beta0 + 0.25 * v31 + 0.25 * v32 AS beta FROM b JOIN z USING (segment, roi))
+SELECT segment, roi, round(theta, 6) AS theta, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(theta / alpha, 6) AS TAR, round(theta / beta, 6) AS TBR, round(beta / alpha, 6) AS BA FROM c""",
+    "contrast_p_values": _with(_ANSWERS, _LONG, _CONTRAST, f"w AS (SELECT *, mean / (sd / sqrt(n)) AS t, n - 1 AS nu FROM d), {_TAIL}", select="SELECT outcome, term, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(sd / sqrt(n), 5) AS se, round(t, 5) AS t, round(t * t, 5) AS F, round(t * t / (t * t + n - 1), 5) AS partial_eta_sq, CASE WHEN mean > 0 THEN 'positive' WHEN mean < 0 THEN 'negative' ELSE 'flat' END AS direction, round(p, 5) AS p_value FROM w JOIN tail USING (t, nu)"),
+    "welch_p_values": _with(_ANSWERS, "g AS (SELECT Complexity AS lv, count(*) AS n, avg(S2) AS m, var_samp(S2) AS s FROM a GROUP BY ALL)", f"w AS (SELECT x.lv AS level_a, y.lv AS level_b, x.n AS n_a, y.n AS n_b, x.m AS mean_a, y.m AS mean_b, (x.m - y.m) / sqrt(x.s / x.n + y.s / y.n) AS t, (x.s / x.n + y.s / y.n) ** 2 / ((x.s / x.n) ** 2 / (x.n - 1) + (y.s / y.n) ** 2 / (y.n - 1)) AS nu FROM g x JOIN g y ON x.lv < y.lv), {_TAIL}", select="SELECT level_a, level_b, n_a, n_b, round(mean_a, 5) AS mean_a, round(mean_b, 5) AS mean_b, round(t, 5) AS t, round(nu, 5) AS df, round(p, 5) AS p_value FROM w JOIN tail USING (t, nu)"),
 }

@@ -510,6 +510,96 @@ def eeg_core_models(spark, sf_dir):
     return rounded(models.model_table(models.eeg_core_models(S.answers(spark, sf_dir), ("S2",))), 4)
 
 
+def scene_folders(spark, sf_dir):
+    p = S.table(spark, sf_dir, "part").select("p_partkey", S.folder().alias("folder"))
+    return p.select("p_partkey", *[c.alias(n) for n, c in discovery.parse_scene_folder(F.col("folder")).items()])
+
+
+def gaze_scan(spark, sf_dir):
+    return discovery.scan_gaze(S.listing(spark, sf_dir)).select("path", "subject", "record_id", "split_id", "condition_code", "folder_scene_id")
+
+
+def resolved_orders(spark, sf_dir):
+    """Recordings of either folder scheme, with the orders 1, 2 and none by turns."""
+    rows = discovery.scan_gaze(S.listing(spark, sf_dir)).filter("condition_code is not null").withColumn("Order", F.expr("CASE CAST(split_id AS bigint) % 3 WHEN 0 THEN 'order 2' WHEN 1 THEN '1' END"))
+    return discovery.resolve_orders(rows).select("split_id", "participant_order", "order_missing", "order_scheme", "order_code", "block", "position", "scene_id")
+
+
+def recording_aliases(spark, sf_dir):
+    return trial.resolve_aliases(discovery.scan_gaze(S.listing(spark, sf_dir))).select("split_id", "subject", "participant_id", "alias_source")
+
+
+def participants(spark, sf_dir):
+    out = trial.standardize_participants(S.people(spark, sf_dir))
+    return out.select("participant_id", "ExperienceRaw", "ExperienceGroup", "Gender", "GenderRaw", "Age", "RecruitmentBatch", "SupplementFlag", "exclude")
+
+
+def scene_table(spark, sf_dir):
+    p = S.table(spark, sf_dir, "part")
+    rows = p.select(F.col("p_brand").alias("participant_id"), F.col("p_partkey").cast("string").alias("scene_id"), F.concat(F.lit("W"), F.col("p_size"), F.lit("%")).alias("WWR"), (F.col("p_size") % 2).alias("Complexity"), F.concat(F.col("p_brand"), F.lit(".csv")).alias("eye_csv_path"))
+    out = trial.standardize_scenes(rows, "/data")
+    return out.select("participant_id", "scene_id", "WWR_numeric", "eye_csv_path", F.col("block").isNull().alias("no_block"))
+
+
+def answers_with_design(spark, sf_dir):
+    a = S.eeg_scenes(spark, sf_dir).select(*G.KEYS, F.col("view_dur_s").cast("string").alias("S1"))
+    scenes = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("participant_id"), F.col("o_orderkey").alias("scene_id"), F.col("o_orderstatus").alias("Cond"), F.col("o_orderpriority").alias("block"))
+    who = trial.standardize_participants(S.people(spark, sf_dir))
+    out = trial.attach_design(trial.standardize_answers(a, ("S1", "S2")), scenes, who)
+    return out.select(*G.KEYS, "S1", "Cond", "block", "ExperienceGroup", "Gender")
+
+
+def survey_long(spark, sf_dir):
+    return scales.survey_to_long(S.survey(spark, sf_dir))
+
+
+def survey_metadata(spark, sf_dir):
+    c = S.people(spark, sf_dir)
+    named = c.select(F.concat(F.trim("participant_id"), F.lit("·x")).alias("姓名"), F.col("Experience").alias("Q1.4"), F.col("Gender").alias("Q1.2"), (F.length("participant_id") % 3).cast("string").alias("Q1.8"))
+    return discovery.survey_metadata(named).select("questionnaire_subject_id", "participant_id", "Order", "Experience", "Gender", "GenderRaw", "Age")
+
+
+def name_coding(spark, sf_dir):
+    p = S.table(spark, sf_dir, "part")
+    return p.select(
+        "p_partkey",
+        C.canonical_name(F.concat(F.col("p_brand"), F.lit(" • "), F.col("p_name"))).alias("canonical"),
+        C.canonical_name(F.concat(F.lit("·"), F.col("p_brand"))).alias("single"),
+        C.without_note(F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size"), F.when(F.col("p_size") % 2 == 0, "-7").otherwise("x"))).alias("bare"),
+    )
+
+
+def term_support(spark, sf_dir):
+    p = S.table(spark, sf_dir, "part").select(F.col("p_type").alias("term"), ((F.col("p_partkey") % 97) / 100.0).alias("p_value"))
+    return diagnostics.term_support(p.withColumn("p_value", F.when(~F.col("term").contains("STEEL"), F.col("p_value")).otherwise(0.5)), ("promo", "steel", "absent"))
+
+
+def support_scores(spark, sf_dir):
+    p = S.table(spark, sf_dir, "part")
+    level = F.expr("element_at(array('moderate', 'see_diagnostics', 'now exploratory', 'unsupported_no_data', 'none'), cast(1 + p_size % 5 AS int))")
+    return p.select("p_partkey", diagnostics.support_score(level).alias("score"))
+
+
+def empty_bins(spark, sf_dir):
+    return T.empty_bins(_binned(spark, sf_dir), BIN_MS).select(*G.KEYS, "bin_index", "bin_start_ms", "bin_end_ms", "class_name", "samples", "visited")
+
+
+def eeg_durations(spark, sf_dir):
+    e = S.eeg_scenes(spark, sf_dir).select(*G.KEYS, F.lit(0.0).alias("view_start_s"), F.col("view_dur_s").alias("view_end_s"))
+    return trial.eeg_duration_table(e)
+
+
+def recording_summary(spark, sf_dir):
+    scanned = discovery.scan_gaze(S.listing(spark, sf_dir))
+    signals = S.table(spark, sf_dir, "customer").select(F.concat(F.lit("name"), F.col("c_custkey")).alias("stem"), (F.col("c_acctbal") > 0).alias("has_data"))
+    return discovery.recording_summary(scanned, trial.resolve_aliases(scanned), signals)
+
+
+def segment_marks(spark, sf_dir):
+    seg = signal.marker_segments(S.markers(spark, sf_dir).withColumn("latency", F.col("latency") / 1000), STATES)
+    return rounded(signal.segment_marks(seg, 3600.0, 0.5).select("subject_id", "ev_ix", "view_dur_s", "near_boundary", "segment_valid_duration"))
+
+
 _NOT_QUERIES = {"rounded"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in _NOT_QUERIES

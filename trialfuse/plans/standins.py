@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import POINTS
@@ -81,3 +81,41 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("segment"), F.concat(F.lit("roi"), F.col("label").cast("string")).alias("roi"), F.posexplode("embedding").alias("sample_ix", "uV")).withColumn("uV", F.col("uV").cast("double")).withColumn("channel", F.col("sample_ix") % 4)
+
+
+def folder(size: str = "p_size", key: str = "p_partkey") -> Column:
+    """Scene folder names of both schemes, folders for getting used to the device, and names of neither."""
+    cond, wwr, block = f"({key} % 2)", f"(15 + 30 * ({key} % 3))", f"(1 + {key} % 5 % 2)"
+    at = f"(1 + {key} % 6)"
+    return F.expr(
+        f"CASE {size} % 5 WHEN 0 THEN concat({block}, '-C', {cond}, 'W', {wwr}) WHEN 1 THEN concat('(1-', {block}, '-', {at}, '、2-', {block}, '-', 7 - {at}, ') 组', {cond}, '-C', {cond}, 'W', {wwr})"
+        f" WHEN 2 THEN concat({block}, '-c', {cond}, 'w', {wwr}) WHEN 3 THEN '适应 1' ELSE concat('folder ', {key}) END"
+    )
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of recordings: one for each part and part name."""
+    p = table(spark, sf_dir, "part").withColumn("folder", folder())
+    day = F.date_format(F.date_add(F.lit("2026-04-01").cast("date"), (F.col("p_partkey") % 60).cast("int")), "yyMMdd")
+    name = F.concat(F.lit("raw_name"), F.col("p_partkey") % 40, F.when(F.col("p_partkey") % 7 == 0, "-12-3").otherwise(""), F.lit("_"), day, F.lit("1200_"), F.col("p_partkey"), F.lit(".csv"))
+    root = F.concat(F.lit("/root/"), F.col("folder"))
+    return p.select(F.concat(root, F.lit("/"), F.when(F.col("p_size") % 11 == 0, F.lit("notes.csv")).otherwise(name)).alias("path"), root.alias("dir"), "folder", F.col("p_partkey").alias("length"))
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Participants as they are entered: texts on experience, gender and age."""
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit(" "), F.col("c_custkey").cast("string")).alias("participant_id"),
+        F.expr("element_at(array('从不', '每月1-2次', '每月3-4次', '≥5次', 'Often', 'rarely', '', 'nan', 'other'), cast(1 + c_nationkey % 9 AS int))").alias("Experience"),
+        F.expr("element_at(array('男', 'F', '女生', 'man', 'none', '', 'x'), cast(1 + c_custkey % 7 AS int))").alias("Gender"),
+        F.when(F.col("c_nationkey") > 3, F.col("c_acctbal").cast("string")).otherwise("?").alias("Age"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "Supplement").otherwise("Original").alias("RecruitmentBatch"),
+        F.when(F.col("c_acctbal") < 0, "Yes").alias("exclude"),
+    )
+
+
+def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A survey export: a column for each question and item."""
+    c = table(spark, sf_dir, "customer")
+    points = lambda x: F.concat((F.col("c_nationkey") % x).cast("string"), F.lit("分"))
+    return c.select(F.col("c_custkey").cast("string").alias("participant_id"), points(7).alias("Q2.1_S1"), points(5).alias("Q2.5_S5"), points(6).alias("Q8.1_B1"), points(4).alias("Q9.1_S1"), F.when(F.col("c_acctbal") > 0, points(3)).alias("Q15.2_B2"), points(2).alias("Q16.1_x"))
