@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_NAMES, RID, SPACES, chunks_of_docs, map_arrow, mix, settle, utf8, with_row_ids, word_names
+from .common import BYTE_NAMES, RID, SPACES, chunks_of_docs, joined, map_arrow, mix, settle, utf8, with_row_ids, word_names
 
-#: Rows that the scorer is fitted on at most, and its hashed features.
+#: Rows that the scorer is fitted on (about; twice as many at most), the largest features of each, and the hashed features.
 SAMPLE_ROWS = 6000
+SAMPLE_FEATURES = 2048
 FEATURE_BITS = 18
 FAMILIES = 3
 CHUNK = 1 << 20
@@ -29,6 +30,9 @@ _BAR = np.zeros(256, np.int64)
 _BAR[ord("|")] = 1
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "!#$%&*+<=>@[]^_`{|}~\\/"]] = 1
+#: First bytes of letters of three and more bytes, whose scripts part words without spaces or in other ways.
+_WIDE = np.zeros(256, np.int64)
+_WIDE[[0xE0, 0xE1, *range(0xE3, 0xF0)]] = 1
 _PLAIN_END = np.ones(256, bool)
 _PLAIN_END[[ord(c) for c in "!#$%&*+<=>@[]^_`{|}~\\/"]] = False
 #: Shapes: what kind of character stands where.
@@ -93,6 +97,7 @@ class Chunk:
         def vote(value, good, bad, know=True):
             return np.where(bad, -1, np.where(good, 1, 0)) * know
 
+        spaced = _sums(_WIDE, self.data, self.edges) * 10 < size  # words are what spaces part
         some = self.words >= 5
         stutter = np.bincount(self.doc[self.again()], minlength=n)[:n] / words
         return np.stack(
@@ -100,8 +105,8 @@ class Chunk:
                 vote(share, no, share > 0.5, letters >= 10),
                 vote(symbols, no, symbols / size > 0.06, size >= 20),
                 vote(ends, no, ends > 0.3, some),
-                vote(length, (length >= 3) & (length <= 9), (length < 2) | (length > 14), some),
-                vote(variety, variety > 5, variety < 3, self.words >= 60),
+                vote(length, (length >= 3) & (length <= 9), (length < 2) | (length > 14), some & spaced),
+                vote(variety, variety > 5, variety < 3, (self.words >= 60) & spaced),
                 vote(distinct, distinct > 0.9, distinct < 0.6, lines >= 4),
                 vote(bars, no, bars / words > 0.2, some),
                 vote(digits, no, digits / size > 0.4, size >= 20),
@@ -201,10 +206,9 @@ def classify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float =
     scorer is then trained on the posteriors of at most about `sample_rows` documents,
     those of the smallest hashed ids, and scores all; keep: score >= threshold.
 
-    Null or wordless text: no features, score 0, not kept. Where all
-    posteriors fall on one side, the scorer would have one class to learn; the posterior is the
-    score. Rows that share an id, or have none: each by itself.
-    Other columns are ignored; an empty table gives an empty result.
+    Null or wordless text: no features, score 0, not kept. Very long texts are
+    read whole, by one task each. A score of exactly the threshold is kept. Rows that share an id, or have none, and
+    repeated rows: each by itself. Other columns are ignored; an empty table gives an empty result.
     """
     return classify_rows(with_row_ids(docs), sample_rows, threshold)
 
@@ -219,7 +223,7 @@ def classify_rows(own: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: flo
     table = spark.createDataFrame([(p, float(x)) for p, x in posterior.items()], "pattern string, posterior double")
     part = min(1.0, sample_rows / max(total, 1))
     chosen = (F.xxhash64(RID).bitwiseAND(F.lit((1 << 30) - 1)) < int(part * (1 << 30))) if part < 1 else F.lit(True)
-    ids = votes.filter(chosen).join(F.broadcast(table), "pattern").select(RID, "posterior").limit(sample_rows * 2)
+    ids = votes.filter(chosen).join(F.broadcast(table), "pattern").select(RID, "posterior").orderBy(F.xxhash64(RID), RID).limit(sample_rows * 2)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,18 +231,18 @@ def classify_rows(own: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: flo
             label = b.column(1).to_numpy(zero_copy_only=False)
             for i, j in chunks_of_docs(offsets, CHUNK):
                 doc, f, w = _shares(Chunk(data, offsets[i : j + 1]))
+                largest = np.lexsort((f, -w, doc))
+                rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                doc, f, w = (x[largest][rank < SAMPLE_FEATURES] for x in (doc, f, w))
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 f, w = f.astype("<i4"), w.astype("<f4")
                 yield pa.RecordBatch.from_arrays([pa.array(label[i:j]), pa.array([f[s:e].tobytes() for s, e in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([w[s:e].tobytes() for s, e in zip(cut, cut[1:], strict=False)], pa.binary())], names=["label", "f", "w"])
 
     sample = map_arrow(own.filter(chosen).join(F.broadcast(ids), RID).select("text", "posterior"), rows, "label double, f binary, w binary").toPandas()
     label = sample.label.to_numpy()
-    if len(label) and label.max() >= 0.5 > label.min():
-        f, w = [np.frombuffer(x, "<i4") for x in sample.f], [np.frombuffer(x, "<f4") for x in sample.w]
-        doc = np.repeat(np.arange(len(label)), [len(x) for x in f])
-        shared = spark.sparkContext.broadcast(fit_scorer(doc, np.concatenate(f), np.concatenate(w).astype(float), label))
-    else:
-        shared = None
+    f, w = [np.frombuffer(x, "<i4") for x in sample.f], [np.frombuffer(x, "<f4") for x in sample.w]
+    doc = np.repeat(np.arange(len(label)), [len(x) for x in f])
+    shared = spark.sparkContext.broadcast(fit_scorer(doc, joined(f, np.int32), joined(w, np.float32).astype(float), label))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, b0 = shared.value
@@ -253,9 +257,5 @@ def classify_rows(own: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: flo
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=[RID, "score"])
 
     labelled = votes.join(F.broadcast(table), "pattern")
-    if shared is None:
-        empty = F.translate("pattern", "0", "") == ""
-        scored = labelled.withColumn("score", F.when(empty, 0.0).otherwise(F.col("posterior")))
-    else:
-        scored = labelled.join(map_arrow(own.select(RID, "text"), score, f"{RID} long, score double"), RID)
+    scored = labelled.join(map_arrow(own.select(RID, "text"), score, f"{RID} long, score double"), RID)
     return scored.select(RID, "doc_id", "pattern", "posterior", "score", (F.col("score") >= threshold).alias("keep"))
