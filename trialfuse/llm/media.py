@@ -204,9 +204,13 @@ def align(prints: DataFrame, id_col: str = "vec_id", every: int = 100) -> DataFr
     overlap matches, if they are at most `MOST_WRONG`; votes counts its equal integers. matches lists, for the row's class as the one found, the
     query classes that it matches: (query_class, offset, votes, overlap, bit_error_rate).
 
+    Of equally good alignments the one of more equal integers counts, then the earlier offset.
     Recordings that are null or too short have no integers; they are one class, which
-    matches nothing. Null ids: rows of their own class membership, never a query.
+    matches nothing. Null ids: rows of their own class membership, never a query; repeated
+    ids and rows: each by itself. Very long recordings are compared whole, by one task for each block.
+    Other columns are ignored; an empty table gives an empty result.
     """
+    prints = prints.select(id_col, "ints")
     own = settle(prints.withColumn("fp", F.sha2(F.coalesce(F.array_join(F.col("ints").cast("array<string>"), ","), F.lit("")), 256)), "ints")
     classes = own.groupBy("fp").agg(F.min(id_col).alias("class_id"), F.max(F.coalesce(F.col(id_col) % every == 0, F.lit(False))).alias("asked"), F.first("ints").alias("ints"))
     classes = settle(classes.filter(F.col("class_id").isNotNull()), "classes")
