@@ -16,9 +16,9 @@ BIGRAM_WEIGHT = 0.7
 #: Tokens that the background's unigrams add to the target's.
 PRIOR = 1000
 _START = np.uint64(0x5DEECE66D1CE4E5B)
-_CHUNK_TOKENS = 2_000_000
+_CHUNK_TOKENS = 1_000_000
 _CHUNK_DOCS = 200_000
-_NAME_BYTES = 1 << 22
+_NAME_BYTES = 1 << 21
 _FLUSH_WORDS = 700_000
 CHUNKS = "chunk long, ids array<long>, sizes binary, words binary, at binary"
 COUNTED = "chunk long, bucket int, n_words int, code binary, n binary, t binary, e binary, s binary"
