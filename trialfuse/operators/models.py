@@ -274,13 +274,19 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], predictors: Sequence[str]
     spark, rows = df.sparkSession, []
     base = keep_first(df, keys, order or [F.xxhash64(*df.columns)]) if unit == "trial" else df
     terms = parse_terms(predictors)
-    cols = design(base, terms)
-    for y in outcomes:
-        if y not in df.columns:
-            rows += result_rows(spark, y, None, "missing outcome")
-            continue
-        fit = fit_logit(base, y, cols) if kind == "logit" else fit_ols(base, y, cols) if kind == "ols" else fit_lmm(base, y, cols, group)
-        rows += result_rows(spark, y, fit)
+    # the levels, and the sums of each outcome, all read the same narrow rows
+    used = {*outcomes, *(c for t in terms for c in t.factors), *([group] if kind == "lmm" else [])}
+    base = base.select(*[c for c in base.columns if c in used]).persist()
+    try:
+        cols = design(base, terms)
+        for y in outcomes:
+            if y not in df.columns:
+                rows += result_rows(spark, y, None, "missing outcome")
+                continue
+            fit = fit_logit(base, y, cols) if kind == "logit" else fit_ols(base, y, cols) if kind == "ols" else fit_lmm(base, y, cols, group)
+            rows += result_rows(spark, y, fit)
+    finally:
+        base.unpersist()
     return spark.createDataFrame(rows, RESULT)
 
 
