@@ -142,10 +142,8 @@ def scene_alignment(spark, sf_dir):
 
 
 def _sync(spark, sf_dir):
-    eeg = S.eeg_scenes(spark, sf_dir)
-    o = S.table(spark, sf_dir, "orders")
-    eye = o.select(F.col("o_custkey").cast("string").alias("participant_id"), F.col("o_orderkey").alias("scene_id"), (F.floor(F.col("o_totalprice") / 1000) / 100).alias("eye_duration_s")).filter("eye_duration_s > 0.5")
-    return qc.sync_qc(eeg.select(*G.KEYS), eye, eeg.select(*G.KEYS, F.col("view_dur_s").alias("eeg_duration_s")).filter("eeg_duration_s is not null"), 2.0, 10), eye
+    eye = S.eye_durations(spark, sf_dir)
+    return qc.sync_qc(S.eeg_scenes(spark, sf_dir).select(*G.KEYS), eye, S.eeg_timed(spark, sf_dir).select(*G.KEYS, F.col("view_dur_s").alias("eeg_duration_s")), 2.0, 10), eye
 
 
 def sync_qc(spark, sf_dir):
@@ -158,9 +156,7 @@ def _flags(spark, sf_dir):
 
 def qc_exclusions(spark, sf_dir):
     sync, eye = _sync(spark, sf_dir)
-    eeg = S.eeg_scenes(spark, sf_dir)
-    q = S.answers(spark, sf_dir).filter("S1 > 5").select(*G.KEYS)
-    return qc.qc_exclusions(sync, q, eye, eeg.filter("view_dur_s is not null"), _flags(spark, sf_dir))
+    return qc.qc_exclusions(sync, S.answered(spark, sf_dir).select(*G.KEYS), eye, S.eeg_timed(spark, sf_dir), _flags(spark, sf_dir))
 
 
 def qc_kept_rows(spark, sf_dir):
@@ -188,8 +184,7 @@ def eeg_metric_summary(spark, sf_dir):
 
 
 def contract(spark, sf_dir):
-    e = S.eeg_scenes(spark, sf_dir).withColumnsRenamed({"participant_id": "subject_id", "rms_mean_uV": "O_alpha"})
-    return qc.contract_findings(e.withColumn("scene_id", F.col("scene_id") % 50))
+    return qc.contract_findings(S.summary_with_repeats(spark, sf_dir))
 
 
 def group_balance(spark, sf_dir):
@@ -226,18 +221,15 @@ def keep_first_rows(spark, sf_dir):
 
 
 def presence_reasons(spark, sf_dir):
-    o, li, c = (S.table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
     ids = lambda df, col: df.select(F.col(col).cast("string").alias("participant_id"))
-    flagged = li.filter("l_returnflag = 'R' and l_discount > 0.09").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return trial.presence({"eeg": ids(flagged, "o_custkey"), "eye": ids(o, "o_custkey"), "questionnaire": ids(c.filter("c_acctbal > 0"), "c_custkey")})
+    return trial.presence({"eeg": ids(S.flagged_customers(spark, sf_dir), "o_custkey"), "eye": ids(S.table(spark, sf_dir, "orders"), "o_custkey"), "questionnaire": ids(S.customers_above(spark, sf_dir), "c_custkey")})
 
 
 def alias_resolution(spark, sf_dir):
     o = S.table(spark, sf_dir, "orders")
     named = F.concat(F.lit("name"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, "-32-40").otherwise(""))
     rows = o.select("o_orderkey", (F.col("o_orderkey") % 4000).cast("string").alias("record_id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("User"), F.col("o_orderkey").cast("string"))).otherwise(named).alias("subject"))
-    manual = S.table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(F.concat(F.lit("name"), F.col("c_custkey").cast("string")).alias("alias"), F.col("c_name").alias("participant_id"))
-    return trial.resolve_aliases(rows, manual).select("o_orderkey", "subject", "participant_id", "alias_source")
+    return trial.resolve_aliases(rows, S.manual_aliases(spark, sf_dir)).select("o_orderkey", "subject", "participant_id", "alias_source")
 
 
 def analysis_master(spark, sf_dir):
@@ -251,24 +243,24 @@ def analysis_master(spark, sf_dir):
 def aligned_scenes(spark, sf_dir):
     e = S.eeg_scenes(spark, sf_dir)
     eye = S.answers(spark, sf_dir).groupBy(*G.KEYS).agg(F.max("S1").alias("eye_max"))
-    return rounded(trial.aligned_scenes(e.select(*G.KEYS), eye, e.filter("hf_ratio_20_40Hz < 0.06").select(*G.KEYS, "view_dur_s")))
+    return rounded(trial.aligned_scenes(e.select(*G.KEYS), eye, S.eeg_quiet(spark, sf_dir).select(*G.KEYS, "view_dur_s")))
 
 
 def scene_fallback(spark, sf_dir):
-    a = S.answers(spark, sf_dir).filter("S4 > 3").select(*G.KEYS, F.lit("answers").alias("Cond"))
-    e = S.eeg_scenes(spark, sf_dir).filter("view_dur_s > 2").select(*G.KEYS, F.lit("eeg").alias("Cond"))
+    a = S.late_answers(spark, sf_dir).select(*G.KEYS, F.lit("answers").alias("Cond"))
+    e = S.eeg_long(spark, sf_dir).select(*G.KEYS, F.lit("eeg").alias("Cond"))
     return trial.scene_fallback([a, e])
 
 
 def id_sets(spark, sf_dir):
     """In both tables, and in the first alone."""
     o = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
-    c = S.table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("id"))
+    c = S.customers_above(spark, sf_dir, 5000).select(F.col("c_custkey").alias("id"))
     return o.intersect(c).withColumn("kind", F.lit("both")).unionByName(o.distinct().join(c, "id", "left_anti").withColumn("kind", F.lit("orders_only")))
 
 
 def wide_to_long(spark, sf_dir):
-    wide = S.answers(spark, sf_dir).filter("WWR is not null").groupBy("participant_id").pivot("WWR", [15, 45, 75]).agg(F.round(F.avg("S1"), 6).alias("a"), F.round(F.avg("S2"), 6).alias("b"))
+    wide = S.designed_answers(spark, sf_dir).groupBy("participant_id").pivot("WWR", [15, 45, 75]).agg(F.round(F.avg("S1"), 6).alias("a"), F.round(F.avg("S2"), 6).alias("b"))
     names = {f"{x}_{k}": f"S{1 if k == 'a' else 2}_{i + 1}" for i, x in enumerate((15, 45, 75)) for k in "ab"}
     return scales.wide_to_long(wide.withColumnsRenamed(names))
 
@@ -452,13 +444,13 @@ def stream_segments(spark, sf_dir):
 
 
 def root_summary(spark, sf_dir):
-    o, c, e = (S.table(spark, sf_dir, t) for t in ("orders", "customer", "events"))
-    return discovery.root_summary({"orders": o.withColumnRenamed("o_custkey", "participant_id"), "customer": c.filter("c_acctbal > 0").withColumnRenamed("c_custkey", "participant_id"), "events": e.withColumnRenamed("user_id", "participant_id")})
+    o, e = (S.table(spark, sf_dir, t) for t in ("orders", "events"))
+    return discovery.root_summary({"orders": o.withColumnRenamed("o_custkey", "participant_id"), "customer": S.customers_above(spark, sf_dir).withColumnRenamed("c_custkey", "participant_id"), "events": e.withColumnRenamed("user_id", "participant_id")})
 
 
 def eye_timing(spark, sf_dir):
     g = S.gaze(spark, sf_dir)
-    return trial.eye_timing(g.select(*G.KEYS).distinct(), g.filter("val_l <> 'error' and fix_id < 6"))
+    return trial.eye_timing(g.select(*G.KEYS).distinct(), S.gaze_kept(spark, sf_dir))
 
 
 def eye_qc_table(spark, sf_dir):

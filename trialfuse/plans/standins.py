@@ -119,3 +119,69 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     points = lambda x: F.concat((F.col("c_nationkey") % x).cast("string"), F.lit("分"))
     return c.select(F.col("c_custkey").cast("string").alias("participant_id"), points(7).alias("Q2.1_S1"), points(5).alias("Q2.5_S5"), points(6).alias("Q8.1_B1"), points(4).alias("Q9.1_S1"), F.when(F.col("c_acctbal") > 0, points(3)).alias("Q15.2_B2"), points(2).alias("Q16.1_x"))
+
+
+# Views with gaps: what a study lacks here and there, so that joins and presence flags have something to find.
+
+
+def eye_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials with an eye recording of over half a second."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").cast("string").alias("participant_id"), F.col("o_orderkey").alias("scene_id"), (F.floor(F.col("o_totalprice") / 1000) / 100).alias("eye_duration_s")).filter("eye_duration_s > 0.5")
+
+
+def eeg_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EEG scenes that have a duration."""
+    return eeg_scenes(spark, sf_dir).filter("view_dur_s is not null")
+
+
+def eeg_quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EEG scenes with little high-frequency power."""
+    return eeg_scenes(spark, sf_dir).filter("hf_ratio_20_40Hz < 0.06")
+
+
+def eeg_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EEG scenes of over two seconds."""
+    return eeg_scenes(spark, sf_dir).filter("view_dur_s > 2")
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose first item is over 5."""
+    return answers(spark, sf_dir).filter("S1 > 5")
+
+
+def late_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers from the fourth item on."""
+    return answers(spark, sf_dir).filter("S4 > 3")
+
+
+def designed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of scenes with a window level."""
+    return answers(spark, sf_dir).filter("WWR is not null")
+
+
+def gaze_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaze samples of early fixations without errors."""
+    return gaze(spark, sf_dir).filter("val_l <> 'error' and fix_id < 6")
+
+
+def flagged_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers (o_custkey) with a returned line item of a high discount."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return li.filter("l_returnflag = 'R' and l_discount > 0.09").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def customers_above(spark: SparkSession, sf_dir: str, least: int = 0) -> DataFrame:
+    """Customers with a balance above `least`."""
+    return table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > least)
+
+
+def manual_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short table of aliases."""
+    c = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0")
+    return c.select(F.concat(F.lit("name"), F.col("c_custkey").cast("string")).alias("alias"), F.col("c_name").alias("participant_id"))
+
+
+def summary_with_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An EEG scene summary by subject, with repeated keys and other names of its columns."""
+    return eeg_scenes(spark, sf_dir).withColumnsRenamed({"participant_id": "subject_id", "rms_mean_uV": "O_alpha"}).withColumn("scene_id", F.col("scene_id") % 50)
