@@ -150,3 +150,40 @@ def test_gaze_files(spark, tmp_path):
     (tmp_path / "b.json").write_text("{}")
     with pytest.raises(ValueError):
         io.read_aoi(spark, str(tmp_path / "b.json"))
+
+
+def test_older_batch(spark, trial, aoi):
+    m = G.valid_mask(G.with_point(trial), 200, 200, ["1"])
+    manifest = spark.createDataFrame([("P1", 1, 45, "a"), ("P2", 1, 15, "b")], "participant_id string, scene_id long, WWR int, samples string")
+    who = spark.createDataFrame([("P1",), ("P1",), ("P3",)], "participant_id string")
+    got = {r.class_name: r for r in G.batch_metrics(m, aoi, manifest, who).collect()}
+    assert set(got) == {"left", "middle", "far"} and (got["left"].TFD, got["left"].WWR, got["left"].n_samples, got["left"].valid_ratio) == (400, 45, 5, 0.8)
+    assert G.batch_metrics(m, aoi, manifest.filter("participant_id = 'P2'"), who).count() == 0
+    assert {r.polygon_id for r in G.batch_metrics(m, aoi, manifest, who, level="polygon").collect()} == {0}
+
+
+def test_aligned_bins(spark, valid, aoi):
+    b = T.timebin_metrics(T.assign_bins(valid, 2000), aoi)
+    trials = spark.createDataFrame([("P1", 1, 45)], "participant_id string, scene_id long, WWR int")
+    eeg = spark.createDataFrame([("P1", 1, 3.0, 4.0)], "participant_id string, scene_id long, O_theta double, eeg_hf double")
+    got = T.aligned_timebins(b, trials, eeg).collect()
+    assert len(got) == 6 and all((r.WWR, r.eeg_O_theta, r.eeg_hf) == (45, 3.0, 4.0) for r in got)
+
+
+def test_tables_on_disk(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffid,name\n1,x\n2,\n", encoding="utf-8")
+    df = io.read_table(spark, str(tmp_path / "a.csv"))
+    assert df.columns == ["id", "name"] and [tuple(r) for r in df.orderBy("id").collect()] == [("1", "x"), ("2", None)]
+    for fmt in ("csv", "parquet"):
+        io.write_table(df, str(tmp_path / fmt), fmt)
+        back = io.read_table(spark, str(tmp_path / fmt)) if fmt == "csv" else spark.read.parquet(str(tmp_path / fmt))
+        assert sorted(map(tuple, back.collect())) == [("1", "x"), ("2", None)]
+    io.write_table(df, str(tmp_path / "parts"), "parquet", ["id"])
+    assert {p.name for p in (tmp_path / "parts").iterdir() if p.is_dir()} == {"id=1", "id=2"}
+
+
+def test_alias_headers(spark):
+    df = spark.createDataFrame([("1", "2", "3", "4")], "`RecordingTimeStamp[ms]` string, `GazePointX[px]` string, Y string, `Validity (Left)` string")
+    assert io.resolve_aliases(df).columns == ["t_ms", "gx", "gy", "val_l"]
+    two = spark.createDataFrame([("1", None), (None, "2")], "t_ms string, time_ms string")
+    assert [r.t_ms for r in io.coalesce_aliases(two).collect()] == ["1", "2"]

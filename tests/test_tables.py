@@ -359,3 +359,20 @@ def test_markers(spark):
     assert [(r.ev_ix, r.condition, r.scene_id) for r in seg.orderBy("ev_ix").collect()] == [(0, "rest", 0), (1, "view", 1), (2, "gray", 1), (3, "rest", 1), (4, "view", 2)]
     got = [(r.view_ix, r.gray_ix) for r in signal.next_in_scene(seg).orderBy("view_ix").collect()]
     assert got == [(1, 2), (4, None)]
+
+
+def test_subjects_and_inventory(spark, tmp_path):
+    eeg = spark.createDataFrame([("s1", 1), (" s2", 2), ("s9", 3)], "subject_id string, scene_id long")
+    who = spark.createDataFrame([("P1", "s1"), ("P2", "s2"), ("P3", None)], "participant_id string, eeg_subject_id string")
+    known, unknown = trial.map_subjects(eeg, who)
+    assert {(r.participant_id, r.scene_id) for r in known.collect()} == {("P1", 1), ("P2", 2)} and [r.subject_id for r in unknown.collect()] == ["s9"]
+    for n in ("a.set", "a.fdt", "b.set", "c.fdt"):
+        (tmp_path / n).write_text("x")
+    assert {(r.stem, r.has_data) for r in discovery.signal_inventory(discovery.list_files(spark, str(tmp_path))).collect()} == {("a", True), ("b", False)}
+
+
+def test_trial_columns(spark):
+    df = spark.createDataFrame([("P", 1, 45, "x", 2)], "participant_id string, scene_id long, WWR int, other string, block int")
+    assert trial.trial_base(df).columns == ["participant_id", "scene_id", "WWR", "block"]
+    assert trial.ordered_columns(df.select("other", "block", "scene_id", "WWR", "participant_id")).columns == ["participant_id", "scene_id", "WWR", "block", "other"]
+    assert trial.prefixed(df, "q_").columns == ["participant_id", "scene_id", "WWR", "q_other", "block"]

@@ -16,7 +16,7 @@ from ..functions import geometry
 from ..functions.coding import ratio
 
 KEYS = ("participant_id", "scene_id")
-BROADCAST_POLYGONS = 20_000
+BROADCAST_POLYGONS, BROADCAST_POINTS = 20_000, 1_000_000
 METRICS = ("samples", "FC", "TFD", "TTFF", "FFD", "MFD", "MPD", "RFF", "visited", "attention_share", "share_pct", "FC_share", "FC_rate")
 
 
@@ -83,7 +83,9 @@ def aoi_table(aoi: DataFrame) -> DataFrame:
 
 def hits(gaze: DataFrame, aoi: DataFrame, how: str = "inner") -> DataFrame:
     """Samples with the polygons that hold them: bounding boxes first, then the exact test. how='left' keeps samples outside all."""
-    table = small(aoi_table(aoi), BROADCAST_POLYGONS)
+    size = aoi.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("points")), F.lit(0))).first()
+    table = aoi_table(aoi)
+    table = F.broadcast(table) if size[0] <= BROADCAST_POLYGONS and size[1] <= BROADCAST_POINTS else table
     on = geometry.in_box(F.col("x"), F.col("y"), F.col("min_x"), F.col("max_x"), F.col("min_y"), F.col("max_y"))
     on = on & geometry.in_polygon(F.col("x"), F.col("y"), F.col("edge"))
     if "aoi_set" in aoi.columns and "aoi_set" in gaze.columns:
@@ -191,6 +193,21 @@ def aoi_metrics(gaze: DataFrame, aoi: DataFrame, keys: Sequence[str] = KEYS, lev
     )
 
 
+def batch_metrics(gaze: DataFrame, aoi: DataFrame, manifest: DataFrame, participants: DataFrame, keys: Sequence[str] = KEYS, level: str = "class", dwell_mode: str = "row") -> DataFrame:
+    """The older batch: metrics of the trials that both the manifest and the participants name, with the manifest's columns and the share of valid samples.
+
+    gaze: samples with the marks of valid_mask(); metrics are of the valid ones.
+    """
+    from .trial import DIMENSION_ROWS
+
+    who = participants.select("participant_id").distinct()
+    trials = manifest.join(small(who, DIMENSION_ROWS), "participant_id", "left_semi")
+    own = gaze.join(small(trials.select(*keys), DIMENSION_ROWS), list(keys), "left_semi")
+    cut = segments(own.filter("valid"), keys)
+    out = aoi_metrics(cut, aoi, keys, level, dwell_mode).join(mask_ratios(own, keys).select(*keys, "n_samples", "valid_ratio"), list(keys))
+    return out.join(small(trials.drop(*[c for c in trials.columns if c in out.columns and c not in keys]), DIMENSION_ROWS), list(keys))
+
+
 def whole_scene(gaze: DataFrame, keys: Sequence[str] = KEYS, dwell_mode: str = "fixation", legacy_ttff: bool = False) -> DataFrame:
     """One row for each trial without AOIs, class whole_scene."""
     real = F.col("fix_id").isNotNull()
