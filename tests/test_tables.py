@@ -145,6 +145,17 @@ def test_wide_and_survey(spark):
     assert (got[1].S1, got[1].S5, got[6].B1, got[7].S1, got[12].B2) == (5, 8, 6, 7, 2) and all(r.IPQ1 == 4 for r in got.values())
 
 
+def test_labels_of_scales(spark):
+    df = spark.createDataFrame([("P", 1, 1.0, 9.0, 0.5), ("Q", 1, 7.0, 2.0, 3.0)], "participant_id string, scene_id long, S1 double, S5 double, S2 double")
+    got = {r.item: r.status for r in scales.scale_range_qc(df, ("S1", "S2", "S5")).collect()}
+    assert got == {"S1": "within_1_7_expected_range", "S5": "S5_detected_9_point_scale_S5_7_created", "S2": "outside_1_7_expected_range_review_required"}
+    rows = [(f"P{i}", lv, v + i / 10) for i in range(4) for lv, v in ((15, 1.0), (45, 5.0 + i), (75, 2.0))]
+    c = {r.term: r.direction for r in scales.poly_contrasts(spark.createDataFrame(rows, "participant_id string, WWR int, y double"), ["y"], "WWR").collect()}
+    assert c == {"Linear": "linear_increase_15_to_75", "Quadratic": "inverted_u_45_highest"}
+    wide = spark.createDataFrame([("P", "1", "2", "3", "4")], "participant_id string, `S1-scene2` string, `3.B1` string, ipq2_12 string, other_1 string")
+    assert sorted((r.scene_id, r.S1, r.B1, r.IPQ2) for r in scales.wide_to_long(wide).collect()) == [(2, 1.0, None, None), (3, None, 2.0, None), (12, None, None, 3.0)]
+
+
 def test_composites(spark):
     df = spark.createDataFrame([("P", 1, 1.0, 2.0, 3.0, None, 9.0), ("P", 2, 1.0, None, None, None, 1.0)], "participant_id string, scene_id long, S1 double, S2 double, S3 double, S4 double, S5 double")
     got = scales.composites(df, b_items=(), ipq=("S1", "S5")).orderBy("scene_id").collect()
@@ -163,7 +174,7 @@ def test_descriptives_and_alpha(spark):
     assert d.ci_high - d["mean"] == pytest.approx(2.045229642 * v.std(ddof=1) / np.sqrt(n))
     alpha = 3 / 2 * (1 - x.var(axis=0, ddof=1).sum() / x.sum(axis=1).var(ddof=1))
     assert scales.cronbach(df, ["a", "b", "c"]).first().alpha == pytest.approx(alpha)
-    assert scales.cronbach(df.limit(2), ["a", "b", "c"]).first().status == "unavailable"
+    assert scales.cronbach(df.limit(2), ["a", "b", "c"]).first().status == "insufficient"
 
 
 def test_contrasts_and_welch(spark):

@@ -40,13 +40,14 @@ def with_point(gaze: DataFrame, source: str = "auto") -> DataFrame:
 
 
 def valid_mask(gaze: DataFrame, width: float, height: float, accepted: Sequence[str] | None = None, codes: Sequence[str] = ("val_l", "val_r")) -> DataFrame:
-    """Adds finite_xy, in_screen, validity_ok and valid; drops nothing."""
+    """Adds finite_xy, in_screen, validity_ok and valid; drops nothing. Codes count where all their columns exist, in any case of letters."""
     finite = F.col("x").isNotNull() & F.col("y").isNotNull()
     screen = F.coalesce(F.col("x").between(0, width) & F.col("y").between(0, height), F.lit(False))
     ok: Column = F.lit(True)
-    for c in codes if accepted else ():
-        if c in gaze.columns:
-            ok = ok & F.coalesce(F.trim(F.col(c).cast("string")).isin(*accepted), F.lit(False))
+    if accepted and set(codes) <= set(gaze.columns):
+        known = [a.strip().lower() for a in accepted]
+        for c in codes:
+            ok = ok & F.coalesce(F.lower(F.trim(F.col(c).cast("string"))).isin(*known), F.lit(False))
     out = gaze.withColumns({"finite_xy": finite, "in_screen": screen, "validity_ok": ok})
     return out.withColumn("valid", F.col("finite_xy") & F.col("in_screen") & F.col("validity_ok"))
 

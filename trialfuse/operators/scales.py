@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,16 @@ from ..functions import dist
 # The three levels of the ordered factor and their contrast weights.
 LEVELS = (15, 45, 75)
 LINEAR, QUADRATIC = (-1, 0, 1), (1, -2, 1)
-WIDE_NAMES = (r"^(?P<item>[A-Za-z]+\d+)_(?P<scene>\d+)$", r"^scene(?P<scene>\d+)_(?P<item>[A-Za-z]+\d+)$")
+# Names of items in wide tables, and the labels of quality rows, of alpha and of contrasts.
+WIDE_ITEMS = r"S[1-5]|B[1-3]|IPQ[1-6]|IPQ"
+WIDE_NAMES = (rf"(?i)^(?P<item>{WIDE_ITEMS})[_\-. ]?(?:scene)?(?P<scene>\d{{1,2}})$", rf"(?i)^(?:scene)?(?P<scene>\d{{1,2}})[_\-. ]?(?P<item>{WIDE_ITEMS})$")
+WITHIN, NINE_POINT, OUTSIDE = "within_1_7_expected_range", "S5_detected_9_point_scale_S5_7_created", "outside_1_7_expected_range_review_required"
+B_OUTSIDE_C1 = "c0_row_has_b_values_review_required"
+ALPHA = {"insufficient": None, "acceptable_diagnostic": 0.70, "check_before_composite": 0.60, "low_do_not_force_composite": None}
+DIRECTIONS = {
+    "Linear": ("linear_increase_15_to_75", "linear_decrease_15_to_75", "linear_flat"),
+    "Quadratic": ("u_shape_45_lowest", "inverted_u_45_highest", "quadratic_flat"),
+}
 
 
 def wide_to_long(df: DataFrame, who: str = "participant_id") -> DataFrame:
@@ -26,11 +35,12 @@ def wide_to_long(df: DataFrame, who: str = "participant_id") -> DataFrame:
         for pattern in WIDE_NAMES:
             m = re.match(pattern, c)
             if m:
-                found.setdefault((m["item"], int(m["scene"])), c)
+                found.setdefault((m["item"].upper(), int(m["scene"])), c)
+                break
     items = sorted({i for i, _ in found})
     scenes = sorted({s for _, s in found})
     null = F.lit(None).cast("double")
-    row = lambda s: F.struct(F.lit(s).cast("long").alias("scene_id"), *[(C.num(found[i, s]) if (i, s) in found else null).alias(i) for i in items])
+    row = lambda s: F.struct(F.lit(s).cast("long").alias("scene_id"), *[(C.num(f"`{found[i, s]}`") if (i, s) in found else null).alias(i) for i in items])
     rows = F.explode(F.array(*[row(s) for s in scenes])).alias("r")
     return df.select(C.text_key(who).alias(who), rows).select(who, "r.*")
 
@@ -62,7 +72,7 @@ def row_mean(columns: Sequence[str], least: int) -> Column:
 
 
 def composites(df: DataFrame, afford: Sequence[str] = ("S1", "S2", "S3", "S4"), least: int = 3, b_items: Sequence[str] = ("B1", "B2", "B3"), ipq: Sequence[str] = (), nine_point: str = "S5", who: str = "participant_id") -> DataFrame:
-    """Afford4, Bmean, S5_7 (rescaled if the whole column's maximum is in (7, 9]) and IPQ_mean (mean of a participant's item means)."""
+    """Afford4, Bmean, S5_7 (S5 rescaled, if the whole column's maximum is in (7, 9]; else null) and IPQ_mean (mean of a participant's item means)."""
     add = {"Afford4": row_mean([c for c in afford if c in df.columns], least)}
     if [c for c in b_items if c in df.columns]:
         add["Bmean"] = row_mean([c for c in b_items if c in df.columns], 1)
@@ -70,7 +80,7 @@ def composites(df: DataFrame, afford: Sequence[str] = ("S1", "S2", "S3", "S4"),
     if nine_point in df.columns:
         top = df.agg(F.max(C.num(nine_point)).alias("_top"))  # one row
         v = C.num(nine_point)
-        out = out.crossJoin(F.broadcast(top)).withColumn(f"{nine_point}_7", F.when((F.col("_top") > 7) & (F.col("_top") <= 9), 1 + (v - 1) * 6 / 8).otherwise(v)).drop("_top")
+        out = out.crossJoin(F.broadcast(top)).withColumn(f"{nine_point}_7", F.when((F.col("_top") > 7) & (F.col("_top") <= 9), 1 + (v - 1) * 6 / 8)).drop("_top")
     if ipq:
         means = df.groupBy(who).agg(*[F.avg(C.num(c)).alias(c) for c in ipq]).select(who, row_mean(ipq, 1).alias("IPQ_mean"))
         out = out.join(means, who, "left")
@@ -84,14 +94,13 @@ def item_qc(df: DataFrame, items: Sequence[str]) -> DataFrame:
 
 def scale_range_qc(df: DataFrame, items: Sequence[str], nine_point: str = "S5") -> DataFrame:
     q = item_qc(df, items).select("item", "min", "max")
-    seven = (F.col("min") >= 1) & (F.col("max") <= 7)
-    nine = (F.col("item") == nine_point) & (F.col("min") >= 1) & (F.col("max") <= 9)
-    return q.withColumn("status", F.when(F.col("max").isNull(), "no_values").when(seven, "ok").when(nine, "nine_point").otherwise("out_of_range"))
+    nine = (F.col("item") == nine_point) & (F.col("max") > 7) & (F.col("max") <= 9)
+    return q.withColumn("status", F.when(nine, NINE_POINT).when((F.col("min") < 1) | (F.col("max") > 7), OUTSIDE).otherwise(WITHIN))
 
 
 def c1_only_qc(df: DataFrame, b_items: Sequence[str], c1: Column, keys: Sequence[str] = ("participant_id", "scene_id")) -> DataFrame:
     """Rows outside C1 that have a B value; one pass row if none."""
-    bad = df.filter(~F.coalesce(c1, F.lit(True)) & F.coalesce(*[C.num(b) for b in b_items]).isNotNull()).select(*[F.col(k).cast("string").alias(k) for k in keys], F.lit("b_value_outside_c1").alias("status"))
+    bad = df.filter(~F.coalesce(c1, F.lit(True)) & F.coalesce(*[C.num(b) for b in b_items]).isNotNull()).select(*[F.col(k).cast("string").alias(k) for k in keys], F.lit(B_OUTSIDE_C1).alias("status"))
     one = df.sparkSession.range(1).select(F.lit("pass").alias("_pass"))
     none = one.crossJoin(F.broadcast(bad.limit(1).agg(F.count(F.lit(1)).alias("n")))).filter("n = 0")  # one row each
     return bad.unionByName(none.select(*[F.lit(None).cast("string").alias(k) for k in keys], F.col("_pass").alias("status")))
@@ -142,7 +151,7 @@ def cronbach(df: DataFrame, items: Sequence[str], by: Sequence[str] = (), scale:
     d = full.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.var_samp(i).alias(f"_v{j}") for j, i in enumerate(items)], F.var_samp(total).alias("_total"))
     parts = sum((F.col(f"_v{j}") for j in range(k)), F.lit(0.0))
     alpha = F.when((F.col("n") >= 3) & (F.col("_total") > 0), (1 - parts / F.col("_total")) * k / (k - 1)) if k > 1 else F.lit(None).cast("double")
-    status = F.when(alpha.isNull(), "unavailable").when(alpha >= 0.70, "acceptable").when(alpha >= 0.60, "questionable").otherwise("low")
+    status = F.when(alpha.isNull(), "insufficient").when(alpha >= ALPHA["acceptable_diagnostic"], "acceptable_diagnostic").when(alpha >= ALPHA["check_before_composite"], "check_before_composite").otherwise("low_do_not_force_composite")
     return d.select(*by, F.lit(scale).alias("scale"), F.lit(k).alias("n_items"), "n", alpha.alias("alpha"), status.alias("status"))
 
 
@@ -174,7 +183,7 @@ def poly_contrasts(df: DataFrame, values: Sequence[str], level: str, who: str =
     out = means.select("outcome", rows).groupBy(F.col("c.term").alias("term"), "outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("c.s").alias("mean"), F.stddev_samp("c.s").alias("sd"))
     se = F.col("sd") / F.sqrt(F.col("n"))
     out = out.withColumn("se", se).withColumn("t", C.ratio(F.col("mean"), F.col("se"))).withColumn("F", F.col("t") * F.col("t"))
-    out = out.withColumns({"df2": (F.col("n") - 1).cast("double"), "partial_eta_sq": C.ratio(F.col("F"), F.col("F") + F.col("n") - 1), "direction": F.when(F.col("mean") > 0, "positive").when(F.col("mean") < 0, "negative").otherwise("flat")})
+    out = out.withColumns({"df2": (F.col("n") - 1).cast("double"), "partial_eta_sq": C.ratio(F.col("F"), F.col("F") + F.col("n") - 1), "direction": reduce(lambda c, t: c.when(F.col("term") == t, F.when(F.col("mean") > 0, DIRECTIONS[t][0]).when(F.col("mean") < 0, DIRECTIONS[t][1]).otherwise(DIRECTIONS[t][2])), DIRECTIONS, F.when(F.col("mean").isNull(), ""))})
     if not p_values:
         return out.drop("df2")
     return dist.with_p_values(out.withColumn("_d1", F.lit(1.0)), "f", "F", "_d1", "df2").drop("_d1", "df2")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.coding import ratio
 
 # Band limits in Hz.
-BANDS = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 45)}
+BANDS = {"theta": (4, 7), "alpha": (8, 12), "beta": (13, 30), "low_beta": (13, 20), "high_beta": (20, 30), "low_gamma": (30, 45)}
 
 
 def marker_segments(markers: DataFrame, states: dict[tuple[str, str], str], who: str = "subject_id", order: str = "ev_ix", view: str = "view", per_block: int = 6) -> DataFrame:

@@ -154,14 +154,14 @@ FROM n LEFT JOIN m ON alias = now""",
     "id_sets": "WITH c AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 5000), o AS (SELECT DISTINCT o_custkey AS id FROM orders) SELECT id, CASE WHEN id IN (FROM c) THEN 'both' ELSE 'orders_only' END AS kind FROM o",
     "wide_to_long": _with(_ANSWERS, "p AS (SELECT DISTINCT participant_id FROM a WHERE WWR IS NOT NULL)", "m AS (SELECT participant_id, WWR, round(avg(S1), 6) AS S1, round(avg(S2), 6) AS S2 FROM a GROUP BY ALL)", "w AS (SELECT unnest([15, 45, 75]) AS WWR, unnest([1, 2, 3])::BIGINT AS scene_id)", select="SELECT p.participant_id, w.scene_id, S1, S2 FROM p CROSS JOIN w LEFT JOIN m ON m.participant_id = p.participant_id AND m.WWR = w.WWR"),
     "composites": _with(_ANSWERS, "n AS (SELECT participant_id, scene_id, CASE WHEN S1 < 40 THEN S1 END AS S1, CASE WHEN S2 > 2 THEN S2 END AS S2, S3, S4, S4 + 1 AS S5 FROM a)", "i AS (SELECT participant_id, (avg(S3) + avg(S4)) / 2 AS ipq FROM n GROUP BY ALL)", "t AS (SELECT max(S5) AS top FROM n)",
-        select=f"SELECT {_K}, round(S1, 6) AS S1, round(S2, 6) AS S2, round(S3, 6) AS S3, S4, round(CASE WHEN (S1 IS NOT NULL)::INT + (S2 IS NOT NULL)::INT + 2 >= 3 THEN (coalesce(S1, 0) + coalesce(S2, 0) + S3 + S4) / ((S1 IS NOT NULL)::INT + (S2 IS NOT NULL)::INT + 2) END, 6) AS Afford4, round(CASE WHEN top > 7 AND top <= 9 THEN 1 + (S5 - 1) * 6 / 8 ELSE S5 END, 6) AS S5_7, round(ipq, 6) AS IPQ_mean FROM n JOIN i USING (participant_id), t"),
+        select=f"SELECT {_K}, round(S1, 6) AS S1, round(S2, 6) AS S2, round(S3, 6) AS S3, S4, round(CASE WHEN (S1 IS NOT NULL)::INT + (S2 IS NOT NULL)::INT + 2 >= 3 THEN (coalesce(S1, 0) + coalesce(S2, 0) + S3 + S4) / ((S1 IS NOT NULL)::INT + (S2 IS NOT NULL)::INT + 2) END, 6) AS Afford4, round(CASE WHEN top > 7 AND top <= 9 THEN 1 + (S5 - 1) * 6 / 8 END, 6) AS S5_7, round(ipq, 6) AS IPQ_mean FROM n JOIN i USING (participant_id), t"),
     "item_qc": _with(_ANSWERS, "l AS (SELECT unnest(['S1', 'S2', 'S3', 'S4']) AS item, unnest([S1, CASE WHEN S2 > 2 THEN S2 END, S3, S4]) AS v FROM a)", select="SELECT item, count(v) AS n, count_if(v IS NULL)::BIGINT AS missing, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(min(v), 6) AS min, round(max(v), 6) AS max FROM l GROUP BY ALL"),
-    "scale_range_qc": _with(_ANSWERS, _LONG, select="SELECT item, round(min(v), 6) AS min, round(max(v), 6) AS max, CASE WHEN max(v) IS NULL THEN 'no_values' WHEN min(v) >= 1 AND max(v) <= 7 THEN 'ok' ELSE 'out_of_range' END AS status FROM l GROUP BY item"),
-    "c1_only_qc": _with(_ANSWERS, "b AS (SELECT participant_id, scene_id::VARCHAR AS scene_id, 'b_value_outside_c1' AS status FROM a WHERE Complexity <> 'A' AND S1 > 48)", select="SELECT * FROM b UNION ALL SELECT NULL, NULL, 'pass' WHERE NOT EXISTS (FROM b)"),
+    "scale_range_qc": _with(_ANSWERS, _LONG, select="SELECT item, round(min(v), 6) AS min, round(max(v), 6) AS max, CASE WHEN min(v) < 1 OR max(v) > 7 THEN 'outside_1_7_expected_range_review_required' ELSE 'within_1_7_expected_range' END AS status FROM l GROUP BY item"),
+    "c1_only_qc": _with(_ANSWERS, "b AS (SELECT participant_id, scene_id::VARCHAR AS scene_id, 'c0_row_has_b_values_review_required' AS status FROM a WHERE Complexity <> 'A' AND S1 > 48)", select="SELECT * FROM b UNION ALL SELECT NULL, NULL, 'pass' WHERE NOT EXISTS (FROM b)"),
     "item_descriptives": _with(_ANSWERS, _LONG, select="SELECT item, WWR, Complexity, ExperienceGroup, count(DISTINCT participant_id) AS n_subjects, count(v) AS n_obs, round(avg(v), 5) AS mean, round(stddev_samp(v), 5) AS sd, round(median(v), 5) AS median, round(min(v), 5) AS min, round(max(v), 5) AS max, round(CASE WHEN count(v) > 2 AND var_pop(v) > 0 THEN skewness(v) END, 5) AS skew, round(CASE WHEN count(v) > 3 AND var_pop(v) > 0 THEN kurtosis(v) END, 5) AS kurtosis FROM l GROUP BY item, WWR, Complexity, ExperienceGroup"),
     "subject_means": _with(_ANSWERS, select="SELECT participant_id, round(avg(S1), 6) AS S1, round(avg(S2), 6) AS S2, round(avg(S3), 6) AS S3, round(avg(S4), 6) AS S4 FROM a GROUP BY ALL"),
-    "cronbach_alpha": _with(_ANSWERS, "d AS (SELECT ExperienceGroup, count(*) AS n, (1 - (var_samp(S1) + var_samp(S2) + var_samp(S3) + var_samp(S4)) / var_samp(S1 + S2 + S3 + S4)) * 4 / 3 AS alpha FROM a GROUP BY ALL)", select="SELECT ExperienceGroup, 'scale' AS scale, 4 AS n_items, n, round(alpha, 6) AS alpha, CASE WHEN alpha >= 0.7 THEN 'acceptable' WHEN alpha >= 0.6 THEN 'questionable' ELSE 'low' END AS status FROM d"),
-    "poly_contrasts": _with(_ANSWERS, _LONG, _CONTRAST, select="SELECT outcome, term, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(sd / sqrt(n), 5) AS se, round(mean / (sd / sqrt(n)), 5) AS t, round((mean / (sd / sqrt(n))) ** 2, 5) AS F, round((mean / (sd / sqrt(n))) ** 2 / ((mean / (sd / sqrt(n))) ** 2 + n - 1), 5) AS partial_eta_sq, CASE WHEN mean > 0 THEN 'positive' WHEN mean < 0 THEN 'negative' ELSE 'flat' END AS direction FROM d"),
+    "cronbach_alpha": _with(_ANSWERS, "d AS (SELECT ExperienceGroup, count(*) AS n, (1 - (var_samp(S1) + var_samp(S2) + var_samp(S3) + var_samp(S4)) / var_samp(S1 + S2 + S3 + S4)) * 4 / 3 AS alpha FROM a GROUP BY ALL)", select="SELECT ExperienceGroup, 'scale' AS scale, 4 AS n_items, n, round(alpha, 6) AS alpha, CASE WHEN alpha >= 0.7 THEN 'acceptable_diagnostic' WHEN alpha >= 0.6 THEN 'check_before_composite' ELSE 'low_do_not_force_composite' END AS status FROM d"),
+    "poly_contrasts": _with(_ANSWERS, _LONG, _CONTRAST, select="SELECT outcome, term, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(sd / sqrt(n), 5) AS se, round(mean / (sd / sqrt(n)), 5) AS t, round((mean / (sd / sqrt(n))) ** 2, 5) AS F, round((mean / (sd / sqrt(n))) ** 2 / ((mean / (sd / sqrt(n))) ** 2 + n - 1), 5) AS partial_eta_sq, CASE WHEN term = 'Linear' THEN CASE WHEN mean > 0 THEN 'linear_increase_15_to_75' WHEN mean < 0 THEN 'linear_decrease_15_to_75' ELSE 'linear_flat' END WHEN mean > 0 THEN 'u_shape_45_lowest' WHEN mean < 0 THEN 'inverted_u_45_highest' ELSE 'quadratic_flat' END AS direction FROM d"),
     "welch_pairs": _with(_ANSWERS, "g AS (SELECT ExperienceGroup AS lv, count(*) AS n, avg(S1) AS m, var_samp(S1) AS s FROM a GROUP BY ALL)", select="SELECT x.lv AS level_a, y.lv AS level_b, x.n AS n_a, y.n AS n_b, round(x.m, 5) AS mean_a, round(y.m, 5) AS mean_b, round((x.m - y.m) / sqrt(x.s / x.n + y.s / y.n), 5) AS t, round((x.s / x.n + y.s / y.n) ** 2 / ((x.s / x.n) ** 2 / (x.n - 1) + (y.s / y.n) ** 2 / (y.n - 1)), 5) AS df FROM g x JOIN g y ON x.lv < y.lv"),
     "marginal_means": _with(_ANSWERS, "l AS (SELECT S1 AS v, unnest(['WWR', 'Complexity', 'ExperienceGroup']) AS factor, unnest([WWR::VARCHAR, Complexity, ExperienceGroup]) AS level FROM a)", select="SELECT factor, level, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM l WHERE level IS NOT NULL GROUP BY ALL"),
     "order_corr": _with(_ANSWERS, select="SELECT unnest(['S1', 'S2', 'S3', 'flat']) AS outcome, unnest([n, n, n, n]) AS n, unnest([r1, r2, r3, NULL]) AS r FROM (SELECT count(*) AS n, round(corr(S4, S1), 6) AS r1, round(corr(S4, S2), 6) AS r2, round(corr(S4, S3), 6) AS r3 FROM a)"),
@@ -188,10 +188,10 @@ FROM n LEFT JOIN m ON alias = now""",
     "eye_qc_table": _with(_GAZE, f"s AS (SELECT *, coalesce(x BETWEEN 0 AND {SCREEN[0]} AND y BETWEEN 0 AND {SCREEN[1]} AND val_l IN ({', '.join(repr(x) for x in ACCEPTED)}), false) AS ok, t_ms - lag(t_ms) OVER (PARTITION BY {_K} ORDER BY seq) AS step FROM g)", select=f"SELECT {_K}, count(*) AS n_samples, count_if(ok)::BIGINT AS n_valid, round(avg(ok::INT), 6) AS valid_ratio, count_if(step > {3 * _DAY})::BIGINT AS gap_count, count_if(step < 0)::BIGINT AS reset_count, (1 + count_if(step < 0 OR step > {3 * _DAY}))::BIGINT AS segments, 'gaze' AS point_source, false AS missing_file FROM s GROUP BY {_K}"),
     "eeg_scene_qc": _with(_EEG, _FLAGS, _SUBJ, select=f"SELECT {_K}, dur AS view_dur_s, hf AS hf_ratio_20_40Hz, rms AS rms_mean_uV, 'robust' AS qc_policy, gone AS subject_excluded, reasons <> '' OR gone AS bad_eeg_quality FROM s"),
     "eeg_derived": _with(_EEG, select=f"SELECT {_K}, dur AS dur_s, rms AS gray_O_alpha, hf AS view_O_alpha, dur AS view_dur_s, round(rms - hf, 6) AS delta_O_alpha FROM e"),
-    "scale_reliability": _with(_ANSWERS, "m AS (SELECT avg(S2) AS S2, avg(S3) AS S3 FROM a GROUP BY participant_id)", "d AS (SELECT 'four' AS scale, 4 AS n_items, count(*) AS n, (1 - (var_samp(S1) + var_samp(S2) + var_samp(S3) + var_samp(S4)) / var_samp(S1 + S2 + S3 + S4)) * 4 / 3 AS alpha FROM a UNION ALL SELECT 'two', 2, count(*), (1 - (var_samp(S1) + var_samp(S4)) / var_samp(S1 + S4)) * 2 FROM a WHERE Complexity = 'A' UNION ALL SELECT 'means', 2, count(*), (1 - (var_samp(S2) + var_samp(S3)) / var_samp(S2 + S3)) * 2 FROM m)", select="SELECT scale, n_items, n, round(alpha, 6) AS alpha, CASE WHEN alpha >= 0.7 THEN 'acceptable' WHEN alpha >= 0.6 THEN 'questionable' ELSE 'low' END AS status FROM d"),
+    "scale_reliability": _with(_ANSWERS, "m AS (SELECT avg(S2) AS S2, avg(S3) AS S3 FROM a GROUP BY participant_id)", "d AS (SELECT 'four' AS scale, 4 AS n_items, count(*) AS n, (1 - (var_samp(S1) + var_samp(S2) + var_samp(S3) + var_samp(S4)) / var_samp(S1 + S2 + S3 + S4)) * 4 / 3 AS alpha FROM a UNION ALL SELECT 'two', 2, count(*), (1 - (var_samp(S1) + var_samp(S4)) / var_samp(S1 + S4)) * 2 FROM a WHERE Complexity = 'A' UNION ALL SELECT 'means', 2, count(*), (1 - (var_samp(S2) + var_samp(S3)) / var_samp(S2 + S3)) * 2 FROM m)", select="SELECT scale, n_items, n, round(alpha, 6) AS alpha, CASE WHEN alpha >= 0.7 THEN 'acceptable_diagnostic' WHEN alpha >= 0.6 THEN 'check_before_composite' ELSE 'low_do_not_force_composite' END AS status FROM d"),
     "panel_sources": _with(_ANSWERS, _LONG, _CONTRAST, _EEG, "cr AS (SELECT unnest(['S1', 'S2', 'S3', 'S4']) AS o, unnest([n, n, n, n]) AS n, unnest([r1, r2, r3, r4]) AS r FROM (SELECT count(WWR) AS n, corr(WWR, S1) AS r1, corr(WWR, S2) AS r2, corr(WWR, S3) AS r3, corr(WWR, S4) AS r4 FROM a))", "cl AS (SELECT p_partkey, string_split(p_name, ' ') AS r, list_filter(string_split(p_name, ' '), lambda x: x NOT IN ('ring', 'red', 'small')) AS miss FROM part)", "lv AS (SELECT p_partkey, CASE WHEN len(miss) = 0 THEN 'moderate_pending_effect_tests' ELSE 'exploratory_incomplete_modalities' END AS level FROM cl)",
         select="""SELECT 'a' AS panel, 'S1' AS metric, WWR::VARCHAR AS group_name, Complexity AS subgroup, NULL::DOUBLE AS value, round(avg(S1), 5) AS mean, round(stddev_samp(S1) / sqrt(count(S1)), 5) AS sem, count(S1) AS n, NULL::VARCHAR AS label, 'descriptives' AS source FROM a GROUP BY WWR, Complexity
-UNION ALL SELECT 'b', outcome, term, NULL, round(mean / (sd / sqrt(n)), 5), round(mean, 5), round(sd / sqrt(n), 5), n, CASE WHEN mean > 0 THEN 'positive' WHEN mean < 0 THEN 'negative' ELSE 'flat' END, 'contrasts' FROM d WHERE outcome IN ('S1', 'S2')
+UNION ALL SELECT 'b', outcome, term, NULL, round(mean / (sd / sqrt(n)), 5), round(mean, 5), round(sd / sqrt(n), 5), n, CASE WHEN term = 'Linear' THEN CASE WHEN mean > 0 THEN 'linear_increase_15_to_75' WHEN mean < 0 THEN 'linear_decrease_15_to_75' ELSE 'linear_flat' END WHEN mean > 0 THEN 'u_shape_45_lowest' WHEN mean < 0 THEN 'inverted_u_45_highest' ELSE 'quadratic_flat' END, 'contrasts' FROM d WHERE outcome IN ('S1', 'S2')
 UNION ALL SELECT 'c', 'view_dur_s', 'timing', NULL, round(avg(dur), 5), NULL, NULL, count(dur), NULL, 'convergence' FROM e
 UNION ALL SELECT * FROM (SELECT 'd', o, NULL, NULL, round(r, 5), NULL, NULL, n, NULL, 'order_correlation' FROM cr ORDER BY abs(r) DESC LIMIT 3)
 UNION ALL SELECT 'e', p_partkey::VARCHAR, NULL, NULL, CASE level WHEN 'moderate_pending_effect_tests' THEN 2.0 ELSE 1.0 END, NULL, NULL, NULL, level, 'claims' FROM lv"""),
@@ -227,6 +227,6 @@ b AS (SELECT segment, roi, sum(v * CASE WHEN f IN (4, 8) THEN 0.25 ELSE 0.5 END)
 z AS (SELECT segment, roi, sum(y * (CASE WHEN t % 2 = 0 THEN 1 ELSE -1 END)) ** 2 / (32.0 * (SELECT sum((0.54 - 0.46 * cos(2 * pi() * j / 63)) ** 2) FROM range(64) r(j))) AS v32 FROM s GROUP BY ALL),
 c AS (SELECT segment, roi, theta, alpha, beta0 + 0.25 * v31 + 0.25 * v32 AS beta FROM b JOIN z USING (segment, roi))
 SELECT segment, roi, round(theta, 6) AS theta, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(theta / alpha, 6) AS TAR, round(theta / beta, 6) AS TBR, round(beta / alpha, 6) AS BA FROM c""",
-    "contrast_p_values": _with(_ANSWERS, _LONG, _CONTRAST, f"w AS (SELECT *, mean / (sd / sqrt(n)) AS t, n - 1 AS nu FROM d), {_TAIL}", select="SELECT outcome, term, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(sd / sqrt(n), 5) AS se, round(t, 5) AS t, round(t * t, 5) AS F, round(t * t / (t * t + n - 1), 5) AS partial_eta_sq, CASE WHEN mean > 0 THEN 'positive' WHEN mean < 0 THEN 'negative' ELSE 'flat' END AS direction, round(p, 5) AS p_value FROM w JOIN tail USING (t, nu)"),
+    "contrast_p_values": _with(_ANSWERS, _LONG, _CONTRAST, f"w AS (SELECT *, mean / (sd / sqrt(n)) AS t, n - 1 AS nu FROM d), {_TAIL}", select="SELECT outcome, term, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(sd / sqrt(n), 5) AS se, round(t, 5) AS t, round(t * t, 5) AS F, round(t * t / (t * t + n - 1), 5) AS partial_eta_sq, CASE WHEN term = 'Linear' THEN CASE WHEN mean > 0 THEN 'linear_increase_15_to_75' WHEN mean < 0 THEN 'linear_decrease_15_to_75' ELSE 'linear_flat' END WHEN mean > 0 THEN 'u_shape_45_lowest' WHEN mean < 0 THEN 'inverted_u_45_highest' ELSE 'quadratic_flat' END AS direction, round(p, 5) AS p_value FROM w JOIN tail USING (t, nu)"),
     "welch_p_values": _with(_ANSWERS, "g AS (SELECT Complexity AS lv, count(*) AS n, avg(S2) AS m, var_samp(S2) AS s FROM a GROUP BY ALL)", f"w AS (SELECT x.lv AS level_a, y.lv AS level_b, x.n AS n_a, y.n AS n_b, x.m AS mean_a, y.m AS mean_b, (x.m - y.m) / sqrt(x.s / x.n + y.s / y.n) AS t, (x.s / x.n + y.s / y.n) ** 2 / ((x.s / x.n) ** 2 / (x.n - 1) + (y.s / y.n) ** 2 / (y.n - 1)) AS nu FROM g x JOIN g y ON x.lv < y.lv), {_TAIL}", select="SELECT level_a, level_b, n_a, n_b, round(mean_a, 5) AS mean_a, round(mean_b, 5) AS mean_b, round(t, 5) AS t, round(nu, 5) AS df, round(p, 5) AS p_value FROM w JOIN tail USING (t, nu)"),
 }
