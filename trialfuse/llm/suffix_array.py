@@ -36,7 +36,7 @@ from .common import RID, bucket_count, by_group, chunks_of_docs, joined, map_arr
 
 BYTES, QGRAM = 50, 26
 #: Suffixes of a q-gram above which its windows are dealt out one by one, and q-grams that may be so at most.
-HOT, HOT_NAMES = 20_000, 1 << 22
+HOT, HOT_NAMES = 20_000, 1 << 24
 CHUNK_BYTES, FLUSH, FLUSH_ROWS, BATCH = 1 << 19, 2_000_000, 150_000, 4096
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 SAMPLED = "bucket int, k binary, d binary, p binary, n binary, open_d binary, open_p binary"
@@ -215,10 +215,9 @@ def _width(length: int, q: int) -> int:
     return -(-(2 * length - q + 2) // 8) * 8
 
 
-def _around(length: int, q: int, buckets: int, hot: frozenset):
-    """Map: the distinct surroundings of opened suffixes. A later document's equal surroundings are cut at once."""
+def _around(length: int, q: int, buckets: int, often: np.ndarray):
+    """Map: the distinct surroundings of opened suffixes. A later document's equal surroundings are cut at once. often: names of hot q-grams."""
     reach, width = length - q, _width(length, q)
-    often = np.array(sorted(hot), np.uint64)
 
     def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows, to, d, lo, span = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -387,7 +386,7 @@ def later_windows(docs: DataFrame, length: int = BYTES, q: int = QGRAM) -> DataF
     dealt = lambda df, n: df.repartition(n, "bucket").groupBy("bucket")
     opened = settle(dealt(map_arrow(own, _sampled(length, q, buckets), SAMPLED), buckets).applyInArrow(_opened(buckets, max(HOT, entries // HOT_NAMES)), OPENED), "opened")
     hot = opened.filter("hot is not null").select("hot").collect()  # HOT_NAMES at most
-    hot = frozenset(np.concatenate([np.frombuffer(r[0], "<u8") for r in hot]).tolist()) if hot else frozenset()
+    hot = np.sort(joined((np.frombuffer(r[0], "<u8") for r in hot), np.uint64))
     places = dealt(opened.filter("open_d is not null").select("bucket", "open_d", "open_p"), buckets).applyInArrow(_open_by_document, f"{RID} long, open binary")
     around = map_arrow(own.join(places, RID).select(RID, "text", "open"), _around(length, q, wide, hot), AROUND)
     cut = settle(dealt(around, wide).applyInArrow(_refined(length, q, wide), CUT), "cut")
