@@ -288,4 +288,5 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, weight: float =
     none = lambda fields: (F.lit(None).cast(k).alias(c) for c, k in fields)
     told = answers.filter("chunk is not null").select("chunk", "bucket", "n_words", "n", "t", "e", "s", *none((("ids", "array<long>"), ("sizes", "binary"), ("words", "binary"), ("at", "binary"), ("marks", "array<int>"))))
     held = held.select("chunk", *none((("bucket", "int"), ("n_words", "int"), ("n", "binary"), ("t", "binary"), ("e", "binary"), ("s", "binary"))), "ids", "sizes", "words", "at", "marks")
-    return held.unionByName(told).groupBy("chunk").applyInArrow(_score(buckets, totals, weight), SCORES)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.count() // 4 + 1)
+    return held.unionByName(told).repartition(parts, "chunk").groupBy("chunk").applyInArrow(_score(buckets, totals, weight), SCORES)
