@@ -16,7 +16,7 @@ from .common import chunks_of_docs, map_arrow, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 GROUP_CHARS = 4_000_000
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -91,7 +91,7 @@ class Codec:
 
     def parted(self, a: int, b: int) -> bool:
         """Do the merges of the two together keep them apart and whole?"""
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > 500_000:
             self.fits.clear()
         left, right = self.text[a], self.text[b]
         fit = self.fits[a << 21 | b] = self.merge(left + right) == [left, right]
