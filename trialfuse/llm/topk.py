@@ -15,11 +15,13 @@ from .vectors import integer_vectors, matrix
 
 K, EVERY = 20, 20
 #: Classes of one index block and of one block of queries.
-INDEX_BLOCK, QUERY_BLOCK = 32_768, 1024
+INDEX_BLOCK, QUERY_BLOCK = 65_536, 512
 #: After this share of the postings, the bounds are looked at; so many best guesses are scored for a threshold.
 CHECKS, GUESSES = (0.15, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8), 64
 #: As soon as no more than this share of a block can still be among the best, the rest is rescored instead.
 FEW = 0.25
+#: Shorter segments are added together.
+SHORT = 640
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -76,6 +78,11 @@ def unpacked(b: bytes) -> np.ndarray:
     return np.frombuffer(b, np.dtype(b[:4].decode().strip()), offset=4)
 
 
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Block:
     """One block of the index, in memory."""
 
@@ -92,12 +99,12 @@ class Block:
         self.last = np.r_[self.first[1:], len(self.dim)] - 1
         self.bits = max(1, int(dims).bit_length())
         self.most = int(np.abs(self.x.astype(np.int64)).max(initial=0))
-        self.real = self.x.astype(float)
+        self.real = self.x.astype(np.float32)
 
     def scores(self, q: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         most = int(np.abs(q).max(initial=0)) * self.most * self.dims
-        if most < 1 << 53:  # doubles are exact here, and faster
-            return (self.real[at] @ q.astype(float)).astype(np.int64)
+        if most < 1 << 24:  # floats are exact here, and faster
+            return (self.real[at] @ q.astype(np.float32)).astype(np.int64)
         if most >= 1 << 63:
             raise OverflowError("a score is larger than a long")
         return self.x[at].astype(np.int64) @ q
@@ -120,13 +127,18 @@ class Block:
         size = (self.end - self.start)[order]
         read = np.cumsum(size)
         base = int(np.minimum(q * self.impact[self.first], q * self.impact[self.last]).sum())
-        total = np.zeros(self.n, np.int64)  # the sum of gains, and below it in `bits` bits how many dimensions are read
+        kind = np.int32 if most < 1 << 31 else np.int64
+        total = np.zeros(self.n, kind)  # the sum of gains, and below it in `bits` bits how many dimensions are read
         at = 0
         for share in CHECKS:
             until = int(np.searchsorted(read, share * len(self.postings)))
             part = order[at:until]
-            for s, e, v in zip(self.start[part].tolist(), self.end[part].tolist(), ((gain[part] << self.bits) + 1).tolist(), strict=True):
-                total[self.postings[s:e]] += v
+            long = size[at:until] >= SHORT
+            for s, e, v in zip(self.start[part[long]].tolist(), self.end[part[long]].tolist(), ((gain[part[long]] << self.bits) + 1).tolist(), strict=True):
+                np.add.at(total, self.postings[s:e], kind(v))
+            part, each = part[~long], size[at:until][~long]
+            ids = self.postings[runs(self.start[part], each)]
+            np.add.at(total, ids, np.repeat((gain[part] << self.bits) + 1, each).astype(kind))
             at = until
             unread = gain.copy()
             unread[order[:at]] = 0
@@ -147,7 +159,7 @@ class Block:
             keep = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
             members, score = members[keep], score[keep]
         count = self.offsets[members + 1] - self.offsets[members]
-        ids = self.ids[np.repeat(self.offsets[members] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))]
+        ids = self.ids[runs(self.offsets[members], count)]
         score = np.repeat(score, count)
         order = np.lexsort((ids, -score))[: k + 1]
         return ids[order], score[order]
@@ -208,7 +220,8 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id
     asked = own.filter(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
     queries = settle(asked.select("x").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
     found = search(index(classes_of(own, k), dims, k), queries, dims, k)
-    each = asked.join(queries.join(found, "query").select("x", "found"), "x").withColumn("own", F.array_position(F.col("found.vec_id"), F.col("query_id")))
+    low = F.aggregate("x", F.lit(0).cast("long"), lambda s, v: s - v * v)  # of the query's own row
+    each = asked.join(queries.join(found, "query").select("x", "found"), "x").withColumn("own", F.array_position("found", F.struct(low.alias("low"), F.col("query_id").alias("vec_id"))))
     each = each.select("query_id", "own", F.posexplode("found").alias("at", "f")).filter(F.col("at") + 1 != F.col("own"))
     rank = F.col("at") + F.when((F.col("own") > 0) & (F.col("at") + 1 > F.col("own")), 0).otherwise(1)
     return each.select("query_id", rank.cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.low")).alias("score")).filter(F.col("rank") <= k)

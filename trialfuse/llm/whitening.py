@@ -16,6 +16,8 @@ COMPONENTS = 16
 OFFSET = 1_000_000
 #: Nodes of the quadrature on the half circle, most eigenvalues of one interval, rounds of subspace iteration.
 NODES, MOST_INSIDE, ROUNDS = 16, 6, 30
+#: Of the largest eigenvalue: what is smaller is rounding, and intervals that are narrower are not parted.
+NOISE, NARROW = 1e-11, 1e-13
 _EPS = np.finfo(float).eps
 
 
@@ -66,7 +68,7 @@ def intervals(a: np.ndarray, count: int) -> list[tuple[float, float, int]]:
     """
     t = tridiagonal(a)
     bound = float(np.abs(a).sum(axis=1).max()) * 2
-    noise = bound * len(a) * 16 * _EPS
+    noise = bound * NOISE
     out: list[tuple[float, float, int]] = []
     todo = [(noise, bound, 0, inertia(t, noise))]  # (low, high, above high, above low)
     got = 0
@@ -75,7 +77,7 @@ def intervals(a: np.ndarray, count: int) -> list[tuple[float, float, int]]:
         inside = all_above - top
         if not inside:
             continue
-        if high / low > 16 or inside > MOST_INSIDE and high / low > 1 + 1e-10:
+        if high / low > 16 or inside > MOST_INSIDE and high - low > NARROW * bound:
             middle = (low * high) ** 0.5
             above = inertia(t, middle)
             todo += [(low, middle, above, all_above), (middle, high, top, above)]
