@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +84,39 @@ def test_aliases(spark):
     assert run(manual) == {"Ann-325-400": ("P1", "manual"), "user": ("P1", "manual"), "test": ("P1", "manual"), "user12": ("user12", ""), "Bob": ("P7", "manual")}
 
 
+def test_manual_aliases_act_in_sequence(spark):
+    """Chains, circles, ties of rows, a rule to itself and aliases of the raw name, against rules applied one by one."""
+
+    def applied(subject, rules):
+        now = subject
+        for _, a, to in sorted(rules):
+            if a in (now, subject):
+                now = to
+        return now
+
+    subjects = ["A", "B", "C", "D", "E", "Z"]
+    sets = [[(1, "A", "B"), (2, "B", "C")], [(2, "A", "B"), (1, "B", "C")], [(1, "A", "B"), (2, "B", "A"), (3, "A", "D")], [(1, "A", "A"), (2, "A", "B")], [(1, "A", "B"), (1, "B", "C"), (1, "C", "D")], [(1, "A", "B"), (2, "B", "C"), (3, "A", "D"), (4, "C", "E")]]
+    rnd = random.Random(8)
+    sets += [[(rnd.randrange(12), rnd.choice("ABCDE"), rnd.choice("ABCDE")) for _ in range(15)] for _ in range(4)]
+    rows = spark.createDataFrame([("r", s) for s in subjects], "record_id string, subject string")
+    for rules in sets:
+        manual = spark.createDataFrame([(a, to, i) for i, a, to in rules], "alias string, participant_id string, row int")
+        got = {r.subject: r.participant_id for r in trial.resolve_aliases(rows, manual).collect()}
+        assert got == {s: applied(s, set(rules)) for s in subjects}, rules
+
+
+def test_levels_from_text(spark):
+    rows = [(p, f"{w} %", f"W{w}", float(w + i)) for i, p in enumerate("abcd") for w in (15, 45, 75)]
+    df = spark.createDataFrame(rows, "participant_id string, WWR string, code string, v double")
+    number = df.withColumn("WWR", F.regexp_extract("WWR", r"\d+", 0).cast("int"))
+    for level in ("WWR", "code"):
+        got = scales.poly_contrasts(df, ["v"], level, p_values=False).orderBy("term").collect()
+        assert got == scales.poly_contrasts(number, ["v"], "WWR", p_values=False).orderBy("term").collect() and got[0].n == 4
+    assert diagnostics.peak_index(df, ["v"], "WWR").first() == diagnostics.peak_index(number, ["v"], "WWR").first()
+    given = df.withColumns({"WWR": F.lit("none"), "WWR_numeric": F.regexp_extract("code", r"\d+", 0)})
+    assert scales.poly_contrasts(given, ["v"], "WWR", p_values=False).orderBy("term").first().n == 4
+
+
 def test_participants(spark):
     df = spark.createDataFrame([("A ", "每月1-2次", "男生", "x"), ("B", "每周", "", "20"), ("C", "", "other", None)], "participant_id string, Experience string, Gender string, Age string")
     got = [(r.participant_id, r.ExperienceGroup, r.Gender, r.Age, r.RecruitmentBatch, r.SupplementFlag, r.exclude) for r in trial.standardize_participants(df).collect()]
@@ -300,14 +335,6 @@ def test_eeg_policies(spark):
     assert (r.qc_policy, r.bad_eeg_quality, r.candidate_reasons) == ("unavailable", False, "")
 
 
-def test_exact_medians(spark):
-    rng = np.random.default_rng(7)
-    cols = {"a": rng.normal(size=5001), "b": np.round(rng.normal(size=40000), 1), "c": np.array([3.0]), "d": np.array([1.0, 2.0]), "e": np.full(999, 5.0)}
-    df = spark.createDataFrame([(k, float(x)) for k, v in cols.items() for x in v], "metric string, v double")
-    got = {r.metric: (r.n, r.median) for r in qc.exact_medians(df).collect()}
-    assert got == {k: (len(v), pytest.approx(np.median(v))) for k, v in cols.items()}
-
-
 def test_fusion_qc(spark):
     k = "participant_id string, scene_id long"
     trials = spark.createDataFrame([("P01", 1), ("P01", 2), ("P02", 1)], k)
@@ -387,3 +414,75 @@ def test_trial_columns(spark):
     assert trial.trial_base(df).columns == ["participant_id", "scene_id", "WWR", "block"]
     assert trial.ordered_columns(df.select("other", "block", "scene_id", "WWR", "participant_id")).columns == ["participant_id", "scene_id", "WWR", "block", "other"]
     assert trial.prefixed(df, "q_").columns == ["participant_id", "scene_id", "WWR", "q_other", "block"]
+
+
+def test_medians_by_bisection(spark, monkeypatch):
+    rnd = random.Random(3)
+    sets = {"a": [rnd.gauss(0, 1) for _ in range(5001)], "b": [float(rnd.randrange(3)) for _ in range(4000)], "c": [7.0] * 999, "d": [1.0], "e": [1.0, 2.0], "f": [rnd.lognormvariate(0, 9) for _ in range(3000)], "g": [-1e300, 0.0, 1e300, 5e-324]}
+    long = spark.createDataFrame([(m, v) for m, vs in sets.items() for v in vs] + [("a", None), ("none", None)], "metric string, v double")
+    want = {m: (len(vs), float(np.median(vs))) for m, vs in sets.items()}
+    assert qc.exact_medians(long) == want
+    some = long.filter("metric in ('a', 'b', 'c', 'e')")
+    assert qc.exact_medians(some, 2) == {m: want[m] for m in "abce"}
+    wide = spark.createDataFrame([(float(i), 2.0, None) for i in range(9)], "x double, y double, z double")
+    got = {r.metric: tuple(r)[1:] for r in qc.robust_thresholds(wide, ["x", "y", "z"]).collect()}
+    assert got == {"x": (9, 4.0, 2.0, 11.0), "y": (9, 2.0, 0.0, 2.0)}
+    assert qc.robust_thresholds(wide.limit(3), ["x"]).first().threshold is None
+    assert qc.robust_thresholds(wide.limit(0), ["x"]).collect() == []
+
+
+def dense_loglik(x, y, g, theta):
+    v = np.eye(len(y)) + theta * (g[:, None] == g[None, :])
+    inv = np.linalg.inv(v)
+    beta = np.linalg.solve(x.T @ inv @ x, x.T @ inv @ y)
+    r = y - x @ beta
+    s2 = r @ inv @ r / len(y)
+    return -0.5 * (len(y) * np.log(2 * np.pi * s2) + len(y) + np.linalg.slogdet(v)[1]), beta, s2
+
+
+def test_sums_of_many_outcomes_in_one_pass(spark):
+    """Each outcome with its own gaps; groups of one row to a third of all; against dense likelihoods."""
+    rnd = np.random.default_rng(6)
+    g = np.r_[np.repeat(np.arange(12), rnd.integers(1, 6, 12)), np.full(20, 99), np.arange(100, 106)]  # few rows: dense matrices stay small
+    x = rnd.normal(size=len(g))
+    y = np.stack([1 + 2 * x + rnd.normal(size=200)[g] * s + rnd.normal(size=len(g)) for s in (0.0, 0.5, 4.0)])
+    y[rnd.random(y.shape) < 0.2] = np.nan
+    rows = [(f"p{a}", float(b), *[None if np.isnan(v) else float(v) for v in c]) for a, b, c in zip(g, x, y.T, strict=True)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0, 1.0, 1.0), ("p1", None, 1.0, 1.0, 1.0)], "participant_id string, x double, y0 double, y1 double, y2 double")
+    cols = models.design(df, models.parse_terms(["x"]))
+    sums = models.sums_of(df, cols, ["y0", "y1", "y2"], "participant_id")
+    for j in range(3):
+        ok = ~np.isnan(y[j])
+        d = np.column_stack([np.ones(ok.sum()), x[ok]])
+        s = sums[f"y{j}"]
+        w = np.column_stack([d, y[j][ok]])
+        assert s.n == ok.sum() and np.allclose(s.gram, w.T @ w) and s.groups == len(set(g[ok]))
+        for theta in (1e-4, 0.3, 0.3001, 7.77, 1e5):
+            want = sum(theta / (1 + len(r) * theta) * np.outer(r.sum(0), r.sum(0)) for r in (w[g[ok] == k] for k in set(g[ok])))
+            within, logdet = s.at(theta)
+            assert np.abs(within - want).max() < 1e-9 * np.abs(want).max()
+            assert logdet == pytest.approx(sum(np.log1p(theta * (g[ok] == k).sum()) for k in set(g[ok])), rel=1e-9)
+        fit = models.lmm_from(s, [c for c, _ in cols])
+        ratio = fit.group_variance / fit.residual_variance
+        ll, beta, s2 = dense_loglik(d, y[j][ok], g[ok], ratio)
+        assert fit.loglik == pytest.approx(ll, rel=1e-9) and np.allclose(fit.beta, beta, rtol=1e-7) and fit.residual_variance == pytest.approx(s2, rel=1e-7)
+        assert all(dense_loglik(d, y[j][ok], g[ok], ratio * f)[0] <= ll + 1e-9 for f in (0.5, 0.99, 1.01, 2))
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_logit_from_patterns(spark, monkeypatch, most):
+    """By the collected patterns and by jobs over them: the score is zero."""
+    monkeypatch.setattr(models, "PATTERNS", most)
+    rnd = np.random.default_rng(2)
+    x, f = rnd.integers(0, 5, 400).astype(float), rnd.integers(0, 3, 400)
+    y = rnd.random(400) < 1 / (1 + np.exp(-(0.4 * x - 1 + 0.5 * (f == 1))))
+    df = spark.createDataFrame([(float(a), f"f{b}", bool(c)) for a, b, c in zip(x, f, y, strict=True)], "x double, f string, y boolean")
+    cols = models.design(df, models.parse_terms(["C(f)", "x"]))
+    assert models.patterns(df, "y", cols).count() == len(set(zip(x, f, strict=True)))
+    fit = models.fit_logit(df, "y", cols)
+    d = np.column_stack([np.ones(400), f == 1, f == 2, x]).astype(float)
+    p = 1 / (1 + np.exp(-d @ fit.beta))
+    assert np.abs(d.T @ (y - p)).max() < 1e-7 and fit.n == 400
+    assert np.allclose(fit.se, np.sqrt(np.diag(np.linalg.inv((d * (p * (1 - p))[:, None]).T @ d))))
+    assert models.fit_logit(df.withColumn("y", F.col("x") > 2), "y", models.design(df, models.parse_terms(["x"]))) is None
+    assert models.fit_logit(df.filter("y"), "y", cols) is None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Texts that count as true, per rule.
@@ -81,6 +81,16 @@ def first_number(c: Column | str, signed: bool = False) -> Column:
     return F.nullif(t, F.lit("")).try_cast("double")
 
 
+def level_number(df: DataFrame, level: str) -> Column:
+    """The number of a factor's level: of <level>_numeric if that column has any value, else the first number in its text ('45 %' is 45)."""
+    kind = dict(df.dtypes).get(level, "string")
+    own = F.col(level) if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal") else first_number(level)
+    given = f"{level}_numeric"
+    if given not in df.columns:
+        return own
+    return F.when(df.agg(F.count(num(given)).alias("n")).scalar() > 0, num(given)).otherwise(own.cast("double"))
+
+
 def condition_id(complexity: Column | str, cond: Column | str, wwr: Column | str) -> Column:
     """C{complexity}_W{wwr}; a missing part is NA. Complexity 0 is a value."""
     c = F.coalesce(_c(complexity).cast("string"), _c(cond).cast("string"), F.lit("NA"))

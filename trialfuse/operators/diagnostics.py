@@ -50,14 +50,14 @@ def _peak() -> Column:
 
 def peak_index(df: DataFrame, outcomes: Sequence[str], level: str, levels: Sequence = LEVELS) -> DataFrame:
     """Level means and peak = middle - mean of the outer two, and the strength of a claim from them."""
-    long = df.select(F.col(level).alias("_l"), *[C.num(o).alias(o) for o in outcomes]).unpivot(["_l"], list(outcomes), "outcome", "v")
+    long = df.select(C.level_number(df, level).alias("_l"), *[C.num(o).alias(o) for o in outcomes]).unpivot(["_l"], list(outcomes), "outcome", "v")
     d = long.groupBy("outcome").agg(*[F.avg(F.when(F.col("_l") == x, F.col("v"))).alias(f"m{i}") for i, x in enumerate(levels)])
     return d.withColumn("peak", _peak()).withColumn("claim", F.when(F.col("peak").isNull(), "insufficient_wwr_granularity").otherwise("exploratory_only_three_levels"))
 
 
 def subject_peak_index(df: DataFrame, outcome: str, level: str, by: Sequence[str], levels: Sequence = LEVELS) -> DataFrame:
     """peak per group; only groups with all levels."""
-    d = df.groupBy(*by).agg(*[F.avg(F.when(F.col(level) == x, C.num(outcome))).alias(f"m{i}") for i, x in enumerate(levels)])
+    d = df.withColumn("_level", C.level_number(df, level)).groupBy(*by).agg(*[F.avg(F.when(F.col("_level") == x, C.num(outcome))).alias(f"m{i}") for i, x in enumerate(levels)])
     return d.dropna(subset=["m0", "m1", "m2"]).withColumn("peak", _peak())
 
 

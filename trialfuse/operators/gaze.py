@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.coding import ratio
+from . import spatial
 
 KEYS = ("participant_id", "scene_id")
-BROADCAST_POLYGONS, BROADCAST_POINTS = 20_000, 1_000_000
 METRICS = ("samples", "FC", "TFD", "TTFF", "FFD", "MFD", "MPD", "RFF", "visited", "attention_share", "share_pct", "FC_share", "FC_rate")
 
 
@@ -35,7 +35,10 @@ def point_source(columns: Sequence[str], source: str = "auto") -> tuple[str, str
 
 
 def with_point(gaze: DataFrame, source: str = "auto") -> DataFrame:
+    """Adds x and y. Where files of several kinds are one table, has_fixation_point says for each row what its file had."""
     x, y = point_source(gaze.columns, source)
+    if source == "auto" and x == "fx" and {"has_fixation_point", "gx", "gy"} <= set(gaze.columns):
+        return gaze.withColumns({"x": F.when(F.col("has_fixation_point"), F.col("fx")).otherwise(F.col("gx")), "y": F.when(F.col("has_fixation_point"), F.col("fy")).otherwise(F.col("gy"))})
     return gaze.withColumns({"x": F.col(x), "y": F.col(y)})
 
 
@@ -71,27 +74,43 @@ def segments(gaze: DataFrame, keys: Sequence[str] = KEYS, gap_ms: float = 5000.0
     return out.withColumns({"baseline": F.min(clock).over(Window.partitionBy(*keys, "segment")), "seg_clock": F.col(clock)})
 
 
+def long_segments(gaze: DataFrame, keys: Sequence[str] = KEYS, gap_ms: float = 5000.0, clock: str = "clock_ms", block_rows: int = 100_000) -> DataFrame:
+    """segments() for recordings too long for one task: a prefix scan over blocks of block_rows places of the file order.
+
+    Blocks find their own breaks and the clocks at their ends. A table of one row for each block
+    carries the last clock and the number of breaks on to the next; and one row for each
+    block and segment in it carries the lowest clocks. No window holds more than a block of samples.
+    """
+    by = [*keys, "_block"]
+    rows = gaze.withColumn("_block", F.floor(F.col("seq") / block_rows))
+    order = Window.partitionBy(*by).orderBy("seq")
+    step = F.col(clock) - F.lag(clock).over(order)
+    rows = rows.withColumns({"_head": F.row_number().over(order) == 1, "_reset": F.coalesce(step < 0, F.lit(False)), "_gap": F.coalesce(step > gap_ms, F.lit(False))})
+    broken = (F.col("_reset") | F.col("_gap")).cast("long")
+    ends = rows.groupBy(*by).agg(F.min_by(clock, "seq").alias("_first"), F.max_by(clock, "seq").alias("_last"), F.sum(broken).alias("_n"))
+    blocks = Window.partitionBy(*keys).orderBy("_block")
+    between = F.col("_first") - F.lag("_last").over(blocks)
+    ends = ends.withColumns({"_h_reset": F.coalesce(between < 0, F.lit(False)), "_h_gap": F.coalesce(between > gap_ms, F.lit(False))})
+    ends = ends.withColumn("_own", (F.col("_h_reset") | F.col("_h_gap")).cast("long"))
+    ends = ends.withColumn("_before", F.sum(F.col("_n") + F.col("_own")).over(blocks.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n"))
+    out = rows.join(ends.select(*by, "_h_reset", "_h_gap", "_before"), by)
+    running = F.sum(broken).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = out.withColumns({"is_reset": F.col("_reset") | (F.col("_head") & F.col("_h_reset")), "is_gap": F.col("_gap") | (F.col("_head") & F.col("_h_gap")), "segment": F.col("_before") + running})
+    low = out.groupBy(*by, "segment").agg(F.min(clock).alias("_low"))
+    low = low.withColumn("baseline", F.min("_low").over(Window.partitionBy(*keys, "segment"))).drop("_low")
+    out = out.join(low, [*by, "segment"]).withColumn("seg_clock", F.col(clock))
+    return out.drop("_block", "_head", "_reset", "_gap", "_h_reset", "_h_gap", "_before")
+
+
 def segment_counts(segmented: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return segmented.groupBy(*keys).agg(
         F.count_if("is_gap").alias("gap_count"), F.count_if("is_reset").alias("reset_count"), (F.max("segment") + 1).alias("segments")
     )
 
 
-def aoi_table(aoi: DataFrame) -> DataFrame:
-    """Adds the bounding box and the edge list, once per polygon."""
-    return aoi.withColumns(geometry.bounding_box(F.col("points"))).withColumn("edge", geometry.edges(F.col("points")))
-
-
 def hits(gaze: DataFrame, aoi: DataFrame, how: str = "inner") -> DataFrame:
-    """Samples with the polygons that hold them: bounding boxes first, then the exact test. how='left' keeps samples outside all."""
-    size = aoi.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("points")), F.lit(0))).first()
-    table = aoi_table(aoi)
-    table = F.broadcast(table) if size[0] <= BROADCAST_POLYGONS and size[1] <= BROADCAST_POINTS else table
-    on = geometry.in_box(F.col("x"), F.col("y"), F.col("min_x"), F.col("max_x"), F.col("min_y"), F.col("max_y"))
-    on = on & geometry.in_polygon(F.col("x"), F.col("y"), F.col("edge"))
-    if "aoi_set" in aoi.columns and "aoi_set" in gaze.columns:
-        table, on = table.withColumnRenamed("aoi_set", "_set"), (F.col("aoi_set") == F.col("_set")) & on
-    return gaze.join(table, on, how).drop("_set", "points", "edge", "min_x", "max_x", "min_y", "max_y")
+    """Samples with the polygons that hold them, see spatial.inside()."""
+    return spatial.inside(gaze, aoi, how)
 
 
 def pupil_mean(columns: Sequence[str]) -> Column:
@@ -111,6 +130,10 @@ def aoi_metrics(gaze: DataFrame, aoi: DataFrame, keys: Sequence[str] = KEYS, lev
     where fewer than two samples have a clock). Without a fix_id column every sample
     is a fixation of its own. A class is the union of its polygons. segments() has dealt the samples out by trial; every step here
     groups by the trial and more, so the whole plan needs no other exchange.
+
+    Entries are islands: a trial's fixations are numbered by their begin, and a fixation
+    on a class enters it unless the one before was on it too. No row is made for a fixation and a class that it misses;
+    zero rows come from the trial's first row, once for each class.
     """
     unit = ["class_name"] if level == "class" else ["class_name", "polygon_id"]
     by = list(keys)
@@ -118,8 +141,8 @@ def aoi_metrics(gaze: DataFrame, aoi: DataFrame, keys: Sequence[str] = KEYS, lev
     if "fix_id" not in gaze.columns:
         gaze = gaze.withColumn("fix_id", F.col("seq"))
     total = F.sum("fix_dur").over(Window.partitionBy(*by)) if dwell_mode == "row" else F.lit(None).cast("double")
-    hit = hits(gaze.withColumn("_total", total), aoi, "left")
-    hit = hit.select(*dict.fromkeys([*by, "seq", "t_ms", "seg_clock", "baseline", "fix_id", "fix_dur", "_pupil", "_total"]), *unit)
+    own = list(dict.fromkeys([*by, "seq", "t_ms", "seg_clock", "baseline", "fix_id", "fix_dur", "_pupil", "_total", "x", "y", *(["aoi_set"] if "aoi_set" in gaze.columns else [])]))
+    hit = hits(gaze.withColumn("_total", total).select(*own), aoi, "left")
     if level == "class":
         hit = hit.dropDuplicates([*by, "seq", "class_name"])
 
@@ -142,55 +165,64 @@ def aoi_metrics(gaze: DataFrame, aoi: DataFrame, keys: Sequence[str] = KEYS, lev
         F.count("_pupil").alias("p_n"),
         F.max("_total").alias("_total"),
     )
-    entry = F.struct(*unit, "first_ts", "dur", "rows_dur", "n", "head", "at", "p_sum", "p_n")
-    fixation = cell.groupBy(*by, "fix_id").agg(
-        F.min("first_ts").alias("f_first"), F.max("last_ts").alias("f_last"), F.max("dur").alias("f_dur"), F.min("at").alias("f_at"), F.max("to").alias("f_to"), F.min("c_at").alias("c_at"), F.max("c_to").alias("c_to"), F.max("_total").alias("_total"),
-        F.collect_list(F.when(F.col("class_name").isNotNull(), entry)).alias("own"),
-    )
-
-    named = aoi.select(*(["aoi_set"] if "aoi_set" in aoi.columns and "aoi_set" in by else []), *unit).distinct()
-    wide = fixation.join(small(named, BROADCAST_POLYGONS), "aoi_set") if "aoi_set" in named.columns else fixation.join(small(named, BROADCAST_POLYGONS))
-    same = lambda e: F.forall(F.array(*[e[u].eqNullSafe(F.col(u)) for u in unit]), lambda x: x)
-    wide = wide.withColumn("e", F.get(F.filter("own", same), F.lit(0))).drop("own")
-    real, inside = F.col("fix_id").isNotNull(), F.col("e").isNotNull()
-    order = Window.partitionBy(*by, *unit).orderBy(F.col("fix_id").isNull(), F.asc_nulls_last("f_first"), "fix_id")
-    wide = wide.withColumn("_inside", inside).withColumn("_entry", (real & F.col("_inside") & ~F.lag("_inside", 1, False).over(order)).cast("long"))
-
-    dwell = (F.sum(F.when(real, F.col("e.dur"))), F.sum(F.when(real, F.col("f_dur")))) if dwell_mode == "fixation" else (F.sum("e.rows_dur"), F.max("_total"))
-    earliest = F.when(real & inside, F.struct(F.col("e.first_ts").isNull().alias("late"), F.col("e.first_ts").alias("ts"), F.col("fix_id").alias("id")))
-    out = wide.groupBy(*by, *unit).agg(
-        F.coalesce(F.sum("e.n"), F.lit(0)).alias("samples"),
-        F.count_if(real & inside).alias("FC"),
-        dwell[0].alias("TFD"),
-        F.min_by("e.head.s", "e.at").alias("TTFF"),
-        F.min_by("e.dur", earliest).alias("FFD"),
-        F.avg(F.when(real, F.col("e.dur"))).alias("MFD"),
-        ratio(F.sum("e.p_sum"), F.sum("e.p_n")).alias("MPD"),
-        F.greatest(F.sum("_entry") - 1, F.lit(0)).alias("RFF"),
-        dwell[1].alias("_tfd"),
-        F.count("fix_id").alias("_fc"),
-        F.coalesce(
-            F.when(F.min("c_at") < F.max("c_to"), (F.max("c_to")["seg_clock"] - F.min("c_at")["seg_clock"]) / 1000.0),
-            F.when(F.min("f_at") < F.max("f_to"), (F.max("f_last") - F.min("f_first")) / 1000.0),
-        ).alias("_s"),
+    real, inside = F.col("fix_id").isNotNull(), F.col("class_name").isNotNull()
+    of_fixation = Window.partitionBy(*by, "fix_id")
+    cell = cell.withColumns({"f_first": F.min("first_ts").over(of_fixation), "f_dur": F.max("dur").over(of_fixation), "_once": real & (F.row_number().over(of_fixation.orderBy(*unit)) == 1)})
+    cell = cell.withColumn("_place", F.dense_rank().over(Window.partitionBy(*by).orderBy(F.col("fix_id").isNull(), F.asc_nulls_last("f_first"), "fix_id")))
+    before = F.lag("_place").over(Window.partitionBy(*by, *unit).orderBy("_place"))
+    cell = cell.withColumn("_entry", real & inside & F.coalesce(before < F.col("_place") - 1, F.lit(True)))
+
+    earliest = F.when(real & inside, F.struct(F.col("first_ts").isNull().alias("late"), F.col("first_ts").alias("ts"), F.col("fix_id").alias("id")))
+    per = cell.groupBy(*by, *unit).agg(
+        F.sum("n").alias("samples"),
+        F.count_if(real).alias("FC"),
+        (F.sum(F.when(real, F.col("dur"))) if dwell_mode == "fixation" else F.sum("rows_dur")).alias("TFD"),
+        F.min_by("head.s", "at").alias("TTFF"),
+        F.min_by("dur", earliest).alias("FFD"),
+        F.avg(F.when(real, F.col("dur"))).alias("MFD"),
+        ratio(F.sum("p_sum"), F.sum("p_n")).alias("MPD"),
+        F.greatest(F.count_if("_entry") - 1, F.lit(0)).alias("RFF"),
+        F.sum(F.when(F.col("_once"), F.col("f_dur"))).alias("t_dur"),
+        F.count_if("_once").alias("t_fc"),
+        F.max("_total").alias("t_rows"),
+        F.min("first_ts").alias("t_first"),
+        F.max("last_ts").alias("t_last"),
+        F.min("at").alias("t_at"),
+        F.max("to").alias("t_to"),
+        F.min("c_at").alias("t_c_at"),
+        F.max("c_to").alias("t_c_to"),
+    )
+    trial = Window.partitionBy(*by)
+    over = {"t_dur": F.sum, "t_fc": F.sum, "t_rows": F.max, "t_first": F.min, "t_last": F.max, "t_at": F.min, "t_to": F.max, "t_c_at": F.min, "t_c_to": F.max}
+    per = per.withColumns({name: f(name).over(trial) for name, f in over.items()})
+    mine = F.struct(*unit)
+    per = per.withColumns({"_head": F.row_number().over(trial.orderBy(*unit)) == 1, "_own": F.when(inside, mine)})
+    got = ("samples", "FC", "TFD", "TTFF", "FFD", "MFD", "MPD", "RFF")
+    if "aoi_set" in aoi.columns and "aoi_set" in by:
+        per = per.join(aoi.groupBy("aoi_set").agg(F.collect_set(mine).alias("_all")), "aoi_set")
+    else:
+        per = per.withColumn("_all", F.coalesce(aoi.agg(F.collect_set(mine).alias("_all")).scalar(), F.array()))
+    targets = F.when(F.col("_head"), F.col("_all")).otherwise(F.array_compact(F.array("_own")))
+    each = per.withColumn("_unit", F.explode(targets)).withColumn("_got", F.when(F.col("_unit").eqNullSafe(F.col("_own")), F.struct(*got)))
+    out = each.groupBy(*by, *[F.col("_unit")[u].alias(u) for u in unit]).agg(F.max("_got").alias("m"), *[F.max(c).alias(c) for c in over])
+    seconds = F.coalesce(
+        F.when(F.col("t_c_at") < F.col("t_c_to"), (F.col("t_c_to.seg_clock") - F.col("t_c_at.seg_clock")) / 1000.0),
+        F.when(F.col("t_at") < F.col("t_to"), (F.col("t_last") - F.col("t_first")) / 1000.0),
     )
-    fc, share = F.col("FC"), ratio(F.col("TFD"), F.col("_tfd"))
+    fc, samples = F.coalesce("m.FC", F.lit(0)), F.coalesce("m.samples", F.lit(0))
+    share = ratio(F.col("m.TFD"), F.col("t_dur") if dwell_mode == "fixation" else F.col("t_rows"))
     return out.select(
         *by,
         *unit,
-        "samples",
-        "FC",
-        "TFD",
-        "TTFF",
-        "FFD",
-        "MFD",
-        "MPD",
-        "RFF",
-        ((fc > 0) | (F.col("samples") > 0)).alias("visited"),
+        samples.alias("samples"),
+        fc.alias("FC"),
+        *[F.col(f"m.{c}").alias(c) for c in got[2:7]],
+        F.coalesce("m.RFF", F.lit(0)).alias("RFF"),
+        ((fc > 0) | (samples > 0)).alias("visited"),
         share.alias("attention_share"),
         (share * 100).alias("share_pct"),
-        ratio(fc, F.col("_fc")).alias("FC_share"),
-        ratio(fc, F.col("_s")).alias("FC_rate"),
+        ratio(fc, F.col("t_fc")).alias("FC_share"),
+        ratio(fc, seconds).alias("FC_rate"),
     )
 
 

@@ -1,7 +1,8 @@
 """Linear, mixed and logistic models from distributed sufficient statistics.
 
 Data are reduced to k x k sums by Spark; only those reach the driver. k is
-the number of design columns, whatever the number of rows.
+the number of design columns, whatever the number of rows, groups and sizes of groups. All outcomes
+of a call are summed in one pass over the rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coding as C
 from ..functions import dist
+from ..sources.scratch import written
 from .trial import keep_first
 
 MOST_LEVELS = 100
@@ -77,10 +79,11 @@ def design(df: DataFrame, terms: Sequence[Term]) -> list[tuple[str, Column]]:
     return out
 
 
-def _rows(df: DataFrame, cols: Sequence[tuple[str, Column]], y: str, group: str | None) -> DataFrame:
-    keep = [] if group is None else [F.col(group).alias("_g")]
-    d = df.select(*[c.alias(f"x{i}") for i, (_, c) in enumerate(cols)], C.num(y).alias(f"x{len(cols)}"), *keep).dropna()
-    return d
+#: log of the variance ratio at which groups are summed; between these points sums are interpolated to some 1e-11.
+GRID_STEP, GRID_END, NEAR = 0.25, 17.0, 24
+GRID = np.arange(-GRID_END, GRID_END + GRID_STEP / 2, GRID_STEP)
+#: Up to so many distinct rows of a design are a table for the driver; beyond, each of Newton's steps is a job over them.
+PATTERNS = 100_000
 
 
 def _independent(c: np.ndarray, k: int) -> list[int]:
@@ -95,51 +98,129 @@ def _independent(c: np.ndarray, k: int) -> list[int]:
     return kept
 
 
-def _grams(d: DataFrame, cols: Sequence[str], size: str | None = None) -> dict[int, tuple[int, np.ndarray]]:
-    """{size: (rows, X'X)} of the columns, by the value of `size` (0 without).
+@dataclass
+class Sums:
+    """Of one outcome: rows, sum of w w' (w: design columns and the outcome), groups, the largest group, and for each point
+    of GRID the sums over groups of theta/(1 + m theta) s s' and of log(1 + m theta), s being a group's sum of w and m its rows."""
 
-    Each task multiplies its batches and sends one k x k sum per size; the sums meet by size before they reach the driver.
+    n: int
+    gram: np.ndarray
+    groups: int = 0
+    largest: int = 0
+    within: np.ndarray | None = None
+    logdet: np.ndarray | None = None
+
+    def at(self, theta: float) -> tuple[np.ndarray, float]:
+        """The group sums for any theta: barycentric interpolation on the nearest points of the grid."""
+        if theta <= 0:
+            return np.zeros_like(self.gram), 0.0
+        u = min(max(math.log(theta), -GRID_END), GRID_END)
+        first = int(min(max(np.searchsorted(GRID, u) - NEAR // 2, 0), len(GRID) - NEAR))
+        x = GRID[first : first + NEAR]
+        near = np.abs(x - u) < 1e-13
+        if near.any():
+            w = near.astype(float)
+        else:
+            w = np.array([(-1) ** i * math.comb(NEAR - 1, i) for i in range(NEAR)]) / (u - x)
+        w = w / w.sum()
+        return np.tensordot(w, self.within[first : first + NEAR], 1), float(w @ self.logdet[first : first + NEAR])
+
+
+def _group_sums(counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """[groups, largest, then of each point of GRID: logdet, within] of groups with `counts` rows and column sums `sums`."""
+    k = sums.shape[1]
+    theta = np.exp(GRID)
+    if not len(counts):
+        return np.zeros(2 + len(GRID) * (1 + k * k))
+    sizes, at = np.unique(counts, return_inverse=True)
+    s = np.zeros((len(sizes), k, k))
+    for i in range(len(sizes)):
+        rows = sums[at == i]
+        s[i] = rows.T @ rows
+    number = np.bincount(at, minlength=len(sizes))
+    weight = theta[:, None] / (1 + sizes[None, :] * theta[:, None])
+    within = (weight @ s.reshape(len(sizes), -1)).reshape(len(GRID), -1)
+    logdet = np.log1p(sizes[None, :] * theta[:, None]) @ number
+    return np.concatenate([[len(counts), sizes.max()], np.concatenate([logdet[:, None], within], axis=1).ravel()])
+
+
+def sums_of(df: DataFrame, cols: Sequence[tuple[str, Column]], outcomes: Sequence[str], group: str | None) -> dict[str, Sums]:
+    """Sums of each outcome over the rows that have it, all design columns and the group: one pass, one shuffle.
+
+    Tasks send a k x k sum for each outcome and, of each group that they meet, a row of column sums, so a group's
+    size does not matter. Tasks that gather whole groups add them up at the points of GRID: what is
+    collected has the size of the grid, not of the groups.
     """
-    k = len(cols)
-    keep = [F.col(c).cast("double").alias(c) for c in cols]
-    d = d.select((F.col(size) if size else F.lit(0)).cast("long").alias("_m"), *keep)
-
-    def part(batches):
-        total: dict[int, list] = {}
+    k, models = len(cols), len(outcomes)
+    wide = k + 1
+    key = [F.col(group).cast("string").alias("g")] if group else []
+    d = df.select(*key, *[c.cast("double").alias(f"x{i}") for i, (_, c) in enumerate(cols)], *[C.num(y).alias(f"y{j}") for j, y in enumerate(outcomes)])
+    d = d.dropna(subset=[*(["g"] if group else []), *[f"x{i}" for i in range(k)]])
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def first(batches):
+        grams, n, places, rows = np.zeros((models, wide, wide)), np.zeros(models), {}, []
         for b in batches:
-            m = b.column(0).to_numpy(zero_copy_only=False)
-            x = np.column_stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(k)]) if b.num_rows else np.zeros((0, k))
-            for v in np.unique(m):
-                rows = x[m == v]
-                t = total.setdefault(int(v), [0, np.zeros((k, k))])
-                t[0] += len(rows)
-                t[1] += rows.T @ rows
-        yield _gram_batch(total)
+            columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(1 if group else 0, b.num_columns)]
+            if not b.num_rows:
+                continue
+            x, y = np.column_stack(columns[:k]), np.column_stack(columns[k:])
+            known = np.isfinite(y)
+            if group:
+                names = b.column(0).dictionary_encode()
+                for g in names.dictionary.to_pylist():
+                    if g not in places:
+                        places[g] = len(rows)
+                        rows.append(np.zeros(models * (wide + 1)))
+                code = np.array([places[g] for g in names.dictionary.to_pylist()])[names.indices.to_numpy()]
+                order = np.argsort(code, kind="stable")
+                cut = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+            for j in range(models):
+                ok = known[:, j]
+                w = np.column_stack([x, np.where(ok, y[:, j], 0.0)]) * ok[:, None]
+                grams[j] += w.T @ w
+                n[j] += ok.sum()
+                if group:
+                    total = np.add.reduceat(np.column_stack([ok, w])[order], cut, axis=0)
+                    for at, t in zip(code[order][cut].tolist(), total, strict=True):
+                        rows[at][j * (wide + 1) : (j + 1) * (wide + 1)] += t
+        keys = [f"m{j}" for j in range(models)] + [f"g{g}" for g in places]
+        values = [np.concatenate([[n[j]], grams[j].ravel()]).tobytes() for j in range(models)] + [r.tobytes() for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.binary())], names=["key", "v"])
+
+    def second(batches):
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            for key, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held[key] = held[key] + np.frombuffer(v) if key in held else np.frombuffer(v)
+        out = {f"m{j}": held[f"m{j}"] for j in range(models) if f"m{j}" in held}
+        groups = [v for key, v in held.items() if key[0] == "g"]
+        if groups:
+            every = np.stack(groups).reshape(len(groups), models, wide + 1)
+            for j in range(models):
+                rows = every[every[:, j, 0] > 0, j]
+                out[f"g{j}"] = _group_sums(rows[:, 0], rows[:, 1:])
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([v.tobytes() for v in out.values()], pa.binary())], names=["key", "v"])
 
     def meet(t: pa.Table) -> pa.Table:
-        total = {t.column("m")[0].as_py(): [sum(t.column("n").to_pylist()), sum(np.frombuffer(x).reshape(k, k) for x in t.column("g").to_pylist())]}
-        return pa.Table.from_batches([_gram_batch(total)])
-
-    schema = "m long, n long, g binary"
-    rows = d.mapInArrow(part, schema).groupBy("m").applyInArrow(meet, schema).collect()  # one for each size
-    return {r.m: (r.n, np.frombuffer(bytes(r.g)).reshape(k, k)) for r in rows}
-
-
-def _gram_batch(total: dict[int, list]) -> pa.RecordBatch:
-    keys = list(total)
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([total[v][0] for v in keys], pa.int64()), pa.array([total[v][1].tobytes() for v in keys], pa.binary())], names=["m", "n", "g"])
-
-
-def _moments(d: DataFrame, k: int) -> tuple[np.ndarray, int]:
-    n, m = _grams(d, [f"x{i}" for i in range(k)]).get(0, (0, np.zeros((k, k))))
-    return m, n
-
-
-def _group_moments(d: DataFrame, k: int) -> tuple[np.ndarray, int, dict[int, tuple[int, np.ndarray]]]:
-    """(sum of w w', rows, {group size: (groups, sum of s s')}), s being a group's column sums."""
-    total, n = _moments(d, k)
-    per = d.groupBy("_g").agg(F.count(F.lit(1)).alias("m"), *[F.sum(f"x{i}").alias(f"x{i}") for i in range(k)])
-    return total, n, _grams(per, [f"x{i}" for i in range(k)], "m")
+        rows = np.stack([np.frombuffer(v) for v in t.column("v").to_pylist()])
+        total = rows.sum(axis=0)
+        if t.column("key")[0].as_py()[0] == "g":
+            total[1] = rows[:, 1].max()
+        return pa.table({"key": t.column("key").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "key string, v binary"
+    met = d.mapInArrow(first, schema).repartition(parts, "key").mapInArrow(second, schema).groupBy("key").applyInArrow(meet, schema).collect()  # two rows for each outcome
+    got = {r.key: np.frombuffer(bytes(r.v)) for r in met}
+    out = {}
+    for j, y in enumerate(outcomes):
+        m = got.get(f"m{j}", np.zeros(1 + wide * wide))
+        out[y] = Sums(int(m[0]), m[1:].reshape(wide, wide))
+        if f"g{j}" in got:
+            v = got[f"g{j}"]
+            grid = v[2:].reshape(len(GRID), 1 + wide * wide)
+            out[y] = Sums(int(m[0]), m[1:].reshape(wide, wide), int(v[0]), int(v[1]), grid[:, 1:].reshape(-1, wide, wide), grid[:, 0])
+    return out
 
 
 @dataclass
@@ -163,12 +244,15 @@ def _solve(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
 
 
 def fit_ols(df: DataFrame, y: str, cols: Sequence[tuple[str, Column]]) -> Fit | None:
-    k = len(cols)
-    m, n = _moments(_rows(df, cols, y, None), k + 1)
-    return _ols_from(m, n, [c for c, _ in cols])
+    return ols_from(sums_of(df, cols, [y], None)[y], [c for c, _ in cols])
 
 
-def _ols_from(m: np.ndarray, n: int, names: list[str]) -> Fit | None:
+def fit_lmm(df: DataFrame, y: str, cols: Sequence[tuple[str, Column]], group: str) -> Fit | None:
+    return lmm_from(sums_of(df, cols, [y], group)[y], [c for c, _ in cols])
+
+
+def ols_from(sums: Sums, names: list[str]) -> Fit | None:
+    m, n = sums.gram, sums.n
     keep = _independent(m, len(names)) if n else []
     if n <= len(keep) or not keep:
         return None
@@ -177,29 +261,23 @@ def _ols_from(m: np.ndarray, n: int, names: list[str]) -> Fit | None:
     return Fit([names[i] for i in keep], beta, np.sqrt(np.diag(inv) * s2), n, 0, None, s2, math.nan, "OLS", float(n - len(keep)))
 
 
-def fit_lmm(df: DataFrame, y: str, cols: Sequence[tuple[str, Column]], group: str) -> Fit | None:
+def lmm_from(sums: Sums, names: list[str]) -> Fit | None:
     """Random-intercept model by maximum likelihood; OLS if there is one group or the group variance has no information.
 
-    With theta the variance ratio, W'V^-1 W = C - sum over group sizes m of theta/(1 + m theta) S_m,
-    and log|V| = sum of K_m log(1 + m theta): exact, from the sums alone.
+    With theta the variance ratio, W'V^-1 W = C - sum over groups of theta/(1 + m theta) s s',
+    and log|V| = sum over groups of log(1 + m theta).
     """
-    names, k = [c for c, _ in cols], len(cols)
-    c, n, sizes = _group_moments(_rows(df, cols, y, group), k + 1)
-    groups = sum(g for g, _ in sizes.values())
+    c, n, k = sums.gram, sums.n, len(names)
     keep = _independent(c, k) if n else []
     if n <= len(keep) + 1 or not keep:
         return None
-    if groups < 2 or max(sizes) < 2:
-        return _ols_from(c, n, names)
+    if sums.groups < 2 or sums.largest < 2:
+        return ols_from(sums, names)
     at = np.ix_([*keep, k], [*keep, k])
 
     def profile(theta: float):
-        m = c[at].copy()
-        logdet = 0.0
-        for size, (count, q) in sizes.items():
-            m -= theta / (1 + size * theta) * q[at]
-            logdet += count * math.log1p(size * theta)
-        beta, inv, rss = _solve(m, len(keep))
+        within, logdet = sums.at(theta)
+        beta, inv, rss = _solve(c[at] - within[at], len(keep))
         s2 = max(rss, 1e-300) / n
         return -0.5 * (n * math.log(2 * math.pi * s2) + n + logdet), beta, inv, s2
 
@@ -218,40 +296,61 @@ def fit_lmm(df: DataFrame, y: str, cols: Sequence[tuple[str, Column]], group: st
     if profile(0.0)[0] >= profile(theta)[0]:
         theta = 0.0
     ll, beta, inv, s2 = profile(theta)
-    return Fit([names[i] for i in keep], beta, np.sqrt(np.diag(inv) * s2), n, groups, theta * s2, s2, ll, "LMM", None)
+    return Fit([names[i] for i in keep], beta, np.sqrt(np.diag(inv) * s2), n, sums.groups, theta * s2, s2, ll, "LMM", None)
+
+
+def patterns(df: DataFrame, y: str, cols: Sequence[tuple[str, Column]]) -> DataFrame:
+    """(x0, x1, ..., n, s): each distinct row of the design with its rows and its successes; with rows of the same pattern go all that a logit needs."""
+    d = df.select(*[c.cast("double").alias(f"x{i}") for i, (_, c) in enumerate(cols)], C.binary_outcome(y).cast("double").alias("_y")).dropna()
+    return d.groupBy(*[f"x{i}" for i in range(len(cols))]).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("_y").alias("s"))
+
+
+def _newton_sums(x: np.ndarray, n: np.ndarray, s: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Score and information, one after the other."""
+    p = 1 / (1 + np.exp(-(x @ beta)))
+    return np.concatenate([x.T @ (s - n * p), ((x * (n * p * (1 - p))[:, None]).T @ x).ravel()])
 
 
 def fit_logit(df: DataFrame, y: str, cols: Sequence[tuple[str, Column]], rounds: int = 40) -> Fit | None:
-    """Binary logit by Newton's steps; each step is one aggregate of k x k sums."""
+    """Binary logit by Newton's steps over the patterns: the data are read once.
+
+    Up to PATTERNS of them are collected; more stay a written table, and each step is one job over it.
+    """
     names, k = [c for c, _ in cols], len(cols)
-    d = df.select(*[c.alias(f"x{i}") for i, (_, c) in enumerate(cols)], C.binary_outcome(y).cast("double").alias(f"x{k}")).dropna().persist()
-    try:
-        m, n = _moments(d, k + 1)
-        ones = m[0, k]
-        if not n or ones in (0, n):
-            return None
-        keep = _independent(m, k)
-        beta = np.zeros(len(keep))
-        pairs = [(a, b) for a in range(len(keep)) for b in range(a, len(keep))]
-        for _ in range(rounds):
-            eta = sum((F.col(f"x{i}") * float(b) for i, b in zip(keep, beta, strict=True)), F.lit(0.0))
-            p = 1 / (1 + F.exp(-eta))
-            e = d.select(*[f"x{i}" for i in keep], F.col(f"x{k}"), p.alias("p")).withColumn("w", F.col("p") * (1 - F.col("p")))
-            r = e.agg(*[F.sum(F.col(f"x{i}") * (F.col(f"x{k}") - F.col("p"))).alias(f"g{a}") for a, i in enumerate(keep)], *[F.sum(F.col(f"x{keep[a]}") * F.col(f"x{keep[b]}") * F.col("w")).alias(f"h{a}_{b}") for a, b in pairs]).first()
-            g = np.array([r[f"g{a}"] for a in range(len(keep))])
-            h = np.zeros((len(keep), len(keep)))
-            for a, b in pairs:
-                h[a, b] = h[b, a] = r[f"h{a}_{b}"]
-            inv = np.linalg.pinv(h)
-            step = inv @ g
-            beta = beta + step
-            if np.abs(step).max() < 1e-10:
-                break
-            if np.abs(beta).max() > 50:
-                return None  # the classes are separable
-        return Fit([names[i] for i in keep], beta, np.sqrt(np.diag(inv)), n, 0, None, math.nan, math.nan, "Logit", None)
-    finally:
-        d.unpersist()
+    table = written(patterns(df, y, cols), "patterns")
+    if table.count() <= PATTERNS:
+        rows = np.array([tuple(r) for r in table.collect()], float).reshape(-1, k + 2)
+        reduce = lambda f: f(rows)
+    else:
+
+        def reduce(f):
+            def part(batches):
+                total = 0.0
+                for b in batches:
+                    total = total + f(np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
+                v = np.atleast_1d(total).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v)), pa.int32()), pa.array(v)], names=["i", "v"])
+
+            got = table.mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+            return np.array([r.v for r in got])
+
+    m = np.asarray(reduce(lambda r: np.concatenate([(r[:, :k] * r[:, k : k + 1]).T @ r[:, :k], [[r[:, k].sum()] * k, [r[:, k + 1].sum()] * k]]).ravel())).reshape(k + 2, k)
+    n, ones = int(m[k, 0]), m[k + 1, 0]
+    if not n or ones in (0, n):
+        return None
+    keep = _independent(m[:k], k)
+    beta = np.zeros(len(keep))
+    for _ in range(rounds):
+        now = beta
+        got = np.asarray(reduce(lambda r: _newton_sums(r[:, keep], r[:, k], r[:, k + 1], now)))  # noqa: B023
+        inv = np.linalg.pinv(got[len(keep) :].reshape(len(keep), len(keep)))
+        step = inv @ got[: len(keep)]
+        beta = beta + step
+        if np.abs(step).max() < 1e-10:
+            break
+        if np.abs(beta).max() > 50:
+            return None  # the classes are separable
+    return Fit([names[i] for i in keep], beta, np.sqrt(np.diag(inv)), n, 0, None, math.nan, math.nan, "Logit", None)
 
 
 def result_rows(spark, outcome: str, fit: Fit | None, note: str = "") -> list[tuple]:
@@ -279,11 +378,13 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], predictors: Sequence[str]
     base = base.select(*[c for c in base.columns if c in used]).persist()
     try:
         cols = design(base, terms)
+        names, there = [c for c, _ in cols], [y for y in outcomes if y in df.columns]
+        sums = sums_of(base, cols, there, group if kind == "lmm" else None) if there and kind != "logit" else {}
         for y in outcomes:
             if y not in df.columns:
                 rows += result_rows(spark, y, None, "missing outcome")
                 continue
-            fit = fit_logit(base, y, cols) if kind == "logit" else fit_ols(base, y, cols) if kind == "ols" else fit_lmm(base, y, cols, group)
+            fit = fit_logit(base, y, cols) if kind == "logit" else ols_from(sums[y], names) if kind == "ols" else lmm_from(sums[y], names)
             rows += result_rows(spark, y, fit)
     finally:
         base.unpersist()

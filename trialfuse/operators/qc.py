@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coding as C
-from .gaze import KEYS, small
+from ..sources.scratch import written
+from .gaze import KEYS
+
+#: A median's last step collects about so many distinct values; a step before it cuts the middle in so many parts.
+FEW_VALUES, CUTS = 10_000, 16
 
 # Names of quality columns, texts of a duration that is not valid, and the defaults of EegPolicy.
 QC_ALIASES = {
@@ -51,27 +56,62 @@ def alias_qc_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({to: F.col(a) for to, a in first.items()})
 
 
-def exact_medians(long: DataFrame, by: str = "metric", v: str = "v") -> DataFrame:
-    """(by, n, median) without a group that holds all values: a sketch bounds the middle, whose few values alone are ranked."""
-    near = long.groupBy(by).agg(F.count(v).alias("n"), F.percentile_approx(v, F.array(F.lit(0.4995), F.lit(0.5005)), F.lit(10_000)).alias("_q"))
-    met = long.join(F.broadcast(near), by)  # a row for each metric
-    below = met.groupBy(by).agg(F.min("n").alias("n"), F.count_if(F.col(v) < F.col("_q")[0]).alias("_b"))
-    middle = met.filter(F.col(v).between(F.col("_q")[0], F.col("_q")[1])).groupBy(by, v).agg(F.count(F.lit(1)).alias("_c"))
-    rank = F.sum("_c").over(Window.partitionBy(by).orderBy(v)) + F.col("_b")
-    ranked = middle.join(F.broadcast(below), by).withColumn("_r", rank)
-    at = lambda k: F.min(F.when(F.col("_r") > k, F.col(v)))
-    out = ranked.groupBy(by).agg(F.min("n").alias("n"), at(F.floor((F.col("n") - 1) / 2)).alias("_lo"), at(F.floor(F.col("n") / 2)).alias("_hi"))
-    return out.select(by, "n", ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
+def exact_medians(long: DataFrame, few: int = FEW_VALUES) -> dict[str, tuple[int, float]]:
+    """metric -> (n, median) of long (metric, v), null values apart: by bisection of values, all metrics in the same jobs.
+
+    A sketch bounds the middle. While more than `few` values lie there, their range is cut into CUTS parts and
+    counted; what is collected in the end is some distinct values of the middle with their counts. No
+    window and no sort runs over the values. The frame is read once for each job: write it first if it is costly.
+    """
+    spark = long.sparkSession
+    rows = long.filter("v is not null").groupBy("metric").agg(F.count("v").alias("n"), F.percentile_approx("v", F.array(F.lit(0.4995), F.lit(0.5005)), F.lit(10_000)).alias("q")).collect()
+    bounds = {r.metric: (r.q[0], r.q[1]) for r in rows}
+    n = {r.metric: r.n for r in rows}
+    # the sketch's middle holds about a thousandth of the values
+    wide = {m for m in bounds if n[m] / 1000 > few and bounds[m][0] < bounds[m][1]}
+    while wide:
+        edges = {m: [bounds[m][0] + (bounds[m][1] - bounds[m][0]) * i / CUTS for i in range(CUTS)] for m in wide}
+        table = spark.createDataFrame([(m, e, bounds[m][1]) for m, e in edges.items()], "metric string, e array<double>, last double")
+        met = long.join(F.broadcast(table), "metric").filter("v is not null and v <= last")  # a row for each metric
+        part = F.aggregate("e", F.lit(0), lambda k, x: k + (F.col("v") >= x).cast("int"))
+        counts: dict[str, list[int]] = {m: [0] * (CUTS + 1) for m in wide}
+        for r in met.groupBy("metric", part.alias("k")).count().collect():
+            counts[r.metric][r.k] = r["count"]
+        done = set()
+        for m, c in counts.items():
+            ranks, upto = ((n[m] - 1) // 2, n[m] // 2), list(accumulate(c))
+            first, last = (next(i for i, u in enumerate(upto) if u > k) for k in ranks)
+            low, high = edges[m][first - 1], edges[m][last] if last < CUTS else bounds[m][1]
+            if sum(c[first : last + 1]) <= few or (low, high) == bounds[m]:
+                done.add(m)
+            bounds[m] = (low, high)
+        wide -= done
+    table = spark.createDataFrame([(m, *x) for m, x in bounds.items()], "metric string, low double, high double")
+    middle = long.join(F.broadcast(table), "metric").filter("v <= high").groupBy("metric", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).count()
+    found: dict[str, list[tuple]] = {m: [] for m in bounds}
+    for r in middle.collect():
+        found[r.metric].append((r.v, r["count"]))
+    out = {}
+    for m, values in found.items():
+        values.sort(key=lambda x: (x[0] is not None, x[0] or 0.0))  # what lies below comes first
+        upto = list(accumulate(c for _, c in values))
+        at = [values[next(i for i, u in enumerate(upto) if u > k)][0] for k in ((n[m] - 1) // 2, n[m] // 2)]
+        out[m] = (n[m], (at[0] + at[1]) / 2)
+    return out
 
 
 def robust_thresholds(df: DataFrame, metrics: Sequence[str], k: float = 3.5, min_n: int = 4) -> DataFrame:
-    """metric, n, median, mad, threshold over the whole table; the latter three are null under min_n values. All metrics together."""
-    long = df.select(*[C.num(m).alias(m) for m in metrics]).unpivot([], list(metrics), "metric", "v").filter("v is not null")
+    """metric, n, median, mad, threshold over the whole table; the latter three are null under min_n values. All metrics together.
+
+    df runs once: its metrics are written, and both medians read that.
+    """
+    spark = df.sparkSession
+    long = written(df.select(*[C.num(m).alias(m) for m in metrics]).unpivot([], list(metrics), "metric", "v").filter("v is not null"), "metrics")
     mid = exact_medians(long)
-    off = exact_medians(long.join(F.broadcast(mid.select("metric", "median")), "metric").select("metric", F.abs(F.col("v") - F.col("median")).alias("v")))
-    out = mid.join(off.select("metric", F.col("median").alias("mad")), "metric")
-    enough = lambda c: F.when(F.col("n") >= min_n, c)
-    return out.select("metric", "n", enough(F.col("median")).alias("median"), enough(F.col("mad")).alias("mad"), enough(F.col("median") + k * F.col("mad")).alias("threshold"))
+    table = spark.createDataFrame([(m, x[1]) for m, x in mid.items()], "metric string, median double")
+    off = exact_medians(long.join(F.broadcast(table), "metric").select("metric", F.abs(F.col("v") - F.col("median")).alias("v"))) if mid else {}
+    rows = [(m, x[0], *((x[1], off[m][1], x[1] + k * off[m][1]) if x[0] >= min_n else (None, None, None))) for m, x in mid.items()]
+    return spark.createDataFrame(rows, "metric string, n long, median double, mad double, threshold double")
 
 
 def eeg_flags(df: DataFrame, p: EegPolicy = EegPolicy()) -> DataFrame:  # noqa: B008
@@ -96,10 +136,8 @@ def eeg_flags(df: DataFrame, p: EegPolicy = EegPolicy()) -> DataFrame:  # noqa:
             hard.append(F.when(F.coalesce(C.num(c) > most, F.lit(False)), c))
     robust = []
     if metrics:
-        table = robust_thresholds(df, metrics, p.k, p.min_n)
-        wide = table.groupBy().agg(*[F.max(F.when(F.col("metric") == m, F.col("threshold"))).alias(f"_t_{m}") for m in metrics])
-        df = df.crossJoin(F.broadcast(wide))  # one row
-        robust = [F.when(F.coalesce(C.num(m) > F.col(f"_t_{m}"), F.lit(False)), f"robust_{m}") for m in metrics]
+        most = {r.metric: r.threshold for r in robust_thresholds(df, metrics, p.k, p.min_n).collect()}  # a row for each metric
+        robust = [F.when(F.coalesce(C.num(m) > F.lit(most.get(m)).cast("double"), F.lit(False)), f"robust_{m}") for m in metrics]
     legacy = [F.when(F.coalesce(C.num("hf_ratio_20_40Hz") > p.legacy_hf_ratio, F.lit(False)), "legacy_hf_ratio")] if "hf_ratio_20_40Hz" in have else []
     listed = lambda xs: F.array_compact(F.array(*(xs or [null])))
     df = df.withColumns({"hard_reasons": listed(hard), "robust_reasons": listed(robust), "legacy_reasons": listed(legacy)})
@@ -107,13 +145,13 @@ def eeg_flags(df: DataFrame, p: EegPolicy = EegPolicy()) -> DataFrame:  # noqa:
     formal = {"legacy_0_4": ("hard_reasons", "legacy_reasons"), "robust": ("hard_reasons", "robust_reasons")}.get(policy, ())
     reasons = C.ordered_join(F.concat(*[F.col(c) for c in formal])) if formal else F.lit("")
     df = df.withColumns({"qc_policy": F.lit(policy), "candidate_reasons": C.ordered_join(F.concat("hard_reasons", "robust_reasons", "legacy_reasons")) if policy != "unavailable" else F.lit(""), "reasons": reasons})
-    return df.withColumn("bad_eeg_quality", F.col("reasons") != "").drop(*[f"_t_{m}" for m in metrics], "hard_reasons", "robust_reasons", "legacy_reasons")
+    return df.withColumn("bad_eeg_quality", F.col("reasons") != "").drop("hard_reasons", "robust_reasons", "legacy_reasons")
 
 
 def exclude_subjects(df: DataFrame, threshold: float = 0.3, who: str = "participant_id") -> DataFrame:
     """Every row of a participant with more than `threshold` bad rows is bad, unless the policy is off or audit_only. Candidate reasons stay."""
     share = df.groupBy(who).agg(F.avg(F.col("bad_eeg_quality").cast("double")).alias("_share")).filter(F.col(who).isNotNull() & (F.col("_share") > threshold))
-    out = df.join(small(share.select(who, F.lit(True).alias("_out")), 200_000), who, "left")
+    out = df.join(share.select(who, F.lit(True).alias("_out")), who, "left")
     formal = ~F.col("qc_policy").isin("off", "audit_only") if "qc_policy" in df.columns else F.lit(True)
     out = out.withColumn("subject_excluded", F.col("_out").isNotNull() & formal).select(*df.columns, "subject_excluded")
     why = F.concat_ws(";", F.nullif("reasons", F.lit("")), F.when(F.col("subject_excluded"), "eeg_subject_quality_exclusion"))
@@ -134,7 +172,7 @@ def metric_summary(df: DataFrame, metrics: Sequence[str], bad: str | None = "bad
 def sync_qc(trials: DataFrame, eye: DataFrame, eeg: DataFrame, tolerance_s: float = 2.0, expected_scenes: int = 12, keys: Sequence[str] = KEYS) -> DataFrame:
     """eye: (keys, eye_duration_s); eeg: (keys, eeg_duration_s). A missing difference counts as a mismatch."""
     scenes = trials.groupBy("participant_id").agg(F.count_distinct("scene_id").alias("scene_count"))
-    out = trials.select(*keys).join(eye, list(keys), "left").join(eeg, list(keys), "left").join(small(scenes, 200_000), "participant_id", "left")
+    out = trials.select(*keys).join(eye, list(keys), "left").join(eeg, list(keys), "left").join(scenes, "participant_id", "left")
     delta = F.col("eye_duration_s") - F.col("eeg_duration_s")
     return out.withColumns({"duration_delta_s": delta, "duration_mismatch": F.coalesce(F.abs(delta) > tolerance_s, F.lit(True)), "scene_count_mismatch": F.col("scene_count") != expected_scenes})
 
@@ -210,6 +248,7 @@ def contract_status(findings: DataFrame) -> DataFrame:
     return findings.agg(F.when(F.count_if(F.col("severity") == "error") > 0, "error").when(F.count_if(F.col("severity") == "warning") > 0, "warning").otherwise("pass").alias("status"))
 
 
+# Columns of the scene quality table.
 SCENE_QC = ("participant_id", "scene_id", "view_dur_s", "hf_ratio_20_40Hz", "rms_mean_uV", "peak_to_peak_uV", "nan_fraction", "flat_fraction", "near_boundary", "segment_valid_duration", "qc_policy", "candidate_reasons", "reasons", "subject_excluded", "bad_eeg_quality")
 
 

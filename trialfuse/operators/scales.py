@@ -167,7 +167,7 @@ def reliability(df: DataFrame, scales: dict[str, Sequence[str]], c1: Column | No
 
 def level_means(df: DataFrame, value: str, level: str, who: str, levels: Sequence = LEVELS, by: Sequence[str] = ()) -> DataFrame:
     """One row per participant with all levels: m0, m1, ..."""
-    d = df.filter(F.col(who).isNotNull()).groupBy(who, *by).agg(*[F.avg(F.when(F.col(level) == x, C.num(value))).alias(f"m{i}") for i, x in enumerate(levels)])
+    d = df.withColumn("_level", C.level_number(df, level)).filter(F.col(who).isNotNull()).groupBy(who, *by).agg(*[F.avg(F.when(F.col("_level") == x, C.num(value))).alias(f"m{i}") for i, x in enumerate(levels)])
     return d.dropna(subset=[f"m{i}" for i in range(len(levels))])
 
 
@@ -175,7 +175,7 @@ def poly_contrasts(df: DataFrame, values: Sequence[str], level: str, who: str =
     """Linear and quadratic contrasts of participants' level means: mean, sd, se, t, F, p and partial eta squared."""
     # all outcomes in one aggregate of a participant's level means
     at = range(len(levels))
-    wide = df.filter(F.col(who).isNotNull()).groupBy(who).agg(*[F.avg(F.when(F.col(level) == x, C.num(v))).alias(f"_{j}_{i}") for j, v in enumerate(values) for i, x in enumerate(levels)])
+    wide = df.withColumn("_level", C.level_number(df, level)).filter(F.col(who).isNotNull()).groupBy(who).agg(*[F.avg(F.when(F.col("_level") == x, C.num(v))).alias(f"_{j}_{i}") for j, v in enumerate(values) for i, x in enumerate(levels)])
     own = F.explode(F.array(*[F.struct(F.lit(v).alias("outcome"), *[F.col(f"_{j}_{i}").alias(f"m{i}") for i in at]) for j, v in enumerate(values)])).alias("o")
     means = wide.select(own).select("o.*").dropna(subset=[f"m{i}" for i in at])
     score = lambda w: sum((F.col(f"m{i}") * x for i, x in enumerate(w) if x), F.lit(0.0))

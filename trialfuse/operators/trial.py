@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coding as C
+from ..sources.scratch import written
 from .gaze import KEYS, small
 
 DIMENSION_ROWS = 200_000
@@ -215,12 +216,34 @@ def scene_fallback(tables: Sequence[DataFrame], keys: Sequence[str] = KEYS, desi
 GENERIC_SUBJECTS = ("user", "user1", "user2", "test", "pilot", "practice")
 
 
+def alias_chains(manual: DataFrame) -> DataFrame:
+    """(_at, _alias, _end): where each rule leads once the rules behind it have acted on its result.
+
+    A rule's successor is the first later one whose alias is its name; pointers are doubled until all are at
+    an end, so a chain of n rules takes log n rounds.
+    """
+    at = F.col("row") if "row" in manual.columns else F.monotonically_increasing_id()
+    rules = manual.select(at.cast("double").alias("_row"), F.trim("alias").alias("_alias"), F.trim("participant_id").alias("_end")).filter("_alias <> '' and _end <> ''")
+    rules = written(rules.select(F.struct("_row", "_alias", F.col("_end").alias("_name")).alias("_at"), "_alias", "_end").distinct(), "aliases")
+    both = rules.select(F.col("_alias").alias("_k"), "_at", F.lit(True).alias("_rule"), "_end").unionByName(rules.select(F.col("_end").alias("_k"), "_at", F.lit(False).alias("_rule"), "_end"))
+    later = Window.partitionBy("_k").orderBy(F.desc("_at"), "_rule").rowsBetween(Window.unboundedPreceding, -1)
+    follow = both.withColumn("_next", F.last(F.when(F.col("_rule"), F.col("_at")), ignorenulls=True).over(later)).filter("not _rule").select("_at", "_next")
+    # a rule of a name to itself stands before itself in the window
+    now = written(rules.join(follow, "_at"), "aliases")
+    while not now.filter("_next is not null").isEmpty():
+        then = now.select(F.col("_at").alias("_next"), F.col("_next").alias("_after"), F.col("_end").alias("_far"))
+        now = written(now.join(then, "_next", "left").select("_at", "_alias", F.coalesce("_far", "_end").alias("_end"), F.col("_after").alias("_next")), "aliases")
+    return now.drop("_next")
+
+
 def resolve_aliases(rows: DataFrame, manual: DataFrame | None = None, record: str = "record_id", subject: str = "subject") -> DataFrame:
     """subject -> participant_id. A suffix note is cut; a generic name takes the one proper name of its record; a manual alias wins over both.
 
     alias_source: empty, suffix_note, record_id or manual. manual: (alias, participant_id) and,
-    where it has one, a number `row`: of the aliases that are the subject or
-    what it has become, the last by row wins (else the last in the order of the files).
+    where it has one, a number `row` (else the order of the files counts; equal rows go by alias and name).
+    Rules act one after another: each on rows whose raw subject is its alias and on rows that the rules
+    before it have given that name. Every alias of the raw subject acts in the end, so the last of them
+    starts a chain; else the first rule of the present name does. Chains only go forward, so circles end.
     """
     bare = C.without_note(subject)
     name = F.lower(F.trim(F.col("_base")))
@@ -230,12 +253,10 @@ def resolve_aliases(rows: DataFrame, manual: DataFrame | None = None, record: st
     taken = F.col("_generic") & F.col("_name").isNotNull()
     out = out.withColumns({"_now": F.when(taken, F.col("_name")).otherwise(F.col("_base")), "_raw": F.trim(F.col(subject).cast("string"))})
     if manual is not None:
-        at = F.col("row") if "row" in manual.columns else F.monotonically_increasing_id()
-        named = manual.select(F.trim("alias").alias("_alias"), F.trim("participant_id").alias("_to"), at.cast("long").alias("_at")).filter("_alias <> '' and _to <> ''")
-        last = small(named.groupBy("_alias").agg(F.max(F.struct("_at", "_to")).alias("_m")), DIMENSION_ROWS)
-        for mine, to in (("_raw", "_m1"), ("_now", "_m2")):
-            out = out.join(last.select(F.col("_alias").alias(mine), F.col("_m").alias(to)), mine, "left")
-        out = out.withColumn("_manual", F.greatest("_m1", "_m2")["_to"]).drop("_m1", "_m2")
+        rules = alias_chains(manual)
+        first, last = rules.groupBy("_alias").agg(F.min_by("_end", "_at").alias("_m2")), rules.groupBy("_alias").agg(F.max_by("_end", "_at").alias("_m1"))
+        out = out.join(last.withColumnRenamed("_alias", "_raw"), "_raw", "left").join(first.withColumnRenamed("_alias", "_now"), "_now", "left")
+        out = out.withColumn("_manual", F.coalesce("_m1", "_m2")).drop("_m1", "_m2")
     else:
         out = out.withColumn("_manual", F.lit(None).cast("string"))
     pid = F.coalesce("_manual", "_now")

@@ -43,6 +43,12 @@ def _metric(by: str, gap: float = 3 * _DAY) -> list[str]:
 
 
 _K = "participant_id, scene_id"
+#: For each log variance ratio u of `start`: the profile of a random-intercept model with one slope, from sums by group size.
+_LMM = """SELECT *, syy_ - b0 * y1 - b1 * y2 AS rss FROM (SELECT *, (a22 * y1 - a12 * y2) / (a11 * a22 - a12 * a12) AS b0, (a11 * y2 - a12 * y1) / (a11 * a22 - a12 * a12) AS b1
+ FROM (SELECT i, u, h, n, groups, n - sum(w * m * m * k) AS a11, any_value(sx) - sum(w * m * gx) AS a12, any_value(sxx) - sum(w * gxx) AS a22, any_value(sy) - sum(w * m * gy) AS y1, any_value(sxy) - sum(w * gxy) AS y2,
+ any_value(syy) - sum(w * gyy) AS syy_, sum(k * ln(1 + m * exp(u))) AS ld FROM (SELECT q.*, z.*, c.n, c.groups, c.sx, c.sy, c.sxx, c.sxy, c.syy, exp(u) / (1 + m * exp(u)) AS w FROM ({start}) q, z, c) GROUP BY i, u, h, n, groups))"""
+_NEWTON = """SELECT i, b0, b1, sum(s - n * q) AS g0, sum(x * (s - n * q)) AS g1, sum(n * q * (1 - q)) AS h00, sum(x * n * q * (1 - q)) AS h01, sum(x * x * n * q * (1 - q)) AS h11
+ FROM (SELECT r.*, p.*, 1 / (1 + exp(-b0 - b1 * x)) AS q FROM r, p)"""
 _ANSWERS = """a AS (SELECT o_custkey::VARCHAR AS participant_id, l_orderkey AS scene_id, CASE o_orderstatus WHEN 'F' THEN 15 WHEN 'O' THEN 45 WHEN 'P' THEN 75 END AS WWR,
  l_quantity AS S1, l_discount * 100 AS S2, l_tax * 100 AS S3, l_linenumber::DOUBLE AS S4, c_mktsegment AS ExperienceGroup, l_returnflag AS Complexity
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
@@ -98,6 +104,20 @@ _GENDER = "CASE WHEN Gender IN ('男', 'man') THEN 'Male' WHEN Gender IN ('F', '
 
 ORACLE_SQL: dict[str, str] = {
     "aoi_metrics": _with(_GAZE, _VALID, _EDGES, _NAMES, _HITS, "b AS (SELECT * FROM v)", *_metric(_K), select=_metric_columns),
+    "batch_from_files": _with(_GAZE, f"v AS (SELECT * REPLACE ('P' || (participant_id::BIGINT % 10) AS participant_id) FROM g WHERE x BETWEEN 0 AND {SCREEN[0]} AND y BETWEEN 0 AND {SCREEN[1]})", _EDGES, _NAMES, _HITS, "b AS (SELECT * FROM v)", *_metric(_K),
+        select=f"SELECT {_K}, class_name, samples, fc AS FC, round(tfd, 6) AS TFD, ttff AS TTFF, ffd AS FFD, round(mfd, 6) AS MFD, rff AS RFF, fc > 0 OR samples > 0 AS visited, round(tfd / nullif(total_tfd, 0), 6) AS attention_share, round(fc / total_fc, 6) AS FC_share, round(fc / nullif(dur_s, 0), 6) AS FC_rate FROM a WHERE participant_id <> 'P9'"),
+    "batch_file_qc": _with(_GAZE, select="SELECT 'P' || (participant_id::BIGINT % 10) AS participant_id, scene_id, false AS missing_eye_file, false AS missing_aoi_file, count(*) AS sample_count, min(t_ms)::DOUBLE AS first_ts, max(t_ms)::DOUBLE AS last_ts, (max(t_ms) - min(t_ms))::DOUBLE AS duration_ms, ceil((max(t_ms) - min(t_ms)) / 2000)::BIGINT AS timebin_count FROM g GROUP BY ALL"),
+    "lmm_slope": _with(_ANSWERS, "d AS (SELECT participant_id AS g, S4 AS x, S1 + 3 * (participant_id::BIGINT % 7) AS y FROM a WHERE S4 IS NOT NULL AND S1 IS NOT NULL)",
+        "c AS (SELECT count(*) AS n, count(DISTINCT g) AS groups, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM d)",
+        "s AS (SELECT count(*)::DOUBLE AS m, sum(x) AS gx, sum(y) AS gy FROM d GROUP BY g)",
+        "z AS (SELECT m, count(*) AS k, sum(gx) AS gx, sum(gy) AS gy, sum(gx * gx) AS gxx, sum(gx * gy) AS gxy, sum(gy * gy) AS gyy FROM s GROUP BY m)",
+        f"r AS (SELECT 0 AS i, -14.0::DOUBLE AS lo, 14.0::DOUBLE AS hi UNION ALL SELECT i + 1, u - h, u + h FROM (SELECT *, row_number() OVER (ORDER BY n * ln(rss / n) + ld, u) AS rk FROM ({_LMM.format(start='SELECT i, lo + (hi - lo) * j / 20 AS u, (hi - lo) / 20 AS h FROM r, (SELECT unnest(range(0, 21)) AS j) WHERE i < 13')})) WHERE rk = 1)",
+        f"f AS ({_LMM.format(start='SELECT 0 AS i, (lo + hi) / 2 AS u, 0.0 AS h FROM r WHERE i = 13')})",
+        select="SELECT unnest(['Intercept', 'S4']) AS term, round(unnest([b0, b1]), 4) AS estimate, round(sqrt(rss / n * unnest([a22, a11]) / (a11 * a22 - a12 * a12)), 4) AS se, n, groups AS n_groups, round(exp(u) * rss / n, 4) AS group_variance FROM f").replace("WITH ", "WITH RECURSIVE ", 1),
+    "logit_slope": _with(_ANSWERS, "p AS (SELECT S4 AS x, count(*)::DOUBLE AS n, count_if(S1 + 3 * S4 > 30)::DOUBLE AS s FROM a WHERE S4 IS NOT NULL AND S1 IS NOT NULL GROUP BY S4)",
+        f"r AS (SELECT 0 AS i, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 UNION ALL SELECT i + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM ({_NEWTON} WHERE i < 25 GROUP BY i, b0, b1))",
+        f"f AS ({_NEWTON} WHERE i = 25 GROUP BY i, b0, b1)",
+        select="SELECT unnest(['Intercept', 'S4']) AS term, round(unnest([b0, b1]), 5) AS estimate, round(sqrt(unnest([h11, h00]) / (h00 * h11 - h01 * h01)), 5) AS se, (SELECT sum(n)::BIGINT FROM p) AS n FROM f").replace("WITH ", "WITH RECURSIVE ", 1),
     "aoi_metrics_rows_mode": _with(_GAZE, _VALID, _EDGES, _NAMES, _HITS, f"t AS (SELECT {_K}, sum(fix_dur) AS total FROM v GROUP BY ALL)", f"m AS (SELECT {_K}, class_name, count(*) AS n, sum(fix_dur) AS d FROM h GROUP BY ALL)",
         select=f"SELECT {_K}, class_name, 1 AS polygon_id, coalesce(n, 0) AS samples, round(d, 6) AS TFD, round(d / nullif(total, 0), 6) AS attention_share FROM t CROSS JOIN c LEFT JOIN m USING ({_K}, class_name)"),
     "whole_scene": _with(_GAZE, _VALID, f"f AS (SELECT {_K}, fix_id, max(fix_dur) AS d, count(*) AS n FROM v GROUP BY ALL)", f"t AS (SELECT {_K}, CASE WHEN count(*) > 1 THEN (max(t_ms) - min(t_ms)) / 1000.0 END AS s FROM v GROUP BY ALL)",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coding as C
 from ..functions import geometry
-from ..operators import clock, diagnostics, models, qc, scales, signal, trial
+from ..operators import batch, clock, diagnostics, models, qc, scales, signal, trial
 from ..operators import gaze as G
 from ..operators import timebin as T
 from ..sources import discovery
@@ -404,6 +404,32 @@ def logit(spark, sf_dir):
     return rounded(models.fit_models(a, ("visited",), ("C(Complexity)", "S2"), "logit"), 4)
 
 
+def batch_from_files(spark, sf_dir):
+    """From the files that a manifest names to class metrics."""
+    manifest = S.gaze_files(spark, sf_dir)
+    people = manifest.select("participant_id").distinct().withColumn("exclude", F.when(F.col("participant_id") == "P9", "yes"))
+    out = batch.run_batch(spark, manifest, people, screen=S.SCREEN, gap_ms=3 * DAY)["class"]
+    return rounded(out.select("participant_id", "scene_id", "class_name", "samples", "FC", "TFD", "TTFF", "FFD", "MFD", "RFF", "visited", "attention_share", "FC_share", "FC_rate"))
+
+
+def batch_file_qc(spark, sf_dir):
+    """What each file of a manifest holds."""
+    manifest = S.gaze_files(spark, sf_dir)
+    out = batch.run_batch(spark, manifest, manifest.select("participant_id", F.lit("").alias("exclude")))["qc"]
+    return rounded(out.select("participant_id", "scene_id", "missing_eye_file", "missing_aoi_file", "sample_count", "first_ts", "last_ts", "duration_ms", "timebin_count"))
+
+
+def lmm_slope(spark, sf_dir):
+    """A mixed model that SQL can fit as well: one slope."""
+    a = S.answers(spark, sf_dir).withColumn("y", F.col("S1") + 3 * (F.col("participant_id").cast("long") % 7))
+    return rounded(models.fit_models(a, ("y",), ("S4",)).select("term", "estimate", "se", "n", "n_groups", "group_variance"), 4)
+
+
+def logit_slope(spark, sf_dir):
+    a = S.answers(spark, sf_dir).withColumn("visited", F.col("S1") + 3 * F.col("S4") > 30)
+    return rounded(models.fit_models(a, ("visited",), ("S4",), "logit").select("term", "estimate", "se", "n"), 5)
+
+
 def model_families(spark, sf_dir):
     f = {"means": {"outcomes": ("S1", "absent"), "predictors": ("C(WWR)",), "kind": "ols"}, "mixed": {"outcomes": ("S3",), "predictors": ("C(WWR)", "S4"), "unit": "trial"}}
     return rounded(models.family_models(S.answers(spark, sf_dir), f), 4)

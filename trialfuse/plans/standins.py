@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import POINTS
+from ..sources.discovery import list_files
+from ..sources.scratch import new_path
 
 #: Polygons over x in 0-99 and y in 0-490; `notch` is not convex.
 POLYGONS = {
@@ -185,3 +187,24 @@ def manual_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_with_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An EEG scene summary by subject, with repeated keys and other names of its columns."""
     return eeg_scenes(spark, sf_dir).withColumnsRenamed({"participant_id": "subject_id", "rms_mean_uV": "O_alpha"}).withColumn("scene_id", F.col("scene_id") % 50)
+
+
+def gaze_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of CSV files that hold the samples of ten participants: one file a trial, three kinds of headers in other orders."""
+    g = gaze(spark, sf_dir).withColumn("_p", F.col("participant_id").cast("long") % 10)
+    g = g.withColumn("trial", F.concat_ws("_", F.concat(F.lit("P"), "_p"), "scene_id"))
+    kinds = (
+        {"Recording Time Stamp[ms]": "t_ms", "Gaze Point X[px]": "gx", "Gaze Point Y[px]": "gy", "Fixation Index": "fix_id", "Fixation Duration[ms]": "fix_dur"},
+        {"FixationIndex": "fix_id", "Y": "gy", "X": "gx", "FixationDuration[ms]": "fix_dur", "time_ms": "t_ms"},
+        {"fixation_duration_ms": "fix_dur", "Other": "type", "timestamp_ms": "t_ms", "GazePointY[px]": "gy", "GazePointX[px]": "gx", "fixation_index": "fix_id"},
+    )
+    root = new_path(spark, "gaze")
+    for i, kind in enumerate(kinds):
+        own = g.filter(F.col("_p") % 3 == i).repartition("trial").sortWithinPartitions("trial", "seq")
+        own.select("trial", *[F.col(c).alias(name) for name, c in kind.items()]).write.partitionBy("trial").option("header", True).csv(f"{root}/kind{i}")
+    polygon = lambda p: "[{\"points\": [" + ", ".join(f"[{x}, {y}]" for x, y in p) + "]}]"
+    text = "{\"aoi_classes\": {" + ", ".join(f"\"{n}\": {polygon(p)}" for n, p in POLYGONS.items()) + "}}"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{root}/aoi")
+    aoi = list_files(spark, f"{root}/aoi", "*.txt").first()["path"]
+    trial = F.split(F.regexp_extract("path", r"trial=([^/]+)/", 1), "_")
+    return list_files(spark, root, "*.csv").select(trial[0].alias("participant_id"), trial[1].alias("scene_id"), F.col("path").alias("eye_csv_path"), F.lit(aoi).alias("aoi_json_path"))
