@@ -286,17 +286,42 @@ def test_toxicity_of_the_query_table(spark):
     assert sum(r.predicted for r in got if not r.toxic) <= 0.01 * len(got)
 
 
+def test_recall_on_the_larger_table(spark):
+    """112 of 120 held-out toxic documents; with terms in 2 % of the toxic ones alone it were 105."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity(docs, labels).filter("held_out").join(labels, "doc_id").filter("toxic is not null").collect()
+    hit = sum(r.predicted for r in got if r.toxic)
+    assert hit >= 0.9 * sum(r.toxic for r in got)
+    assert hit >= 0.98 * sum(r.predicted for r in got)
+
+
+def test_short_words_and_copies(spark):
+    """A toxic word of three letters is learned as a whole word; the words of a much copied toxic document are not."""
+    rnd = random.Random(5)
+    word = lambda: rnd.choice("abcdefghij") + rnd.choice("klmnop") * 2 + rnd.choice("stuvw")
+    text = lambda *more: " ".join(rnd.sample([*(word() for _ in range(20)), *more], 20 + len(more)))
+    rows = [(i, text("zox") if i % 4 == 0 else text("zoxes"), int(i % 4 == 0)) for i in range(400)]
+    copy = text("unusual", "zox")
+    rows += [(1000 + i, copy, 1) for i in range(30)] + [(2000, text("unusual"), 0)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame([(t, y) for _, t, y in rows], "text string, toxic int"))
+    assert "zox " in lexicon and not any("unusual".startswith(t) for t in lexicon)
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs_of(spark, [r[:2] for r in rows]), labels).collect()}
+    assert all(got[i] == y for i, _, y in rows)
+
+
 def test_toxicity_values_match_brute_force():
     """Hits by scanning for each word start, instead of by the automaton."""
     lexicon, spared = {"moron": 2.5, "scum": 1.5, "verm": 3.0}, ("control vermin", "pond scum")
+    lexicon["ass "] = 1.25
     m = toxicity.Matcher(lexicon, spared)
-    texts = [t for _, t, _ in toxic_rows(200, 9)] + ["", None, "SCUM!", "pond  scum, scum", "x" * 200_000 + " scum", "scum " * 50_000, "control vermin moron"]
+    texts = ["ass", "assist a ass. pass", "bad ass"] + [t for _, t, _ in toxic_rows(200, 9)] + ["", None, "SCUM!", "pond  scum, scum", "x" * 200_000 + " scum", "scum " * 50_000, "control vermin moron"]
     for t in texts:
         words = toxicity.fold(t).split()
         out = 0.0
         skip = {i + k for i in range(len(words)) for p in spared if words[i : i + 2] == p.split() for k in (0, 1)}
         for i, w in enumerate(words):
-            out += sum(v for x, v in lexicon.items() if w.startswith(x)) if i not in skip else 0
+            out += sum(v for x, v in lexicon.items() if f"{w} ".startswith(x)) if i not in skip else 0
         assert m.value(t)[0] == pytest.approx(out / math.log2(16 + len(words))) and m.value(t)[2] == len(words)
 
 

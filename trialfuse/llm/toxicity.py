@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,11 @@ from .common import map_arrow, settle, with_row_ids
 
 #: Labelled rows that are learned from at most: those of the smallest hashed ids.
 SAMPLE_ROWS = 40_000
+#: Lengths of stems; shorter words are terms as a whole.
 STEMS = range(4, 10)
-LEAST_SHARE, LEAST_DOCS, PRECISION = 0.02, 5, 0.95
+#: A term stands in so many toxic documents and between so many different pairs of words there, whatever the size of the
+#: table, and its rate in toxic documents is this share of both classes' rates together.
+LEAST_DOCS, PRECISION = 5, 0.95
 THRESHOLD = 0.3
 #: Spans of these are never counted, besides the exceptions that are learned: none, unless the caller names some.
 EXCEPTIONS: tuple[str, ...] = ()
@@ -51,8 +55,11 @@ def fold(text: str | None) -> str:
 
 
 def _terms(folded: str) -> set[str]:
-    words = set(folded.split())
-    return {w[:k] for w in words for k in STEMS if len(w) >= k}
+    return {t for w in set(folded.split()) for t in _terms_of(w)}
+
+
+def _terms_of(word: str) -> list[str]:
+    return [word[:k] for k in STEMS if len(word) >= k] if len(word) >= STEMS.start else [f"{word} "]
 
 
 def _sample(labels: DataFrame, rows: int) -> DataFrame:
@@ -63,7 +70,11 @@ def _sample(labels: DataFrame, rows: int) -> DataFrame:
 
 
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
-    """Stems at word starts with log-odds weights. train: (text, toxic)."""
+    """Stems at word starts, and whole short words, with log-odds weights. train: (text, toxic).
+
+    Copies of a toxic document make all its words look toxic, so occurrences count once for each pair of words beside them.
+    If no term stands between five such pairs (all toxic documents are one text), documents alone count.
+    """
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[Counter] = [Counter(), Counter()]
@@ -90,8 +101,9 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     if not n or not p:
         return {}
     rate = (F.col("pos") / p) / (F.col("pos") / p + F.col("neg") / n)
-    least = max(LEAST_DOCS, LEAST_SHARE * p)
-    found = counts.filter((F.col("term") != "") & (F.col("pos") >= least) & (rate >= PRECISION)).collect()
+    found = counts.filter((F.col("term") != "") & (F.col("pos") >= LEAST_DOCS) & (rate >= PRECISION)).collect()
+    places = _neighbourhoods(train, frozenset(r.term for r in found))
+    found = [r for r in found if places.get(r.term, 0) >= LEAST_DOCS] or found
     weight = {r.term: math.log((r.pos + 0.5) / (p + 1)) - math.log((r.neg + 0.5) / (n + 1)) for r in found}
     # a stem covers the longer ones; it is made longer where that costs hardly any document
     seen = {r.term: r.pos for r in found}
@@ -100,6 +112,25 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     return {x: weight[x] for x in whole.values()}
 
 
+def _neighbourhoods(train: DataFrame, terms: frozenset[str]) -> dict[str, int]:
+    """Different pairs of neighbours of each term in toxic documents."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            met = set()
+            for x in b.column(0):
+                words = ["", *fold(x.as_py()).split(), ""]
+                for i in range(1, len(words) - 1):
+                    own = [t for t in _terms_of(words[i]) if t in terms]
+                    if own:
+                        beside = xxhash.xxh64_intdigest(f"{words[i - 1]} {words[i + 1]}") - (1 << 63)
+                        met.update((t, beside) for t in own)
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in met], pa.string()), pa.array([m[1] for m in met], pa.int64())], names=["term", "beside"])
+
+    found = map_arrow(train.filter("toxic > 0").select("text"), fn, "term string, beside long").distinct().groupBy("term").count()
+    return {r[0]: r[1] for r in found.collect()}
+
+
 class Matcher:
     def __init__(self, lexicon: dict[str, float], exceptions: tuple[str, ...]):
         import ahocorasick
@@ -177,8 +208,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
     Labels are learned from rows whose crc32(doc_id as text) mod 4 is not 2,
     at most `sample_rows` of them (those of the smallest hashed ids; a label
-    given twice counts once, the higher). Lexicon: stems at word starts that
-    are frequent in toxic documents and rare elsewhere, weighted by log-odds.
+    given twice counts once, the higher). Lexicon: stems at word starts, and
+    whole words of up to three letters, that stand in five toxic documents, between five different pairs
+    of neighbours there, and are rare elsewhere; both numbers are the same at every size. Weights are log-odds.
     Homoglyphs and digit substitutions are folded before words are counted or
     matched. A document's weights are summed, without hits inside exception
     phrases, divided by the log of its length, and a logistic curve fitted on
@@ -192,7 +224,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     """
     own = with_row_ids(docs)
     sample = settle(_sample(labels, sample_rows), "sample")
-    train = own.join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    train = settle(own.join(F.broadcast(sample), "doc_id").select("text", "toxic"), "train")  # at most sample_rows ids
     lexicon = learn_lexicon(train)
     exceptions = (*exceptions, *learn_exceptions(train, lexicon))
     made: list[Matcher] = []
