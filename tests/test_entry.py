@@ -1,3 +1,4 @@
+import random
 import re
 import subprocess
 import sys
@@ -5,9 +6,11 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from trialfuse.operators import gaze, timebin
 from trialfuse.plans import oracle, queries
 from trialfuse.streaming import gaze_stream
 
@@ -63,6 +66,37 @@ def test_streams_run(spark, tmp_path):
     assert sorted(r.samples for r in spark.read.parquet(str(tmp_path / "segments")).collect()) == [2, 4]
 
 
+def test_streams_with_a_state_equal_the_batch(spark, tmp_path):
+    """Bins from the trial's start and strict gaps, rows out of order, a restart from the checkpoint, and a row that is too late."""
+    rnd = random.Random(2)
+    rows = [(p, float(t), rnd.randrange(4)) for p in ("a", "b") for t in sorted(rnd.sample(range(0, 60_000, 250), 60)) + [70_000, 75_000, 80_001]]
+    rows.sort(key=lambda r: r[1])
+    cut = [rows[:50], rows[50:90], rows[90:]]
+    for c in cut:
+        rnd.shuffle(c)
+    cut[2] += [("a", 100.0, 9), ("z", 10_000_000.0, 0)]  # too late; and one that moves the watermark on
+    schema = "p string, t double, fix_id long"
+    stamp = F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("t").cast("long"))
+    frames = [spark.createDataFrame(c, schema).select("p", stamp.alias("ts"), "fix_id").coalesce(1) for c in cut]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = {"bins": gaze_stream.trial_bins(stream, ["p"], bin_ms=2000.0, delay="5 seconds"), "segments": gaze_stream.trial_segments(stream, ["p"], gap_ms=5000.0, delay="5 seconds")}
+    for n in ([0, 1], [2]):  # a query for each part, over the same checkpoint
+        for i in n:
+            frames[i].write.mode("append").parquet(str(tmp_path / "in"))
+        for name, out in made.items():
+            q = out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}_state")).trigger(availableNow=True).start()
+            assert q.awaitTermination(120)
+    g = spark.createDataFrame(rows, schema).withColumns({"scene_id": F.lit(1), "t_ms": F.col("t"), "clock_ms": F.col("t"), "participant_id": F.col("p"), "seq": F.row_number().over(Window.partitionBy("p").orderBy("t"))})
+    want = timebin.assign_bins(g, 2000.0).groupBy("p", F.col("bin_index").cast("long")).agg(F.count(F.lit(1)), F.count_distinct("fix_id"))
+    got = spark.read.parquet(str(tmp_path / "bins")).filter("p <> 'z'")
+    assert sorted(map(tuple, got.select("p", "bin_index", "samples", "fixations").collect())) == sorted(map(tuple, want.collect()))
+    want = gaze.segments(g, gap_ms=5000.0).groupBy("p", "segment").agg(F.min("t"), F.max("t"), F.count(F.lit(1)))
+    got = spark.read.parquet(str(tmp_path / "segments")).filter("p <> 'z'")
+    assert sorted((r.p, r.segment, r.start_ms - 1_700_000_000_000, r.end_ms - 1_700_000_000_000, r.samples) for r in got.collect()) == sorted(map(tuple, want.collect()))
+    assert max(r.segment for r in got.collect()) > 1
+
+
 def test_nothing_outside_llm_imports_it():
     for p in (ROOT / "trialfuse").rglob("*.py"):
         if "llm" not in p.parts:
