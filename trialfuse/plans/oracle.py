@@ -240,6 +240,14 @@ SELECT participant_id, unnest([1, 6, 7, 12])::BIGINT AS scene_id, unnest([NULL,
 SELECT unnest(['eye_csv_count', 'eye_subject_count_raw', 'eye_scene_folder_count', 'eye_aoi_json_count', 'eye_missing_aoi_json_rows', 'eye_subject_count_after_alias', 'eye_suffix_note_alias_rows', 'aliased_eye_rows', 'eeg_set_count', 'eeg_fdt_count', 'matched_subject_count']) AS metric,
  unnest([n, raws, folders, 0, n, whos, notes, notes, (SELECT count(*) FROM g), (SELECT count_if(ok) FROM g), (SELECT count(DISTINCT s.who) FROM s JOIN g USING (who))])::BIGINT AS n
 FROM (SELECT count(*) AS n, count(DISTINCT raw) AS raws, count(DISTINCT f) AS folders, count(DISTINCT who) AS whos, count_if(p_partkey % 7 = 0) AS notes FROM s)""",
+    "recording_lists": f"""WITH s AS (SELECT *, 'name' || p_partkey % 40 AS who, 'name' || p_partkey % 40 || CASE WHEN p_partkey % 7 = 0 THEN '-12-3' ELSE '' END AS raw FROM ({_LISTING}) WHERE NOT contains(f, '适应') AND path NOT LIKE '%notes%'),
+ g AS (SELECT 'name' || c_custkey AS who FROM customer WHERE c_custkey % 3 > 0), q AS (SELECT 'name' || c_custkey AS who FROM customer WHERE c_custkey % 4 > 0)
+SELECT DISTINCT 'eye_only_subjects' AS list, who AS value FROM s WHERE who NOT IN (FROM g) UNION ALL SELECT 'eeg_only_subjects', who FROM g WHERE who NOT IN (SELECT who FROM s)
+UNION ALL SELECT DISTINCT 'eye_suffix_note_alias_subjects', raw FROM s WHERE raw <> who UNION ALL SELECT DISTINCT 'scene_folders', f FROM s
+UNION ALL SELECT DISTINCT 'questionnaire_missing_for_eye_subjects', who FROM s WHERE who NOT IN (FROM q)""",
+    "alias_list": f"""SELECT DISTINCT 'name' || p_partkey % 40 || '-12-3' AS subject, 'name' || p_partkey % 40 AS participant_id, strftime(DATE '2026-04-01' + (p_partkey % 60)::INT, '%y%m%d') || '1200' AS record_id, 'suffix_note' AS alias_source
+FROM ({_LISTING}) WHERE NOT contains(f, '适应') AND path NOT LIKE '%notes%' AND p_partkey % 7 = 0""",
+    "run_summary": _with(_GAZE, _VALID, select=f"SELECT unnest(['gaze_valid', 'trials', 'answers', 'eeg_scenes']) AS stage, unnest([(SELECT count(*) FROM v), (SELECT count(*) FROM (SELECT DISTINCT {_K} FROM v)), (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey), (SELECT count(*) FROM orders)]) AS rows"),
     "segment_marks": _with(_SEGS, select="SELECT subject_id, ev_ix, round((end_latency / 1000 - latency / 1000) / 3600.0, 6) AS view_dur_s, false AS near_boundary, coalesce((end_latency / 1000 - latency / 1000) / 3600.0 >= 0.5, false) AS segment_valid_duration FROM k2"),
     "band_power": """WITH s AS (SELECT vec_id AS segment, 'roi' || label AS roi, i - 1 AS t, embedding[i]::DOUBLE * (0.54 - 0.46 * cos(2 * pi() * (i - 1) / 63)) AS y FROM (SELECT vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
 p AS (SELECT segment, roi, k / 2.0 AS f, (sum(y * cos(2 * pi() * k * t / 64)) ** 2 + sum(y * sin(2 * pi() * k * t / 64)) ** 2) * 2 / (32.0 * (SELECT sum((0.54 - 0.46 * cos(2 * pi() * j / 63)) ** 2) FROM range(64) r(j))) AS v FROM s, (SELECT unnest(range(1, 32)) AS k) GROUP BY segment, roi, k),

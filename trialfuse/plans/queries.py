@@ -12,7 +12,8 @@ from ..functions import geometry
 from ..operators import batch, clock, diagnostics, models, qc, scales, signal, trial
 from ..operators import gaze as G
 from ..operators import timebin as T
-from ..sources import discovery
+from ..sources import discovery, io
+from ..sources.scratch import new_path
 from ..streaming import gaze_stream
 from . import standins as S
 
@@ -613,6 +614,27 @@ def recording_summary(spark, sf_dir):
     return discovery.recording_summary(scanned, trial.resolve_aliases(scanned), signals)
 
 
+def _named_recordings(spark, sf_dir):
+    return trial.resolve_aliases(discovery.scan_gaze(S.listing(spark, sf_dir)))
+
+
+def recording_lists(spark, sf_dir):
+    c = S.table(spark, sf_dir, "customer")
+    name = F.concat(F.lit("name"), F.col("c_custkey"))
+    return discovery.recording_lists(_named_recordings(spark, sf_dir), c.select((name).alias("stem")).filter(F.col("c_custkey") % 3 > 0), c.select(name.alias("participant_id")).filter(F.col("c_custkey") % 4 > 0))
+
+
+def alias_list(spark, sf_dir):
+    return discovery.alias_list(_named_recordings(spark, sf_dir))
+
+
+def run_summary(spark, sf_dir):
+    """Rows of each stage, as its own write counts them."""
+    trials = _valid(spark, sf_dir)
+    stages = {"gaze_valid": trials, "trials": trials.select("participant_id", "scene_id").distinct(), "answers": S.answers(spark, sf_dir), "eeg_scenes": S.eeg_scenes(spark, sf_dir)}
+    return io.write_stages(stages, new_path(spark, "stages")).select("stage", "rows")
+
+
 def segment_marks(spark, sf_dir):
     seg = signal.marker_segments(S.markers(spark, sf_dir).withColumn("latency", F.col("latency") / 1000), STATES)
     return rounded(signal.segment_marks(seg, 3600.0, 0.5).select("subject_id", "ev_ix", "view_dur_s", "near_boundary", "segment_valid_duration"))
