@@ -486,3 +486,26 @@ def test_logit_from_patterns(spark, monkeypatch, most):
     assert np.allclose(fit.se, np.sqrt(np.diag(np.linalg.inv((d * (p * (1 - p))[:, None]).T @ d))))
     assert models.fit_logit(df.withColumn("y", F.col("x") > 2), "y", models.design(df, models.parse_terms(["x"]))) is None
     assert models.fit_logit(df.filter("y"), "y", cols) is None
+
+
+def test_band_power_by_windows(spark):
+    """Segments of one and of many windows, odd lengths, gaps in the samples, two channels; against the whole signal."""
+    rng, fs = np.random.default_rng(1), 20.0
+    rows, want = [], {}
+    for seg, n in (("a", 400), ("b", 40), ("c", 41), ("d", 25), ("e", 19), ("f", 397)):
+        x = rng.normal(size=(n, 2))
+        x[rng.random(n) < 0.1] = np.nan
+        rows += [(seg, "F", f"c{c}", i, float(x[i, c])) for i in range(n) for c in range(2)]
+        mean = x.mean(axis=1)
+        mean = mean[np.isfinite(mean)]
+        if len(mean) >= 20:
+            f, p = signal.welch_psd(mean, fs)
+            want[seg] = {b: float(np.trapezoid(p[(f >= lo) & (f <= hi)], f[(f >= lo) & (f <= hi)])) for b, (lo, hi) in signal.BANDS.items() if ((f >= lo) & (f <= hi)).sum() > 1}
+    df = spark.createDataFrame(rows, "segment string, roi string, channel string, sample_ix long, uV double")
+    got = {r.segment: r for r in signal.band_power(df, fs).collect()}
+    assert set(got) == set("abcdef") and got["e"].theta is None and "a" in want
+    for seg, bands in want.items():
+        assert all(got[seg][b] == pytest.approx(v) for b, v in bands.items())
+    table = {r.segment: r for r in signal.segment_table(df, fs).collect()}
+    assert table["a"].F_theta == pytest.approx(got["a"].theta) and table["a"].F_TAR == pytest.approx(got["a"].TAR) and table["a"].nan_fraction > 0
+    assert table["a"].hf_ratio_20_40Hz is None and not table["a"].eeg_legacy_hf_flag

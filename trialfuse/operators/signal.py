@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,41 +56,75 @@ def segment_marks(segments: DataFrame, fs: float, min_s: float = 1.0) -> DataFra
     return segments.withColumns({"view_dur_s": seconds, "near_boundary": near, "segment_valid_duration": F.coalesce(seconds >= min_s, F.lit(False))})
 
 
-def welch_psd(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
-    """Averaged periodograms: Hamming windows of two seconds (at least 8 samples), half overlapping, no detrending."""
-    win = min(len(x), max(int(2 * fs), 8))
+def window_of(n: int, fs: float) -> tuple[int, int]:
+    """(samples of a window, step to the next): two seconds, at least 8 samples, at most all; half overlapping."""
+    win = min(n, max(int(2 * fs), 8))
+    return win, win - win // 2
+
+
+def periodograms(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """(frequencies, one-sided power of each row) of windows of equal length: Hamming, no detrending."""
+    win = x.shape[1]
     nfft = max(1 << (win - 1).bit_length(), win)
     w = np.hamming(win)
-    step = win - win // 2
-    parts = np.stack([x[i : i + win] * w for i in range(0, len(x) - win + 1, step)])
-    p = (np.abs(np.fft.rfft(parts, nfft, axis=1)) ** 2).mean(axis=0) / (fs * (w * w).sum())
-    p[1 : -1 if nfft % 2 == 0 else None] *= 2
+    p = np.abs(np.fft.rfft(x * w, nfft, axis=1)) ** 2 / (fs * (w * w).sum())
+    p[:, 1 : -1 if nfft % 2 == 0 else None] *= 2
     return np.fft.rfftfreq(nfft, 1 / fs), p
 
 
+def welch_psd(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """Averaged periodograms of the whole signal."""
+    win, step = window_of(len(x), fs)
+    f, p = periodograms(np.stack([x[i : i + win] for i in range(0, len(x) - win + 1, step)]), fs)
+    return f, p.mean(axis=0)
+
+
 def band_power(samples: DataFrame, fs: float, by: Sequence[str] = ("segment",), roi: str = "roi", order: str = "sample_ix", value: str = "uV", bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
     """Band power of each segment and ROI: the mean signal over its channels, then Welch. Null under max(8, fs) finite samples.
 
-    A group is one segment of one ROI: its length is that of a recorded scene.
+    A row is one window of two seconds, however long the segment; tasks transform batches of windows, and as
+    the power of a band is linear in the spectrum, the mean over a segment's windows is its band power.
     """
-    names = list(bands)
-    v = F.when(~F.isnan(value), F.col(value))
-    mean = samples.groupBy(*by, roi, order).agg(F.avg(v).alias("_v"))
+    names, key = list(bands), [*by, roi]
+    mean = samples.groupBy(*key, order).agg(F.avg(F.when(~F.isnan(value), F.col(value))).alias("_v"))
+    known = mean.filter(F.abs("_v") < float("inf"))
+    known = known.withColumns({"_i": F.row_number().over(Window.partitionBy(*key).orderBy(order)).cast("long") - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*key))}).filter(F.col("_n") >= max(8, fs))
+    most = max(int(2 * fs), 8)
+    known = known.withColumn("_win", F.least(F.col("_n"), F.lit(most))).withColumn("_step", F.col("_win") - F.floor(F.col("_win") / 2))
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("_i") - F.col("_win") + 1) / F.col("_step")))
+    last = F.least(F.floor(F.col("_i") / F.col("_step")), F.floor((F.col("_n") - F.col("_win")) / F.col("_step")))
+    rows = known.withColumns({"_a": first, "_b": last}).filter("_a <= _b").withColumn("_k", F.explode(F.sequence("_a", "_b")))
+    windows = rows.groupBy(*key, "_k").agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_x")).select(*key, F.col("_x._v").alias("_x"))
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(len(key))
+            size, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
+            start = np.cumsum(size) - size
+            out = np.full((b.num_rows, len(names)), np.nan)
+            for win in np.unique(size):
+                at = np.flatnonzero(size == win)
+                f, p = periodograms(flat[start[at][:, None] + np.arange(win)[None, :]], fs)
+                for j, (lo, hi) in enumerate(bands.values()):
+                    use = (f >= lo) & (f <= hi)
+                    if use.sum() > 1:
+                        out[at, j] = np.trapezoid(p[:, use], f[use], axis=1)
+            columns = [pa.array(out[:, j], from_pandas=True) for j in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(key))), *columns], names=[*key, *names])
+
     fields = {f.name: f.dataType.simpleString() for f in mean.schema.fields}
-    schema = ", ".join([*[f"{c} {fields[c]}" for c in (*by, roi)], *[f"{b} double" for b in names]])
-
-    def fn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)["_v"].to_numpy(float)
-        x = x[np.isfinite(x)]
-        out = dict.fromkeys(names)
-        if len(x) >= max(8, fs):
-            f, p = welch_psd(x, fs)
-            for b, (lo, hi) in bands.items():
-                use = (f >= lo) & (f <= hi)
-                out[b] = float(np.trapezoid(p[use], f[use])) if use.sum() > 1 else None
-        return pd.DataFrame([[*key, *out.values()]], columns=[*by, roi, *names])
-
-    got = mean.groupBy(*by, roi).applyInPandas(fn, schema)
+    schema = ", ".join([*[f"`{c}` {fields[c]}" for c in key], *[f"`{b}` double" for b in names]])
+    power = windows.mapInArrow(fn, schema).groupBy(*key).agg(*[F.avg(b).alias(b) for b in names])
+    got = mean.select(*key).distinct().join(power, key, "left")
     if {"theta", "alpha", "beta"} <= set(names):
         got = got.withColumns({"TAR": ratio(F.col("theta"), F.col("alpha")), "TBR": ratio(F.col("theta"), F.col("beta")), "BA": ratio(F.col("beta"), F.col("alpha"))})
     return got
+
+
+def segment_table(samples: DataFrame, fs: float, by: Sequence[str] = ("segment",), roi: str = "roi", channel: str = "channel", order: str = "sample_ix", value: str = "uV", legacy: float = 0.4) -> DataFrame:
+    """One row for each segment: bands and ratios of each ROI side by side (F_theta, O_alpha, F_TBR, ...), the QC of signal_qc(), hf_ratio_20_40Hz and the legacy flag."""
+    power = band_power(samples, fs, by, roi, order, value)
+    rois = [r[0] for r in samples.select(roi).distinct().orderBy(roi).collect()]  # a handful
+    metrics = [c for c in power.columns if c not in (*by, roi)]
+    wide = power.groupBy(*by).agg(*[F.max(F.when(F.col(roi) == r, F.col(m))).alias(f"{r}_{m}") for r in rois for m in metrics])
+    return wide.join(signal_qc(samples, by, channel, value), list(by)).join(hf_ratio(samples, fs, by, order, value, legacy), list(by))

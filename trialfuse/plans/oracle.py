@@ -240,6 +240,10 @@ SELECT participant_id, unnest([1, 6, 7, 12])::BIGINT AS scene_id, unnest([NULL,
 SELECT unnest(['eye_csv_count', 'eye_subject_count_raw', 'eye_scene_folder_count', 'eye_aoi_json_count', 'eye_missing_aoi_json_rows', 'eye_subject_count_after_alias', 'eye_suffix_note_alias_rows', 'aliased_eye_rows', 'eeg_set_count', 'eeg_fdt_count', 'matched_subject_count']) AS metric,
  unnest([n, raws, folders, 0, n, whos, notes, notes, (SELECT count(*) FROM g), (SELECT count_if(ok) FROM g), (SELECT count(DISTINCT s.who) FROM s JOIN g USING (who))])::BIGINT AS n
 FROM (SELECT count(*) AS n, count(DISTINCT raw) AS raws, count(DISTINCT f) AS folders, count(DISTINCT who) AS whos, count_if(p_partkey % 7 = 0) AS notes FROM s)""",
+    "hf_ratio": """WITH s AS (SELECT vec_id AS segment, i - 1 AS t, embedding[i]::DOUBLE * (0.54 - 0.46 * cos(2 * pi() * (i - 1) / 63)) AS y FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+p AS (SELECT segment, k, (sum(y * cos(2 * pi() * k * t / 64)) ** 2 + sum(y * sin(2 * pi() * k * t / 64)) ** 2) * CASE WHEN k = 32 THEN 1 ELSE 2 END AS v FROM s, (SELECT unnest(range(1, 33)) AS k) GROUP BY segment, k),
+r AS (SELECT segment, sum(v * CASE WHEN k IN (20, 32) THEN 0.5 ELSE 1 END) FILTER (k >= 20) / sum(v * CASE WHEN k IN (1, 32) THEN 0.5 ELSE 1 END) AS share FROM p GROUP BY segment)
+SELECT segment, round(share, 6) AS hf_ratio_20_40Hz, share > 0.4 AS eeg_legacy_hf_flag FROM r""",
     "recording_lists": f"""WITH s AS (SELECT *, 'name' || p_partkey % 40 AS who, 'name' || p_partkey % 40 || CASE WHEN p_partkey % 7 = 0 THEN '-12-3' ELSE '' END AS raw FROM ({_LISTING}) WHERE NOT contains(f, '适应') AND path NOT LIKE '%notes%'),
  g AS (SELECT 'name' || c_custkey AS who FROM customer WHERE c_custkey % 3 > 0), q AS (SELECT 'name' || c_custkey AS who FROM customer WHERE c_custkey % 4 > 0)
 SELECT DISTINCT 'eye_only_subjects' AS list, who AS value FROM s WHERE who NOT IN (FROM g) UNION ALL SELECT 'eeg_only_subjects', who FROM g WHERE who NOT IN (SELECT who FROM s)

@@ -614,6 +614,10 @@ def recording_summary(spark, sf_dir):
     return discovery.recording_summary(scanned, trial.resolve_aliases(scanned), signals)
 
 
+def hf_ratio(spark, sf_dir):
+    return rounded(signal.hf_ratio(S.signal(spark, sf_dir), 64.0))
+
+
 def _named_recordings(spark, sf_dir):
     return trial.resolve_aliases(discovery.scan_gaze(S.listing(spark, sf_dir)))
 
