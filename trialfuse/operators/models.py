@@ -8,7 +8,8 @@ of a call are summed in one pass over the rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -50,15 +51,38 @@ def parse_terms(predictors: Sequence[str]) -> list[Term]:
     return out
 
 
-def design(df: DataFrame, terms: Sequence[Term]) -> list[tuple[str, Column]]:
+class Design(list):
+    """The (name, column) pairs of a design, and how to make its columns from fewer: `raw` are codes of factors (0 is the reference) and
+    numbers, `cells` has, for each pair, the raw columns whose product it is, each with the code that counts (None: the number itself).
+    `rows` is the number of rows that the levels were found in."""
+
+    def __init__(self, pairs: Sequence[tuple[str, Column]] = (), raw: Sequence[Column] = (), cells: Sequence[tuple] = (), rows: int = 0):
+        super().__init__(pairs)
+        self.raw, self.cells, self.rows = list(raw), list(cells), rows
+
+    @classmethod
+    def of(cls, cols: Sequence[tuple[str, Column]]) -> Design:
+        """Columns without a known origin are raw themselves."""
+        return cols if isinstance(cols, cls) else cls(cols, [c.cast("double") for _, c in cols], [((i, None),) for i in range(len(cols))])
+
+
+def seen_in(df: DataFrame, factors: Sequence[str], numbers: Sequence[str]) -> dict:
+    """_n: the rows; of each factor its sorted levels, of each number its least and greatest value. One pass: the ranges
+    of the numbers in each cell of the factors, then the levels and ranges of all cells."""
+    cells = df.groupBy(*[F.col(c).cast("string").alias(c) for c in factors]).agg(F.count(F.lit(1)).alias("_n"), *[f(C.num(c)).alias(f"_{n}_{c}") for c in numbers for n, f in (("lo", F.min), ("hi", F.max))])
+    return cells.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), *[F.array_sort(F.collect_set(c)).alias(c) for c in factors], *[F.array(F.min(f"_lo_{c}"), F.max(f"_hi_{c}")).alias(c) for c in numbers]).first().asDict()
+
+
+def design(df: DataFrame, terms: Sequence[Term], seen: dict | None = None) -> Design:
     """(name, column) of an intercept and each usable term: treatment coding, the first sorted level is the reference.
 
-    A term is kept only if all its columns exist with more than one value. One pass finds the levels of all factors.
+    A term is kept only if all its columns exist with more than one value. One pass finds the levels of all factors,
+    unless `seen` has them.
     """
     columns = {c: cat for t in terms for c, cat in t.factors.items() if c in df.columns}
     if not columns:
-        return [("Intercept", F.lit(1.0))]
-    seen = df.agg(*[(F.array_sort(F.collect_set(F.col(c).cast("string"))) if cat else F.array(F.min(C.num(c)), F.max(C.num(c)))).alias(c) for c, cat in columns.items()]).first()
+        return Design([("Intercept", F.lit(1.0))], [], [()])
+    seen = seen or seen_in(df, [c for c in columns if columns[c]], [c for c in columns if not columns[c]])
     levels: dict[str, list] = {}
     for c, cat in columns.items():
         values = list(seen[c] or [])
@@ -69,14 +93,21 @@ def design(df: DataFrame, terms: Sequence[Term]) -> list[tuple[str, Column]]:
         elif not cat and values and values[0] is not None and values[0] != values[1]:
             levels[c] = [None]
     out: list[tuple[str, Column]] = [("Intercept", F.lit(1.0))]
+    raw: dict[tuple[str, bool], Column] = {}
+    made: list[tuple] = [()]
     for t in terms:
         if any(c not in levels for c in t.factors):
             continue
-        cells: list[tuple[str, Column]] = [("", F.lit(1.0))]
+        cells: list[tuple[str, Column, tuple]] = [("", F.lit(1.0), ())]
         for c, cat in t.factors.items():
-            cells = [(f"{n}:{part}" if n else part, v * w) for n, v in cells for part, w in (((f"C({c})[T.{x}]", F.when(F.col(c).cast("string") == x, 1.0).when(F.col(c).isNotNull(), 0.0)) for x in levels[c]) if cat else [(c, C.num(c))])]
-        out += cells
-    return out
+            if (c, cat) not in raw:
+                raw[c, cat] = F.array_position(F.array(*[F.lit(x) for x in levels[c]]), F.col(c).cast("string")).cast("tinyint") if cat else C.num(c)
+            at = list(raw).index((c, cat))
+            parts = [(f"C({c})[T.{x}]", F.when(F.col(c).cast("string") == x, 1.0).when(F.col(c).isNotNull(), 0.0), (at, i)) for i, x in enumerate(levels[c], 1)] if cat else [(c, C.num(c), (at, None))]
+            cells = [(f"{n}:{part}" if n else part, v * w, (*from_, own)) for n, v, from_ in cells for part, w, own in parts]
+        out += [(n, v) for n, v, _ in cells]
+        made += [m for _, _, m in cells]
+    return Design(out, raw.values(), made, seen["_n"])
 
 
 #: log of the variance ratio at which groups are summed; between these points sums are interpolated to some 1e-11.
@@ -84,6 +115,8 @@ GRID_STEP, GRID_END, NEAR = 0.25, 17.0, 24
 GRID = np.arange(-GRID_END, GRID_END + GRID_STEP / 2, GRID_STEP)
 #: Up to so many distinct rows of a design are a table for the driver; beyond, each of Newton's steps is a job over them.
 PATTERNS = 100_000
+#: Sums of groups leave a task whenever they have this many bytes; and a task gathers the groups of so many rows.
+HELD_BYTES, ROWS_A_TASK = 64 << 20, 500_000
 
 
 def _independent(c: np.ndarray, k: int) -> list[int]:
@@ -144,82 +177,156 @@ def _group_sums(counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return np.concatenate([[len(counts), sizes.max()], np.concatenate([logdet[:, None], within], axis=1).ravel()])
 
 
+def _columns(raw: Sequence[np.ndarray], cells: Sequence[tuple], n: int) -> np.ndarray:
+    """The design's columns as rows of a matrix, from its raw columns; indicators and products of the first factors are made once."""
+    out, marks, done = np.empty((len(cells), n)), {}, {}
+    for i, parts in enumerate(cells):
+        for part in parts:
+            if part not in marks:
+                at, code = part
+                marks[part] = raw[at] if code is None else (raw[at] == code).astype(float)
+        if len(parts) < 2:
+            out[i] = marks[parts[0]] if parts else 1.0
+        else:
+            before = done[parts[:-1]] if parts[:-1] in done else math.prod((marks[x] for x in parts[1:-1]), start=marks[parts[0]])
+            np.multiply(before, marks[parts[-1]], out=out[i])
+        done[parts] = out[i]
+    return out
+
+
+class _Totals:
+    """Rows of sums by key."""
+
+    def __init__(self, width: int):
+        self.at: dict[str, int] = {}
+        self.sums = np.zeros((256, width))
+
+    def add(self, keys: Sequence[str], rows: np.ndarray) -> None:
+        """keys: without repeats"""
+        at = self.at
+        where = np.fromiter((at.setdefault(k, len(at)) for k in keys), np.int64, len(keys))
+        while len(at) > len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        self.sums[where] += rows
+
+    def rows(self) -> np.ndarray:
+        return self.sums[: len(self.at)]
+
+
 def sums_of(df: DataFrame, cols: Sequence[tuple[str, Column]], outcomes: Sequence[str], group: str | None) -> dict[str, Sums]:
     """Sums of each outcome over the rows that have it, all design columns and the group: one pass, one shuffle.
 
-    Tasks send a k x k sum for each outcome and, of each group that they meet, a row of column sums, so a group's
+    Tasks get the codes and numbers that the design is made from, not its columns. They
+    send a k x k sum for each outcome and, of each group that they meet, a row of column sums, so a group's
     size does not matter. Tasks that gather whole groups add them up at the points of GRID: what is
     collected has the size of the grid, not of the groups.
     """
-    k, models = len(cols), len(outcomes)
+    cols = Design.of(cols)
+    k, models, cells = len(cols), len(outcomes), cols.cells
     wide = k + 1
     key = [F.col(group).cast("string").alias("g")] if group else []
-    d = df.select(*key, *[c.cast("double").alias(f"x{i}") for i, (_, c) in enumerate(cols)], *[C.num(y).alias(f"y{j}") for j, y in enumerate(outcomes)])
-    d = d.dropna(subset=[*(["g"] if group else []), *[f"x{i}" for i in range(k)]])
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    d = df.select(*key, *[c.alias(f"x{i}") for i, c in enumerate(cols.raw)], *[C.num(y).alias(f"y{j}") for j, y in enumerate(outcomes)])
+    needed = [*(["g"] if group else []), *[f"x{i}" for i in range(len(cols.raw))]]
+    d = d.dropna(subset=needed) if needed else d
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, math.ceil(cols.rows / ROWS_A_TASK))
+    width, n_raw, least = models * (wide + 1), len(cols.raw), 1 if group else 0
+
+    def batch_of(keys, values):
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([v.tobytes() for v in values], pa.binary())], names=["key", "v"])
 
     def first(batches):
-        grams, n, places, rows = np.zeros((models, wide, wide)), np.zeros(models), {}, []
+        grams, n, held = np.zeros((models, wide, wide)), np.zeros(models), _Totals(width)
         for b in batches:
-            columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(1 if group else 0, b.num_columns)]
             if not b.num_rows:
                 continue
-            x, y = np.column_stack(columns[:k]), np.column_stack(columns[k:])
-            known = np.isfinite(y)
+            columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(least, b.num_columns)]
             if group:
                 names = b.column(0).dictionary_encode()
-                for g in names.dictionary.to_pylist():
-                    if g not in places:
-                        places[g] = len(rows)
-                        rows.append(np.zeros(models * (wide + 1)))
-                code = np.array([places[g] for g in names.dictionary.to_pylist()])[names.indices.to_numpy()]
+                code = names.indices.to_numpy()
                 order = np.argsort(code, kind="stable")
+                columns = [c[order] for c in columns]
                 cut = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+                totals = np.zeros((len(cut), models, wide + 1))
+            x, y = _columns(columns[:n_raw], cells, b.num_rows), np.stack(columns[n_raw :])
+            known = np.isfinite(y)
+            sure = known.all(axis=1)
+            if sure.any():
+                square = x @ x.T
+                if group:
+                    sums = np.add.reduceat(x, cut, axis=1).T
+                    sizes = np.diff(np.r_[cut, b.num_rows])
             for j in range(models):
-                ok = known[:, j]
-                w = np.column_stack([x, np.where(ok, y[:, j], 0.0)]) * ok[:, None]
-                grams[j] += w.T @ w
-                n[j] += ok.sum()
+                if sure[j]:
+                    own, cross, size = square, x @ y[j], b.num_rows
+                    z, v = x, y[j]
+                else:
+                    z, v = x * known[j], np.where(known[j], y[j], 0.0)
+                    own, cross, size = z @ z.T, z @ v, known[j].sum()
+                grams[j, :k, :k] += own
+                grams[j, :k, k] += cross
+                grams[j, k, :k] += cross
+                grams[j, k, k] += v @ v
+                n[j] += size
                 if group:
-                    total = np.add.reduceat(np.column_stack([ok, w])[order], cut, axis=0)
-                    for at, t in zip(code[order][cut].tolist(), total, strict=True):
-                        rows[at][j * (wide + 1) : (j + 1) * (wide + 1)] += t
-        keys = [f"m{j}" for j in range(models)] + [f"g{g}" for g in places]
-        values = [np.concatenate([[n[j]], grams[j].ravel()]).tobytes() for j in range(models)] + [r.tobytes() for r in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.binary())], names=["key", "v"])
+                    totals[:, j, 0] = sizes if sure[j] else np.add.reduceat(known[j].astype(float), cut)
+                    totals[:, j, 1:wide] = sums if sure[j] else np.add.reduceat(z, cut, axis=1).T
+                    totals[:, j, wide] = np.add.reduceat(v, cut)
+            if group:
+                held.add([f"g{g}" for g in names.dictionary.to_pylist()], totals.reshape(len(cut), width))
+                if held.rows().nbytes > HELD_BYTES:
+                    yield batch_of(held.at, held.rows())
+                    held = _Totals(width)
+        if held.at:
+            yield batch_of(held.at, held.rows())
+        yield batch_of([f"m{j}" for j in range(models)], [np.concatenate([[n[j]], grams[j].ravel()]) for j in range(models)])
 
     def second(batches):
-        held: dict[str, np.ndarray] = {}
+        whole: dict[str, np.ndarray] = {}
+        held = _Totals(width)
         for b in batches:
-            for key, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held[key] = held[key] + np.frombuffer(v) if key in held else np.frombuffer(v)
-        out = {f"m{j}": held[f"m{j}"] for j in range(models) if f"m{j}" in held}
-        groups = [v for key, v in held.items() if key[0] == "g"]
-        if groups:
-            every = np.stack(groups).reshape(len(groups), models, wide + 1)
+            there: dict[str, int] = {}
+            rows = []
+            for name, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                v = np.frombuffer(v)
+                if name[0] == "m":
+                    whole[name] = whole[name] + v if name in whole else v
+                elif name in there:
+                    rows[there[name]] = rows[there[name]] + v
+                else:
+                    there[name] = len(rows)
+                    rows.append(v)
+            if rows:
+                held.add(there, np.stack(rows))
+        out = whole
+        if held.at:
+            every = held.rows().reshape(-1, models, wide + 1)
             for j in range(models):
                 rows = every[every[:, j, 0] > 0, j]
-                out[f"g{j}"] = _group_sums(rows[:, 0], rows[:, 1:])
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([v.tobytes() for v in out.values()], pa.binary())], names=["key", "v"])
-
-    def meet(t: pa.Table) -> pa.Table:
-        rows = np.stack([np.frombuffer(v) for v in t.column("v").to_pylist()])
-        total = rows.sum(axis=0)
-        if t.column("key")[0].as_py()[0] == "g":
-            total[1] = rows[:, 1].max()
-        return pa.table({"key": t.column("key").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
+                v = _group_sums(rows[:, 0], rows[:, 1:])
+                out[f"g{j}"] = v[:2]
+                out |= {f"g{j}.{i}": r for i, r in enumerate(v[2:].reshape(len(GRID), -1))}
+        yield batch_of(out, out.values())
+
+    def third(batches):
+        """The points of the grid one by one, so that no task holds those of many."""
+        out: dict[str, np.ndarray] = {}
+        for b in batches:
+            for name, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                v, was = np.frombuffer(v), out.get(name)
+                out[name] = v if was is None else was + v if name[0] == "m" or "." in name else np.array([was[0] + v[0], max(was[1], v[1])])
+        yield batch_of(out, out.values())
 
     schema = "key string, v binary"
-    met = d.mapInArrow(first, schema).repartition(parts, "key").mapInArrow(second, schema).groupBy("key").applyInArrow(meet, schema).collect()  # two rows for each outcome
+    met = d.mapInArrow(first, schema).repartition(parts, "key").mapInArrow(second, schema).repartition("key").mapInArrow(third, schema).collect()  # two rows for each outcome, and its grid
     got = {r.key: np.frombuffer(bytes(r.v)) for r in met}
     out = {}
     for j, y in enumerate(outcomes):
         m = got.get(f"m{j}", np.zeros(1 + wide * wide))
         out[y] = Sums(int(m[0]), m[1:].reshape(wide, wide))
         if f"g{j}" in got:
-            v = got[f"g{j}"]
-            grid = v[2:].reshape(len(GRID), 1 + wide * wide)
-            out[y] = Sums(int(m[0]), m[1:].reshape(wide, wide), int(v[0]), int(v[1]), grid[:, 1:].reshape(-1, wide, wide), grid[:, 0])
+            groups, largest = got[f"g{j}"]
+            grid = np.stack([got[f"g{j}.{i}"] for i in range(len(GRID))])
+            out[y] = Sums(int(m[0]), m[1:].reshape(wide, wide), int(groups), int(largest), grid[:, 1:].reshape(-1, wide, wide), grid[:, 0])
     return out
 
 
@@ -370,24 +477,35 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], predictors: Sequence[str]
 
     A missing outcome gives one diagnostic row.
     """
-    spark, rows = df.sparkSession, []
     base = keep_first(df, keys, order or [F.xxhash64(*df.columns)]) if unit == "trial" else df
     terms = parse_terms(predictors)
     # the levels, and the sums of each outcome, all read the same narrow rows
-    used = {*outcomes, *(c for t in terms for c in t.factors), *([group] if kind == "lmm" else [])}
-    base = base.select(*[c for c in base.columns if c in used]).persist()
+    with _kept(base, {*outcomes, *(c for t in terms for c in t.factors), *([group] if kind == "lmm" else [])}) as rows:
+        return _fitted(rows, outcomes, terms, kind, group)
+
+
+@contextmanager
+def _kept(df: DataFrame, columns: Iterable[str]) -> Iterator[DataFrame]:
+    """Those columns of df that exist, made once for all that reads them inside."""
+    used = set(columns)
+    rows = df.select(*[c for c in df.columns if c in used]).persist()
     try:
-        cols = design(base, terms)
-        names, there = [c for c, _ in cols], [y for y in outcomes if y in df.columns]
-        sums = sums_of(base, cols, there, group if kind == "lmm" else None) if there and kind != "logit" else {}
-        for y in outcomes:
-            if y not in df.columns:
-                rows += result_rows(spark, y, None, "missing outcome")
-                continue
-            fit = fit_logit(base, y, cols) if kind == "logit" else ols_from(sums[y], names) if kind == "ols" else lmm_from(sums[y], names)
-            rows += result_rows(spark, y, fit)
+        yield rows
     finally:
-        base.unpersist()
+        rows.unpersist()
+
+
+def _fitted(df: DataFrame, outcomes: Sequence[str], terms: Sequence[Term], kind: str = "lmm", group: str = "participant_id", seen: dict | None = None) -> DataFrame:
+    spark, rows = df.sparkSession, []
+    cols = design(df, terms, seen)
+    names, there = [c for c, _ in cols], [y for y in outcomes if y in df.columns]
+    sums = sums_of(df, cols, there, group if kind == "lmm" else None) if there and kind != "logit" else {}
+    for y in outcomes:
+        if y not in df.columns:
+            rows += result_rows(spark, y, None, "missing outcome")
+            continue
+        fit = fit_logit(df, y, cols) if kind == "logit" else ols_from(sums[y], names) if kind == "ols" else lmm_from(sums[y], names)
+        rows += result_rows(spark, y, fit)
     return spark.createDataFrame(rows, RESULT)
 
 
@@ -426,23 +544,32 @@ def peak_terms(have: set[str]) -> list[str]:
 _CATEGORIES, _NUMBERS = ("WWR", "Complexity", "ExperienceGroup", "Gender", "RecruitmentBatch", "order_scheme"), ("Age", "block", "position", "TrialIndex")
 
 
+def _seen(df: DataFrame) -> tuple[dict, set[str]]:
+    """What seen_in() finds in the columns of designs, and those that vary."""
+    seen = seen_in(df, *([c for c in cs if c in df.columns] for cs in (_CATEGORIES, _NUMBERS)))
+    return seen, {c for c, v in seen.items() if c != "_n" and len(v) > 1 and v[0] is not None and v[0] != v[-1]}
+
+
 def eeg_core_models(df: DataFrame, outcomes: Sequence[str]) -> DataFrame:
-    return fit_models(df, outcomes, core_terms(varying(df, _CATEGORIES, _NUMBERS)))
+    with _kept(df, {*outcomes, *_CATEGORIES, *_NUMBERS, "participant_id"}) as rows:
+        seen, have = _seen(rows)
+        return _fitted(rows, outcomes, parse_terms(core_terms(have)), seen=seen)
 
 
 def trial_index_models(df: DataFrame, outcomes: Sequence[str]) -> DataFrame:
     """The core terms without the position, and TrialIndex (position, else scene, by columns) alone and with group and order scheme."""
     at = next((c for c in ("position", "scene_id") if c in df.columns), None)
     df = df.withColumn("TrialIndex", C.num(at)) if at else df
-    have = varying(df, _CATEGORIES, _NUMBERS)
-    terms = [t for t in core_terms(have) if t != "position"]
-    if "TrialIndex" in have:
-        terms.append("TrialIndex")
-        if "ExperienceGroup" in have:
-            terms.append("C(ExperienceGroup):TrialIndex")
-        if "order_scheme" in have:
-            terms += ["C(order_scheme)", "C(order_scheme):TrialIndex"]
-    return fit_models(df, outcomes, terms)
+    with _kept(df, {*outcomes, *_CATEGORIES, *_NUMBERS, "participant_id"}) as rows:
+        seen, have = _seen(rows)
+        terms = [t for t in core_terms(have) if t != "position"]
+        if "TrialIndex" in have:
+            terms.append("TrialIndex")
+            if "ExperienceGroup" in have:
+                terms.append("C(ExperienceGroup):TrialIndex")
+            if "order_scheme" in have:
+                terms += ["C(order_scheme)", "C(order_scheme):TrialIndex"]
+        return _fitted(rows, outcomes, parse_terms(terms), seen=seen)
 
 
 MODEL_TABLE = ("family", "outcome", "term", "estimate", "se", "p_value", "ci_low", "ci_high", "n")
@@ -460,6 +587,8 @@ def peak_index_models(df: DataFrame, outcomes: Sequence[str], level: str = "WWR"
     out = None
     for y in outcomes:
         peaks = subject_peak_index(df, y, level, [c for c in by if c in df.columns])
-        part = fit_models(peaks, ["peak"], peak_terms(varying(peaks, _CATEGORIES, _NUMBERS))).withColumn("outcome", F.lit(f"{y}_peak"))
+        with _kept(peaks, {"peak", *_CATEGORIES, *_NUMBERS, "participant_id"}) as rows:
+            seen, have = _seen(rows)
+            part = _fitted(rows, ["peak"], parse_terms(peak_terms(have)), seen=seen).withColumn("outcome", F.lit(f"{y}_peak"))
         out = part if out is None else out.unionByName(part)
     return out
