@@ -1,5 +1,7 @@
 """What a job reads and holds, whatever the size of its tables."""
 
+import re
+
 import numpy as np
 from trialfuse.operators import models
 
@@ -65,3 +67,27 @@ def test_sums_of_groups_leave_in_parts(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert (parts.n, parts.groups, parts.largest) == (whole.n, whole.groups, whole.largest)
     np.testing.assert_allclose(parts.within, whole.within, atol=1e-8)
+
+
+def test_descriptives_keep_no_row_for_each_answer_of_a_person(spark):
+    """Groups with nulls in the key, in the person and in the answers; constant answers have no skewness."""
+    from trialfuse.operators import scales
+
+    rng = np.random.default_rng(9)
+    rows = [(f"P{i % 9}" if i % 13 else None, ("a", "b", None)[i % 3], float(rng.integers(0, 6)) if i % 5 else None, 0.1 if i % 3 else 0.7, float(rng.normal())) for i in range(300)]
+    df = spark.createDataFrame(rows, "participant_id string, g string, x double, flat double, z double")
+    got = scales.descriptives(df, ["x", "flat", "z"], ["g"], ci=False)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    groups = re.findall(r"Aggregate \[([^\]]*)\]", plan)
+    assert groups and not [g for g in groups if re.search(r"participant_id|_who", g) and re.search(r"\bv#", g)]
+    own = df.toPandas()
+    for r in got.collect():
+        v = own[own.g.isna() if r.g is None else own.g == r.g].dropna(subset=[r.item])
+        m = v[r.item] - v[r.item].mean()
+        assert (r.n_obs, r.n_subjects) == (len(v), v.participant_id.nunique())
+        np.testing.assert_allclose([r["mean"], r.sd, r.median, r.min, r.max], [v[r.item].mean(), v[r.item].std(ddof=1), v[r.item].median(), v[r.item].min(), v[r.item].max()], atol=1e-9)
+        if r.item == "flat" and v.flat.nunique() == 1:
+            assert r.skew is None and r.kurtosis is None and r.jarque_bera_p is None
+        else:
+            np.testing.assert_allclose([r.skew, r.kurtosis], [v[r.item].skew(), v[r.item].kurt()], atol=1e-9)
+    assert got.count() == 9

@@ -110,18 +110,27 @@ def descriptives(df: DataFrame, items: Sequence[str], by: Sequence[str], who: st
     """Per item and group (null groups kept): n_subjects, n_obs, mean, sd, median, min, max, bias-corrected skew and kurtosis, jarque_bera_p, and the t interval of the mean.
 
     jarque_bera_p takes the place of a rank-based normality test: its moments merge, so it has no upper limit of rows.
-    Moments are one aggregate. Persons and medians come from another, of equal answers of a person, which both reuse:
-    a median ranks distinct values with their counts.
+    Rows are reduced at once: to equal answers of a group with their counts, which give the moments and, ranked, the median; and to one
+    row for each person and group, which says what items it answers.
     """
-    long = df.select(who, *by, *[C.num(i).alias(i) for i in items]).unpivot([who, *by], list(items), "item", "v").filter("v is not null")
-    key = ["item", *by]
-    d = long.groupBy(*key).agg(F.count("v").alias("n_obs"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"), F.var_pop("v").alias("_var"), F.skewness("v").alias("_g1"), F.kurtosis("v").alias("_g2"))
-    cells = long.groupBy(*key, who, "v").agg(F.count(F.lit(1)).alias("_c"))
-    people = cells.select(*key, who).distinct().groupBy(*key).agg(F.count(who).alias("n_subjects"))
-    middle = cells.groupBy(*key, "v").agg(F.sum("_c").alias("_c")).groupBy(*key).agg(F.percentile("v", F.lit(0.5), F.col("_c")).alias("median"))
-    for part in (people, middle):
-        part = part.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(key)})
-        d = d.join(part, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]).drop(*[f"_k{i}" for i in range(len(key))])
+    key, at = ["item", *by], range(len(items))
+    rows = df.select(F.col(who).alias("_who"), *by, *[C.num(i).alias(f"_v{j}") for j, i in enumerate(items)])
+    long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("item"), F.col(f"_v{j}").alias("v")) for j, i in enumerate(items)])).alias("_a")).select("_a.item", *by, "_a.v").filter("v is not null")
+    cells = long.groupBy(*key, "v").agg(F.count(F.lit(1)).alias("_c"))
+    whole = cells.groupBy(*key).agg(F.sum("_c").alias("n_obs"), (F.sum(F.col("v") * F.col("_c")) / F.sum("_c")).alias("_mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", F.lit(0.5), F.col("_c")).alias("median"))
+    whole = whole.withColumn("mean", F.when(F.col("min") < F.col("max"), F.col("_mean")).otherwise(F.col("min"))).drop("_mean")
+    own = rows.groupBy("_who", *by).agg(*[F.count(f"_v{j}").alias(f"_n{j}") for j in at]).groupBy(*by).agg(*[F.count_if(F.col("_who").isNotNull() & (F.col(f"_n{j}") > 0)).alias(f"_n{j}") for j in at])
+    people = own.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("item"), F.col(f"_n{j}").alias("n_subjects")) for j, i in enumerate(items)])).alias("_a")).select("_a.item", *by, "_a.n_subjects")
+
+    def meet(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+        b = b.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(key)})
+        return a.join(b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)], how).drop(*[f"_k{i}" for i in range(len(key))])
+
+    off = F.col("v") - F.col("mean")
+    powers = meet(cells, whole.select(*key, "mean")).groupBy(*key).agg(*[F.sum(F.col("_c") * F.pow(off, F.lit(float(i)))).alias(f"_m{i}") for i in (2, 3, 4)])
+    d = meet(meet(whole, powers), people, "left").withColumn("n_subjects", F.coalesce("n_subjects", F.lit(0)))
+    var = F.col("_m2") / F.col("n_obs")
+    d = d.withColumns({"sd": F.sqrt(F.try_divide(F.col("_m2"), F.col("n_obs") - 1)), "_var": var, "_g1": F.try_divide(F.col("_m3") / F.col("n_obs"), F.pow(var, F.lit(1.5))), "_g2": F.try_divide(F.col("_m4") / F.col("n_obs"), var * var) - 3})
     d = d.select(*key, "n_subjects", "n_obs", "mean", "sd", "median", "min", "max", "_var", "_g1", "_g2")
     n = F.col("n_obs").cast("double")
     some = F.col("_var") > 0
