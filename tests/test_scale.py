@@ -91,3 +91,12 @@ def test_descriptives_keep_no_row_for_each_answer_of_a_person(spark):
         else:
             np.testing.assert_allclose([r.skew, r.kurtosis], [v[r.item].skew(), v[r.item].kurt()], atol=1e-9)
     assert got.count() == 9
+
+
+def test_batch_cuts_files_by_blocks(spark):
+    """No window over samples holds a whole file's segments."""
+    from trialfuse.plans import queries
+
+    plan = queries.batch_from_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"windowspecdefinition\(([^()]*\bseq#\d+L? ASC[^()]*)", plan)
+    assert windows and all("_block" in w for w in windows)
