@@ -100,3 +100,15 @@ def test_batch_cuts_files_by_blocks(spark):
     plan = queries.batch_from_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     windows = re.findall(r"windowspecdefinition\(([^()]*\bseq#\d+L? ASC[^()]*)", plan)
     assert windows and all("_block" in w for w in windows)
+
+
+def test_answers_are_dealt_out_by_their_number(spark, monkeypatch):
+    """As many partitions as the rows need, whatever the session has; the same rows."""
+    from trialfuse.plans import standins
+
+    d = "/root/testdata/sf0.001"
+    few = standins.answers(spark, d)
+    monkeypatch.setattr(standins, "ANSWERS_A_TASK", 200)
+    many = standins.answers(spark, d)
+    assert many.rdd.getNumPartitions() == -(-standins.table(spark, d, "lineitem").count() // 200)
+    assert many.exceptAll(few).count() == 0 == few.exceptAll(many).count()
