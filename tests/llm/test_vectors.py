@@ -159,6 +159,24 @@ def test_reading_stops_on_proof_alone(spark):
     assert np.median(left) <= 0.3 * block.n
 
 
+def test_index_blocks_travel_in_pieces_and_for_many_queries_at_once(spark, monkeypatch):
+    """No row of a whole block for each block of queries: 6 GB of documents' vectors would be 610 rows of 18 MB."""
+    assert topk.lots_of(61, 10, 12) == 10 and topk.lots_of(11, 2, 12) == 11 and topk.lots_of(6100, 100, 12) == 382 and topk.lots_of(1, 1, 1) == 1
+    monkeypatch.setattr(topk, "PIECE", 1000)
+    rows = odd_rows()
+    own = vectors.integer_vectors(table(spark, rows)).filter("vec_id is not null")
+    blocks = topk.index(topk.classes_of(own, 20), 6, 20, 100)
+    sent = topk.pieces(blocks, 3)
+    size = sum(len(r[c]) for r in blocks.collect() for c in topk.BLOBS)
+    lengths = [len(r["bytes"]) for r in sent.select("bytes").collect()]
+    assert max(lengths) == 1000 and sum(lengths) == 3 * size
+    for r in blocks.collect():
+        again = topk.put_together(sent.filter((sent.block == r.block) & (sent.lot == 1)).toArrow())
+        assert again == {c: r[c] if c == "n" else bytes(r[c]) for c in ("n", *topk.BLOBS)}
+    got = topk.top_k(table(spark, rows)).collect()
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows)
+
+
 # manifest
 
 

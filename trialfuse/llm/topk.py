@@ -10,18 +10,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, settle
+from .common import arrow_batches, settle
 from .vectors import integer_vectors, matrix
 
 K, EVERY = 20, 20
 #: Classes of one index block and of one block of queries.
 INDEX_BLOCK, QUERY_BLOCK = 65_536, 512
+#: Queries that read the index together, and rows of their sums at once.
+TOGETHER, ROWS = 64, 512
 #: After this share of the postings, the bounds are looked at; so many best guesses are scored for a threshold.
-CHECKS, GUESSES = (0.15, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8), 64
+CHECKS, GUESSES = (0.5, 0.6, 0.7, 0.8), 64
 #: As soon as no more than this share of a block can still be among the best, the rest is rescored instead.
 FEW = 0.25
-#: Shorter segments are added together.
-SHORT = 640
+#: Bytes of an index block that travel as one row, and blocks of queries that meet one copy of an index block, at most.
+PIECE, LOT = 1 << 20, 16
+#: What a block of the index is made of.
+BLOBS = ("x", "ids", "offsets", "dim", "impact", "start", "postings")
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -96,8 +100,6 @@ class Block:
         self.end = np.r_[self.start[1:], len(self.postings)]
         self.dims = dims
         self.first = np.searchsorted(self.dim, np.arange(dims))  # of each dimension's segments
-        self.last = np.r_[self.first[1:], len(self.dim)] - 1
-        self.bits = max(1, int(dims).bit_length())
         self.most = int(np.abs(self.x.astype(np.int64)).max(initial=0))
         self.real = self.x.astype(np.float32)
 
@@ -110,69 +112,110 @@ class Block:
         return self.x[at].astype(np.int64) @ q
 
     def possible(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(members, exact scores) that hold all of the block's best k, ties included.
+        """(members, exact scores) that hold all of the block's best k of a query, ties included."""
+        return next(self.possibles(q[None], k))
 
-        A segment's gain is what it adds over the least its dimension can add.
-        Segments are read by falling gain; each member's sum and the number of its dimensions that are still unread
+    def possibles(self, asked: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """possible() of some queries, which read the index together.
+
+        Segments are read by falling impact, either sign, times the dimension's largest weight in the queries. A dimension's
+        unread segments lie between two impacts, so each member's sum and the number of its dimensions that are still unread
         bound its score from above. The k-th of the exact scores of some guesses is a threshold:
-        who can't reach it is out, and reading stops once few are left.
+        who can't reach it is out, and reading stops once few are left to nearly all queries.
         """
         k = min(k, self.n)
-        gain = q[self.dim] * self.impact
-        gain -= np.minimum(gain[self.first], gain[self.last])[self.dim]
-        most = int(gain[self.first].astype(object).sum() + gain[self.last].astype(object).sum()) << self.bits
-        if self.n <= 4 * GUESSES or k > GUESSES or most >= 1 << 62:
-            return np.arange(self.n), self.scores(q)
-        order = np.argsort(-gain, kind="stable")
-        size = (self.end - self.start)[order]
-        read = np.cumsum(size)
-        base = int(np.minimum(q * self.impact[self.first], q * self.impact[self.last]).sum())
-        kind = np.int32 if most < 1 << 31 else np.int64
-        total = np.zeros(self.n, kind)  # the sum of gains, and below it in `bits` bits how many dimensions are read
-        at = 0
+        most = int(np.abs(asked).max(initial=0)) * self.most * self.dims
+        if self.n <= 4 * GUESSES or k > GUESSES or most >= 1 << 61:
+            yield from ((np.arange(self.n), self.scores(q)) for q in asked)
+            return
+        order = np.argsort(-np.abs(self.impact * np.abs(asked).max(axis=0)[self.dim]), kind="stable")
+        read = np.cumsum((self.end - self.start)[order])
+        kind = np.int32 if most < 1 << 30 else np.int64
+        total, unread = np.zeros((self.n, len(asked)), kind), np.full(self.n, self.dims)
+        waits, found, threshold = set(range(len(asked))), {}, [-most - 1] * len(asked)
+        seen, at = np.zeros(len(order), bool), 0
         for share in CHECKS:
             until = int(np.searchsorted(read, share * len(self.postings)))
-            part = order[at:until]
-            long = size[at:until] >= SHORT
-            for s, e, v in zip(self.start[part[long]].tolist(), self.end[part[long]].tolist(), ((gain[part[long]] << self.bits) + 1).tolist(), strict=True):
-                np.add.at(total, self.postings[s:e], kind(v))
-            part, each = part[~long], size[at:until][~long]
-            ids = self.postings[runs(self.start[part], each)]
-            np.add.at(total, ids, np.repeat((gain[part] << self.bits) + 1, each).astype(kind))
-            at = until
-            unread = gain.copy()
-            unread[order[:at]] = 0
-            left = np.sort(np.maximum.reduceat(unread, self.first))[::-1]
-            most_left = np.r_[0, np.cumsum(left)]  # of so many unread dimensions
-            upper = (total >> self.bits) + most_left[self.dims - (total & ((1 << self.bits) - 1))] + base
-            guess = np.argpartition(total, self.n - GUESSES)[-GUESSES:]
-            threshold = np.partition(self.scores(q, guess), GUESSES - k)[GUESSES - k]
-            members = np.flatnonzero(upper >= threshold)
-            if len(members) <= FEW * self.n:
+            part, at = np.sort(order[at:until]), until
+            seen[part] = True
+            for own in np.split(part, np.flatnonzero((np.diff(part) != 1) | (np.diff(self.dim[part]) != 0)) + 1) if len(part) else []:
+                self._add(total, unread, own, asked[:, self.dim[own[0]]].astype(kind))
+            high, low = (f.reduceat(np.where(seen, 0, self.impact), self.first) for f in (np.maximum, np.minimum))
+            left = -np.sort(-np.maximum(asked * high, asked * low), axis=1)
+            most_left = np.concatenate([np.zeros((len(asked), 1), np.int64), left.cumsum(axis=1)], axis=1).astype(kind)  # of so many unread dimensions
+            sums = np.ascontiguousarray(total.T)
+            for i in sorted(waits):
+                guess = np.argpartition(sums[i], self.n - GUESSES)[-GUESSES:]
+                threshold[i] = max(threshold[i], int(np.partition(self.scores(asked[i], guess), GUESSES - k)[GUESSES - k]))
+                found[i] = np.flatnonzero(sums[i] + np.take(most_left[i], unread) >= threshold[i])
+                if len(found[i]) <= FEW * self.n:
+                    waits.discard(i)
+            if 4 * len(waits) <= len(asked):
                 break
-        return members, self.scores(q, members)
-
-    def best(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k + 1 best rows of the block: highest score first, ties to the smaller id."""
-        members, score = self.possible(q, k + 1)
-        if len(members) > k + 1:
-            keep = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-            members, score = members[keep], score[keep]
-        count = self.offsets[members + 1] - self.offsets[members]
-        ids = self.ids[runs(self.offsets[members], count)]
-        score = np.repeat(score, count)
-        order = np.lexsort((ids, -score))[: k + 1]
-        return ids[order], score[order]
+        for i, q in enumerate(asked):
+            yield found[i], self.scores(q, found[i])
+
+    def _add(self, total: np.ndarray, unread: np.ndarray, segments: np.ndarray, weights: np.ndarray) -> None:
+        """Read neighbouring segments of one dimension, in which no member occurs twice."""
+        start, end = int(self.start[segments[0]]), int(self.end[segments[-1]])
+        gains = (self.impact[segments, None] * weights).astype(total.dtype)
+        which = np.repeat(np.arange(len(segments)), self.end[segments] - self.start[segments])
+        unread[self.postings[start:end]] -= 1
+        whole = total.view(f"V{total.strides[0]}")[:, 0]  # rows as one value each, which numpy copies faster
+        for s in range(start, end, ROWS):
+            ids = self.postings[s : min(s + ROWS, end)]
+            rows = np.take(total, ids, axis=0, mode="clip")
+            rows += np.take(gains, which[s - start : s - start + len(ids)], axis=0, mode="clip")
+            whole[ids] = rows.view(whole.dtype)[:, 0]
+
+    def best(self, asked: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the k + 1 best rows of the block, for each query: highest score first, ties to the smaller id."""
+        for at in range(0, len(asked), TOGETHER):
+            for members, score in self.possibles(asked[at : at + TOGETHER], k + 1):
+                if len(members) > k + 1:
+                    keep = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                    members, score = members[keep], score[keep]
+                count = self.offsets[members + 1] - self.offsets[members]
+                ids = self.ids[runs(self.offsets[members], count)]
+                score = np.repeat(score, count)
+                order = np.lexsort((ids, -score))[: k + 1]
+                yield ids[order], score[order]
+
+
+def lots_of(parts: int, blocks: int, cores: int) -> int:
+    """How often a block of the index is sent out: enough for all cores, and once for LOT blocks of queries at least."""
+    return min(parts, max(-(-parts // LOT), -(-8 * cores // blocks)))
+
+
+def pieces(blocks: DataFrame, lots: int) -> DataFrame:
+    """(block, lot, n, name, at, bytes): the blocks of the index once for each lot, in rows of PIECE bytes at most."""
+    each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("whole")) for c in BLOBS])
+    out = blocks.select("block", "n", F.inline(each))
+    last = F.floor((F.octet_length("whole") - 1) / PIECE).cast("int")
+    out = out.select("block", "n", "name", "whole", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    out = out.select("block", "n", "name", "at", F.substring("whole", F.col("at") * PIECE + 1, F.lit(PIECE)).alias("bytes"))
+    return out.select(F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"), "*")
+
+
+def put_together(t: pa.Table) -> dict:
+    """The row of an index block from its pieces."""
+    found: dict[str, dict] = {c: {} for c in BLOBS}
+    for name, at, part in zip(t.column("name").to_pylist(), t.column("at").to_pylist(), t.column("bytes").to_pylist(), strict=True):
+        found[name][at] = part
+    return {"n": t.column("n")[0].as_py()} | {c: b"".join(x[at] for at in sorted(x)) for c, x in found.items()}
 
 
 def search(blocks: DataFrame, queries: DataFrame, dims: int, k: int = K, per_block: int = QUERY_BLOCK) -> DataFrame:
     """(query, found array<struct<low, vec_id>>): the k + 1 best rows of each query vector, low being the negative score.
 
-    queries: (query long, x). A block of queries meets each block of the index, and both are single rows.
+    queries: (query long, x). Blocks of queries are single rows. A lot of them meets a block of the index in one group: index
+    blocks are large, so they are sent once for each lot, in pieces, and the small rows of queries come to them.
     Spark merges their best rows, k + 1 of each index block for a query.
     """
     spark = queries.sparkSession
+    arrow_batches(spark)
     parts = queries.count() // per_block + 1
+    lots = lots_of(parts, blocks.blocks, spark.sparkContext.defaultParallelism)
 
     def gather(t: pa.Table) -> pa.Table:
         x = narrow(matrix(t.column("x").combine_chunks(), dims))
@@ -180,23 +223,23 @@ def search(blocks: DataFrame, queries: DataFrame, dims: int, k: int = K, per_blo
 
     asked = queries.select("query", "x", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int").alias("part"))
     asked = settle(asked.groupBy("part").applyInArrow(gather, "part int, q binary, names binary"), "asked")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks.blocks - 1))))
-    tasks = max(2 * parts * blocks.blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = asked.join(blocks, "block").repartition(tasks, "block", "part")
-
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                block = Block(row, dims)
-                names = unpacked(row["names"])
-                q = unpacked(row["q"]).reshape(-1, dims)
-                found = [block.best(v.astype(np.int64), k) for v in q]
-                ids, scores = (np.concatenate([f[j] for f in found]) for j in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(f[0]) for f in found])), pa.array(-scores), pa.array(ids)], names=["query", "low", "vec_id"])
-
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks.blocks - 1))).alias("block"), (F.col("part") % lots).alias("lot"), "q", "names")
+    tasks = max(4 * lots * blocks.blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by = ("block", "lot")
+
+    def fn(own: pa.Table, index: pa.Table) -> pa.Table:
+        names, lows, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        block = Block(put_together(index), dims) if len(own) and len(index) else None
+        for row in own.to_pylist() if block else []:
+            found = list(block.best(unpacked(row["q"]).reshape(-1, dims).astype(np.int64), k))
+            names.append(np.repeat(unpacked(row["names"]), [len(f[0]) for f in found]))
+            ids += [f[0] for f in found]
+            lows += [-f[1] for f in found]
+        return pa.table({"query": np.concatenate(names), "low": np.concatenate(lows), "vec_id": np.concatenate(ids)})
+
+    left, right = asked.repartition(tasks, *by).groupBy(*by), pieces(blocks, lots).repartition(tasks, *by).groupBy(*by)
     best = Window.partitionBy("query").orderBy("low", "vec_id")
-    found = map_arrow(pairs, fn, "query long, low long, vec_id long").withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1)
+    found = left.cogroup(right).applyInArrow(fn, "query long, low long, vec_id long").withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1)
     return found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("low", "vec_id"))).alias("found"))
 
 
