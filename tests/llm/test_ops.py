@@ -172,6 +172,28 @@ def test_noisy_copies_align(spark):
     assert all(m.offset == (-60 if (i - 1) % 2 else 0) and m.overlap == (30 if (i - 1) % 2 else 114) for i, m in found.items())
 
 
+def test_waves_are_made_once_and_every_offset_counts(monkeypatch):
+    rnd = np.random.default_rng(11)
+    long = rnd.integers(0, 2**32, 200, dtype=np.uint32)
+    found = [rnd.integers(0, 2**32, 114, dtype=np.uint32) for _ in range(150)]
+    asked = [np.r_[found[i % 150][40 + i % 50 :], found[(i + 1) % 150][: 40 + i % 50]] for i in range(200)]
+    made = []
+    waves = media._waves
+    monkeypatch.setattr(media, "_waves", lambda prints, *more: made.append(len(prints)) or waves(prints, *more))
+    got = {(q, r): (o, n) for q, r, o, _, n, rate in media.closest(asked, found) if rate == 0}
+    assert sum(made) == len(asked) + len(found)  # not the found ones again for every 64 queries
+    assert all(got[i, i % 150] == (40 + i % 50, 74 - i % 50) for i in range(200) if i % 50 < 37)
+    # far longer recordings than queries: offsets beyond half the circle
+    assert [x[:3] for x in media.closest([long[184:]], [long]) if x[5] == 0] == [(0, 0, 184)]
+    assert [x[:3] for x in media.closest([long], [long[184:]]) if x[5] == 0] == [(0, 0, -184)]
+    # short and long ways agree
+    mixed = [x[: int(rnd.integers(16, 114))] for x in found[:20]] + [long, *asked[:20]]
+    short = sorted(media.closest(mixed, mixed))
+    monkeypatch.setattr(media, "_SHORT", 0)
+    assert sorted(media.closest(mixed, mixed)) == short and len(short) > len(mixed)
+
+
+
 # LM scoring
 
 

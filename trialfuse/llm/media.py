@@ -20,7 +20,11 @@ FILTERS = tuple((i % 4, (i * 5) % 9, 3 + i % 2 + (i // 4) % 2 * 2 if (i * 5) % 9
 STEPS = (-0.25, 0.0, 0.25)
 #: Equal integers that a match must have (none), its wrong bits at most, its overlap at least.
 LEAST_VOTES, MOST_WRONG, LEAST_OVERLAP = 0, 0.2, 16
-_QUERY_BLOCK, _CLASS_BLOCK, _CELLS = 256, 512, 1 << 22
+_QUERY_BLOCK, _CLASS_BLOCK, _CELLS = 1024, 2048, 1 << 22
+#: Queries, and recordings at most, that are multiplied at once; pairs whose sums are made at once; lengths up to which matrices are faster than transforms.
+_TILE, _PAIRS, _SHORT = 128, 1024, 512
+#: Integers of a recording beyond which blocks hold fewer recordings; tasks that blocks are dealt to, at most.
+_USUAL, _TASKS = 128, 20_000
 
 
 def render(rows: DataFrame, id_col: str = "vec_id", values_col: str = "embedding") -> DataFrame:
@@ -57,7 +61,8 @@ def _pitch_classes() -> np.ndarray:
 
 
 _CLASSES = _pitch_classes()
-_WINDOW = np.hanning(FRAME)
+_HEARD = slice(int(np.flatnonzero(_CLASSES.any(axis=1))[0]), int(np.flatnonzero(_CLASSES.any(axis=1))[-1]) + 1)
+_WINDOW, _FRAMES = np.hanning(FRAME), 32
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
@@ -65,8 +70,10 @@ def chroma(samples: np.ndarray) -> np.ndarray:
     if len(samples) < FRAME:
         return np.zeros((0, 12))
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(frames * _WINDOW, axis=1)) ** 2
-    c = power @ _CLASSES
+    c = np.empty((len(frames), 12))
+    for at in range(0, len(frames), _FRAMES):  # what is made on the way stays in the cache
+        waves = np.fft.rfft(frames[at : at + _FRAMES] * _WINDOW, axis=1)[:, _HEARD]
+        c[at : at + _FRAMES] = (waves.real**2 + waves.imag**2) @ _CLASSES[_HEARD]
     norm = np.sqrt((c * c).sum(axis=1, keepdims=True))
     return np.where(norm > 1e-2, c / np.maximum(norm, 1e-12), 0.0)
 
@@ -79,10 +86,10 @@ def fingerprint(pcm: bytes | None) -> np.ndarray:
         return np.zeros(0, np.uint32)
     area = np.zeros((len(c) + 1, 13))
     area[1:, 1:] = c.cumsum(axis=0).cumsum(axis=1)
-    t = np.arange(n)
+    area = np.ascontiguousarray(area.T)
 
     def box(a, b, lo, hi):
-        return area[t + b, hi] - area[t + a, hi] - area[t + b, lo] + area[t + a, lo]
+        return area[hi, b : b + n] - area[hi, a : a + n] - area[lo, b : b + n] + area[lo, a : a + n]
 
     out = np.zeros(n, np.uint32)
     for kind, y, h, w in FILTERS:
@@ -124,29 +131,129 @@ def _waves(prints: list[np.ndarray], length: int, kind) -> np.ndarray:
     return np.ascontiguousarray(np.fft.rfft(x, axis=1).transpose(1, 0, 2))
 
 
+def _unwound(places: np.ndarray, length: int, last: int) -> np.ndarray:
+    """Offsets of places on a circle: up to `last` forwards, the others backwards."""
+    x = places % length
+    return np.where(x <= last, x, x - length)
+
+
+class _Short:
+    """Sums at all offsets by products of real matrices, for short recordings.
+
+    Of the inverse transform's offsets only 0 to a quarter of its length are made, for cosines and sines of even and of odd
+    frequencies each: the signs by which these parts are added give the offsets o, -o, half - o and o - half.
+    """
+
+    def __init__(self, length: int, last: int):
+        length = max(8, -(-length // 4) * 4)
+        self.length, half = length, length // 2
+        f = np.r_[0 : half + 1 : 2, 1 : half + 1 : 2]
+        self.order, self.even = f, half // 2 + 1
+        o = np.arange(half // 2 + 1)
+        weight = np.where((f == 0) | (f == half), 1, 2) / length
+        angle = 2 * np.pi * (o[:, None] * f % length) / length
+        cos, sin = ((g(angle) * weight).astype(np.float32) for g in (np.cos, np.sin))
+        self.parts = [(i, slice(*c), np.ascontiguousarray(w[:, slice(*c)])) for i, w in ((0, cos), (1, sin)) for c in ((0, self.even), (self.even, len(f)))]
+        self.offsets = [_unwound(x, length, last) for x in (o, -o, half - o, o - half)]
+        self.buffers: dict[tuple, np.ndarray] = {}
+
+    def _buffer(self, name: str, *shape: int) -> np.ndarray:
+        return self.buffers.setdefault((name, shape), np.empty(shape, np.float32))
+
+    def tiles(self, asked: list[np.ndarray], found: list[np.ndarray]) -> Iterator[tuple]:
+        """(first query, its waves, first recording, its waves, recordings); waves are made once."""
+        waves = [(qa, self.asked(asked[qa : qa + _TILE])) for qa in range(0, len(asked), _TILE)]
+        for ra in range(0, len(found), _TILE):
+            part = found[ra : ra + _TILE]
+            b = self.found(part)
+            for qa, a in waves:
+                yield qa, a, ra, b, len(part)
+
+    def asked(self, prints: list[np.ndarray]) -> np.ndarray:
+        x = _waves(prints, self.length, np.float32)[self.order]
+        return np.concatenate([x.real, x.imag], axis=2)
+
+    def found(self, prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        x = _waves(prints, self.length, np.float32)[self.order].transpose(0, 2, 1)
+        return np.concatenate([x.real, x.imag], axis=1), np.concatenate([x.imag, -x.real], axis=1)
+
+    def sums(self, a: np.ndarray, b: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(offsets, sums by offset and pair, first pair), for some pairs and a quarter of the offsets at a time."""
+        q, r = a.shape[1], b[0].shape[2]
+        waves = [np.matmul(a, x, out=self._buffer(name, len(a), q, r)).reshape(len(a), -1) for name, x in zip("ri", b, strict=True)]
+        for p in range(0, q * r, _PAIRS):
+            n = min(_PAIRS, q * r - p)
+            ce, co, se, so = (np.matmul(w, waves[i][c, p : p + n], out=self._buffer(f"{i}{c.start}", len(w), n)) for i, c, w in self.parts)
+            c, s, out = (self._buffer(name, *ce.shape) for name in ("c", "s", "out"))
+            np.add(ce, co, out=c)
+            np.add(se, so, out=s)
+            yield self.offsets[0], np.subtract(c, s, out=out), p
+            yield self.offsets[1], np.add(c, s, out=out), p
+            np.subtract(ce, co, out=c)
+            np.subtract(se, so, out=s)
+            yield self.offsets[2], np.add(c, s, out=out), p
+            yield self.offsets[3], np.subtract(c, s, out=out), p
+
+
+class _Long:
+    """Sums at all offsets by transforms."""
+
+    def __init__(self, length: int, last: int):
+        self.length = 1 << int(length - 1).bit_length()
+        self.kind = np.float32 if self.length <= 4096 else np.float64
+        self.offsets = _unwound(np.arange(self.length), self.length, last)
+
+    def tiles(self, asked: list[np.ndarray], found: list[np.ndarray]) -> Iterator[tuple]:
+        """As those of _Short, but few waves are kept."""
+        step = max(1, _CELLS // (self.length * 64))
+        for qa in range(0, len(asked), 64):
+            a = self.asked(asked[qa : qa + 64])
+            for ra in range(0, len(found), step):
+                part = found[ra : ra + step]
+                yield qa, a, ra, self.found(part), len(part)
+
+    def asked(self, prints: list[np.ndarray]) -> np.ndarray:
+        return _waves(prints, self.length, self.kind).conj()
+
+    def found(self, prints: list[np.ndarray]) -> np.ndarray:
+        return _waves(prints, self.length, self.kind).transpose(0, 2, 1)
+
+    def sums(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        yield self.offsets, np.fft.irfft(np.matmul(a, b), self.length, axis=0).reshape(self.length, -1), 0
+
+
 def closest(asked: list[np.ndarray], found: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, float]]:
     """(query, recording, offset, votes, overlap, bit error rate) of the best alignment of each pair that has one.
 
     All offsets of all pairs: the equal bits less the wrong ones, at every offset, are a
     correlation, a product of transforms. Those within rounding of MOST_WRONG are counted bit by bit.
+    Offsets of too little overlap may mix in these circular sums, but do not count.
     """
     sizes = [np.array([len(x) for x in xs]) for xs in (asked, found)]
-    length = 1 << int(sizes[0].max() + sizes[1].max() - 1).bit_length()
-    kind = np.float32 if length <= 4096 else np.float64
-    offsets = np.fft.ifftshift(np.arange(length) - length // 2)
-    step = max(1, _CELLS // (length * 64))
-    for qa in range(0, len(asked), 64):
-        a = _waves(asked[qa : qa + 64], length, kind).conj()
-        for ra in range(0, len(found), step):
-            b = _waves(found[ra : ra + step], length, kind)
-            sums = np.fft.irfft(np.matmul(a, b.transpose(0, 2, 1)).transpose(1, 2, 0), length, axis=2)
-            lq, lr = (x.astype(kind)[:, None] for x in (sizes[0][qa : qa + 64], sizes[1][ra : ra + step]))
-            off = offsets.astype(kind)
-            # the query's place p meets the recording's place p + offset
-            overlap = np.minimum(lq[:, None, :], (lr - off)[None, :, :]) - np.maximum(-off, 0)
-            hit = (sums >= overlap * kind(32 * (1 - 2 * MOST_WRONG)) - kind(2)) & (overlap >= LEAST_OVERLAP)
-            best: dict[tuple[int, int], tuple] = {}
-            for i, j, k in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+    # the last offset of enough overlap, and a circle on which no other offset meets those of enough overlap
+    last = max(0, int(sizes[1].max()) - LEAST_OVERLAP)
+    length = int(sizes[0].max()) + last
+    how = (_Short if length <= _SHORT else _Long)(length, last)
+    even = all((x == x[0]).all() for x in sizes)
+    thresholds: dict[int, np.ndarray] = {}
+    for qa, a, ra, b, width in how.tiles(asked, found):
+        many = a.shape[1]
+        # lengths of each pair; where all are as long, one pair stands for all
+        lq, lr = (sizes[0][:1], sizes[1][:1]) if even else (np.repeat(sizes[0][qa : qa + many], width), np.tile(sizes[1][ra : ra + width], many))
+        best: dict[tuple[int, int], tuple] = {}
+        for offsets, sums, first in how.sums(a, b):
+            least = thresholds.get(id(offsets)) if even else None
+            if least is None:
+                off = offsets[:, None]
+                # the query's place p meets the recording's place p + offset
+                l1, l2 = (x if even else x[first : first + sums.shape[1]] for x in (lq, lr))
+                overlap = np.minimum(l1, l2 - off) - np.maximum(-off, 0)
+                least = np.where(overlap >= LEAST_OVERLAP, overlap * (32 * (1 - 2 * MOST_WRONG)) - 2, np.inf).astype(sums.dtype)
+                if even:
+                    thresholds[id(offsets)] = least
+            hit = np.flatnonzero(sums >= least)
+            for k, at in zip((hit // sums.shape[1]).tolist(), (first + hit % sums.shape[1]).tolist(), strict=True):
+                i, j = divmod(at, width)
                 q, r, o = asked[qa + i], found[ra + j], int(offsets[k])
                 start = max(0, -o)
                 n = min(len(q), len(r) - o) - start
@@ -156,16 +263,17 @@ def closest(asked: list[np.ndarray], found: list[np.ndarray]) -> Iterator[tuple[
                 if rate <= MOST_WRONG and votes >= LEAST_VOTES:
                     now = (rate, -votes, o, n)
                     best[i, j] = min(best.get((i, j), now), now)
-            for (i, j), (rate, votes, o, n) in best.items():
-                yield qa + i, ra + j, o, -votes, n, rate
+        for (i, j), (rate, votes, o, n) in best.items():
+            yield qa + i, ra + j, o, -votes, n, rate
 
 
-def _blocks(classes: DataFrame, name: str, size: int) -> DataFrame:
-    """(name, name_ids, name_ints): a row for about `size` classes; name is the number of the block."""
-    n = classes.count()
-    many = max(1, -(-n // size))
+def _blocks(classes: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
+    """(name, name_ids, name_ints), a row for about `size` classes, fewer if they are long; name is the number of the block. And how many."""
+    n, ints = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ints")), F.lit(0))).first()
+    many = max(1, -(-n // size), -(-ints // (size * _USUAL)))
     block = F.pmod(F.xxhash64("class_id"), F.lit(many)).cast("int")
-    return classes.groupBy(block.alias(name)).agg(F.collect_list(F.struct("class_id", "ints")).alias("x")).select(name, F.col("x.class_id").alias(f"{name}_ids"), F.col("x.ints").alias(f"{name}_ints"))
+    blocks = classes.groupBy(block.alias(name)).agg(F.collect_list(F.struct("class_id", "ints")).alias("x")).select(name, F.col("x.class_id").alias(f"{name}_ids"), F.col("x.ints").alias(f"{name}_ints"))
+    return settle(blocks, f"blocks-{name}"), many
 
 
 def alignments(classes: DataFrame) -> DataFrame:
@@ -173,13 +281,15 @@ def alignments(classes: DataFrame) -> DataFrame:
 
     classes: (class_id, asked, ints). No key of equal bits is selective at these
     thresholds (one that finds nine in ten matches of 16 integers also joins most other pairs), so
-    blocks of asked classes meet blocks of all classes and nothing is left out.
+    blocks of asked classes meet blocks of all classes, each pair of blocks in a group of its own, and nothing is left out.
     """
     usable = classes.filter(F.size("ints") >= LEAST_OVERLAP).select("class_id", "asked", "ints")
-    asked = settle(_blocks(usable.filter("asked"), "q", _QUERY_BLOCK), "asked")
-    found = settle(_blocks(usable, "r", _CLASS_BLOCK), "blocks")
-    pairs = asked.select("q").crossJoin(found.select("r"))
-    pairs = pairs.join(asked.hint("merge"), "q").join(found.hint("merge"), "r").select("q_ids", "q_ints", "r_ids", "r_ints")
+    asked, n_asked = _blocks(usable.filter("asked"), "q", _QUERY_BLOCK)
+    found, n_found = _blocks(usable, "r", _CLASS_BLOCK)
+    tasks = min(2 * n_asked * n_found, _TASKS)
+    each = lambda name, many: F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias(name)
+    left, right = asked.select("*", each("r", n_found)).repartition(tasks, "q", "r"), found.select("*", each("q", n_asked)).repartition(tasks, "q", "r")
+    pairs = left.join(right.hint("merge"), ["q", "r"]).select("q_ids", "q_ints", "r_ids", "r_ints")
 
     def prints(col: pa.Array) -> list[np.ndarray]:
         return [x.values.to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32) for x in col]
